@@ -8,6 +8,7 @@ goes to best-fit. Executors then give each piece a rank within its length and re
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,42 +23,51 @@ from versemill.llm._common import keyed_text, materialize
 
 CAPACITY, EOS, SALTS = 1024, 2, 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MEMO = 200_000
+# Fixed value: the pre-tokeniser pattern of byte-level BPE vocabularies.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class _Encoder(dict):
-    """Token ids, as little-endian bytes, of a stretch that starts with one space and holds no other.
+class _Encoder:
+    """Token ids of a text as little-endian bytes, those of the tokenizer object.
 
-    The pre-tokeniser starts a new piece at a single space between two characters that are not white space, so a text cut
-    there encodes stretch by stretch; each distinct stretch is encoded once while the memo has room.
+    A byte-level vocabulary whose ids follow its merge order is also a rank table, by which texts are merged several times
+    faster than through the tokenizer object; any other vocabulary, and every special token, goes through the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, stretches: set[str]) -> None:
-        if len(self) + len(stretches) > MEMO:
-            self.clear()
-        new = [s for s in stretches if s not in self]
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[s] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            parts = text.split(" ")
-            # a stretch that is empty or begins or ends with white space would change the cut; such texts go whole
-            regular = all(p and not p[0].isspace() and not p[-1].isspace() for p in parts)
-            cut.append([parts[0], *[" " + p for p in parts[1:]]] if regular else None)
-        self.learn(set().union(*[p for p in cut if p]))
-        get = self.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.special = [t["content"] for t in told.get("added_tokens", [])]
+        self.ranked, self.single_spaced = self._ranked(told)
+
+    @staticmethod
+    def _ranked(told: dict) -> tuple:
+        """Encodings for any text, and for texts in which no two white-space characters meet: there the look-ahead of the
+        pattern never holds, and the pattern without it runs faster."""
+        import tiktoken
+
+        model, pre = told["model"], told.get("pre_tokenizer") or {}
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        in_order = [model["vocab"].get(a + b) for a, b in pairs] == list(range(256, 256 + len(pairs)))
+        if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or told.get("normalizer") or not in_order:
+            return None, None
+        special = {t["content"] for t in told.get("added_tokens", [])}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        return tuple(
+            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            for name, pattern in (("any", BYTE_LEVEL_PATTERN), ("single", BYTE_LEVEL_PATTERN.replace(r"|\s+(?!\S)", "")))
+        )
+
+    def encode(self, text: str) -> bytes:
+        if self.ranked is None or any(s in text for s in self.special):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        single = len(text.split()) == text.count(" ") + text.count("\n") + 1
+        return (self.single_spaced if single else self.ranked).encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -83,7 +93,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
                 rows = [(d, *p) for d, x in zip(part.column(0).to_pylist(), ids, strict=True) for p in pieces_of(x + end, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
