@@ -130,3 +130,18 @@ class Words:
         text = np.cumsum(inside)[:-1]
         keep = np.flatnonzero(text[: len(total)] == text[n - 1 :])
         return keep, mix64(total[keep])
+
+
+def text_slices(ids, texts, limit: int = 1 << 20):
+    """Cut the rows of a batch into (ids, UTF-8 texts) of about ``limit`` bytes, so that word arrays stay small."""
+    some_ids, some, size = [], [], 0
+    for d, t in zip(ids.to_pylist(), texts, strict=True):
+        t = (t.as_py() or "").encode("utf-8", "surrogatepass")
+        some_ids.append(d)
+        some.append(t)
+        size += len(t)
+        if size >= limit:
+            yield some_ids, some
+            some_ids, some, size = [], [], 0
+    if some:
+        yield some_ids, some

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import chat_format, html_extract, packing
+from versemill.llm import chat_format, decontaminate, fingerprints, html_extract, jaccard_join, language_id, packing, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP3_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), items as (
+  select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), spread as (
+  select item_id, w, least(len(w), 13) as size, unnest(range(1, greatest(len(w) - 11, 2))) as i from items where len(w) > 0
+), windows as (
+  select distinct item_id, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as win from spread
+), sizes as (
+  select distinct size from windows
+), places as (
+  select doc_id, w, size, unnest(range(1, greatest(len(w) - size + 2, 1))) as i from words, sizes
+), hits as (
+  select p.doc_id, p.i, p.size, t.item_id from (select doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as win from places) p join windows t using (size, win)
+), covered as (
+  select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + size)) as k from hits) group by doc_id
+), named as (
+  select doc_id, count(distinct item_id) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from hits) group by doc_id
+)
+select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w.w) as contaminated
+from words w left join covered using (doc_id) left join named using (doc_id)
+"""
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
@@ -49,17 +79,61 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), spread as (
+  select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from words where len(w) > 0
+), shingles as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as s from spread
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
+), links as (
+  select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * k >= 80 * (p.n + q.n - k)
+), both_ways as (
+  select x, y from links union all select y, x from links
+), reach as (
+  select doc_id as x, doc_id as y from documents union select r.x, b.y from reach r join both_ways b on r.y = b.x
+)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, c.component_id
+from documents d left join sizes using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by x) c using (doc_id)
+"""
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op3_decontamination": op3_decontamination,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_html_extraction": op6_html_extraction,
+        "op7_language_id": op7_language_id,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_document_fingerprints": op9_document_fingerprints,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op8_ngram_jaccard_join": OP8_SQL}
