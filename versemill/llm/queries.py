@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import chat_format, decontaminate, fingerprints, html_extract, jaccard_join, language_id, packing, toxicity
+from versemill.llm import chat_format, decontaminate, fingerprints, html_extract, jaccard_join, language_id, packing, substring_dedup, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -53,6 +53,30 @@ from words w left join covered using (doc_id) left join named using (doc_id)
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (
+  select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as win from (select doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) as i from words)
+), least as (
+  select win, min(doc_id) as d from windows group by win
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 13)) as k from windows join least using (win) where d < doc_id
+), kept as (
+  select doc_id, k, w[k] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as k from words) anti join gone using (doc_id, k)
+), told as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by k) as t from kept group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from words left join told using (doc_id)
+"""
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
@@ -126,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_decontamination": op3_decontamination,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_html_extraction": op6_html_extraction,
         "op7_language_id": op7_language_id,
@@ -136,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op8_ngram_jaccard_join": OP8_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op8_ngram_jaccard_join": OP8_SQL}
