@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import chat_format, decontaminate, fingerprints, html_extract, jaccard_join, language_id, packing, substring_dedup, toxicity
+from versemill.llm import chat_format, decontaminate, fingerprints, html_extract, jaccard_join, language_id, line_dedup, packing, substring_dedup, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -149,6 +153,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_line_dedup": op2_line_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_chat_formatting": op5_chat_formatting,
