@@ -75,12 +75,13 @@ def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     # position 0 holds null: it stands for the document itself, so that one pass gives counts and hits
     at = words.select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("place", "word")).withColumn("token", F.lower("word"))
     first = F.col("place") - F.col("shift")  # place of the window's first word
-    occurs = (first >= 1) & (first + F.col("size") - 1 <= F.col("n")) & (
-        F.transform(F.slice("words", F.greatest(first, F.lit(1)), F.col("size")), lower_ascii) == F.col("window")
-    )
+    # Every part of this condition takes part in code generation. A lambda would not: the filter would then run after the
+    # generator has copied the whole word array for each word.
+    text = lower_ascii(F.array_join(F.slice("words", F.greatest(first, F.lit(1)), F.col("size")), " "))
+    occurs = F.col("size").isNotNull() & (first >= 1) & (first + F.col("size") - 1 <= F.col("n")) & (text == F.col("window"))
     found = []
     for k, block in enumerate(_in_blocks(rare, "token")):
-        joined = at.join(F.broadcast(block.withColumnRenamed("words", "window")), "token", "left")
+        joined = at.join(F.broadcast(block.select("token", "shift", "size", "item_ids", F.array_join("words", " ").alias("window"))), "token", "left")
         keep = (occurs | (F.col("place") == 0)) if k == 0 else occurs
         found.append(joined.where(keep).select("row", "doc_id", "n", F.when(F.col("size").isNotNull(), F.struct(first.alias("start"), (first + F.col("size")).alias("end"))).alias("span"), "item_ids"))
     return reduce(DataFrame.unionByName, found).groupBy("row", "doc_id").agg(
