@@ -2,7 +2,7 @@
 
 Two lines within ``edits`` edits share one of ``edits + 1`` segments of the shorter line, near the same place. Each line is
 indexed by its segments and probes the indexes of its own and the next smaller lengths with the few substrings that can
-match (position- and length-aware). Lines that meet are filtered by the parity of their words and verified with the banded
+match (position- and length-aware). Lines that meet are filtered by counts of a few letters and verified with the banded
 threshold form of ``levenshtein``.
 
 Frequent lines never meet in one task: exact repeats are counted with partial aggregation, and lines with very many copies
@@ -21,10 +21,18 @@ HOT_SHARE = 10_000  # a line is hot if it is more than one in so many; no more t
 BROADCAST_ROWS = 1_000_000
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, line_no, line) of all lines; ``tkey`` tells texts of one doc_id apart. An empty text is one empty line."""
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, tkey, lines): ``tkey`` tells texts of one doc_id apart. An empty text is one empty line.
+
+    The hash and the split stand below the generators that use them, or they would be made again for each line.
+    """
     rows = keyed_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", F.xxhash64("text").alias("tkey"), F.split("text", "\n").alias("lines"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, tkey, line_no, line) of all lines."""
+    return texts_of(docs).select("doc_id", "tkey", F.posexplode("lines").alias("line_no", "line"))
 
 
 def judged(line: str = "line") -> Column:
@@ -41,36 +49,40 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("tkey"), F.col("line_no"))
 
 
-def _segment(size: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start, length) of segment i of a line of that many characters; the last segments take the remainder."""
-    base = F.floor(size / (edits + 1)).cast("int")
-    longer = size - base * (edits + 1)  # so many segments, the last ones, are one longer
-    first_longer = F.lit(edits + 1) - longer
-    return base * i + F.greatest(F.lit(0), F.lit(i) - first_longer), base + F.when(F.lit(i) >= first_longer, 1).otherwise(0)
+def probes(edits: int = EDITS) -> list[tuple[int, int, int, int]]:
+    """(segment, shift, characters that the indexed line is shorter by, whether it is a probe) of all keys of a line.
 
+    The first ``edits + 1`` are its own segments. A probe's shift leaves few enough edits on either side of the segment.
+    """
+    own = [(i, 0, 0, 0) for i in range(edits + 1)]
+    return own + [
+        (i, shift, shorter, 1) for shorter in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
+    ]
+
+
+def keys_of(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(key, id): the keys of lines (line, size, id). The lowest bit of a row's id says whether it probes.
 
-def segment_keys(edits: int = EDITS) -> tuple[list[Column], list[Column]]:
-    """Keys that a line (columns line, size) is indexed under, and keys that it probes."""
+    One generator over a constant list: the expression for one key is small enough to be compiled, that for all is not.
+    """
+    spec = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift"), F.lit(shorter).alias("shorter"), F.lit(probe).alias("probe")) for i, shift, shorter, probe in probes(edits)])
+    rows = lines.select("line", "size", "id", F.explode(spec).alias("s")).select("line", "size", "id", "s.i", "s.shift", "s.probe", (F.col("size") - F.col("s.shorter")).alias("length"))
+    n = edits + 1
+    rows = rows.withColumn("base", F.expr(f"cast(length div {n} as int)")).withColumn("longer", F.greatest(F.lit(0), F.col("i") - (n - (F.col("length") - F.col("base") * n))))
+    # the last segments take the remainder: segment i is longer by one if i is not before the first of them
+    start = F.col("base") * F.col("i") + F.col("longer") + F.col("shift")
+    width = F.col("base") + F.when(F.col("i") >= n - (F.col("length") - F.col("base") * n), 1).otherwise(0)
+    rows = rows.select("line", "size", "id", "i", "probe", "length", start.alias("start"), width.alias("width")).where((F.col("start") >= 0) & (F.col("start") + F.col("width") <= F.col("size")) & (F.col("length") >= MIN_CHARS))
+    return rows.select(F.xxhash64(F.substring(F.col("line"), F.col("start") + 1, F.col("width")), "length", "i").alias("key"), F.col("id").bitwiseOR(F.col("probe").cast("long")).alias("id"))
 
-    def key(start: Column, length: Column, size: Column, i: int) -> Column:
-        return F.when((start >= 0) & (start + length <= F.col("size")) & (size >= MIN_CHARS), F.xxhash64(F.substring(F.col("line"), start + 1, length), size, F.lit(i)))
 
-    own = F.col("size")
-    index = [key(*_segment(own, i, edits), own, i) for i in range(edits + 1)]
-    probe = []
-    for shorter in range(edits + 1):
-        size = own - shorter
-        for i in range(edits + 1):
-            start, length = _segment(size, i, edits)
-            # shifts that leave few enough edits on the left of the segment and on its right
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                probe.append(key(start + shift, length, size, i))
-    return index, probe
+# Fixed value: letters that are frequent in many languages.
+LETTERS = "etaoinsrhd"
 
 
-def _parity(seed: int) -> Column:
-    """One bit flips for each word; an edit changes three words at most."""
-    return F.aggregate(F.split("line", " "), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(seed), w), F.lit(64)).cast("int"))))
+def letter_counts() -> list[Column]:
+    """How often each of a few letters is in the line. An edit moves these counts by two in all, at most."""
+    return [(F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(c), F.lit("")))).alias(f"n_{c}") for c in LETTERS]
 
 
 def near_pairs(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDITS) -> DataFrame:
@@ -79,13 +91,8 @@ def near_pairs(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDIT
     lines = _identity(lines_of(docs).where(judged()))
     hot = counts.where(F.col("n") > max(1000, total // HOT_SHARE)).select("h1", "h2", "first")
     once = lines.join(F.broadcast(hot), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == _place()))  # hot has HOT_SHARE rows at most
-    index, probe = segment_keys(edits)
-    sized = once.select("line", F.char_length("line").alias("size"), F.shiftleft("h1", 1).alias("id"))
-    # the lowest bit of a row's id says whether it probes
-    keys = F.concat(
-        F.array(*[F.struct(k.alias("key"), F.col("id")) for k in index]), F.array(*[F.struct(k.alias("key"), F.col("id").bitwiseOR(F.lit(1).cast("long")).alias("id")) for k in probe])
-    )
-    rows = sized.select(F.explode(keys).alias("at")).select("at.key", "at.id").where("key is not null")
+    rows = keys_of(once.select("line", F.char_length("line").alias("size"), F.shiftleft("h1", 1).alias("id")), edits)
+
     by = Window.partitionBy("key")
     probing = F.col("id").bitwiseAND(F.lit(1).cast("long")) == 1
     line_id = F.shiftrightunsigned("id", 1)
@@ -97,13 +104,12 @@ def near_pairs(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDIT
     ids = materialize(met.select("line_id").distinct())
     known = lines.withColumn("line_id", F.shiftrightunsigned(F.shiftleft("h1", 1), 1))
     known = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "line_id", "left_semi").groupBy("line_id", "h1", "h2", "line").agg(F.min(_place()).alias("first"))
-    known = materialize(known.select("*", _parity(1).alias("s1"), _parity(2).alias("s2")))
-    signed = met.join(known.select("line_id", "h1", "h2", "s1", "s2"), "line_id")
-    x, y = (signed.where(w).select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", "s1", "s2")]) for k, w in (("x", "not probes"), ("y", "probes")))
-    flips = 3 * edits
-    pairs = x.join(y, "key").where(
-        (F.col("h1_x") != F.col("h1_y")) & (F.bit_count(F.col("s1_x").bitwiseXOR(F.col("s1_y"))) <= flips) & (F.bit_count(F.col("s2_x").bitwiseXOR(F.col("s2_y"))) <= flips)
-    ).select("h1_x", "h2_x", "h1_y", "h2_y").distinct()
+    known = materialize(known.select("*", *letter_counts()))
+    counted = [f"n_{c}" for c in LETTERS]
+    signed = met.join(known.select("line_id", "h1", "h2", *counted), "line_id")
+    x, y = (signed.where(w).select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", *counted)]) for k, w in (("x", "not probes"), ("y", "probes")))
+    moved = sum((F.abs(F.col(f"{c}_x") - F.col(f"{c}_y")) for c in counted[1:]), F.abs(F.col(f"{counted[0]}_x") - F.col(f"{counted[0]}_y")))
+    pairs = x.join(y, "key").where((F.col("h1_x") != F.col("h1_y")) & (moved <= 2 * edits)).select("h1_x", "h2_x", "h1_y", "h2_y").distinct()
     text = lambda k: known.select(*[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", "line", "first")])
     both = pairs.join(text("x"), ["h1_x", "h2_x"]).join(text("y"), ["h1_y", "h2_y"])
     return both.where(F.levenshtein("line_x", "line_y", edits) >= 0).select("h1_x", "h2_x", "first_x", "h1_y", "h2_y", "first_y")
@@ -123,9 +129,8 @@ def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     near = pairs.select(*[F.when(x_first, F.col(f"{h}_y")).otherwise(F.col(f"{h}_x")).alias(h) for h in ("h1", "h2")]).distinct().withColumn("near", F.lit(True))
     verdict = counts.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # line number -1 stands for the text itself, so that texts without judged lines keep their row
-    rows = keyed_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    split = F.split("text", "\n")
-    own = rows.select("doc_id", F.xxhash64("text").alias("tkey"), F.size(split).alias("n_lines"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), split)).alias("line_no", "line"))
+    own = texts_of(docs).select("doc_id", "tkey", F.size("lines").alias("n_lines"), F.concat(F.array(F.lit(None).cast("string")), "lines").alias("lines"))
+    own = own.select("doc_id", "tkey", "n_lines", F.posexplode("lines").alias("line_no", "line"))
     own = _identity(own.withColumn("line_no", F.col("line_no") - 1).where((F.col("line_no") < 0) | judged())).withColumn("h1", F.when(F.col("line_no") >= 0, F.col("h1")))
     flagged = own.select("h1", "h2", "doc_id", "tkey", "line_no", "n_lines").join(verdict, ["h1", "h2"], "left")
     goes = F.when(F.col("near") | (F.col("first") != _place()), F.col("line_no"))
