@@ -8,8 +8,9 @@
    many classes first pairs them with one head for each size range only; what that leaves apart is paired later.
 4. Distinct pairs pass the suffix filter (counts of shingles between fixed pivots bound the symmetric difference), and
    each is verified once on whole sets.
-5. Links make components. The long shared shingles of step 3 are then looked at again, pairing only classes that are still
-   in different components, so a group of near copies never emits all its pairs, and no component is missed.
+5. Links make components. At first each class is verified against its least partner only, then members of the long shared
+   shingles of step 3 against a few heads, where their classes are still in different components; at last all pairs that
+   are still apart. So a group of near copies does not emit all its pairs, and no component is missed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versemill.llm._common import Words, deflate, inflate, keyed_text, materialize, mix64, text_slices
@@ -27,8 +28,10 @@ from versemill.llm.components import connected_components
 
 SHINGLE = 5
 SKETCH_BITS, SKETCH_PARTS, PIVOTS = 20, 16, 64
+HEADS = (8, 16)  # partners for each shared shingle in the rounds that precede the last
 LONG = 16  # a shared shingle with more classes than this is paired through heads first
 BROADCAST_ROWS = 1_000_000
+NO_ID = 2**63 - 1  # stands for a null doc_id, after all others
 CLASS = "doc_id long, n int, digest long, pivots binary"
 
 
@@ -215,12 +218,19 @@ def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, set) of each text; 48 bits of a hash are kept, sorted and as steps."""
+    """(digest, set) of each text, with the sides of pairs it stands on; 48 bits of a hash are kept, sorted and as steps."""
     for batch in batches:
+        sides = list(zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True))
+        done = 0
         for _, texts in text_slices(batch.column(0), batch.column(1)):
             sets = shingle_sets(texts)
-            blobs = [deflate(np.diff(s >> np.uint64(16), prepend=np.uint64(0)))  for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary())], ["digest", "shingles"])
+            part = sides[done : done + len(sets)]
+            done += len(sets)
+            blobs = [deflate(np.diff(s >> np.uint64(16), prepend=np.uint64(0))) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest_of(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary()), pa.array([x for x, _ in part], pa.bool_()), pa.array([y for _, y in part], pa.bool_())],
+                ["digest", "shingles", "is_a", "is_b"],
+            )
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,25 +249,58 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     side = lambda x: classes.select(F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("pivots").alias(f"p{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_suffix_filter, "a long, b long")
     near = materialize(near)
-    needed = materialize(near.select(F.col("a").alias("digest")).union(near.select("b")).distinct().join(classes, "digest").select("doc_id"))
+    on = lambda x: near.select(F.col(x).alias("digest"), F.lit(x == "a").alias("is_a"), F.lit(x == "b").alias("is_b"))
+    sides = on("a").union(on("b")).groupBy("digest").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
+    needed = materialize(sides.join(classes, "digest").select("doc_id", "is_a", "is_b"))
     n = needed.count()
     if not n:
         return near
-    texts = keyed_text(docs).join(F.broadcast(needed) if n <= BROADCAST_ROWS else needed, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets, "digest long, shingles binary").dropDuplicates(["digest"]))
-    set_of = lambda x: sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"s{x}"))
-    return materialize(near.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"))
+    texts = docs.join(F.broadcast(needed) if n <= BROADCAST_ROWS else needed, "doc_id").select("doc_id", "text", "is_a", "is_b")
+    sets = materialize(texts.mapInArrow(_sets, "digest long, shingles binary, is_a boolean, is_b boolean"))
+    set_of = lambda x: sets.where(f"is_{x}").select(F.col("digest").alias(x), F.col("shingles").alias(f"s{x}"))
+    return materialize(near.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long").distinct())
+
+
+def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after more links: they are drawn between the components so far, so what is joined costs nothing."""
+    if labels is None:
+        return materialize(connected_components(links))
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    named = materialize(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    joined = connected_components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    ends = named.select(F.col("a").alias("node"), F.col("ca").alias("component")).union(named.select("b", "cb"))
+    every = labels.union(ends).distinct()
+    return materialize(every.join(joined, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
+
+
+def _with_components(rows: DataFrame, labels: DataFrame, node: str) -> DataFrame:
+    named = labels.select(F.col("node").alias(node), F.col("component").alias(f"{node}_component"))
+    return rows.join(named, node, "left").withColumn(f"{node}_component", F.coalesce(f"{node}_component", node))
+
+
+def _mixed(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the long shared shingles whose classes are in more than one component."""
+    named = _with_components(long, labels, "node").withColumnRenamed("node_component", "component")
+    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return materialize(named.join(mixed, "token", "left_semi"))
+
+
+def _across(x: DataFrame, y: DataFrame, apart: str = "<>") -> DataFrame:
+    """Pairs of members of one shared shingle, in different components, that pass the length and positional filters."""
+    x, y = (side.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "place", "component")]) for side, k in ((x, 1), (y, 2)))
+    near = f"component1 {apart} component2 and 5 * least(n1, n2) >= 4 * greatest(n1, n2) and 9 * least(n1 - place1, n2 - place2) >= 4 * (n1 + n2)"
+    return x.join(y, "token").where(near).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document at a Jaccard similarity of 0.8 of five-word shingle sets.
 
     component_id is the smallest doc_id reachable by links. Null and wordless texts have no shingles and stay alone; a null
-    doc_id stays null and is never a component's id unless alone; repeated rows give repeated results; an empty table gives
+    doc_id stays null, comes after all others and is a component's id only where there is no other; repeated rows give repeated results; an empty table gives
     no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = keyed_text(docs)
+    rows = keyed_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = materialize(rows.mapInArrow(_classes, f"kind int, {CLASS}"))
     ranks = first.where("kind = 0").groupBy("n").applyInPandas(_add_up, "n int, rank binary").collect()  # of fixed size
@@ -266,26 +309,30 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     classes = materialize(members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("pivots").alias("pivots")))
     found = materialize(rows.mapInArrow(_prefixes(rarity, buckets), "bucket int, blob binary").groupBy("bucket").applyInPandas(_pair_up, FOUND))
     pairs = materialize(found.where("kind = 0").select("a", "b").distinct())
-    links = _links(pairs, classes, docs)
-    labels = materialize(connected_components(links))
-
+    # each class is first compared with its least partner only: that joins most of a group, and what is joined needs no
+    # further comparison
+    tested = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    labels = _relabel(None, _links(tested, classes, rows))
     long = found.where("kind = 1").select("token", F.col("a").alias("node"), "n", "place")
-    long = long.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = materialize(long.join(long.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "token", "left_semi"))
-    x, y = (mixed.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "place", "component")]) for k in "12")
-    apart = x.join(y, "token").where(
-        "component1 < component2 and 5 * least(n1, n2) >= 4 * greatest(n1, n2) and 9 * least(n1 - place1, n2 - place2) >= 4 * (n1 + n2)"
-    ).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    apart = materialize(apart)
-    if not apart.isEmpty():
-        more = _links(apart, classes, docs)
-        labels = materialize(connected_components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    for heads in (*HEADS, None):
+        mixed = _mixed(long, labels)
+        if heads is None:  # all that is still apart
+            some = _across(mixed, mixed, "<")
+        else:  # a few heads for each shared shingle, others each time, but the same for all shingles that share them
+            rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(heads)), "node"))
+            some = _across(mixed.withColumn("_rank", rank).where(F.col("_rank") <= heads), mixed)
+        rest = _with_components(_with_components(pairs, labels, "a"), labels, "b").where("a_component <> b_component").select("a", "b")
+        now = materialize((some if heads else some.unionByName(rest).distinct()).join(tested, ["a", "b"], "left_anti"))
+        if not now.isEmpty():
+            labels = _relabel(labels, _links(now, classes, rows))
+            tested = tested.unionByName(now)
 
     known = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     # every empty set is a component of its own, told apart by the document's id
     known = known.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "digest")).alias("component"))
-    least = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return known.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    smallest = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = known.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
