@@ -28,7 +28,7 @@ from versemill.llm.components import connected_components
 
 SHINGLE = 5
 SKETCH_BITS, SKETCH_PARTS, PIVOTS = 20, 16, 64
-HEADS = (8, 16)  # partners for each shared shingle in the rounds that precede the last
+HEADS = (8, 16, 48)  # partners for each shared shingle in the rounds that precede the last
 LONG = 16  # a shared shingle with more classes than this is paired through heads first
 BROADCAST_ROWS = 1_000_000
 NO_ID = 2**63 - 1  # stands for a null doc_id, after all others
