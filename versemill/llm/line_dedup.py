@@ -77,7 +77,7 @@ def keys_of(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 # Fixed value: letters that are frequent in many languages.
-LETTERS = "etaoinsrhd"
+LETTERS = "etaoinsrhdlucmwbg"
 
 
 def letter_counts() -> list[Column]:
@@ -104,12 +104,14 @@ def near_pairs(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDIT
     ids = materialize(met.select("line_id").distinct())
     known = lines.withColumn("line_id", F.shiftrightunsigned(F.shiftleft("h1", 1), 1))
     known = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "line_id", "left_semi").groupBy("line_id", "h1", "h2", "line").agg(F.min(_place()).alias("first"))
-    known = materialize(known.select("*", *letter_counts()))
+    known = materialize(known.select("*", F.char_length("line").alias("size"), *letter_counts()))
     counted = [f"n_{c}" for c in LETTERS]
-    signed = met.join(known.select("line_id", "h1", "h2", *counted), "line_id")
-    x, y = (signed.where(w).select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", *counted)]) for k, w in (("x", "not probes"), ("y", "probes")))
+    signed = met.join(known.select("line_id", "h1", "h2", "size", *counted), "line_id")
+    x, y = (signed.where(w).select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", "size", *counted)]) for k, w in (("x", "not probes"), ("y", "probes")))
     moved = sum((F.abs(F.col(f"{c}_x") - F.col(f"{c}_y")) for c in counted[1:]), F.abs(F.col(f"{counted[0]}_x") - F.col(f"{counted[0]}_y")))
-    pairs = x.join(y, "key").where((F.col("h1_x") != F.col("h1_y")) & (moved <= 2 * edits)).select("h1_x", "h2_x", "h1_y", "h2_y").distinct()
+    # lines of one length probe each other: one direction is enough
+    once_each = (F.col("size_x") < F.col("size_y")) | (F.col("h1_x") < F.col("h1_y"))
+    pairs = x.join(y, "key").where((F.col("h1_x") != F.col("h1_y")) & once_each & (moved <= 2 * edits)).select("h1_x", "h2_x", "h1_y", "h2_y").distinct()
     text = lambda k: known.select(*[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", "line", "first")])
     both = pairs.join(text("x"), ["h1_x", "h2_x"]).join(text("y"), ["h1_y", "h2_y"])
     return both.where(F.levenshtein("line_x", "line_y", edits) >= 0).select("h1_x", "h2_x", "first_x", "h1_y", "h2_y", "first_y")
