@@ -164,6 +164,28 @@ def test_lines(spark):
     assert kept == left and line_dedup.dedup_report(frame(spark, [])).count() == 0
 
 
+def test_short_lines(spark):
+    """Exact repeats go at any length; edits are fewer in short lines; empty lines stay."""
+    first = ["Les.", "x", "abcdefgh", "abcdefghijk", "abcdefghijkl", "", "The same line of some length.", "abc"]
+    later = ["Les.", "x", "abcdefgX", "abcXefgXijk", "abXdefghiXkl", "", "The same line of some length.", "abd", "Les.", "abcdefghi", "Xbcdefghij", "abXXXXghijkl"]
+    df = frame(spark, [(1, "\n".join(first)), (2, "\n".join(later)), (3, "Les.\nNew.")])
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup_report(df).collect()}
+
+    def limit(a, b):
+        return max(0, min(2, min(len(a), len(b)) // 4 - 1))
+
+    seen, want = [], {}
+    for d, lines in ((1, first), (2, later), (3, ["Les.", "New."])):
+        gone = []
+        for n, line in enumerate(lines):
+            if line and any(line == x or edits(line, x) <= limit(line, x) for x in seen):
+                gone.append(n)
+            seen.append(line)
+        want[d] = ",".join(map(str, gone))
+    assert got == want and want[2].startswith("0,1,2,4,6,8,9") and want[3] == "0"
+    assert {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(df).collect()}[3] == "New."
+
+
 def test_components(spark):
     random.seed(15)
     edges = [(random.randint(0, 60), random.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)] + [(0, k) for k in range(200, 230)] + [(5, 5), (None, 3)]

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from versemill.llm._common import keyed_text, materialize
 
-EDITS, MIN_CHARS = 2, 20
+EDITS, MIN_CHARS = 2, 1  # an empty line parts paragraphs and is never a repeat
+SEGMENT_CHARS = 4  # k edits need k + 1 segments of so many characters at least: shorter lines have fewer edits, the shortest none
 HOT_SHARE = 10_000  # a line is hot if it is more than one in so many; no more than so many lines can be
 BROADCAST_ROWS = 1_000_000
 
@@ -39,6 +40,11 @@ def judged(line: str = "line") -> Column:
     return F.char_length(line) >= MIN_CHARS
 
 
+def allowed(size: Column, edits: int = EDITS) -> Column:
+    """The edits within which a line meets a shorter one, or one as long, of ``size`` characters: none below two segments."""
+    return F.least(F.lit(edits), F.greatest(F.lit(0), F.floor(size / SEGMENT_CHARS).cast("int") - 1))
+
+
 def _identity(lines: DataFrame) -> DataFrame:
     """Adds a 128-bit identity (h1, h2) of each line's text."""
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), F.col("line")))
@@ -49,30 +55,35 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("tkey"), F.col("line_no"))
 
 
-def probes(edits: int = EDITS) -> list[tuple[int, int, int, int]]:
-    """(segment, shift, characters that the indexed line is shorter by, whether it is a probe) of all keys of a line.
+def probes(edits: int = EDITS) -> list[tuple[int, int, int, int, int]]:
+    """(segments, segment, shift, characters that the indexed line is shorter by, whether it is a probe) of all keys of a line.
 
     The first ``edits + 1`` are its own segments. A probe's shift leaves few enough edits on either side of the segment.
     """
-    own = [(i, 0, 0, 0) for i in range(edits + 1)]
+    own = [(edits + 1, i, 0, 0, 0) for i in range(edits + 1)]
     return own + [
-        (i, shift, shorter, 1) for shorter in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
+        (edits + 1, i, shift, shorter, 1) for shorter in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
     ]
 
 
 def keys_of(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(key, id): the keys of lines (line, size, id). The lowest bit of a row's id says whether it probes.
 
-    One generator over a constant list: the expression for one key is small enough to be compiled, that for all is not.
+    One generator over constant lists: the expression for one key is small enough to be compiled, that for all is not. Lines
+    too short for all edits, and those that reach down to such, carry the keys for fewer edits too.
     """
-    spec = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift"), F.lit(shorter).alias("shorter"), F.lit(probe).alias("probe")) for i, shift, shorter, probe in probes(edits)])
-    rows = lines.select("line", "size", "id", F.explode(spec).alias("s")).select("line", "size", "id", "s.i", "s.shift", "s.probe", (F.col("size") - F.col("s.shorter")).alias("length"))
-    n = edits + 1
-    rows = rows.withColumn("base", F.expr(f"cast(length div {n} as int)")).withColumn("longer", F.greatest(F.lit(0), F.col("i") - (n - (F.col("length") - F.col("base") * n))))
+    names = ("n", "i", "shift", "shorter", "probe")
+    spec = lambda some: F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, x, strict=True)]) for x in some])
+    every = spec([x for e in range(1, edits + 1) for x in probes(e)])
+    keys = F.when(F.col("size") >= SEGMENT_CHARS * (edits + 1) + edits, spec(probes(edits))).otherwise(every)
+    rows = lines.where(F.col("size") >= 2 * SEGMENT_CHARS).select("line", "size", "id", F.explode(keys).alias("s"))
+    rows = rows.select("line", "size", "id", "s.n", "s.i", "s.shift", "s.probe", (F.col("size") - F.col("s.shorter")).alias("length"))
+    rows = rows.where(allowed(F.col("length"), edits) == F.col("n") - 1)
+    rows = rows.withColumn("base", F.expr("cast(length div n as int)")).withColumn("longer", F.greatest(F.lit(0), F.col("i") - (F.col("n") - (F.col("length") - F.col("base") * F.col("n")))))
     # the last segments take the remainder: segment i is longer by one if i is not before the first of them
     start = F.col("base") * F.col("i") + F.col("longer") + F.col("shift")
-    width = F.col("base") + F.when(F.col("i") >= n - (F.col("length") - F.col("base") * n), 1).otherwise(0)
-    rows = rows.select("line", "size", "id", "i", "probe", "length", start.alias("start"), width.alias("width")).where((F.col("start") >= 0) & (F.col("start") + F.col("width") <= F.col("size")) & (F.col("length") >= MIN_CHARS))
+    width = F.col("base") + F.when(F.col("i") >= F.col("n") - (F.col("length") - F.col("base") * F.col("n")), 1).otherwise(0)
+    rows = rows.select("line", "size", "id", "i", "probe", "length", start.alias("start"), width.alias("width")).where((F.col("start") >= 0) & (F.col("start") + F.col("width") <= F.col("size")))
     return rows.select(F.xxhash64(F.substring(F.col("line"), F.col("start") + 1, F.col("width")), "length", "i").alias("key"), F.col("id").bitwiseOR(F.col("probe").cast("long")).alias("id"))
 
 
@@ -86,9 +97,9 @@ def letter_counts() -> list[Column]:
 
 
 def near_pairs(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDITS) -> DataFrame:
-    """(h1, h2, first) of the distinct lines of both sides of every pair of different lines within ``edits`` edits, as
+    """(h1, h2, first) of the distinct lines of both sides of every pair of different lines within the edits allowed, as
     columns of x and y. ``counts`` has (h1, h2, first, n) of all judged lines."""
-    lines = _identity(lines_of(docs).where(judged()))
+    lines = _identity(lines_of(docs).where(F.char_length("line") >= 2 * SEGMENT_CHARS))
     hot = counts.where(F.col("n") > max(1000, total // HOT_SHARE)).select("h1", "h2", "first")
     once = lines.join(F.broadcast(hot), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == _place()))  # hot has HOT_SHARE rows at most
     rows = keys_of(once.select("line", F.char_length("line").alias("size"), F.shiftleft("h1", 1).alias("id")), edits)
@@ -111,17 +122,17 @@ def near_pairs(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDIT
     moved = sum((F.abs(F.col(f"{c}_x") - F.col(f"{c}_y")) for c in counted[1:]), F.abs(F.col(f"{counted[0]}_x") - F.col(f"{counted[0]}_y")))
     # lines of one length probe each other: one direction is enough
     once_each = (F.col("size_x") < F.col("size_y")) | (F.col("h1_x") < F.col("h1_y"))
-    pairs = x.join(y, "key").where((F.col("h1_x") != F.col("h1_y")) & once_each & (moved <= 2 * edits)).select("h1_x", "h2_x", "h1_y", "h2_y").distinct()
+    pairs = x.join(y, "key").where((F.col("h1_x") != F.col("h1_y")) & once_each & (moved <= 2 * allowed(F.least("size_x", "size_y"), edits))).select("h1_x", "h2_x", "h1_y", "h2_y").distinct()
     text = lambda k: known.select(*[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", "line", "first")])
     both = pairs.join(text("x"), ["h1_x", "h2_x"]).join(text("y"), ["h1_y", "h2_y"])
-    return both.where(F.levenshtein("line_x", "line_y", edits) >= 0).select("h1_x", "h2_x", "first_x", "h1_y", "h2_y", "first_y")
+    return both.where(F.levenshtein("line_x", "line_y", edits).between(0, allowed(F.least(F.char_length("line_x"), F.char_length("line_y")), edits))).select("h1_x", "h2_x", "first_x", "h1_y", "h2_y", "first_y")
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(doc_id, tkey, n_lines, removed): the numbers, from 0, of the lines of each text that go, ascending.
 
-    A line of MIN_CHARS characters or more goes if an equal line, or one within ``edits`` edits, comes before it in the
-    order of (doc_id, text, line number); shorter lines stay. Lines are judged on the input, not on what is left.
+    A line of any length but zero goes if an equal line, or one within the edits allowed (``edits`` from 12 characters of the
+    shorter line on, one from 8), comes before it in the order of (doc_id, text, line number); empty lines stay. Lines are judged on the input, not on what is left.
     """
     lines = _identity(lines_of(docs))
     counts = materialize(lines.where(judged()).groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")))
