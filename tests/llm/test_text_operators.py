@@ -69,6 +69,17 @@ def test_html():
     assert len(hx.main_text("<article>" + "<p>a b</p>" * 20000 + "</article>")) == 20000 * 5 - 2
 
 
+def test_html_split_article():
+    """Without article or main, every content cluster is kept, not only the element with a bare majority."""
+    text = {n: f"{n} " * (n // 4) for n in (400, 300, 250, 251)}
+    page = f"<body><div id=menu><a>m</a></div><div id=content><section><p>{text[400]}</p><p>{text[300]}</p></section><section><p>{text[250]}</p><p>{text[251]}</p></section></div><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul></body>"
+    got = hx.main_text(page).split("\n\n")
+    assert got[:4] == [t.strip() for t in text.values()] and "m" not in got and "z" not in got
+    apart = "".join(f"<div><p>{'word ' * n}</p><p>End {n}.</p></div>" for n in (90, 40, 40))
+    assert hx.main_text(f"<div>{apart}</div><div><a>x</a></div>").count("word") == 170
+    assert hx.main_text("<p>" + "word " * 50 + "</p><p>Short.</p>").endswith("Short.")
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", HTML, "t"), (1, "u", HTML, "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     got = hx.extract_pages(df).collect()

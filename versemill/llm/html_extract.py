@@ -3,7 +3,7 @@
 The standard library's streaming parser turns a page into block lines, each with its text length, the number of tags met
 in it and the path of open elements. The text-to-tag ratio per line is smoothed with a Gaussian and thresholded by its
 standard deviation; lines above form content clusters. A cluster selects its region (the outermost article or main
-around it, else the deepest element that holds most of the clustered text), and all lines of the selected regions are
+around it, else the deepest element around all clusters, beside which clustered lines stay too), and all lines of the selected regions are
 kept, short ones too, except those inside elements that are never article text.
 """
 
@@ -118,7 +118,8 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
+    own = [len(text) / max(1, tags) for text, tags, _ in lines]
+    ratio = smoothed(own)
     mean = sum(ratio) / len(ratio)
     threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)), max(ratio))
     content = [k for k, r in enumerate(ratio) if r >= threshold]
@@ -130,16 +131,16 @@ def main_text(html: str | None) -> str:
             votes[region] += len(lines[k][0])
     if votes:
         return "\n\n".join(text for text, _, path in lines if any(e in votes for e in path))
-    weight: Counter[int] = Counter()
-    for k in content:
-        for e in lines[k][2]:
-            weight[e] += len(lines[k][0])
-    total = sum(len(lines[k][0]) for k in content)
-    holders = [e for e, w in weight.items() if 2 * w > total and sum(e in path for _, _, path in lines) > 1]
-    if not holders:
-        return "\n\n".join(text for text, _, _ in lines)
-    deepest = max(holders)
-    return "\n\n".join(text for text, _, path in lines if deepest in path)
+    # the deepest element that holds more than one line and all clustered lines but those lifted by their neighbours only,
+    # which would draw in what lies next to the text; paths begin at the root
+    strong = [k for k in content if own[k] >= threshold] or content
+    around = lines[strong[0]][2]
+    for k in strong:
+        around = tuple(e for e, other in zip(around, lines[k][2], strict=False) if e == other)
+    held = Counter(e for _, _, path in lines for e in path)
+    region = next((e for e in reversed(around) if held[e] > 1), None)
+    kept = set(content)
+    return "\n\n".join(text for k, (text, _, path) in enumerate(lines) if region is None or region in path or k in kept)
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
