@@ -80,6 +80,21 @@ def test_html_split_article():
     assert hx.main_text("<p>" + "word " * 50 + "</p><p>Short.</p>").endswith("Short.")
 
 
+def test_html_furniture_names():
+    """Names that only mention furniture drop nothing, and no attribute drops what the article is in."""
+    words = "<h2 class='section-header'>Head</h2><p>" + "word " * 60 + "</p><div class='long-form'><p>" + "text " * 60 + "</p></div>"
+    want = "\n\n".join(["Head", ("word " * 60).strip(), ("text " * 60).strip()])
+    article = f"<article>{words}<div class='share buttons'><a>f</a></div><span class=ad>Buy</span></article>"
+    for open_tag in ("<div class='content-sidebar-wrap'><main>", "<div id=page class='has-sidebar'>", "<div class='post no-comments'>", "<div id=sidebar>", "<div class='widget social'><main>", "<main><div class='form'>"):
+        assert hx.main_text(f"<body><div class='cookie-notice'>Cookies</div>{open_tag}{article}") == want
+    assert hx.main_text(f"<body><div class='widget'>{words}</div><p>x</p>").startswith(want)
+    two = "".join(f"<div class=widget><article><p>{w * 60}</p></article></div>" for w in ("one ", "two "))
+    for page in (two, f"<main>{two}</main>"):
+        assert hx.main_text(page).split() == ["one"] * 60 + ["two"] * 60
+    talk = f"<section id=comments>{'<article><p>' + 'nice ' * 80 + '</p></article>'}</section>"
+    assert hx.main_text(f"<main><article>{words}</article>{talk}</main>") == hx.main_text(f"<article>{words}{talk}</article>") == want
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", HTML, "t"), (1, "u", HTML, "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     got = hx.extract_pages(df).collect()

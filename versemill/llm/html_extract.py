@@ -4,7 +4,8 @@ The standard library's streaming parser turns a page into block lines, each with
 in it and the path of open elements. The text-to-tag ratio per line is smoothed with a Gaussian and thresholded by its
 standard deviation; lines above form content clusters. A cluster selects its region (the outermost article or main
 around it, else the deepest element around all clusters, beside which clustered lines stay too), and all lines of the selected regions are
-kept, short ones too, except those inside elements that are never article text.
+kept, short ones too, except those inside elements that are never article text. An element that only its attributes name
+as furniture is left out, unless the article is in it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -24,35 +26,59 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 NEVER = frozenset("nav header footer aside form script style noscript template menu dialog button select option textarea input iframe object embed canvas svg math audio video head title dir".split())
 REGION = frozenset(["article", "main"])
-# Words of class, id and role attributes that name page furniture.
+# Words of class, id and role attributes that name page furniture: a name is one if all its words are.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header footer masthead "
     "notice cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus reply replies respond "
     "widget widgets form search complementary contentinfo alert dialog".split()
 )
-_WORDS = re.compile(r"[A-Za-z]+")
+# Those of them that name readers' contributions, which may well be longer than the article.
+DISCUSSION = frozenset("comment comments commentlist disqus reply replies respond".split())
+_WORDS = re.compile(r"[^\W\d_]+")
 SIGMA, RADIUS = 1.0, 3
 
 
+def furniture_words(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """The words of the class, id and role names that consist of furniture words only."""
+    found: set[str] = set()
+    for k, v in attrs:
+        for name in (v or "").lower().split() if k in ("class", "id", "role") else ():
+            words = set(_WORDS.findall(name))
+            if words <= FURNITURE:
+                found |= words
+    return found
+
+
+@dataclass
+class _Named:
+    """An element that its attributes name as furniture."""
+
+    discussion: bool
+    around: tuple[int, ...]  # open elements of that kind around it
+    within: frozenset[str]  # names of the regions around it
+    holds: set[str]  # names of the regions in it
+
+
 class _Blocks(HTMLParser):
-    """Collects block lines: [text, tags, path of open elements]."""
+    """Collects block lines: [pieces of text with the named elements around each, tags, path of open elements]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, serial number, dropped
+        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []  # name, serial number, dropped, named elements around
         self.regions: dict[int, str] = {}
+        self.named: dict[int, _Named] = {}
         self.serial, self.tags, self.text = 0, 0, []
 
     def flush(self) -> None:
-        if words := "".join(self.text).split():
-            self.lines.append((" ".join(words), self.tags, tuple(k for name, k, _ in self.open if name not in INLINE)))
+        if any(text and not text.isspace() for text, _ in self.text):
+            self.lines.append((self.text, self.tags, tuple(x[1] for x in self.open if x[0] not in INLINE)))
             self.tags = 0
         self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
-            self.text.append("\n")
+            self.text.append(("\n", ()))
         if tag not in INLINE:
             self.flush()
             # a block start closes an open paragraph with the inline elements left open in it
@@ -61,12 +87,18 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         self.serial += 1
-        named = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in _WORDS.findall(v)}
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        dropped = (self.open and self.open[-1][2]) or tag in NEVER or hidden or (tag not in ("html", "body", *REGION) and bool(named & FURNITURE))
-        self.open.append((tag, self.serial, bool(dropped)))
+        dropped = bool((self.open and self.open[-1][2]) or tag in NEVER or hidden)
+        around = self.open[-1][3] if self.open else ()
         if tag in REGION and not dropped:
             self.regions[self.serial] = tag
+            for e in around:
+                self.named[e].holds.add(tag)
+        elif tag not in ("html", "body") and not dropped and (words := furniture_words(attrs)):
+            within = frozenset(self.regions[x[1]] for x in self.open if x[1] in self.regions)
+            self.named[self.serial] = _Named(bool(words & DISCUSSION), around, within, set())
+            around = (*around, self.serial)
+        self.open.append((tag, self.serial, dropped, around))
 
     def _close_through(self, tag: str, stop: tuple[str, ...] = ()) -> None:
         """Close the innermost open ``tag`` and what is open inside, if only inline elements lie between."""
@@ -83,7 +115,7 @@ class _Blocks(HTMLParser):
         if tag not in INLINE:
             self.flush()
         self.tags += 1
-        names = [name for name, _, _ in self.open]
+        names = [x[0] for x in self.open]
         if tag not in names:
             return
         k = len(names) - 1 - names[::-1].index(tag)
@@ -93,7 +125,7 @@ class _Blocks(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][2]):
-            self.text.append(data)
+            self.text.append((data, self.open[-1][3] if self.open else ()))
 
     def finish(self) -> None:
         self.close()
@@ -110,19 +142,73 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
+Line = tuple[str, int, tuple[int, ...]]
+
+
+def without(parser: _Blocks, left_out: set[int]) -> list[Line]:
+    """(text, tags, path) of the lines outside the named elements ``left_out``; tags met there count for the next line."""
+    out: list[Line] = []
+    tags = 0
+    for pieces, n, path in parser.lines:
+        tags += n
+        if words := "".join(text for text, around in pieces if left_out.isdisjoint(around)).split():
+            out.append((" ".join(words), tags, path))
+            tags = 0
+    return out
+
+
+def clusters(lines: list[Line]) -> tuple[list[float], float, list[int]]:
+    """(text-to-tag ratio of each line, threshold, lines whose smoothed ratio reaches it)."""
+    own = [len(text) / max(1, tags) for text, tags, _ in lines]
+    ratio = smoothed(own)
+    mean = sum(ratio) / len(ratio)
+    threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)), max(ratio))
+    return own, threshold, [k for k, r in enumerate(ratio) if r >= threshold]
+
+
+def furniture(parser: _Blocks) -> set[int]:
+    """The named elements to leave out: all but those that the article is in.
+
+    One stays that holds most of the clustered text (a discussion only if none of the text outside it lies in an article or
+    main), or that holds a main, or an article, unless that is a related one: inside another article, or in a main with an
+    article of clustered text beside it.
+    """
+    if not parser.named:
+        return set()
+    lines = without(parser, set())
+    if not lines:
+        return set()
+    total = 0
+    weight: Counter[int] = Counter()  # clustered characters by named element
+    beside: list[tuple[frozenset[int], set[str]]] = []  # of each clustered line the named elements and regions around it
+    for k in clusters(lines)[2]:
+        pieces, _, path = parser.lines[k]
+        for text, around in pieces:
+            total += len(text)
+            for e in around:
+                weight[e] += len(text)
+        least = frozenset.intersection(*[frozenset(around) for text, around in pieces if not text.isspace()])
+        beside.append((least, {parser.regions[e] for e in path if e in parser.regions}))
+    seen = Counter((around, name) for around, names in beside for name in names)
+    gone = set()
+    for e, x in parser.named.items():
+        outside = {name for around, name in seen if around <= set(x.around)}
+        related = "article" in x.within or ("main" in x.within and "article" in outside)
+        wins = 2 * weight[e] > total and not (x.discussion and outside)
+        if not (wins or "main" in x.holds or ("article" in x.holds and not related)):
+            gone.add(e)
+    return gone
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: blocks in page order joined by two newlines, white space inside a block made one space."""
     parser = _Blocks()
     parser.feed(html or "")
     parser.finish()
-    lines = parser.lines
+    lines = without(parser, furniture(parser))
     if not lines:
         return ""
-    own = [len(text) / max(1, tags) for text, tags, _ in lines]
-    ratio = smoothed(own)
-    mean = sum(ratio) / len(ratio)
-    threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)), max(ratio))
-    content = [k for k, r in enumerate(ratio) if r >= threshold]
+    own, threshold, content = clusters(lines)
     # every cluster votes for its region with the characters it holds
     votes: Counter[int] = Counter()
     for k in content:
