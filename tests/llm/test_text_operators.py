@@ -217,6 +217,15 @@ def test_encoder_matches_tokenizer():
     assert other.ranked is None and len(other.encode("hello world")) > 0
 
 
+def test_encoder_other_white_space():
+    """White space other than space and newline, at either end and inside, alone and in runs."""
+    encoder = pk._Encoder(tokenizer_path())
+    runs = [c * n for c in ("\u00a0", "\u2003", "\u3000", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\u2028") for n in (1, 2, 4)] + ["\u00a0\t", "\t\u00a0"]
+    for w in runs:
+        for t in (f"{w}The first line of an article\nand the second.", f"Bonjour le monde{w}", f"{w}Bonjour le monde{w}", f"Bonjour{w}le monde", f"Bonjour {w}le monde", f"Bonjour{w}\nle monde", w):
+            assert np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_packing_frame(spark):
     random.seed(11)
     rows = [(d, " ".join(random.choices(["alpha", "be", "gamma,"], k=random.randint(0, 30))), "en") for d in range(300)]

@@ -66,8 +66,8 @@ class _Encoder:
     def encode(self, text: str) -> bytes:
         if self.ranked is None or any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # as many words as spaces and newlines part, and no other white space between words
-        single = len(text.split()) == text.count(" ") + text.count("\n") + 1 and len(text.replace(" ", "").replace("\n", "").split()) < 2
+        # as many words as spaces and newlines part, and no other white space anywhere, at either end neither
+        single = len(text.split()) == text.count(" ") + text.count("\n") + 1 and (rest := text.replace(" ", "").replace("\n", "")).split() == [rest]
         return (self.single_spaced if single else self.ranked).encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
