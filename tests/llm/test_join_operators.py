@@ -70,6 +70,17 @@ def test_jaccard(spark, corpus, monkeypatch):
     assert jaccard_join.near_duplicate_components(frame(spark, [])).count() == 0
 
 
+def test_one_of_each_group_by_row(spark):
+    """Exactly one row of each component stays, with null ids, repeated rows and ids shared by different texts too."""
+    random.seed(16)
+    a, b, c, d, e = (passage(40) for _ in range(5))
+    rows = [(None, a)] * 3 + [(4, a), (None, b), (None, b), (1, c), (1, c), (1, d), (0, d), (7, e), (7, e + " " + e[:5]), (9, ""), (9, ""), (None, None)]
+    got = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each_group(frame(spark, rows)).collect()]
+    assert len(got) == 8 and sorted((x, y) for x, y in got if x is not None and x not in (7, 9)) == sorted([(4, a), (1, c), (0, d)])
+    assert [x for x in got if x[0] is None and x[1]] == [(None, b)] and sum(x[0] == 7 for x in got) == 1 and got.count((9, "")) == 2 and (None, None) in got
+    assert jaccard_join.one_of_each_group(frame(spark, [])).count() == 0
+
+
 def test_substrings(spark, corpus):
     first = {}
     docs = [(float("inf") if d is None else d, (t or "").encode().split()) for d, t in corpus]

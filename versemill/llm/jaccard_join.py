@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versemill.llm._common import Words, deflate, inflate, keyed_text, materialize, mix64, text_slices
@@ -32,7 +32,7 @@ HEADS = (8, 16, 48)  # partners for each shared shingle in the rounds that prece
 LONG = 16  # a shared shingle with more classes than this is paired through heads first
 BROADCAST_ROWS = 1_000_000
 NO_ID = 2**63 - 1  # stands for a null doc_id, after all others
-CLASS = "doc_id long, n int, digest long, pivots binary"
+CLASS = "doc_id long, n int, digest long, pivots binary, tkey long"
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -69,21 +69,24 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
 
     def rows(kind: int, found: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*found, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["kind", "doc_id", "n", "digest", "pivots"])
+        cols = list(zip(*found, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64())], ["kind", "doc_id", "n", "digest", "pivots", "tkey"])
 
     for batch in batches:
+        keys, done = batch.column(2).to_pylist(), 0
         for ids, texts in text_slices(batch.column(0), batch.column(1)):
             found = []
             sets = shingle_sets(texts)
-            for d, s in zip(ids, sets, strict=True):
+            part = keys[done : done + len(sets)]
+            done += len(sets)
+            for d, s, key in zip(ids, sets, part, strict=True):
                 pivots = np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PIVOTS), 255).astype(np.uint8)
-                found.append((d, len(s), digest_of(s), pivots.tobytes() if len(s) else b""))
+                found.append((d, len(s), digest_of(s), pivots.tobytes() if len(s) else b"", key))
             every = np.concatenate(sets)
             sketch += np.bincount((every & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
             yield rows(1, found)
     if sketch.any():
-        yield rows(0, [(None, k, None, deflate(part)) for k, part in enumerate(np.split(sketch, SKETCH_PARTS))])
+        yield rows(0, [(None, k, None, deflate(part), None) for k, part in enumerate(np.split(sketch, SKETCH_PARTS))])
 
 
 def _add_up(f: pd.DataFrame) -> pd.DataFrame:
@@ -292,6 +295,10 @@ def _across(x: DataFrame, y: DataFrame, apart: str = "<>") -> DataFrame:
     return x.join(y, "token").where(near).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document at a Jaccard similarity of 0.8 of five-word shingle sets.
 
@@ -299,10 +306,18 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     doc_id stays null, comes after all others and is a component's id only where there is no other; repeated rows give repeated results; an empty table gives
     no rows; other columns are ignored.
     """
+    known = _components_of_rows(docs)
+    smallest = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = known.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+
+
+def _components_of_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, tkey, n_shingles, component) of every row: NO_ID for a null doc_id, no component for a wordless text."""
     spark = docs.sparkSession
     rows = keyed_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = materialize(rows.mapInArrow(_classes, f"kind int, {CLASS}"))
+    first = materialize(rows.withColumn("tkey", _text_key()).mapInArrow(_classes, f"kind int, {CLASS}"))
     ranks = first.where("kind = 0").groupBy("n").applyInPandas(_add_up, "n int, rank binary").collect()  # of fixed size
     rarity = b"".join(bytes(r["rank"]) for r in sorted(ranks, key=lambda r: r["n"])) or bytes(1 << SKETCH_BITS)
     members = first.where("kind = 1").drop("kind")
@@ -329,13 +344,24 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 
     known = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     # every empty set is a component of its own, told apart by the document's id
-    known = known.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "digest")).alias("component"))
-    smallest = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    return known.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "digest")).alias("component"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose document is the first of its component."""
-    keep = near_duplicate_components(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of ``docs``, with all columns, of each component: the first by (doc_id, text), null ids last, one of those that
+    repeat both. A wordless text is a component of its own."""
+    known = _components_of_rows(docs)
+    same = known.where("component is not null").groupBy("component", "doc_id", "tkey").agg(F.count("*").alias("rows"))
+    least = same.groupBy("component").agg(F.min(F.struct("doc_id", "tkey", "rows")).alias("first")).select("first.doc_id", "first.tkey", (F.col("first.rows") > 1).alias("many"))
+    alone = known.where("component is null").select("doc_id", "tkey", F.lit(False).alias("many")).distinct()
+    keep = materialize(least.unionByName(alone).select(F.col("doc_id").alias("_kept"), F.col("tkey").alias("_tkey"), F.col("many").alias("_many")))
+
+    def rows(keys: DataFrame, how: str) -> DataFrame:
+        return docs.join(keys, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_kept")) & (_text_key() == F.col("_tkey")), how)
+
+    kept = rows(keep.where("not _many"), "left_semi")
+    if keep.where("_many").isEmpty():
+        return kept
+    # partial aggregation: a row repeated very often does not meet in one task
+    one = rows(keep.where("_many"), "inner").groupBy("_kept", "_tkey").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.unionByName(one)
