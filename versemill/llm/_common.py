@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-import shutil
+import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PACK_BYTES = 8 << 20  # text in one pack
+BUCKET_PACKS = 8  # packs whose values one hash bucket takes, on average, at most
+NO_ID = 2**63 - 1  # stands for a null id, after all others
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where it is unset a local master, whose executors
+    share the driver's disk, gets a folder of its own; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="versemill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,8 +40,17 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Remove every scratch table of this folder (tests call it; a cluster expires the folder)."""
-    shutil.rmtree(f"{scratch_root(spark).removeprefix('file://')}/versemill", ignore_errors=True)
+    """Remove the scratch tables of this folder, on whatever file system it is. Results that were not written yet read
+    them, so this is for the end of a job."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/versemill")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(taken: list[str], name: str) -> str:
+    """``name``, or the first of name_, name__ ... that is not among the column names ``taken``."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,6 +58,11 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def text_key(text: str = "text") -> Column:
+    """Tells the texts of one id apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def crc32_of_id(doc_id: str = "doc_id"):
     """crc32 of the id written as text; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
@@ -145,3 +168,42 @@ def text_slices(ids, texts, limit: int = 1 << 20):
             some_ids, some, size = [], [], 0
     if some:
         yield some_ids, some
+
+
+def packs_of(rows: DataFrame) -> DataFrame:
+    """(pack, blob): the rows, whose last column is text, in compressed packs, written to the scratch folder."""
+    limit = PACK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def pack() -> pa.RecordBatch:
+            blob = zstandard.ZstdCompressor(level=3).compress(pickle.dumps(held))
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([blob], pa.binary())], ["pack", "blob"])
+
+        for batch in batches:
+            *keys, texts = batch.columns
+            for k, t in zip(zip(*[c.to_pylist() for c in keys], strict=True), texts, strict=True):
+                held.append((*k, (t.as_py() or "").encode("utf-8", "surrogatepass")))
+                size += len(held[-1][-1])
+                if size >= limit:
+                    yield pack()
+                    held, size = [], 0
+        if held:
+            yield pack()
+
+    return materialize(rows.mapInArrow(run, "pack long, blob binary"))
+
+
+def unpack(blob: bytes) -> list[tuple]:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(blob)))
+
+
+def buckets_for(packs: DataFrame) -> int:
+    """How many hash buckets the values of all packs are dealt to: it grows with the input, so that a bucket does not."""
+    return max(2 * int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-packs.count() // BUCKET_PACKS))
+
+
+def bucket_of(value: np.ndarray, buckets: int) -> np.ndarray:
+    return (value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)

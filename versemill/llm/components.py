@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from versemill.llm._common import materialize
 
 
+SMALL_EDGES, EDGES_PER_TASK = 1_000_000, 50_000
+
+
+def _dealt(pairs: DataFrame, edges: int) -> DataFrame:
+    """Few edges are dealt by u to few tasks, so that what groups and joins them shuffles once. Many are left as they are:
+    a hub would put all its edges into one task."""
+    return pairs if edges > SMALL_EDGES else pairs.repartition(4 + edges // EDGES_PER_TASK, "u")
+
+
 def _toward_minimum(pairs: DataFrame) -> DataFrame:
     """(u, v) -> (u, v, m) where m is the least of u and all its v."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -30,12 +39,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if state == before or not state[0]:
             break
-        before = state
+        before, n = state, state[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _toward_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _toward_minimum(large)
-        now = materialize(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
+        large = _toward_minimum(_dealt(both, 2 * n)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _toward_minimum(_dealt(large, 2 * n).distinct())
+        now = materialize(_dealt(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v"), 2 * n).distinct())
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())

@@ -1,16 +1,17 @@
 """Jaccard self-join of shingle sets: rare-first prefix filtering with length, positional and suffix filters.
 
-1. One pass over the texts counts all shingles in a sketch of fixed size and gives each text's class: texts of one shingle
-   set are one class, so copies are never joined with each other.
-2. Shingles are ordered rarest first (by the sketch, then by hash). A second pass sends the prefix of each class to hash
-   buckets, as compact arrays.
-3. A bucket pairs the classes that share a prefix shingle, under the length and positional filters. A shingle shared by
-   many classes first pairs them with one head for each size range only; what that leaves apart is paired later.
-4. Distinct pairs pass the suffix filter (counts of shingles between fixed pivots bound the symmetric difference), and
-   each is verified once on whole sets.
-5. Links make components. At first each class is verified against its least partner only, then members of the long shared
-   shingles of step 3 against a few heads, where their classes are still in different components; at last all pairs that
-   are still apart. So a group of near copies does not emit all its pairs, and no component is missed.
+1. Texts are written as compressed packs. Each pack sends its distinct shingles to hash buckets, as sorted, delta-coded
+   arrays, and each bucket answers with the rank of each shingle: the logarithm of the number of texts that have it.
+2. Shingles are ordered rarest first (by rank, then by hash). A text needs partners only for the shingles of its prefix that
+   occur elsewhere, so most texts need none at all. What is left are postings (shingle, class, size, place); texts of one
+   shingle set are one class, so copies are never joined with each other.
+3. A shingle's postings are first paired with one head for each size range, the class whose shingles are most frequent: the
+   text that a group of near copies comes from. So a group gives as many pairs as it has members.
+4. Distinct pairs pass the length, positional and suffix filters (counts of shingles between fixed pivots bound the symmetric
+   difference), and each is verified once on whole sets.
+5. Links make components. Shingles whose classes are still in several components are paired again: with a few heads, one of
+   a component, and at last all classes of different components. So no component is missed, and no group emits all its
+   pairs.
 """
 
 from __future__ import annotations
@@ -20,19 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from versemill.llm._common import Words, deflate, inflate, keyed_text, materialize, mix64, text_slices
+from versemill.llm._common import NO_ID, Words, bucket_of, buckets_for, deflate, inflate, keyed_text, materialize, mix64, packs_of, text_key, text_slices, unpack, unused
 from versemill.llm.components import connected_components
 
-SHINGLE = 5
-SKETCH_BITS, SKETCH_PARTS, PIVOTS = 20, 16, 64
-HEADS = (8, 16, 48)  # partners for each shared shingle in the rounds that precede the last
-LONG = 16  # a shared shingle with more classes than this is paired through heads first
+SHINGLE, PIVOTS = 5, 64
+HEADS = (4, 16)  # heads of different components for each shared shingle, in the rounds between the first and the last
+TOP_RANK = 40
 BROADCAST_ROWS = 1_000_000
-NO_ID = 2**63 - 1  # stands for a null doc_id, after all others
 CLASS = "doc_id long, n int, digest long, pivots binary, tkey long"
+POSTING = "token long, node long, n int, place int, weight int, band int"
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -64,149 +64,97 @@ def required(n: int) -> int:
     return (4 * n + 4) // 5
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text (kind 1), and at the end of the task its share of the sketch (kind 0)."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-
-    def rows(kind: int, found: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*found, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64())], ["kind", "doc_id", "n", "digest", "pivots", "tkey"])
-
-    for batch in batches:
-        keys, done = batch.column(2).to_pylist(), 0
-        for ids, texts in text_slices(batch.column(0), batch.column(1)):
-            found = []
-            sets = shingle_sets(texts)
-            part = keys[done : done + len(sets)]
-            done += len(sets)
-            for d, s, key in zip(ids, sets, part, strict=True):
-                pivots = np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PIVOTS), 255).astype(np.uint8)
-                found.append((d, len(s), digest_of(s), pivots.tobytes() if len(s) else b"", key))
-            every = np.concatenate(sets)
-            sketch += np.bincount((every & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-            yield rows(1, found)
-    if sketch.any():
-        yield rows(0, [(None, k, None, deflate(part), None) for k, part in enumerate(np.split(sketch, SKETCH_PARTS))])
-
-
-def _add_up(f: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64)
-    for blob in f["pivots"]:
-        total += inflate(blob)[0]
-    rank = np.zeros(len(total), np.uint8)
-    rank[total > 0] = np.floor(np.log2(total[total > 0])).astype(np.uint8) + 1
-    return pd.DataFrame({"n": [int(f["n"].iloc[0])], "rank": [rank.tobytes()]})
-
-
-def _prefixes(rarity: bytes, buckets: int):
-    """Sends (shingle, class, size, position) of each class's prefix to the shingle's bucket."""
+class _Pack:
+    """The shingle sets of the texts of one pack: a digest for each row, and the distinct sets that are not empty."""
+
+    def __init__(self, blob: bytes, buckets: int):
+        self.rows = unpack(blob)
+        self.digests: list[int] = []
+        self.sizes: list[int] = []
+        self.sets: dict[int, np.ndarray] = {}
+        at = 0
+        while at < len(self.rows):
+            end, size = at, 0
+            while end < len(self.rows) and (end == at or size < 1 << 20):
+                size += len(self.rows[end][-1])
+                end += 1
+            for s in shingle_sets([r[-1] for r in self.rows[at:end]]):
+                self.digests.append(digest_of(s))
+                self.sizes.append(len(s))
+                if len(s):
+                    self.sets.setdefault(self.digests[-1], s)
+            at = end
+        every = np.concatenate([np.zeros(0, np.uint64), *self.sets.values()])
+        # what a bucket sees of a shingle: 32 bits beside the bucket. A rare clash makes both seem more frequent, for all texts alike
+        key = bucket_of(every, buckets) << np.uint64(32) | every & np.uint64(0xFFFFFFFF)
+        self.each = key
+        self.key, self.times = np.unique(key, return_counts=True)
+        cuts = np.searchsorted(self.key >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        self.parts = [(int(b), slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts))]
+
+    def classes(self) -> list[tuple]:
+        """(doc_id, n, digest, pivots, tkey) of each row."""
+        pivots = {d: np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PIVOTS), 255).astype(np.uint8).tobytes() for d, s in self.sets.items()}
+        return [(r[0], n, d, pivots.get(d, b""), r[1]) for r, n, d in zip(self.rows, self.sizes, self.digests, strict=True)]
+
+    def values(self) -> list[tuple[int, bytes]]:
+        """(bucket, its shingles in this pack with the number of sets that have them)."""
+        low, times = self.key.astype(np.uint32), np.minimum(self.times, 65535).astype(np.uint16)
+        return [(b, deflate(np.diff(low[p], prepend=np.uint32(0)), times[p])) for b, p in self.parts]
+
+    def postings(self, ranks: dict[int, bytes]) -> pd.DataFrame:
+        """The shingles of each set's prefix that occur in other sets."""
+        rank = np.zeros(len(self.key), np.uint8)
+        for b, p in self.parts:
+            rank[p] = inflate(ranks[b])[0]
+        rank, at, found = rank[np.searchsorted(self.key, self.each)], 0, []
+        for digest, s in self.sets.items():
+            r = rank[at : at + len(s)]
+            at += len(s)
+            prefix = len(s) - required(len(s)) + 1
+            if np.count_nonzero(r == 0) >= prefix:
+                continue
+            order = np.lexsort((s, r))[:prefix]
+            place = np.flatnonzero(r[order])
+            size = np.full(len(place), len(s), np.int32)
+            found.append((s[order[place]].view(np.int64), np.full(len(place), digest, np.int64), size, place.astype(np.int32), np.full(len(place), 1000 * int(r.sum()) // len(s), np.int32)))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32)]
+        out = pd.DataFrame(dict(zip(("token", "node", "n", "place", "weight"), columns, strict=True)))
+        # sizes within 4 : 5 are in one band or in neighbours
+        return out.assign(band=np.floor(np.log(np.maximum(out["n"], 1)) / np.log(1.25)).astype(np.int32))
+
+
+def _read(buckets: int):
+    """A row for each text (kind 1), and for each bucket the shingles of the pack (kind 0)."""
+    names = ["kind", "pack", "bucket", "blob", "doc_id", "n", "digest", "pivots", "tkey"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(rarity, np.uint8)
-        held: list[tuple] = []
-        seen: set[int] = set()
-        size = 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            token, owner, place = (np.concatenate([h[k] for h in held]) for k in range(3))
-            digest, n = np.asarray([h[3] for h in held], np.int64), np.asarray([h[4] for h in held], np.uint32)
-            bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(token, kind="stable")
-            token, owner, place, bucket = token[order], owner[order], place[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in np.flatnonzero(np.diff(cuts)):
-                part = slice(cuts[b], cuts[b + 1])
-                who, index = np.unique(owner[part], return_inverse=True)
-                out.append((int(b), deflate(np.diff(token[part], prepend=np.uint64(0)), index.astype(np.uint16), place[part], digest[who], n[who])))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "blob"])
-
         for batch in batches:
-            for _, texts in text_slices(batch.column(0), batch.column(1)):
-                for s in shingle_sets(texts):
-                    if not len(s) or (digest := digest_of(s)) in seen:
-                        continue
-                    seen.add(digest)
-                    p = len(s) - required(len(s)) + 1
-                    order = np.lexsort((s, rank[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]))[:p]
-                    held.append((s[order], np.full(p, len(held), np.uint32), np.arange(p, dtype=np.uint32), digest, len(s)))
-                    size += p
-                    if size > 1_000_000 or len(held) >= 60_000:
-                        yield from send()
-                        held, size = [], 0
-                        seen.clear()
-        if held:
-            yield from send()
+            for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                read = _Pack(blob.as_py(), buckets)
+                yield table([(1, None, None, None, *c) for c in read.classes()])
+                yield table([(0, pack, *v, None, None, None, None, None) for v in read.values()])
 
     return run
 
 
-def _may_link(n1, p1, n2, p2) -> np.ndarray:
-    """Length and positional filters: sizes within 4 : 5, and enough shingles left from the shared one on."""
-    n1, n2 = n1.astype(np.int64), n2.astype(np.int64)
-    near = 5 * np.minimum(n1, n2) >= 4 * np.maximum(n1, n2)
-    left = np.minimum(n1 - p1, n2 - p2)
-    return near & (9 * left >= 4 * (n1 + n2))
-
-
-FOUND = "kind int, token long, a long, b long, n int, place int"
-
-
-def _pair_up(f: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of classes in one bucket (kind 0), and the members of long shared shingles (kind 1)."""
-    parts = []
-    for blob in f["blob"]:
-        step, index, place, digest, n = inflate(blob)
-        parts.append((np.cumsum(step, dtype=np.uint64), digest[index], n[index], place))
-    token, digest, n, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((digest, n, token))
-    token, digest, n, place = token[order], digest[order], n[order], place[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])
-    token, digest, n, place = token[new], digest[new], n[new], place[new]
-    start = np.ones(len(token), bool)
-    start[1:] = token[1:] != token[:-1]
-    first = np.flatnonzero(start)
-    length = np.diff(np.append(first, len(token)))
-    of = np.repeat(np.arange(len(first)), length)
-    a, b = [], []
-
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        ok = _may_link(n[i], place[i], n[j], place[j])
-        a.append(np.minimum(digest[i[ok]], digest[j[ok]]))
-        b.append(np.maximum(digest[i[ok]], digest[j[ok]]))
-
-    short = np.flatnonzero((length[of] <= LONG) & (length[of] > 1))
-    for step in range(1, LONG):
-        i = short[short + step < len(token)]
-        i = i[of[i] == of[i + step]]
-        if not len(i):
-            break
-        add(i, i + step)
-    members = []
-    for r in np.flatnonzero(length > LONG):
-        at = np.arange(first[r], first[r] + length[r])
-        members.append(at)
-        k = 0
-        while k < len(at):  # sizes ascend in a run: one head for each range of sizes within 4 : 5
-            end = k + np.searchsorted(n[at[k:]], n[at[k]] * 5 // 4, "right")
-            if end > k + 1:
-                near = at[k:end]
-                head = near[np.argmin(digest[near])]
-                rest = near[near != head]
-                add(np.full(len(rest), head), rest)
-            k = end
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-    m = np.concatenate(members) if members else np.zeros(0, np.int64)
-    blank = np.zeros(len(pairs), np.int64)
-    return pd.DataFrame({
-        "kind": np.concatenate([blank, np.ones(len(m), np.int64)]).astype(np.int32),
-        "token": np.concatenate([blank, token[m].view(np.int64)]),
-        "a": np.concatenate([pairs[:, 0], digest[m]]),
-        "b": np.concatenate([pairs[:, 1], np.zeros(len(m), np.int64)]),
-        "n": np.concatenate([blank, n[m]]).astype(np.int32),
-        "place": np.concatenate([blank, place[m]]).astype(np.int32),
-    })
+def _rank(f: pd.DataFrame) -> pd.DataFrame:
+    """Answers each pack of a bucket with the ranks of its shingles: 0 for what one set alone has."""
+    parts = [inflate(blob) for blob in f["blob"]]
+    value = np.concatenate([np.cumsum(step, dtype=np.uint32) for step, _ in parts])
+    times = np.concatenate([t for _, t in parts])
+    order = np.argsort(value, kind="stable")
+    start = np.flatnonzero(np.diff(value[order].astype(np.int64), prepend=-1))
+    total = np.add.reduceat(times[order].astype(np.int64), start)
+    rank = np.zeros(len(value), np.uint8)
+    rank[order] = np.repeat(np.minimum(np.floor(np.log2(total)), TOP_RANK).astype(np.uint8), np.diff(np.append(start, len(value))))
+    cuts = np.cumsum([len(step) for step, _ in parts])[:-1]
+    return pd.DataFrame({"pack": f["pack"], "bucket": f["bucket"], "ranks": [deflate(r) for r in np.split(rank, cuts)]})
 
 
 def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,19 +169,12 @@ def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, set) of each text, with the sides of pairs it stands on; 48 bits of a hash are kept, sorted and as steps."""
+    """(digest, set) of each text; 48 bits of a hash are kept, sorted and as steps."""
     for batch in batches:
-        sides = list(zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True))
-        done = 0
         for _, texts in text_slices(batch.column(0), batch.column(1)):
             sets = shingle_sets(texts)
-            part = sides[done : done + len(sets)]
-            done += len(sets)
             blobs = [deflate(np.diff(s >> np.uint64(16), prepend=np.uint64(0))) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([digest_of(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary()), pa.array([x for x, _ in part], pa.bool_()), pa.array([y for _, y in part], pa.bool_())],
-                ["digest", "shingles", "is_a", "is_b"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,56 +188,73 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, each verified once on whole sets."""
     side = lambda x: classes.select(F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("pivots").alias(f"p{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_suffix_filter, "a long, b long")
-    near = materialize(near)
-    on = lambda x: near.select(F.col(x).alias("digest"), F.lit(x == "a").alias("is_a"), F.lit(x == "b").alias("is_b"))
-    sides = on("a").union(on("b")).groupBy("digest").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
-    needed = materialize(sides.join(classes, "digest").select("doc_id", "is_a", "is_b"))
-    n = needed.count()
-    if not n:
-        return near
-    texts = docs.join(F.broadcast(needed) if n <= BROADCAST_ROWS else needed, "doc_id").select("doc_id", "text", "is_a", "is_b")
-    sets = materialize(texts.mapInArrow(_sets, "digest long, shingles binary, is_a boolean, is_b boolean"))
-    set_of = lambda x: sets.where(f"is_{x}").select(F.col("digest").alias(x), F.col("shingles").alias(f"s{x}"))
-    return materialize(near.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long").distinct())
+    set_of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    return materialize(near.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"))
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(node, component) after more links: they are drawn between the components so far, so what is joined costs nothing."""
+    """(node, component) of the linked nodes after more links: they are drawn between the components so far, so what is
+    joined costs nothing."""
     if labels is None:
         return materialize(connected_components(links))
     of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     named = materialize(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
-    joined = connected_components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("now"))
-    ends = named.select(F.col("a").alias("node"), F.col("ca").alias("component")).union(named.select("b", "cb"))
-    every = labels.union(ends).distinct()
+    joined = connected_components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    every = labels.union(named.select("a", "ca")).union(named.select("b", "cb")).distinct()
     return materialize(every.join(joined, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
 
 
-def _with_components(rows: DataFrame, labels: DataFrame, node: str) -> DataFrame:
-    named = labels.select(F.col("node").alias(node), F.col("component").alias(f"{node}_component"))
-    return rows.join(named, node, "left").withColumn(f"{node}_component", F.coalesce(f"{node}_component", node))
+SHARED = ("node", "n", "place")
+#: Length and positional filters for (n1, place1) and (n2, place2): sizes within 4 : 5, and enough shingles left from the
+#: shared one on.
+MAY_LINK = "5 * least(n1, n2) >= 4 * greatest(n1, n2) and 9 * least(n1 - place1, n2 - place2) >= 4 * (n1 + n2)"
+
+
+def _pairs(x: DataFrame, y: DataFrame, on: list[str], apart: str) -> DataFrame:
+    """Distinct pairs (a, b) of the classes that x and y bring together and that pass the filters."""
+    met = x.join(y, on).where(f"{apart} and {MAY_LINK}")
+    return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
-def _mixed(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the long shared shingles whose classes are in more than one component."""
-    named = _with_components(long, labels, "node").withColumnRenamed("node_component", "component")
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return materialize(named.join(mixed, "token", "left_semi"))
+def _side(postings: DataFrame, k: int, *more: str) -> DataFrame:
+    return postings.select("token", *more, *[F.col(c).alias(f"{c}{k}") for c in SHARED])
 
 
-def _across(x: DataFrame, y: DataFrame, apart: str = "<>") -> DataFrame:
-    """Pairs of members of one shared shingle, in different components, that pass the length and positional filters."""
-    x, y = (side.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "place", "component")]) for side, k in ((x, 1), (y, 2)))
-    near = f"component1 {apart} component2 and 5 * least(n1, n2) >= 4 * greatest(n1, n2) and 9 * least(n1 - place1, n2 - place2) >= 4 * (n1 + n2)"
-    return x.join(y, "token").where(near).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+def _with_first_heads(postings: DataFrame) -> DataFrame:
+    """Pairs of each posting with the head of its shingle in its own band of sizes and in the bands beside it."""
+    best = postings.groupBy("token", "band").agg(F.max(F.struct("weight", "node", "n", "place")).alias("head"))
+    heads = best.select("token", "band", *[F.col(f"head.{c}").alias(f"{c}2") for c in SHARED])
+    near = postings.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}1") for c in SHARED])
+    return _pairs(near, heads, ["token", "band"], "node1 <> node2")
 
 
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _mixed(postings: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
+    """Postings, with their component, of the shingles whose classes are in more than one component; how many these are,
+    and how many pairs of postings lie across components."""
+    named = postings.withColumn("component", F.col("node")) if labels is None else postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = named.groupBy("token", "component").agg(F.count("*").alias("k"))
+    tokens = each.groupBy("token").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k").cast("double") ** 2).alias("same")).where("parts > 1")
+    tokens = materialize(tokens)
+    mixed = materialize(named.join(tokens, "token", "left_semi"))
+    pairs = tokens.agg(F.sum("k"), F.sum((F.col("k").cast("double") ** 2 - F.col("same")) / 2)).first()
+    return mixed, int(pairs[0] or 0), int(pairs[1] or 0)
+
+
+def _across(mixed: DataFrame, heads: int | None) -> DataFrame:
+    """Pairs of classes of different components that share a shingle: with ``heads`` heads of each shingle, one of a
+    component, or all."""
+    every = _side(mixed, 1, F.col("component").alias("component1"))
+    if heads is None:
+        return _pairs(every, _side(mixed, 2, F.col("component").alias("component2")), ["token"], "component1 < component2")
+    best = mixed.groupBy("token", "component").agg(F.max(F.struct("weight", "node", "n", "place")).alias("head"))
+    order = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("head")))
+    few = best.withColumn("order", order).where(F.col("order") <= heads)
+    few = few.select("token", F.col("component").alias("component2"), *[F.col(f"head.{c}").alias(f"{c}2") for c in SHARED])
+    return _pairs(every, few, ["token"], "component1 <> component2")
 
 
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
@@ -312,35 +270,55 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
+def _postings(packs: DataFrame, read: DataFrame, buckets: int) -> DataFrame:
+    """Distinct postings of the prefix shingles that more than one class has in its prefix."""
+    ranks = materialize(read.where("kind = 0").select("pack", "bucket", "blob").groupBy("bucket").applyInPandas(_rank, "pack long, bucket int, ranks binary"))
+
+    def prefixes(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        told = dict(zip(answers["bucket"].tolist(), answers["ranks"], strict=True))
+        return pd.concat([_Pack(blob, buckets).postings(told) for blob in own["blob"]])
+
+    every = materialize(packs.groupBy("pack").cogroup(ranks.groupBy("pack")).applyInPandas(prefixes, POSTING))
+    # minima are aggregated before the shuffle, so a frequent shingle costs a row of each task
+    shared = every.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
+    return materialize(every.join(shared, "token", "left_semi").distinct())
+
+
 def _components_of_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, n_shingles, component) of every row: NO_ID for a null doc_id, no component for a wordless text."""
-    spark = docs.sparkSession
     rows = keyed_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = materialize(rows.withColumn("tkey", _text_key()).mapInArrow(_classes, f"kind int, {CLASS}"))
-    ranks = first.where("kind = 0").groupBy("n").applyInPandas(_add_up, "n int, rank binary").collect()  # of fixed size
-    rarity = b"".join(bytes(r["rank"]) for r in sorted(ranks, key=lambda r: r["n"])) or bytes(1 << SKETCH_BITS)
-    members = first.where("kind = 1").drop("kind")
-    classes = materialize(members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("pivots").alias("pivots")))
-    found = materialize(rows.mapInArrow(_prefixes(rarity, buckets), "bucket int, blob binary").groupBy("bucket").applyInPandas(_pair_up, FOUND))
-    pairs = materialize(found.where("kind = 0").select("a", "b").distinct())
-    # each class is first compared with its least partner only: that joins most of a group, and what is joined needs no
-    # further comparison
-    tested = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    labels = _relabel(None, _links(tested, classes, rows))
-    long = found.where("kind = 1").select("token", F.col("a").alias("node"), "n", "place")
-    for heads in (*HEADS, None):
-        mixed = _mixed(long, labels)
-        if heads is None:  # all that is still apart
-            some = _across(mixed, mixed, "<")
-        else:  # a few heads for each shared shingle, others each time, but the same for all shingles that share them
-            rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(heads)), "node"))
-            some = _across(mixed.withColumn("_rank", rank).where(F.col("_rank") <= heads), mixed)
-        rest = _with_components(_with_components(pairs, labels, "a"), labels, "b").where("a_component <> b_component").select("a", "b")
-        now = materialize((some if heads else some.unionByName(rest).distinct()).join(tested, ["a", "b"], "left_anti"))
-        if not now.isEmpty():
-            labels = _relabel(labels, _links(now, classes, rows))
-            tested = tested.unionByName(now)
+    packs = packs_of(rows.select("doc_id", text_key().alias("tkey"), "text"))
+    buckets = buckets_for(packs)
+    read = materialize(packs.mapInArrow(_read(buckets), f"kind int, pack long, bucket int, blob binary, {CLASS}"))
+    members = read.where("kind = 1").select("doc_id", "n", "digest", "pivots", "tkey")
+    postings = _postings(packs, read, buckets)
+
+    # what links are sought for: one text of each class that shares a prefix shingle with another
+    sought = postings.select(F.col("node").alias("digest")).distinct()
+    classes = materialize(members.join(sought, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("pivots").alias("pivots")))
+    wanted = classes.select("doc_id").distinct()
+    texts = rows.join(F.broadcast(wanted) if classes.count() <= BROADCAST_ROWS else wanted, "doc_id", "left_semi")
+    # rows that repeat a doc_id may give a set more than once
+    sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+    labels, stage = None, 0
+    now = tested = materialize(_with_first_heads(postings))
+    while not now.isEmpty():
+        links = _links(now, classes, sets)
+        joined = not links.isEmpty()
+        if joined:
+            labels = _relabel(labels, links)
+        if stage is None:
+            break
+        if joined or not stage:
+            mixed, rows_left, pairs_left = _mixed(postings, labels)
+        # heads are worth a round where all pairs are more than theirs
+        heads = HEADS[stage] if stage < len(HEADS) and pairs_left > HEADS[stage] * rows_left else None
+        stage = None if heads is None else stage + 1
+        now = materialize(_across(mixed, heads).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(now)
+    if labels is None:
+        labels = classes.select(F.col("digest").alias("node"), F.col("digest").alias("component"))
 
     known = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     # every empty set is a component of its own, told apart by the document's id
@@ -349,19 +327,21 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """One row of ``docs``, with all columns, of each component: the first by (doc_id, text), null ids last, one of those that
-    repeat both. A wordless text is a component of its own."""
+    repeat both. A wordless or null text is a component of its own; an empty table gives no rows; other columns, whatever
+    their names, are carried along."""
     known = _components_of_rows(docs)
     same = known.where("component is not null").groupBy("component", "doc_id", "tkey").agg(F.count("*").alias("rows"))
     least = same.groupBy("component").agg(F.min(F.struct("doc_id", "tkey", "rows")).alias("first")).select("first.doc_id", "first.tkey", (F.col("first.rows") > 1).alias("many"))
     alone = known.where("component is null").select("doc_id", "tkey", F.lit(False).alias("many")).distinct()
-    keep = materialize(least.unionByName(alone).select(F.col("doc_id").alias("_kept"), F.col("tkey").alias("_tkey"), F.col("many").alias("_many")))
+    id_, key, many, row = (unused(docs.columns, c) for c in ("kept_id", "kept_key", "kept_many", "kept_row"))
+    keep = materialize(least.unionByName(alone).toDF(id_, key, many))
 
     def rows(keys: DataFrame, how: str) -> DataFrame:
-        return docs.join(keys, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_kept")) & (_text_key() == F.col("_tkey")), how)
+        return docs.join(keys, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == keys[id_]) & (text_key() == keys[key]), how)
 
-    kept = rows(keep.where("not _many"), "left_semi")
-    if keep.where("_many").isEmpty():
+    kept = rows(keep.where(~F.col(many)), "left_semi")
+    if keep.where(F.col(many)).isEmpty():
         return kept
     # partial aggregation: a row repeated very often does not meet in one task
-    one = rows(keep.where("_many"), "inner").groupBy("_kept", "_tkey").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    one = rows(keep.where(F.col(many)), "inner").groupBy(id_, key).agg(F.first(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
     return kept.unionByName(one)

@@ -2,7 +2,7 @@
 
 A repeat of 13 words holds one whole block of 7 words that starts at a multiple of 7 in the text it repeats. Every text's
 non-overlapping blocks are the index, and every rolling 7-word window of every text is a probe. Where index and probe meet
-in more than one place, the 13-word windows around the hit are compared exactly (by 80 bits of their hashes), and runs of
+in more than one place, the 13-word windows around the hit are compared exactly (by 96 bits of their hashes), and runs of
 repeated windows extend a hit to the maximal repeat.
 
 Texts are first written as compressed packs. Hash buckets receive sorted, delta-coded arrays and answer each pack with one
@@ -11,53 +11,25 @@ bit for each value, so what moves is small, no bucket lists the pairs of a frequ
 
 from __future__ import annotations
 
-import pickle
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm._common import Words, deflate, inflate, keyed_text, materialize
+from versemill.llm._common import NO_ID, Words, bucket_of, buckets_for, deflate, inflate, keyed_text, materialize, packs_of, unpack
 
 WINDOW, BLOCK = 13, 7
-PACK_BYTES = 8 << 20
-NO_ID = 2**63 - 1  # a null doc_id: no document is after it
 ANSWERS = "pack long, kind int, bucket int, bits binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, bytes]] = []
-    size = 0
-
-    def row() -> pa.RecordBatch:
-        blob = zstandard.ZstdCompressor(level=3).compress(pickle.dumps(held))
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([blob], pa.binary())], ["pack", "blob"])
-
-    for batch in batches:
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            held.append((NO_ID if d is None else d, (t.as_py() or "").encode("utf-8", "surrogatepass")))
-            size += len(held[-1][1])
-            if size >= PACK_BYTES:
-                yield row()
-                held, size = [], 0
-    if held:
-        yield row()
-
-
-def _bucket(value: np.ndarray, buckets: int) -> np.ndarray:
-    return (value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-
-
 class _Pack:
     """Word positions and window hashes of the texts of one pack, positions counted over all its words."""
 
     def __init__(self, blob: bytes, buckets: int):
-        held = pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(blob)))
+        held = unpack(blob)
         self.ids = np.asarray([d for d, _ in held], np.int64)
         self.texts = [t for _, t in held]
         first, blocks, windows, at, k = [np.zeros(1, np.int64)], [], [], 0, 0
@@ -72,7 +44,7 @@ class _Pack:
             blocks.append((place + at, value))
             place, value = words.windows(WINDOW)
             _, check = words.windows(WINDOW, seed=2)
-            windows.append((place + at, value, (check >> np.uint64(48)).astype(np.uint16)))
+            windows.append((place + at, value, (check >> np.uint64(32)).astype(np.uint32)))
             at += len(words.hash)
             k = end
         self.first = np.concatenate(first)
@@ -80,7 +52,7 @@ class _Pack:
         self.window_at, self.window, self.check = (np.concatenate(c) for c in zip(*windows, strict=True))
         self.buckets = buckets
         # a block value, for its bucket: 32 bits of its hash. Blocks only propose, so a rare clash costs no more than time
-        key = _bucket(self.block, buckets) << np.uint64(32) | self.block & np.uint64(0xFFFFFFFF)
+        key = bucket_of(self.block, buckets) << np.uint64(32) | self.block & np.uint64(0xFFFFFFFF)
         self.key, self.key_of, self.key_count = np.unique(key, return_inverse=True, return_counts=True)
         self.cuts = np.searchsorted(self.key >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
@@ -116,7 +88,7 @@ class _Pack:
         self.entry = np.zeros(len(value), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.value, self.value_check, self.least = value[new], check[new], owner[new]
-        self.value_cuts = np.searchsorted(_bucket(self.value, self.buckets), np.arange(self.buckets + 1, dtype=np.uint64))
+        self.value_cuts = np.searchsorted(bucket_of(self.value, self.buckets), np.arange(self.buckets + 1, dtype=np.uint64))
 
     def window_rows(self) -> list[tuple[int, bytes]]:
         out = []
@@ -199,9 +171,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     rows of one doc_id are one document to each other (none is smaller) and give a row each; an empty table gives no rows;
     other columns are ignored.
     """
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packs = materialize(keyed_text(docs).mapInArrow(_pack, "pack long, blob binary"))
+    packs = packs_of(keyed_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text"))
+    buckets = buckets_for(packs)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
