@@ -2,23 +2,28 @@
 
 Two lines within ``edits`` edits share one of ``edits + 1`` segments of the shorter line, near the same place. Each line is
 indexed by its segments and probes the indexes of its own and the next smaller lengths with the few substrings that can
-match (position- and length-aware). Lines that meet are filtered by counts of a few letters and verified with the banded
-threshold form of ``levenshtein``.
+match (position- and length-aware). Lines that meet are filtered by counts of their characters and verified with a banded
+bit-parallel edit distance.
 
-Frequent lines never meet in one task: exact repeats are counted with partial aggregation, and lines with very many copies
-(a bounded number of them can exist) are indexed once only.
+Frequent lines and segments never meet in one task: exact repeats are counted with partial aggregation, lines with very many
+copies (a bounded number of them can exist) are indexed once only, and frequent segments are salted. Lines that share a
+segment are first compared with the earliest of them, and only those that it does not decide with all earlier ones.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from versemill.llm._common import keyed_text, materialize
+from versemill.llm._common import keyed_text, materialize, text_key, unused
 
 EDITS, MIN_CHARS = 2, 1  # an empty line parts paragraphs and is never a repeat
 SEGMENT_CHARS = 4  # k edits need k + 1 segments of so many characters at least: shorter lines have fewer edits, the shortest none
-HOT_SHARE = 10_000  # a line is hot if it is more than one in so many; no more than so many lines can be
+HOT_SHARE = 10_000  # a line or a key is hot if it is more than one in so many; no more than so many can be
+KEY_SAMPLE = 64  # hot keys are found among those of one line in so many; they are salted, which changes no result
+SALTS = 64
 BROADCAST_ROWS = 1_000_000
 
 
@@ -28,7 +33,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
     The hash and the split stand below the generators that use them, or they would be made again for each line.
     """
     rows = keyed_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("tkey"), F.split("text", "\n").alias("lines"))
+    return rows.select("doc_id", text_key().alias("tkey"), F.split("text", "\n").alias("lines"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -87,45 +92,112 @@ def keys_of(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return rows.select(F.xxhash64(F.substring(F.col("line"), F.col("start") + 1, F.col("width")), "length", "i").alias("key"), F.col("id").bitwiseOR(F.col("probe").cast("long")).alias("id"))
 
 
-# Fixed value: letters that are frequent in many languages.
-LETTERS = "etaoinsrhdlucmwbg"
+CLASSES = 16
+
+
+def character_counts() -> list[Column]:
+    """How often each of some classes of characters is in the line. An edit moves these counts by two in all, at most.
+
+    A character stands for its last UTF-8 byte, which tells apart the letters of any script; its class is that modulo CLASSES.
+    """
+    last_bytes = F.regexp_replace(F.decode(F.encode("line", "UTF-8"), "ISO-8859-1"), "[\\xC0-\\xFF][\\x80-\\xBF]*([\\x80-\\xBF])", "$1")
+    of_class = ["".join(chr(b) for b in range(0x20, 0xC0) if b % CLASSES == k) for k in range(CLASSES)]
+    return [(F.char_length("line") - F.char_length(F.translate(last_bytes, chars, ""))).alias(f"n_{k}") for k, chars in enumerate(of_class)]
 
 
-def letter_counts() -> list[Column]:
-    """How often each of a few letters is in the line. An edit moves these counts by two in all, at most."""
-    return [(F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(c), F.lit("")))).alias(f"n_{c}") for c in LETTERS]
+def _mask(ys: Column, c: Column, i: Column, edits: int, spread: int) -> Column:
+    """The diagonals on which character ``c`` at ``i`` equals a character of ``ys``, in every lane."""
+    bits = [F.when(F.get(ys, i + d) == c, F.lit(spread << d).cast("long")).otherwise(F.lit(0).cast("long")) for d in range(2 * edits + 1)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
-def near_pairs(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDITS) -> DataFrame:
-    """(h1, h2, first) of the distinct lines of both sides of every pair of different lines within the edits allowed, as
-    columns of x and y. ``counts`` has (h1, h2, first, n) of all judged lines."""
+def within(x: Column, y: Column, most: Column, edits: int = EDITS) -> Column:
+    """Whether the edit distance of two lines is ``most`` (0 to ``edits``, which is 4 at most) or less.
+
+    A banded bit-parallel automaton: a lane of bits for each number of edits holds the diagonals, ``edits`` to either side of
+    the main one, that are reached. One step for each character of x moves all lanes at once, by a mask of the diagonals on
+    which that character equals y's.
+    """
+    lane, band = 2 * edits + 2, (1 << (2 * edits + 1)) - 1
+    spread = sum(1 << (lane * e) for e in range(edits + 1))
+    long = lambda v: F.lit(v).cast("long")
+    chars = lambda s: F.split(s, "")
+    edge = F.array(*[F.lit("")] * edits)  # equals no character
+    padded = F.concat(edge, chars(y), edge)
+
+    def inserted(s: Column) -> Column:
+        """One more character of y skipped, for an edit."""
+        return s.bitwiseOR(F.shiftleft(s, lane + 1).bitwiseAND(long(band * spread)))
+
+    def step(s: Column, mask: Column) -> Column:
+        replaced_or_deleted = F.shiftleft(s.bitwiseOR(F.shiftright(s, 1)), lane)
+        out = s.bitwiseAND(mask).bitwiseOR(replaced_or_deleted).bitwiseAND(long(band * spread))
+        for _ in range(edits):
+            out = inserted(out)
+        return out
+
+    start = sum(1 << (lane * e + edits + e) for e in range(edits + 1))
+    with_y = F.transform(F.array(padded), lambda ys: F.transform(chars(x), lambda c, i: _mask(ys, c, i, edits, spread)))
+    end = F.aggregate(F.get(with_y, F.lit(0)), long(start), step)
+    lanes = F.get(F.array(*[long(sum(1 << (lane * e) for e in range(k + 1))) for k in range(edits + 1)]), most)
+    shift = F.char_length(y) - F.char_length(x) + edits
+    return (F.abs(F.char_length(y) - F.char_length(x)) <= edits) & (end.bitwiseAND(F.call_function("shiftleft", lanes, shift)) != 0)
+
+
+def hot_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """Keys that more than one in HOT_SHARE rows have, by the keys of one line in KEY_SAMPLE. (key)"""
+    some = materialize(keys_of(lines.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(KEY_SAMPLE)) == 0), edits).groupBy("key").count())
+    total = some.agg(F.sum("count")).first()[0] or 0
+    return some.where(F.col("count") > max(100, total // HOT_SHARE)).select("key")
+
+
+def near_lines(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDITS) -> DataFrame:
+    """(h1, h2) of the lines that come after a different line within the edits allowed. ``counts`` has (h1, h2, first, n) of
+    all judged lines, ``total`` is the sum of n."""
     lines = _identity(lines_of(docs).where(F.char_length("line") >= 2 * SEGMENT_CHARS))
     hot = counts.where(F.col("n") > max(1000, total // HOT_SHARE)).select("h1", "h2", "first")
     once = lines.join(F.broadcast(hot), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == _place()))  # hot has HOT_SHARE rows at most
-    rows = keys_of(once.select("line", F.char_length("line").alias("size"), F.shiftleft("h1", 1).alias("id")), edits)
+    once = once.select("line", F.char_length("line").alias("size"), F.shiftleft("h1", 1).alias("id"))
+    often = F.broadcast(hot_keys(once, edits).withColumn("often", F.lit(True)))  # HOT_SHARE rows at most
+    rows = keys_of(once, edits).join(often, "key", "left").withColumn("salt", F.when(F.col("often"), F.pmod("id", F.lit(SALTS))).otherwise(0))
 
-    by = Window.partitionBy("key")
+    by = Window.partitionBy("key", "salt")
     probing = F.col("id").bitwiseAND(F.lit(1).cast("long")) == 1
     line_id = F.shiftrightunsigned("id", 1)
     met = rows.select(
-        "key", "id", F.min(F.when(~probing, line_id)).over(by).alias("i0"), F.max(F.when(~probing, line_id)).over(by).alias("i1"),
+        "key", "id", "often", F.min(F.when(~probing, line_id)).over(by).alias("i0"), F.max(F.when(~probing, line_id)).over(by).alias("i1"),
         F.min(F.when(probing, line_id)).over(by).alias("p0"), F.max(F.when(probing, line_id)).over(by).alias("p1"),
-    ).where("i0 <> p0 or i0 <> p1 or i1 <> p0")  # false or null where no index row meets a probe of another line
+    ).where("often or i0 <> p0 or i0 <> p1 or i1 <> p0")  # false or null where no index row meets a probe of another line
     met = materialize(met.select("key", line_id.alias("line_id"), probing.alias("probes")).distinct())
     ids = materialize(met.select("line_id").distinct())
     known = lines.withColumn("line_id", F.shiftrightunsigned(F.shiftleft("h1", 1), 1))
     known = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "line_id", "left_semi").groupBy("line_id", "h1", "h2", "line").agg(F.min(_place()).alias("first"))
-    known = materialize(known.select("*", F.char_length("line").alias("size"), *letter_counts()))
-    counted = [f"n_{c}" for c in LETTERS]
-    signed = met.join(known.select("line_id", "h1", "h2", "size", *counted), "line_id")
-    x, y = (signed.where(w).select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", "size", *counted)]) for k, w in (("x", "not probes"), ("y", "probes")))
-    moved = sum((F.abs(F.col(f"{c}_x") - F.col(f"{c}_y")) for c in counted[1:]), F.abs(F.col(f"{counted[0]}_x") - F.col(f"{counted[0]}_y")))
-    # lines of one length probe each other: one direction is enough
-    once_each = (F.col("size_x") < F.col("size_y")) | (F.col("h1_x") < F.col("h1_y"))
-    pairs = x.join(y, "key").where((F.col("h1_x") != F.col("h1_y")) & once_each & (moved <= 2 * allowed(F.least("size_x", "size_y"), edits))).select("h1_x", "h2_x", "h1_y", "h2_y").distinct()
-    text = lambda k: known.select(*[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", "line", "first")])
-    both = pairs.join(text("x"), ["h1_x", "h2_x"]).join(text("y"), ["h1_y", "h2_y"])
-    return both.where(F.levenshtein("line_x", "line_y", edits).between(0, allowed(F.least(F.char_length("line_x"), F.char_length("line_y")), edits))).select("h1_x", "h2_x", "first_x", "h1_y", "h2_y", "first_y")
+    known = materialize(known.select("*", F.char_length("line").alias("size"), *character_counts()))
+    counted = [f"n_{k}" for k in range(CLASSES)]
+    carried = ("h1", "h2", "first", "size", *counted)
+    signed = materialize(met.join(known.select("line_id", *carried), "line_id").select("key", "probes", *carried))
+
+    def side(rows: DataFrame, k: str, *more: str) -> DataFrame:
+        return rows.select("key", *[F.col(c).alias(f"{c}_{k}") for c in (*carried, *more)])
+
+    moved = reduce(Column.__add__, [F.abs(F.col(f"{c}_x") - F.col(f"{c}_y")) for c in counted])
+    size = F.least("size_x", "size_y")
+    maybe = (F.col("first_x") < F.col("first_y")) & (F.abs(F.col("size_x") - F.col("size_y")) <= edits) & (moved <= 2 * allowed(size, edits))
+    names = ["h1_x", "h2_x", "h1_y", "h2_y"]
+    line = lambda k: known.select(*[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", "line")])
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(line("x"), ["h1_x", "h2_x"]).join(line("y"), ["h1_y", "h2_y"])
+        most = allowed(F.least(F.char_length("line_x"), F.char_length("line_y")), edits)
+        return materialize(both.where(within(F.col("line_x"), F.col("line_y"), most, edits)).select(F.col("h1_y").alias("h1"), F.col("h2_y").alias("h2")).distinct())
+
+    # the earliest line of each key, by partial aggregation, decides most of what a template repeats
+    heads = signed.groupBy("key").agg(F.min(F.struct("first", *[c for c in carried if c != "first"])).alias("head")).select("key", "head.*")
+    tested = materialize(side(heads, "x").join(side(signed, "y"), "key").where(maybe).select(*names).distinct())
+    decided = near(tested)
+    undecided = signed.join(decided, ["h1", "h2"], "left_anti")
+    rest = side(signed, "x", "probes").join(side(undecided, "y", "probes"), "key").where((F.col("probes_x") != F.col("probes_y")) & maybe).select(*names).distinct()
+    return decided.unionByName(near(materialize(rest.join(tested, names, "left_anti"))))
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -137,17 +209,13 @@ def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     lines = _identity(lines_of(docs))
     counts = materialize(lines.where(judged()).groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    pairs = materialize(near_pairs(docs, counts, total, edits))
-    x_first = F.col("first_x") < F.col("first_y")
-    near = pairs.select(*[F.when(x_first, F.col(f"{h}_y")).otherwise(F.col(f"{h}_x")).alias(h) for h in ("h1", "h2")]).distinct().withColumn("near", F.lit(True))
+    near = near_lines(docs, counts, total, edits).withColumn("near", F.lit(True))
     verdict = counts.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    # line number -1 stands for the text itself, so that texts without judged lines keep their row
-    own = texts_of(docs).select("doc_id", "tkey", F.size("lines").alias("n_lines"), F.concat(F.array(F.lit(None).cast("string")), "lines").alias("lines"))
-    own = own.select("doc_id", "tkey", "n_lines", F.posexplode("lines").alias("line_no", "line"))
-    own = _identity(own.withColumn("line_no", F.col("line_no") - 1).where((F.col("line_no") < 0) | judged())).withColumn("h1", F.when(F.col("line_no") >= 0, F.col("h1")))
-    flagged = own.select("h1", "h2", "doc_id", "tkey", "line_no", "n_lines").join(verdict, ["h1", "h2"], "left")
-    goes = F.when(F.col("near") | (F.col("first") != _place()), F.col("line_no"))
-    return flagged.groupBy("doc_id", "tkey").agg(F.first("n_lines").cast("long").alias("n_lines"), F.array_sort(F.collect_set(goes)).alias("removed"))
+    own = lines.where(judged()).select("h1", "h2", "doc_id", "tkey", "line_no")
+    gone = own.join(verdict, ["h1", "h2"]).where(F.col("near") | (F.col("first") != _place())).select("doc_id", "tkey", F.lit(None).cast("int").alias("n_lines"), "line_no")
+    # a row for each text, so that texts of which nothing goes are told too
+    every = texts_of(docs).select("doc_id", "tkey", F.size("lines").alias("n_lines"), F.lit(None).cast("int").alias("line_no")).unionByName(gone)
+    return every.groupBy("doc_id", "tkey").agg(F.max("n_lines").cast("long").alias("n_lines"), F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -162,11 +230,19 @@ def dedup_report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def remove_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs``, all columns, with the removed lines gone from text. A document of which no line is left goes with them;
-    documents that lose nothing stay as they are. A column n_chars, if there is one, follows the text."""
-    gone = removed_lines(docs, edits).where(F.size("removed") > 0).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("removed").alias("_removed"))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tkey")), "left")
+    documents that lose nothing stay as they are. A column n_chars, if there is one, follows the text.
+
+    Null texts stay null; a null doc_id comes last; rows that repeat doc_id and text lose the same lines; an empty table
+    gives no rows; other columns, whatever their names, are carried along.
+    """
+    gone = materialize(removed_lines(docs, edits).where(F.size("removed") > 0).select("doc_id", "tkey", "removed"))
+    id_, key, removed = (unused(docs.columns, c) for c in ("gone_id", "gone_key", "gone_lines"))
+    gone = gone.toDF(id_, key, removed)
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (text_key() == F.col(key)), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(F.transform(lines, lambda line, i: F.when(~F.array_contains("_removed", i), line)), lambda line: line.isNotNull())
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    changed = {"text": text, "n_chars": F.when(F.col("_removed").isNull(), docs["n_chars"]).otherwise(F.char_length(text)).cast("long")} if "n_chars" in docs.columns else {"text": text}
-    return joined.where(F.col("_removed").isNull() | (F.size("_removed") < F.size(lines))).select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    kept = F.filter(F.transform(lines, lambda line, i: F.when(~F.array_contains(removed, i), line)), lambda line: line.isNotNull())
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(removed).isNull(), docs["n_chars"]).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
+    return joined.where(F.col(removed).isNull() | (F.size(removed) < F.size(lines))).select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
