@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm._common import keyed_text, materialize
+from versemill.llm._common import keyed_text, materialize, text_key, unused
 
 WINDOW, SHARE = 13, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,14 +64,14 @@ def rarest_words(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, spans, items) of every document row: the word spans of all window occurrences, and their items.
+    """(row, doc_id, tkey, n_words, spans, items) of every document row: the word spans of all window occurrences, and their items.
 
-    ``row`` tells rows of one doc_id apart. The texts are read once for the counts and once for the join, and never
+    ``row`` tells rows of one doc_id apart, ``tkey`` its texts. The texts are read once for the counts and once for the join, and never
     shuffled; hits are.
     """
-    rows = keyed_text(docs)
+    rows = keyed_text(docs).withColumn("tkey", text_key("text"))
     rare = materialize(rarest_words(rows, materialize(windows_of(items))))
-    words = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    words = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tkey", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     # position 0 holds null: it stands for the document itself, so that one pass gives counts and hits
     at = words.select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("place", "word")).withColumn("token", F.lower("word"))
     first = F.col("place") - F.col("shift")  # place of the window's first word
@@ -83,8 +83,8 @@ def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     for k, block in enumerate(_in_blocks(rare, "token")):
         joined = at.join(F.broadcast(block.select("token", "shift", "size", "item_ids", F.array_join("words", " ").alias("window"))), "token", "left")
         keep = (occurs | (F.col("place") == 0)) if k == 0 else occurs
-        found.append(joined.where(keep).select("row", "doc_id", "n", F.when(F.col("size").isNotNull(), F.struct(first.alias("start"), (first + F.col("size")).alias("end"))).alias("span"), "item_ids"))
-    return reduce(DataFrame.unionByName, found).groupBy("row", "doc_id").agg(
+        found.append(joined.where(keep).select("row", "doc_id", "tkey", "n", F.when(F.col("size").isNotNull(), F.struct(first.alias("start"), (first + F.col("size")).alias("end"))).alias("span"), "item_ids"))
+    return reduce(DataFrame.unionByName, found).groupBy("row", "doc_id", "tkey").agg(
         F.max("n").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items")
     )
 
@@ -99,25 +99,31 @@ def hit_words(spans: str = "spans") -> Column:
 
 
 def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document row."""
+    """(row, doc_id, tkey, n_words, n_hit, n_items, items_sha256, contaminated) of every document row."""
     found = find_windows(docs, items).withColumn("n_hit", hit_words())
     return found.select(
-        "row", "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "row", "doc_id", "tkey", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """What :func:`judge` says of each document row, without the row number.
+    """What :func:`judge` says of each document row, without the row number and the text's key.
 
     Null text has no words and is clean; null item texts have no windows; a null item_id counts as the empty string; a null
     doc_id passes through; repeated rows are judged one by one; empty tables on either side are allowed; other columns are
     ignored.
     """
-    return judge(docs, items).drop("row")
+    return judge(docs, items).drop("row", "tkey")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose doc_id has no contaminated row."""
-    bad = judge(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs``, with all columns, of the texts that are not contaminated.
+
+    Texts are judged, not ids: a clean text stays even if another row of its doc_id is contaminated, and rows that repeat
+    doc_id and text share their fate. A null or wordless text is clean; a null doc_id is like any other; empty tables on
+    either side are allowed; other columns, whatever their names, are carried along.
+    """
+    id_, key = (unused(docs.columns, c) for c in ("bad_id", "bad_key"))
+    bad = materialize(judge(docs, items).where("contaminated").select("doc_id", "tkey").distinct().toDF(id_, key))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (text_key("text") == F.col(key)), "left_anti")
