@@ -61,18 +61,17 @@ def _place() -> Column:
 
 
 def probes(edits: int = EDITS) -> list[tuple[int, int, int, int, int]]:
-    """(segments, segment, shift, characters that the indexed line is shorter by, whether it is a probe) of all keys of a line.
+    """(segments, segment, shift, characters that the indexed line is shorter by, whether it is a probe only) of all keys of a line.
 
-    The first ``edits + 1`` are its own segments. A probe's shift leaves few enough edits on either side of the segment.
+    A line's own segments are both its index and its probes of lines as long at no shift. A probe's shift leaves few enough
+    edits on either side of the segment.
     """
-    own = [(edits + 1, i, 0, 0, 0) for i in range(edits + 1)]
-    return own + [
-        (edits + 1, i, shift, shorter, 1) for shorter in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
-    ]
+    every = [(edits + 1, i, shift, shorter) for shorter in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)]
+    return [(*x, int(x[2:] != (0, 0))) for x in every]
 
 
 def keys_of(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(key, id): the keys of lines (line, size, id). The lowest bit of a row's id says whether it probes.
+    """(key, id): the keys of lines (line, size, id). The lowest bit of a row's id says whether it is a probe only.
 
     One generator over constant lists: the expression for one key is small enough to be compiled, that for all is not. Lines
     too short for all edits, and those that reach down to such, carry the keys for fewer edits too.
@@ -158,24 +157,26 @@ def near_lines(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDIT
     hot = counts.where(F.col("n") > max(1000, total // HOT_SHARE)).select("h1", "h2", "first")
     once = lines.join(F.broadcast(hot), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == _place()))  # hot has HOT_SHARE rows at most
     once = once.select("line", F.char_length("line").alias("size"), F.shiftleft("h1", 1).alias("id"))
-    often = F.broadcast(hot_keys(once, edits).withColumn("often", F.lit(True)))  # HOT_SHARE rows at most
-    rows = keys_of(once, edits).join(often, "key", "left").withColumn("salt", F.when(F.col("often"), F.pmod("id", F.lit(SALTS))).otherwise(0))
+    often = hot_keys(once, edits)  # HOT_SHARE rows at most
+    rows = keys_of(once, edits)
+    if often.isEmpty():
+        rows = rows.select("*", F.lit(None).cast("boolean").alias("often"), F.lit(0).alias("salt"))
+    else:
+        rows = rows.join(F.broadcast(often.withColumn("often", F.lit(True))), "key", "left").withColumn("salt", F.when(F.col("often"), F.pmod("id", F.lit(SALTS))).otherwise(0))
 
     by = Window.partitionBy("key", "salt")
-    probing = F.col("id").bitwiseAND(F.lit(1).cast("long")) == 1
+    own = F.col("id").bitwiseAND(F.lit(1).cast("long")) == 0
     line_id = F.shiftrightunsigned("id", 1)
-    met = rows.select(
-        "key", "id", "often", F.min(F.when(~probing, line_id)).over(by).alias("i0"), F.max(F.when(~probing, line_id)).over(by).alias("i1"),
-        F.min(F.when(probing, line_id)).over(by).alias("p0"), F.max(F.when(probing, line_id)).over(by).alias("p1"),
-    ).where("often or i0 <> p0 or i0 <> p1 or i1 <> p0")  # false or null where no index row meets a probe of another line
-    met = materialize(met.select("key", line_id.alias("line_id"), probing.alias("probes")).distinct())
+    met = rows.select("key", "id", "often", F.min(line_id).over(by).alias("lo"), F.max(line_id).over(by).alias("hi"), F.max(own).over(by).alias("indexed"))
+    # an index row of a line and a row of another line; the parts of a salted key are not judged one by one
+    met = materialize(met.where("often or (indexed and lo <> hi)").groupBy("key", line_id.alias("line_id")).agg(F.max(own).alias("own")))
     ids = materialize(met.select("line_id").distinct())
     known = lines.withColumn("line_id", F.shiftrightunsigned(F.shiftleft("h1", 1), 1))
     known = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "line_id", "left_semi").groupBy("line_id", "h1", "h2", "line").agg(F.min(_place()).alias("first"))
     known = materialize(known.select("*", F.char_length("line").alias("size"), *character_counts()))
     counted = [f"n_{k}" for k in range(CLASSES)]
     carried = ("h1", "h2", "first", "size", *counted)
-    signed = materialize(met.join(known.select("line_id", *carried), "line_id").select("key", "probes", *carried))
+    signed = materialize(met.join(known.select("line_id", *carried), "line_id").select("key", "own", *carried))
 
     def side(rows: DataFrame, k: str, *more: str) -> DataFrame:
         return rows.select("key", *[F.col(c).alias(f"{c}_{k}") for c in (*carried, *more)])
@@ -196,7 +197,7 @@ def near_lines(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDIT
     tested = materialize(side(heads, "x").join(side(signed, "y"), "key").where(maybe).select(*names).distinct())
     decided = near(tested)
     undecided = signed.join(decided, ["h1", "h2"], "left_anti")
-    rest = side(signed, "x", "probes").join(side(undecided, "y", "probes"), "key").where((F.col("probes_x") != F.col("probes_y")) & maybe).select(*names).distinct()
+    rest = side(signed, "x", "own").join(side(undecided, "y", "own"), "key").where((F.col("own_x") | F.col("own_y")) & maybe).select(*names).distinct()
     return decided.unionByName(near(materialize(rest.join(tested, names, "left_anti"))))
 
 
