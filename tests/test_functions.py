@@ -31,6 +31,7 @@ def test_word_dist(spark):
 def test_normalise_and_clean(spark):
     assert column(spark, [("hello, \nworld...\n,\n...\nok!",)], "t string", tx.normalize_lyrics(F.col("t"))) == ["Hello\nWorld\n,\n.\nOk!"]
     assert column(spark, [("Héllo <nl>la la</nl> (ooh yeah)  world , ok",)], "t string", tx.clean_text(F.col("t"))) == ["Héllo la la world, ok"]
+    assert column(spark, [("\u3000ｆｕｌｌ\u00a0 width\u2003，x ",)], "t string", tx.clean_text(F.col("t"))) == ["full width,x"]
 
 
 def test_tags():
@@ -59,6 +60,43 @@ def test_alignment_golden():
     assert sum(max(c[2] - c[1], c[4] - c[3]) for c in kinds if c[0] != "equal") == 3
 
 
+def table(ref, hyp):
+    rows = [list(range(len(hyp) + 1))]
+    for i, x in enumerate(ref, 1):
+        rows.append([i])
+        for j, y in enumerate(hyp, 1):
+            rows[i].append(min(rows[i - 1][j] + 1, rows[i][-1] + 1, rows[i - 1][j - 1] + (x != y)))
+    return rows
+
+
+def slow_steps(ref, hyp):
+    """The path back through the whole table: diagonal before deletion before insertion."""
+    d, i, j, out = table(ref, hyp), len(ref), len(hyp), []
+    while i or j:
+        if i and j and d[i][j] == d[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+            i, j = i - 1, j - 1
+            out.append("equal" if ref[i] == hyp[j] else "substitute")
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            i -= 1
+            out.append("delete")
+        else:
+            j -= 1
+            out.append("insert")
+    return out[::-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14), st.sampled_from([1, 3, 256]))
+def test_alignment_by_table(ref, hyp, block):
+    kept, al.BLOCK = al.BLOCK, block
+    try:
+        steps = [kind for kind, r0, r1, h0, h1 in al.align(ref, hyp) for _ in range(max(r1 - r0, h1 - h0))]
+    finally:
+        al.BLOCK = kept
+    assert steps == slow_steps(ref, hyp)
+    assert al.distance(ref, hyp) == table(ref, hyp)[-1][-1]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_alignment_invariants(ref, hyp):
@@ -79,8 +117,9 @@ def test_alignment_invariants(ref, hyp):
     assert d[-1] == n["substitute"] + n["delete"] + n["insert"]
 
 
-def test_native_distance(spark):
+def test_word_distance(spark):
     random.seed(3)
     rows = [([random.choice("abcdé") for _ in range(random.randint(0, 8))], [random.choice("abcdé") for _ in range(random.randint(0, 8))]) for _ in range(60)]
-    got = column(spark, rows, "a array<string>, b array<string>", tx.encoded_word_distance(F.col("a"), F.col("b")))
-    assert got == [int(al.distances(a, b)[-1, -1]) for a, b in rows]
+    got = column(spark, rows, "a array<string>, b array<string>", al.word_edit_distance(F.col("a"), F.col("b")))
+    assert got == [table(a, b)[-1][-1] for a, b in rows]
+    assert column(spark, [(None, ["a"]), (["a"], None)], "a array<string>, b array<string>", al.word_edit_distance(F.col("a"), F.col("b"))) == [None, None]

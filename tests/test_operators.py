@@ -77,6 +77,14 @@ def test_pack_golden(spark):
 def test_vad_golden():
     assert vad.segments_of([0] * 10 + [1] * 20 + [0] * 40 + [1] * 20 + [0] * 10) == [(1920, 18560), (32640, 51200)]
     assert vad.segments_of([float("nan")] * 50) == []
+    # no pause within 12 s: cut at the least of the later half, the current frame included, the last of equals
+    o = vad.VadOptions(window=16000, max_speech_s=12, pad_ms=0)
+    assert vad.segments_of([1.0] * 14, o) == [(0, 192000), (192000, 224000)]
+    assert vad.segments_of([1.0] * 8 + [0.5] + [1.0] * 5, o) == [(0, 128000), (128000, 224000)]
+    # a pause of one frame, too short to end the segment, is where it is cut once it is too long
+    o = vad.VadOptions(window=16000, max_speech_s=12, min_silence_ms=3000, pad_ms=0)
+    assert vad.segments_of([1.0] * 5 + [0.0, 0.0] + [1.0] * 9, o) == [(0, 80000), (112000, 256000)]
+    assert vad.segments_of([1.0] * 3, o, length=40000) == [(0, 40000)]
     o = vad.VadOptions(window=16000)
     for a, b in vad.segments_of([1.0] * 100, o):
         assert 0 <= a < b <= 1_600_000 and b - a <= 31 * 16000
@@ -105,8 +113,8 @@ def test_render(spark):
     pieces = render.split_chunks(aligned, ["uid", "sample_idx"])
     got = [(r["line_no"], r["type"], r["ref_start"], r["ref_end"], r["hyp_start"], r["hyp_end"]) for r in pieces.orderBy("piece_idx").collect()]
     assert got == [(0, "equal", 0, 1, 0, 1), (0, "substitute", 1, 2, 1, 2), (1, "equal", 2, 3, 2, 3), (1, "delete", 3, 4, 3, 3)]
-    words = spark.createDataFrame([("u", 0, ["a", "b", "c", "d"], ["a", "x", "c"], [0.0, 1.0, 2.0])], "uid string, sample_idx int, ref_texts array<string>, hyp_texts array<string>, times array<double>")
-    shown = render.render_rows(pieces, words, ["uid", "sample_idx"])
+    times = render.hyp_timestamps(F.array(F.struct(F.lit(0.0).alias("start"), F.lit(3.0).alias("end"), F.lit(3).alias("n_words"))))
+    shown = render.render_rows(render.split_chunks(aligned, ["uid", "sample_idx"], times=times), ["uid", "sample_idx"])
     assert [(r["ref_text"], r["hyp_text"], r["timestamp"]) for r in shown.orderBy("piece_idx").collect()] == [("a", "a", 0.1), ("b", "x", 1.0), ("c", "c", 2.0), ("d", "-", 2.0)]
     assert "<p>" in render.html_pages(shown).first()["html"]
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,35 +16,80 @@ OPERATIONS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), *[
 EQUAL, SUBSTITUTE, DELETE, INSERT = "equal", "substitute", "delete", "insert"
 
 
-def distances(ref: Sequence[str], hyp: Sequence[str]) -> np.ndarray:
-    """The full table of edit distances between prefixes, a row at a time."""
-    names = {w: k for k, w in enumerate(dict.fromkeys((*ref, *hyp)))}
-    r, h = np.asarray([names[w] for w in ref], np.int64), np.asarray([names[w] for w in hyp], np.int64)
-    table = np.empty((len(r) + 1, len(h) + 1), np.int32)
-    steps = np.arange(len(h) + 1, dtype=np.int32)
-    table[0] = steps
-    for i, word in enumerate(r):
-        row = np.empty(len(h) + 1, np.int32)
-        row[0] = i + 1
-        row[1:] = np.minimum(table[i, :-1] + (h != word), table[i, 1:] + 1)
-        table[i + 1] = np.minimum.accumulate(row - steps) + steps  # insertions: a running minimum once the slope is taken off
-    return table
+BLOCK = 256  # reference words between the states that are kept
+
+
+class _Table:
+    """The table of edit distances between prefixes of two word lists, as bit vectors over the hypothesis.
+
+    A step takes one reference word: ``up`` and ``down`` say where neighbouring columns of a row differ by +1 and -1, and
+    their successors follow with a few operations on whole integers. ``same`` says where a cell equals its upper left
+    neighbour, ``more`` where it is greater than the upper one by 1: that is all a path back needs.
+    """
+
+    def __init__(self, ref: Sequence[str], hyp: Sequence[str]):
+        self.ref, self.all = ref, (1 << len(hyp)) - 1
+        self.places: dict[str, int] = {}
+        for j, w in enumerate(hyp):
+            self.places[w] = self.places.get(w, 0) | 1 << j
+
+    def step(self, word: str, up: int, down: int) -> tuple[int, int, int, int]:
+        """(up, down, same, more) of the next row."""
+        equal = self.places.get(word, 0)
+        same = ((((equal & up) + up) ^ up) | equal | down) & self.all
+        more, less = (down | ~(same | up)) & self.all, up & same
+        left = more << 1 | 1
+        return (less << 1 | ~(same | left)) & self.all, left & same, same, more
+
+    def rows(self) -> Iterator[tuple[int, int]]:
+        """(same, more) of all rows, the last first. Only the state before every BLOCK rows is kept; a block's rows are made again."""
+        state, kept = (self.all, 0), []
+        for i, word in enumerate(self.ref):
+            if i % BLOCK == 0:
+                kept.append(state)
+            state = self.step(word, *state)[:2]
+        for k in range(len(kept) - 1, -1, -1):
+            (up, down), block = kept[k], []
+            for word in self.ref[k * BLOCK : (k + 1) * BLOCK]:
+                up, down, same, more = self.step(word, up, down)
+                block.append((same, more))
+            yield from reversed(block)
+
+
+def distance(ref: Sequence[str], hyp: Sequence[str]) -> int:
+    """The edit distance of two word lists, in whole-integer steps and with memory for one row."""
+    table, last, n = _Table(ref, hyp), 1 << len(hyp) >> 1, len(hyp)
+    if not n:
+        return len(ref)
+    up, down = table.all, 0
+    for word in ref:
+        less = up  # the last column falls by 1 where the cell equals its upper left neighbour and that one is 1 more
+        up, down, same, more = table.step(word, up, down)
+        n += bool(more & last) - bool(less & same & last)
+    return n
 
 
 def align(ref: Sequence[str], hyp: Sequence[str]) -> list[tuple[str, int, int, int, int]]:
     """Chunks (type, ref start, ref end, hyp start, hyp end) of consecutive equal operations, ends exclusive."""
-    table = distances(ref, hyp)
     i, j, steps = len(ref), len(hyp), []
+    rows = _Table(ref, hyp).rows()
+    same, more = next(rows, (0, 0))
     while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
+        bit = 1 << j >> 1
+        climbs = False
+        if i and j and bool(same & bit) == (ref[i - 1] == hyp[j - 1]):
             i, j = i - 1, j - 1
             steps.append((EQUAL if ref[i] == hyp[j] else SUBSTITUTE, i, j))
-        elif i and table[i, j] == table[i - 1, j] + 1:
+            climbs = True
+        elif i and (not j or more & bit):
             i -= 1
             steps.append((DELETE, i, j))
+            climbs = True
         else:
             j -= 1
             steps.append((INSERT, i, j))
+        if climbs:
+            same, more = next(rows, (0, 0))
     chunks: list[list] = []
     for kind, i, j in reversed(steps):
         ends = i + (kind != INSERT), j + (kind != DELETE)
@@ -57,13 +101,25 @@ def align(ref: Sequence[str], hyp: Sequence[str]) -> list[tuple[str, int, int, i
 
 
 @F.pandas_udf(OPERATIONS)
-def align_words(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _align_words(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Chunks of two arrays of words; a null array is empty."""
     names = ("type", "ref_start", "ref_end", "hyp_start", "hyp_end")
     for refs, hyps in batches:
         yield pd.Series([[dict(zip(names, c, strict=True)) for c in align([] if r is None else list(r), [] if h is None else list(h))] for r, h in zip(refs, hyps, strict=True)])
 
 
+@F.pandas_udf(T.IntegerType())
+def word_edit_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Word-level edit distance of two arrays of words of any length; null if either is null."""
+    for refs, hyps in batches:
+        yield pd.Series([None if r is None or h is None else distance(list(r), list(h)) for r, h in zip(refs, hyps, strict=True)], dtype="Int32")
+
+
+#: Declared as not deterministic, which is not so: the optimizer may then neither copy the call below a filter nor into each
+#: of the expressions that use its result, and texts are aligned once.
+align_words = _align_words.asNondeterministic()
+
+
 def operation_count(chunks: str | Column, kind: str) -> Column:
     """Words in chunks of one type."""
     size = lambda c: c["hyp_end"] - c["hyp_start"] if kind == INSERT else c["ref_end"] - c["ref_start"]

@@ -44,13 +44,14 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-def clean_text(text: Column, compose: bool = False) -> Column:
-    """Training form: tags and parentheses with their content go, no space before a comma, single spaces, trimmed.
+def clean_text(text: Column, compose: bool = True) -> Column:
+    """Training form: NFKC, then tags and parentheses with their content go, no space before a comma, single spaces, trimmed.
 
-    ``compose`` applies NFKC first, through Arrow; ASCII text never needs it.
+    White space is that of any script. NFKC goes through Arrow; ``compose=False`` leaves it out, for texts known to be
+    composed, and keeps the rest in the JVM.
     """
     out = nfkc(text) if compose else text
-    for pattern, to in ((r"</?nl>", ""), (r"\([^)]*\)", ""), (r"\s+,", ","), (r"\s+", " ")):
+    for pattern, to in ((r"</?nl>", ""), (r"\([^)]*\)", ""), (r"(?U)\s+,", ","), (r"(?U)\s+", " ")):
         out = F.regexp_replace(out, F.lit(pattern), F.lit(to))
     return F.trim(out)
 
@@ -87,12 +88,3 @@ def iso_part1(code: Column) -> Column:
     known = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "english": "en", "german": "de", "french": "fr", "spanish": "es", "italian": "it"}
     pairs = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.coalesce(F.element_at(pairs, F.lower(code)), F.when(F.char_length(code) == 2, F.lower(code)))
-
-
-def encoded_word_distance(ref: Column, hyp: Column) -> Column:
-    """Word-level edit distance of two word arrays: each distinct word of the pair becomes one private-use character, and
-    ``levenshtein`` counts characters. Up to 6,400 distinct words to a pair; beyond, the result is null."""
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w).cast("long") + 57343), 4, "0")), "UTF-16BE")
-    text = lambda words: F.array_join(F.transform(words, code), "")
-    return F.when(F.size(vocabulary) <= 6400, F.levenshtein(text(ref), text(hyp)))

@@ -34,26 +34,43 @@ def split_range(start: Column, end: Column, splits: Column) -> Column:
     return F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda e, k: F.struct(e.alias("start"), F.element_at(edges, k + 2).alias("end")))
 
 
-def split_chunks(alignments: DataFrame, keys: list[str], tokens: str = "ref_all") -> DataFrame:
-    """(keys, line_no, piece_idx, type, ref_start, ref_end, hyp_start, hyp_end): chunks cut at reference line breaks.
+def split_chunks(alignments: DataFrame, keys: list[str], tokens: str = "ref_all", times: Column | None = None) -> DataFrame:
+    """(keys, line_no, piece_idx, type, ref_start, ref_end, hyp_start, hyp_end, ref_texts, hyp_texts, time): chunks cut at
+    reference line breaks, with the texts of their words.
 
     Matched chunks move both sides in step, a deletion keeps its place in the hypothesis, an insertion stays on the current
-    line. One window for each sample's chunks.
+    line. ``time`` is that of the piece's first hypothesis word in ``times`` (one a word), or of the last word beyond it, and
+    null without any. Each chunk takes its own words, breaks and times along, so nothing is joined; one window for each
+    sample's pieces.
     """
-    breaks = alignments.select(*keys, "chunks", F.array_distinct(newline_word_indices(tokens)).alias("breaks"))
-    rows = breaks.select(*keys, "breaks", F.posexplode("chunks").alias("chunk_idx", "c"))
+    part = lambda array, start, end: F.slice(array, start + 1, end - start)
+    text = lambda t: t["text"]
+    known = F.array().cast("array<double>") if times is None else times
+    rows = alignments.select(*keys, "chunks", "ref_words", "hyp_words", known.alias("times"), F.array_distinct(newline_word_indices(tokens)).alias("breaks"))
+
+    def own(c: Column) -> Column:
+        return F.struct(
+            c["type"].alias("type"), c["ref_start"].alias("ref_start"), c["ref_end"].alias("ref_end"), c["hyp_start"].alias("hyp_start"), c["hyp_end"].alias("hyp_end"),
+            F.transform(part("ref_words", c["ref_start"], c["ref_end"]), text).alias("ref"), F.transform(part("hyp_words", c["hyp_start"], c["hyp_end"]), text).alias("hyp"),
+            part("times", c["hyp_start"], c["hyp_end"]).alias("times"), F.filter("breaks", lambda b: (b >= c["ref_start"]) & (b < c["ref_end"])).alias("breaks"),
+        )
+
+    last = F.try_element_at("times", F.lit(-1))
+    rows = rows.select(*keys, last.alias("last"), F.posexplode(F.transform("chunks", own)).alias("chunk_idx", "c"))
     whole = F.array(F.struct(F.col("c.ref_start").alias("start"), F.col("c.ref_end").alias("end")))
-    pieces = F.when(F.col("c.type") == INSERT, whole).otherwise(split_range(F.col("c.ref_start"), F.col("c.ref_end"), F.col("breaks")))
-    cut = rows.select(*keys, "breaks", "chunk_idx", "c", F.posexplode(pieces).alias("part", "p"))
+    pieces = F.when(F.col("c.type") == INSERT, whole).otherwise(split_range(F.col("c.ref_start"), F.col("c.ref_end"), F.col("c.breaks")))
+    cut = rows.select(*keys, "last", "chunk_idx", "c", F.posexplode(pieces).alias("part", "p"))
     matched = F.col("c.type").isin(EQUAL, SUBSTITUTE)
     h0 = F.when(matched, F.col("c.hyp_start") + F.col("p.start") - F.col("c.ref_start")).otherwise(F.col("c.hyp_start"))
     h1 = F.when(matched, h0 + F.col("p.end") - F.col("p.start")).otherwise(F.col("c.hyp_end"))
-    ends = (F.col("c.type") != INSERT) & F.array_contains("breaks", F.col("p.end") - 1)
+    ends = (F.col("c.type") != INSERT) & F.array_contains("c.breaks", F.col("p.end") - 1)
     order = Window.partitionBy(*keys).orderBy("chunk_idx", "part")
     line = F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = lambda array, start, end, base: F.slice(array, start - base + 1, end - start)
     return cut.select(
         *keys, line.alias("line_no"), (F.row_number().over(order) - 1).alias("piece_idx"), F.col("c.type").alias("type"), F.col("p.start").alias("ref_start"), F.col("p.end").alias("ref_end"),
-        h0.alias("hyp_start"), h1.alias("hyp_end"),
+        h0.alias("hyp_start"), h1.alias("hyp_end"), here("c.ref", F.col("p.start"), F.col("p.end"), F.col("c.ref_start")).alias("ref_texts"), here("c.hyp", h0, h1, F.col("c.hyp_start")).alias("hyp_texts"),
+        F.coalesce(F.get("c.times", h0 - F.col("c.hyp_start")), "last").alias("time"),
     )
 
 
@@ -69,20 +86,14 @@ def word_times(words: DataFrame, segment: list[str], start: str = "start", end:
     return words.withColumn("time", F.col(start) + F.col(position) / n * (F.col(end) - F.col(start)))
 
 
-def render_rows(pieces: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """What a page shows of each piece: texts, fillers of the same length on the empty side, and the time to jump to.
-
-    ``words`` has (keys, ref_texts, hyp_texts, times). The time is that of the piece's first hypothesis word, or of the last
-    word beyond it, 0.1 at least; 0 if there are no words.
-    """
-    rows = pieces.join(words, keys)
-    ref = F.array_join(F.slice("ref_texts", F.col("ref_start") + 1, F.col("ref_end") - F.col("ref_start")), " ")
-    hyp = F.array_join(F.slice("hyp_texts", F.col("hyp_start") + 1, F.col("hyp_end") - F.col("hyp_start")), " ")
-    kind, n = F.col("type"), F.size("times")
-    at = F.element_at("times", F.least(F.col("hyp_start") + 1, F.greatest(n, F.lit(1))))
-    return rows.select(
+def render_rows(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """What a page shows of each piece of :func:`split_chunks`: texts, fillers of the same length on the empty side, and the
+    time to jump to, 0.1 at least and 0 if there are no words."""
+    ref, hyp, kind = F.array_join("ref_texts", " "), F.array_join("hyp_texts", " "), F.col("type")
+    return pieces.select(
         *keys, "line_no", "piece_idx", kind.alias("chunk_type"), F.when(kind == INSERT, F.repeat(F.lit("+"), F.char_length(hyp))).otherwise(ref).alias("ref_text"),
-        F.when(kind == DELETE, F.repeat(F.lit("-"), F.char_length(ref))).when(kind == EQUAL, ref).otherwise(hyp).alias("hyp_text"), F.when(n > 0, F.greatest(F.lit(0.1), at)).otherwise(0.0).alias("timestamp"),
+        F.when(kind == DELETE, F.repeat(F.lit("-"), F.char_length(ref))).when(kind == EQUAL, ref).otherwise(hyp).alias("hyp_text"),
+        F.when(F.col("time").isNotNull(), F.greatest(F.lit(0.1), "time")).otherwise(0.0).alias("timestamp"),
     )
 
 

@@ -1,10 +1,12 @@
-"""Activity segments from frame scores: an ordered state machine over one recording's series, run as an Arrow function."""
+"""Activity segments from frame scores: runs of activity and silence in one recording's series, cut and padded by an Arrow function."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,47 +31,80 @@ def normalised(scores: str | Column) -> Column:
     return F.transform(c, lambda x: F.when(top == 0, F.lit(float("nan"))).otherwise(x / top))
 
 
-def segments_of(p: list[float], o: VadOptions = VadOptions()) -> list[tuple[int, int]]:
-    """[start, end) samples of the active segments of a series of frame scores."""
-    pad, total = o.rate * o.pad_ms / 1000, len(p) * o.window
-    longest = o.rate * o.max_speech_s - o.window - 2 * pad
-    shortest, silence, brief = o.rate * o.min_speech_ms / 1000, o.rate * o.min_silence_ms / 1000, o.rate * 98 / 1000
+class _Series:
+    """Runs of a score series: where activity is, and the silences between."""
+
+    def __init__(self, p: np.ndarray, o: VadOptions):
+        self.p, self.n, self.window = p, len(p), o.window
+        self.active, self.low = np.flatnonzero(p >= o.onset), np.flatnonzero(p < o.offset)
+
+    def _at(self, places: np.ndarray, frame: int) -> int | None:
+        """The first of ``places`` from ``frame`` on."""
+        k = int(np.searchsorted(places, frame))
+        return int(places[k]) if k < len(places) else None
+
+    def opens(self, frame: int) -> int | None:
+        return self._at(self.active, frame)
+
+    def silences(self, frame: int) -> Iterator[tuple[int, int]]:
+        """(first low frame, frame at which activity resumes, or the series' length) from ``frame`` on."""
+        while (first := self._at(self.low, frame)) is not None:
+            resumes = self.opens(first + 1)
+            frame = self.n if resumes is None else resumes
+            yield first, frame
+
+    def lasts(self, first: int, until: int, samples: float, beyond: bool) -> int | None:
+        """The first low frame of a silence at which it has lasted ``samples``, or more than that."""
+        at = first + (math.floor(samples / self.window) + 1 if beyond else math.ceil(samples / self.window))
+        found = self._at(self.low, at)
+        return found if found is not None and found < until else None
+
+
+def segments_of(scores: Sequence[float], o: VadOptions = VadOptions(), length: int | None = None) -> list[tuple[int, int]]:
+    """[start, end) samples of the active segments of a series of frame scores; ``length`` is the recording's, in samples.
+
+    A segment opens at an active frame and ends where a silence of ``min_silence_ms`` begins. One that grows beyond the
+    longest ends at its last pause of more than 98 ms and goes on where activity has resumed, if it has; without a pause it
+    is cut at the least score of its later half, the current frame included, the last of equals.
+    """
+    x = _Series(np.asarray(scores, float), o)
+    total, pad = x.n * o.window if length is None else length, o.rate * o.pad_ms / 1000
+    longest, shortest, silence, pause = o.rate * o.max_speech_s - o.window - 2 * pad, o.rate * o.min_speech_ms / 1000, o.rate * o.min_silence_ms / 1000, o.rate * 98 / 1000
     found: list[list[int]] = []
-    start: int | None = None  # of the open segment
-    quiet = paused = resumed = 0  # where silence began; the last pause long enough to cut at; where activity resumed after it
-    for i, x in enumerate(p):
-        now = i * o.window
-        if x >= o.onset:
-            if quiet:
-                quiet = 0
-                if resumed < paused:
-                    resumed = now
-            if start is None:
-                start = now
-                continue
-        if start is not None and now - start > longest:
-            if paused:
-                found.append([start, paused])
-                start = None if resumed < paused else resumed
-                paused = resumed = quiet = 0
-            else:
-                # cut at the least score of the later half, the last of equals
-                first = start // o.window
-                half = first + (i - first) // 2
-                cut = max(range(half, i), key=lambda k: (-p[k], k), default=i) * o.window
-                found.append([start, cut])
-                start, paused, resumed, quiet = cut, 0, 0, 0
-                continue
-        if x < o.offset and start is not None:
-            quiet = quiet or now
-            if now - quiet > brief:
-                paused = quiet
-            if now - quiet >= silence:
-                if quiet - start > shortest:
-                    found.append([start, quiet])
-                start, paused, resumed, quiet = None, 0, 0, 0
-    if start is not None and total - start > shortest:
-        found.append([start, total])
+    start = x.opens(0)
+    watched = None if start is None else start + 1  # silences are judged from here on
+    while start is not None:
+        full = max(watched, start + math.floor(longest / o.window) + 1)  # the frame at which the segment is too long
+        paused = resumed = closed = None
+        for first, until in x.silences(watched):
+            if first >= full:
+                break
+            end = x.lasts(first, until, silence, beyond=False)
+            noted = x.lasts(first, until, pause, beyond=True)
+            if noted is not None and noted < full:
+                paused, resumed = first, until
+            if end is not None and end < full:
+                closed = first
+                break
+        if closed is not None:
+            if (closed - start) * o.window > shortest:
+                found.append([start * o.window, closed * o.window])
+            start = x.opens(end + 1)
+            watched = None if start is None else start + 1
+        elif full >= x.n:
+            if total - start * o.window > shortest:
+                found.append([start * o.window, total])
+            break
+        elif paused is not None:
+            found.append([start * o.window, paused * o.window])
+            start, watched = (resumed, full) if resumed <= full else (x.opens(full + 1), None)
+            watched = watched if watched is not None or start is None else start + 1
+        else:
+            half = start + (full + 1 - start) // 2
+            later = x.p[half : full + 1]
+            cut = half + int(np.flatnonzero(later == later.min())[-1])
+            found.append([start * o.window, cut * o.window])
+            start, watched = cut, full + 1
     return pad_segments(found, int(pad), total)
 
 
@@ -91,15 +126,18 @@ def pad_segments(found: list[list[int]], pad: int, total: int) -> list[tuple[int
     return [(a, b) for a, b in found]
 
 
-def vad_segments(scores: str | Column, options: VadOptions = VadOptions()) -> Column:
-    """Array of (start, end) in samples from an array of normalised scores; null gives null."""
+def vad_segments(scores: str | Column, options: VadOptions = VadOptions(), length: str | Column | None = None) -> Column:
+    """Array of (start, end) in samples from an array of normalised scores; null gives null. ``length`` is the recording's
+    length in samples, frames times window if it is null or not given."""
 
     @F.pandas_udf("array<struct<start:bigint,end:bigint>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda p: None if p is None else [{"start": int(a), "end": int(b)} for a, b in segments_of(list(p), options)])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for series, lengths in batches:
+            yield pd.Series([
+                None if p is None else [{"start": int(a), "end": int(b)} for a, b in segments_of(p, options, None if pd.isna(n) else int(n))] for p, n in zip(series, lengths, strict=True)
+            ])
 
-    return run(scores)
+    return run(scores, F.lit(None).cast("long") if length is None else length)
 
 
 def activity_mask(scores: DataFrame, segments: str = "segments", series: str = "scores", window: int = 512) -> DataFrame:

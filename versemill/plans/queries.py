@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from versemill.functions import alignment as al
 from versemill.functions import text as tx
 from versemill.functions.tokenizer import LINE, NONLEXICAL, WORD, tokens_of
 from versemill.operators import analytics as an
@@ -373,10 +374,10 @@ def word_dist(spark, sf):
   )
 ) select uid, sample_idx, cast(row[len(h) + 1] as int) as distance from dp join pairs using (uid, sample_idx) where i = len(r)"""
 )
-def word_distance_native(spark, sf):
+def word_distance(spark, sf):
     rows = ad.pairs(spark, sf)
     split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    return rows.select("uid", "sample_idx", tx.encoded_word_distance(split("ref"), split("hyp")).alias("distance"))
+    return rows.select("uid", "sample_idx", al.word_edit_distance(split("ref"), split("hyp")).alias("distance"))
 
 
 @query()
@@ -410,11 +411,8 @@ def split_lines_render(spark, sf):
     rows = ad.turns(spark, sf).select(F.col("conv_id").alias("uid"), F.col("turn").alias("sample_idx"), F.lit("en").alias("language"), F.col("text").alias("ref"), F.regexp_replace("text", r"\bof\b", "off").alias("hyp"))
     keys = ["uid", "sample_idx"]
     rows = ev.aligned(rows)
-    pieces = render.split_chunks(rows, keys)
-    n = F.size("hyp_words")
-    times = render.hyp_timestamps(F.array(F.struct(F.lit(0.0).alias("start"), F.lit(10.0).alias("end"), n.alias("n_words"))))
-    words = rows.select(*keys, F.transform("ref_words", lambda t: t["text"]).alias("ref_texts"), F.transform("hyp_words", lambda t: t["text"]).alias("hyp_texts"), times.alias("times"))
-    return rounded(render.render_rows(pieces, words, keys))
+    times = render.hyp_timestamps(F.array(F.struct(F.lit(0.0).alias("start"), F.lit(10.0).alias("end"), F.size("hyp_words").alias("n_words"))))
+    return rounded(render.render_rows(render.split_chunks(rows, keys, times=times), keys))
 
 
 @query(
