@@ -8,7 +8,7 @@ from versemill.operators import analytics as an
 from versemill.operators import catalog as cat
 from versemill.operators import evaluation as ev
 from versemill.operators import intervals as iv
-from versemill.operators import pools, render, vad
+from versemill.operators import pools, render, tasks, vad
 from versemill.sources import io
 
 LINES = "song_id long, line_idx long, start double, end double, text string"
@@ -191,3 +191,29 @@ def test_streaming(spark, tmp_path):
         assert spark.table("running").first()["wer"] == 0.2
     finally:
         q.stop()
+
+
+def test_tasks_and_results(spark):
+    songs = spark.createDataFrame([("u1", "d", "en", "a.wav", "stems/u1", "one\ntwo", 9.0), ("u2", "d", "de", "b.wav", None, "drei", 3.0)], "uid string, dataset_id string, language string, audio_path string, stem_dir string, text string, duration_secs double")
+    lines = spark.createDataFrame([("u1", 0, "one", 0.5, 1.0), ("u1", 1, "two", 2.0, 3.25), ("u1", 2, "lost", 4.0, 5.0)], "uid string, pos int, text string, start double, end double")
+    clips = tasks.line_clips(lines)
+    made = {r["uid"]: r for r in tasks.transcription_tasks(songs, "merged_line", clips, audio="htdemucs", with_language=False).collect()}
+    assert made["u1"]["audio_path"] == "sep/htdemucs/d/u1.mp3" and made["u1"]["language"] is None and made["u1"]["clip_timestamps"] is None
+    assert [tuple(c) for c in made["u1"]["clips"]] == [(8000, 16000), (32000, 52000), (64000, 80000)] and made["u2"]["clips"] == []
+    native = {r["uid"]: r for r in tasks.transcription_tasks(songs, "song", batched=False).collect()}
+    assert native["u2"]["clip_timestamps"] == ["0"] and native["u2"]["audio_path"] == "b.wav" and native["u2"]["language"] == "de"
+    flat = tasks.transcription_tasks(songs, "song", clips.where("uid = 'u1'"), batched=False).where("uid = 'u1'").first()
+    assert flat["clip_timestamps"][:4] == ["0.5", "1.0", "2.0", "3.25"]
+    with pytest.raises(ValueError):
+        tasks.transcription_tasks(songs, "verse")
+    outputs = spark.createDataFrame([("u1", 1, "to"), ("u1", 0, "one")], "uid string, pos int, text string")
+    known = tasks.transcription_tasks(songs, "song")
+    whole = tasks.results(songs, known, outputs, "song").collect()
+    assert [(r["uid"], r["ref"], r["hyp"], r["end"], r["audio_path"]) for r in whole] == [("u1", "one\ntwo", "one\nto", 9.0, "a.wav")]
+    by_line = tasks.results(songs, known, outputs, "merged_line", lines)
+    assert sorted((r["sample_idx"], r["ref"], r["hyp"]) for r in by_line.collect()) == [(0, "one", "one"), (1, "two", "to")]
+    counted = {r["sample_idx"]: (r["hit"], r["sub"]) for r in tasks.with_evaluation(by_line).collect()}
+    assert counted == {0: (1, 0), 1: (0, 1)}
+    with pytest.raises(Exception, match="no task for"):
+        tasks.results(songs, known.where("uid = 'u2'"), outputs, "song").collect()
+    assert tasks.results(songs, known, outputs.limit(0), "song").count() == 0

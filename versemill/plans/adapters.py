@@ -109,3 +109,25 @@ PAIRS = r"""words as (
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame scores of recordings: an embedding's magnitudes."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("scores"))
+
+
+ALIGNED = PAIRS + """, dp as materialized (
+  select uid, sample_idx, 0 as i, range(0, len(h) + 1) as row from pairs
+  union all
+  select uid, sample_idx, i + 1, list_transform(range(1, len(b) + 1), lambda k: list_min(list_transform(range(1, k + 1), lambda j: b[j] + k - j))) from (
+    select d.uid, d.sample_idx, d.i, list_prepend(d.i + 1, list_transform(range(1, len(p.h) + 1), lambda j: least(d.row[j] + case when p.h[j] = p.r[d.i + 1] then 0 else 1 end, d.row[j + 1] + 1))) as b
+    from dp d join pairs p using (uid, sample_idx) where d.i < len(p.r)
+  )
+), back as (
+  select uid, sample_idx, len(r) as i, len(h) as j, 0 as step, '' as typ, cast(null as varchar) as ref, cast(null as varchar) as hyp from pairs
+  union all
+  select uid, sample_idx, case when typ = 'ins' then i else i - 1 end, case when typ = 'del' then j else j - 1 end, step + 1, typ, case when typ <> 'ins' then r[i] end, case when typ <> 'del' then h[j] end from (
+    select t.uid, t.sample_idx, t.i, t.j, t.step, p.r, p.h,
+           case when t.i > 0 and t.j > 0 and a.row[t.j + 1] = b.row[t.j] + case when p.r[t.i] = p.h[t.j] then 0 else 1 end then case when p.r[t.i] = p.h[t.j] then 'hit' else 'sub' end
+                when t.i > 0 and a.row[t.j + 1] = b.row[t.j + 1] + 1 then 'del' else 'ins' end as typ
+    from back t join pairs p using (uid, sample_idx) join dp a on a.uid = t.uid and a.sample_idx = t.sample_idx and a.i = t.i
+    left join dp b on b.uid = t.uid and b.sample_idx = t.sample_idx and b.i = t.i - 1 where t.i > 0 or t.j > 0
+  )
+), ops as (
+  select uid, sample_idx, role as dataset, -step as k, typ, ref, hyp from back join (select conv_id as uid, turn as sample_idx, role from conversations) using (uid, sample_idx) where step > 0
+)"""

@@ -14,7 +14,7 @@ from versemill.operators import analytics as an
 from versemill.operators import catalog as cat
 from versemill.operators import evaluation as ev
 from versemill.operators import intervals as iv
-from versemill.operators import pools, render, vad
+from versemill.operators import pools, render, tasks, vad
 from versemill.plans import adapters as ad
 from versemill.streaming import live
 
@@ -307,11 +307,14 @@ def vad_segments(spark, sf):
 
 @query(
     "with x as (select vec_id as uid, list_transform(embedding, lambda v: abs(cast(v as double))) as a from embeddings), y as (select uid, unnest(a) as v, list_max(a) as top, unnest(range(0, len(a))) as frame from x) "
-    "select uid, frame, round(v / top, 6) as score, cast(v / top >= 0.3 as int) as active from y"
+    "select uid, frame, round(v / top, 6) as score, cast(frame * 16000 between (uid % 7) * 16000 and (uid % 7 + 10) * 16000 - 1 or frame * 16000 between (30 + uid % 5) * 16000 + 1 and 50 * 16000 + 799 as int) as active from y"
 )
 def vad_mask(spark, sf):
-    rows = ad.scores(spark, sf).withColumn("scores", vad.normalised("scores")).select("uid", F.posexplode("scores").alias("frame", "score"))
-    return rounded(rows.select("uid", F.col("frame").cast("long").alias("frame"), "score", (F.col("score") >= 0.3).cast("int").alias("active")))
+    span = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    w, uid = 16000, F.col("uid")
+    segments = F.array(span((uid % 7) * w, (uid % 7 + 10) * w), span((30 + uid % 5) * w + 1, F.lit(50 * w + 800)))
+    rows = ad.scores(spark, sf).withColumn("scores", vad.normalised("scores")).withColumn("segments", segments)
+    return rounded(vad.activity_mask(rows, window=w).select("uid", F.col("frame").cast("long").alias("frame"), "score", "active"))
 
 
 @query()
@@ -380,26 +383,112 @@ def word_distance(spark, sf):
     return rows.select("uid", "sample_idx", al.word_edit_distance(split("ref"), split("hyp")).alias("distance"))
 
 
-@query()
+COUNTS = ", ".join(f"cast(count(*) filter (where typ = '{t}') as bigint) as {t}" for t in ("hit", "sub", "ins")) + ", cast(count(*) filter (where typ = 'del') as bigint) as del"
+# the other engine's levenshtein counts bytes: lower-case letters beyond ASCII become upper-case ASCII ones first
+ACCENTED, PLAIN = "äöüßéèêàâçôîûñíóúáœæãõìòùë", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DISTANCE = f"levenshtein(translate(ref, '{ACCENTED}', '{PLAIN}'), translate(hyp, '{ACCENTED}', '{PLAIN}'))"
+NO_TAGS = ", ".join(f"0::bigint as {t}_{c}" for t in ("hit", "sub", "del") for c in ("nl", "bv"))
+
+
+@query(
+    f"with recursive {ad.ALIGNED}, counts as (select uid, sample_idx, {COUNTS} from ops group by uid, sample_idx) "
+    f"select uid, role as dataset, 'en' as language, sample_idx, 0.0::double as start, len(r)::double as \"end\", coalesce(hit, 0) as hit, coalesce(sub, 0) as sub, coalesce(ins, 0) as ins, coalesce(del, 0) as del, {NO_TAGS}, "
+    "array_to_string(r, ' ') as ref, array_to_string(h, ' ') as hyp, len(r)::bigint as len, round((sub + del + ins)::double / nullif(len(r), 0), 6) as wer, len(r)::double as duration "
+    "from pairs left join counts using (uid, sample_idx) join (select conv_id as uid, turn as sample_idx, role from conversations) using (uid, sample_idx)"
+)
 def align_samples(spark, sf):
     return rounded(ev.samples(ev.aligned(ad.pairs(spark, sf))))
 
 
-@query()
+@query(
+    f"with recursive {ad.ALIGNED}, marked as (select *, case when typ = lag(typ) over w then 0 else 1 end as opens from ops window w as (partition by uid, sample_idx order by k)), "
+    "numbered as (select *, sum(opens) over (partition by uid, sample_idx order by k rows unbounded preceding) - 1 as chunk_idx from marked) "
+    "select typ, coalesce(string_agg(ref, ' ' order by k), '') as ref, coalesce(string_agg(hyp, ' ' order by k), '') as hyp, count(*) as len, uid, dataset, 'en' as language, sample_idx, cast(chunk_idx as int) as chunk_idx, 0::bigint as nl, 0::bigint as bv "
+    "from numbered group by uid, dataset, sample_idx, chunk_idx, typ"
+)
 def align_chunks(spark, sf):
     return ev.chunks(ev.aligned(ad.pairs(spark, sf)))
 
 
-@query()
+@query(
+    f"with recursive {ad.ALIGNED} select typ, dataset, false as nl, false as bv, count(*) as edits, sum(case when ref is null or hyp is null then 0 else {DISTANCE} end)::double as dist from ops group by typ, dataset"
+)
 def align_edits(spark, sf):
     return ev.edits(ev.aligned(ad.pairs(spark, sf))).groupBy("typ", "dataset", "nl", "bv").agg(F.count("*").alias("edits"), F.sum(F.nanvl("dist", F.lit(0.0))).alias("dist"))
 
 
-@query()
+@query(
+    f"""with recursive {ad.ALIGNED}, counts as (
+  select dataset, count(*) filter (where typ = 'hit') as hits, count(*) filter (where typ = 'sub') as substitutions, count(*) filter (where typ = 'del') as deletions, count(*) filter (where typ = 'ins') as insertions,
+         count(*) filter (where typ = 'sub' and {DISTANCE} in (1, 2) and greatest(length(ref), length(hyp)) > 2 * {DISTANCE}) as nears from ops group by dataset
+), n as (select *, hits + substitutions + deletions as total_len, hits + substitutions + insertions as heard, substitutions + deletions + insertions as wrong from counts)
+select dataset, round(wrong / total_len, 6) as "WER", round((wrong - nears) / total_len, 6) as "WER_near", round(wrong / (hits + wrong), 6) as "MER", round(1 - (hits / total_len) * (hits / heard), 6) as "WIL", hits, round(nears / total_len, 6) as near,
+       substitutions, deletions, insertions, nears, round(substitutions / total_len, 6) as sub_rate, round(deletions / total_len, 6) as del_rate, round(insertions / total_len, 6) as ins_rate, 0.0::double as "ER_case",
+       round(wrong / total_len, 6) as "WER_case", total_len, 0::bigint as deletions_backing, 0::bigint as deletions_nonlexical from n"""
+)
 def wer_metrics(spark, sf):
     return rounded(ev.word_metrics(ev.aligned(ad.pairs(spark, sf)), ["dataset"]))
 
 
+def _song_rows(spark, sf):
+    rows = ad.catalog(spark, sf).select("*", F.col("song_id").alias("uid"), F.concat(F.lit("audio/"), F.col("song_id").cast("string")).alias("audio_path"), F.concat(F.lit("stems/"), F.col("song_id").cast("string")).alias("stem_dir"))
+    return rows.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def _timed(spark, sf):
+    return cat.short_lines(ad.lines(spark, sf)).withColumnRenamed("song_id", "uid")
+
+
+TASK_SONGS = "select distinct user_id as uid from events"
+
+
+@query(
+    f"with {ad.LINES}, kept as (select song_id as uid, cast(trunc(s * 16000) as bigint) as a, cast(trunc(e * 16000) as bigint) as b, s, e from lines where e - s <= 30) "
+    "select uid, 'sep/htdemucs/d/' || uid || '.mp3' as audio_path, 'en' as language, row_number() over (partition by uid order by s, e) - 1 as clip_idx, a as start, b as \"end\" from kept"
+)
+def line_tasks(spark, sf):
+    lines = _timed(spark, sf)
+    songs = lines.select("uid").distinct().select(F.col("uid").cast("string").alias("uid"), F.lit("d").alias("dataset_id"), F.lit("en").alias("language"), F.lit("x").alias("audio_path"), F.lit(None).cast("string").alias("stem_dir"))
+    made = tasks.transcription_tasks(songs, "merged_line", tasks.line_clips(lines.withColumn("uid", F.col("uid").cast("string"))), audio="htdemucs")
+    return made.select(F.col("uid").cast("long").alias("uid"), "audio_path", "language", F.posexplode("clips").alias("clip_idx", "c")).select("uid", "audio_path", "language", F.col("clip_idx").cast("long").alias("clip_idx"), "c.start", "c.end")
+
+
+@query()
+def activity_tasks(spark, sf):
+    """Song-level tasks whose clips are packed activity, as the flat list of sequential recognition."""
+    found = ad.scores(spark, sf).withColumn("segments", vad.vad_segments(vad.normalised("scores"), OPTIONS)).select("uid", tasks.activity_clips("segments").alias("clips"))
+    songs = found.select("uid", F.lit("d").alias("dataset_id"), F.lit("en").alias("language"), F.lit("x").alias("audio_path"), F.concat(F.lit("stems/"), F.col("uid").cast("string")).alias("stem_dir"))
+    made = tasks.transcription_tasks(songs, "song", found, audio="vocal_stem", batched=False)
+    return made.select("uid", "audio_path", F.size("clips").alias("clips"), F.array_join("clip_timestamps", ",").alias("clip_timestamps"))
+
+
+@query(
+    f"with {ad.CATALOG} select song_id as uid, 'audio/' || song_id as audio_path, dataset_id, language, 0 as sample_idx, coalesce(text, '') as ref, lower(coalesce(text, '')) as hyp, 0.0::double as start, duration_secs as \"end\" from songs"
+)
+def song_results(spark, sf):
+    songs = _song_rows(spark, sf)
+    outputs = songs.select("uid", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "text"))
+    return tasks.results(songs, tasks.transcription_tasks(songs, "song"), outputs, "song")
+
+
+@query(
+    f"with recursive {ad.ALIGNED}, counts as (select uid, sample_idx, {COUNTS} from ops group by uid, sample_idx) select uid, 'audio' as audio_path, role as dataset_id, 'en' as language, sample_idx, coalesce(hit, 0) as hit, coalesce(sub, 0) as sub, "
+    "coalesce(ins, 0) as ins, coalesce(del, 0) as del, round((sub + del + ins)::double / nullif(len(r), 0), 6) as wer from pairs left join counts using (uid, sample_idx) join (select conv_id as uid, turn as sample_idx, role from conversations) using (uid, sample_idx)"
+)
+def results_with_evaluation(spark, sf):
+    rows = ad.pairs(spark, sf).withColumns({"dataset_id": F.col("dataset"), "audio_path": F.lit("audio")})
+    return rounded(tasks.with_evaluation(rows).select("uid", "audio_path", "dataset_id", "language", "sample_idx", "hit", "sub", "ins", "del", "wer"))
+
+
+@query(
+    ISLANDS
+    + ", numbered as (select *, row_number() over (partition by song_id order by line_idx) - 1 as k from kept join islands using (song_id, line_idx)) "
+    "select song_id, island, case when count(*) > 1 then printf('%03d-%03d', min(k), max(k)) else printf('%03d', min(k)) end as name from numbered group by song_id, island"
+)
+def group_names(spark, sf):
+    return tasks.group_names(cat.short_lines(ad.lines(spark, sf)))
+
+
 @query()
 def tag_prf(spark, sf):
     rows = ad.turns(spark, sf).select(F.col("role").alias("uid"), F.col("turn").alias("sample_idx"), F.lit("en").alias("language"), F.col("text").alias("ref"), F.regexp_replace("text", "[.,]", "").alias("hyp"))

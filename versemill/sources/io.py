@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable, Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versemill.functions.text import has_words
@@ -56,16 +56,17 @@ def _lines(songs: DataFrame) -> DataFrame:
     return catalog.short_lines(catalog.use_tagged_text(rows))
 
 
-def tagged_songs(source: DataFrame, dataset_id: str, languages: tuple[str, ...] = (), underscore: bool = False, newline: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def tagged_songs(source: DataFrame, dataset_id: str, languages: tuple[str, ...] = (), underscore: bool = False, newline: bool = False, stem_dir: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(songs, merged lines, grouped lines) of a catalogue with tagged lines (TAGGED_SONGS).
 
-    ``underscore`` writes spaces of names as underscores, ``newline`` ends each line's text with a newline.
+    ``underscore`` writes spaces of names as underscores, ``newline`` ends each line's text with a newline;
+    ``stem_dir`` is the folder of a song's stems as a function of its row, where the catalogue has stems.
     """
     rows = source.where(F.col("language").isin(*languages)) if languages else source
     rows = rows.withColumn("song_id", F.translate("name", " ", "_") if underscore else F.col("name"))
     songs = rows.select(
         F.concat_ws("_", "song_id", F.lit(dataset_id)).alias("uid"), F.lit(dataset_id).alias("dataset_id"), "song_id", F.col("text_tagged").alias("text"), F.lit("test").alias("split"), "duration_secs",
-        "language", "audio_path", F.lit(None).cast("string").alias("stem_dir"),
+        "language", "audio_path", (F.lit(None) if stem_dir is None else stem_dir).cast("string").alias("stem_dir"),
     )
     lines = _lines(rows)
     if newline:
