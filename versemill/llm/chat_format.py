@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,22 +128,22 @@ def format_conversation(turns: list[tuple[str, str]]) -> Formatted:
 FORMAT_SCHEMA = "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>"
 
 
-def _conversations(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
     """Consecutive rows of one conv_id, across Arrow batches."""
-    rows = ((None if pd.isna(c) else int(c), r, t) for f in frames for c, r, t in zip(f["conv_id"], f["role"], f["text"], strict=True))
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
     for key, group in itertools.groupby(rows, key=lambda x: x[0]):
-        yield key, [("" if r is None else r, "" if t is None else t) for _, r, t in group]
+        yield key, [(r or "", t or "") for _, r, t in group]
 
 
-def _format(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    found = _conversations(frames)
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _conversations(batches)
     while chunk := list(itertools.islice(found, 256)):
-        made = [(key, format_conversation(turns)) for key, turns in chunk]
-        yield pd.DataFrame({
-            "conv_id": pd.array([k for k, _ in made], "Int64"),
-            "formatted": [f.text for _, f in made],
-            "loss_spans": [[{"start": a, "end": b} for a, b in f.loss] for _, f in made],
-        })
+        made = [format_conversation(turns) for _, turns in chunk]
+        spans = [[{"start": a, "end": b} for a, b in f.loss] for f in made]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in chunk], pa.int64()), pa.array([f.text for f in made], pa.string()), pa.array(spans, SPANS)], ["conv_id", "formatted", "loss_spans"])
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -158,22 +158,25 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInPandas(_format, FORMAT_SCHEMA)
+    return dealt.select("conv_id", "role", "text").mapInArrow(_format, FORMAT_SCHEMA)
 
 
-def _read_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    sha = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    for batch in batches:
         out = []
-        for key, text, spans in zip(f["conv_id"], f["formatted"], f["loss_spans"], strict=True):
+        for key, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             turns = parse(text)
             under = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-            told = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((key, len(turns), told, len(under), hashlib.sha256(under.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            out.append((key, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(under), sha(under), len(text)))
+        columns = list(zip(*out, strict=True)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the parser and the loss spans recover from formatted conversations."""
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(
         _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

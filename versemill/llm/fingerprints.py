@@ -87,28 +87,48 @@ def edited(text: str, following: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+NO_ID = -(2**63)  # a null doc_id, after all others in descending order
+PARTS = 4  # buckets for each shuffle partition
+
+
+def buckets_of(cuts: list[int]):
+    """(doc_id, hash) to a range bucket. An id that is several cuts at once, for very many rows have it, is split by the hash.
+
+    Buckets descend where ids descend and, within an id, where hashes ascend.
+    """
+    edges = np.asarray(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        low, high = np.searchsorted(edges, ids.to_numpy(), "left"), np.searchsorted(edges, ids.to_numpy(), "right")
+        share = hashes.to_numpy().astype(float) / 2.0**64 + 0.5
+        return pd.Series(np.where(high > low + 1, high - np.floor(np.minimum(share, 1 - 1e-9) * (high - low)), high).astype(np.int32))
+
+    return bucket
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """(bucket, guest, doc_id, text): range buckets of descending doc_id, each with the document that follows its last as a guest.
+    """(bucket, guest, doc_id, h, text): range buckets of descending doc_id, each with the document that follows its last as a guest.
 
-    Buckets come from quantiles of the ids, and the driver holds one id for each bucket. Texts are shuffled once.
+    Buckets come from quantiles of the ids, and the driver holds one row for each bucket. Texts are shuffled once.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 4 * parts
-    rows = keyed_text(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted({int(x) for x in rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)})
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
-    heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}
+    n = PARTS * parts
+    rows = keyed_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    cuts = [int(x) for x in rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)]
+    ids = rows.select("doc_id", F.xxhash64("text").alias("h"))
+    head = F.min(F.struct((-F.col("doc_id").cast("decimal(20)")).alias("back"), F.col("h"), F.col("doc_id")))  # the first of a bucket in order
+    heads = {r["bucket"]: (r["doc_id"], r["h"]) for r in ids.withColumn("bucket", buckets_of(cuts)("doc_id", "h")).groupBy("bucket").agg(head.alias("x")).select("bucket", "x.doc_id", "x.h").collect()}
     full = sorted(heads, reverse=True)
-    sent = [(heads[b], full[k - 1]) for k, b in enumerate(full)]  # the first bucket's head follows the last bucket
-    guests = spark.createDataFrame(sent, "doc_id long, host int")
+    sent = [(*heads[b], full[k - 1]) for k, b in enumerate(full)]  # the first bucket's head follows the last bucket
+    guests = spark.createDataFrame(sent, "doc_id long, h long, host int")
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("bucket", buckets_of(cuts)("doc_id", "h"))
+    own = F.struct(F.col("bucket"), F.lit(0).alias("guest"))
+    both = F.array(own, F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest")))
     # guests has a row for each bucket at most
-    placed = rows.join(F.broadcast(guests), "doc_id", "left").select(
-        F.explode(F.when(F.col("host").isNull(), F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest"))))).alias("at"),
-        "doc_id", "text",
-    )
-    return placed.select("at.bucket", "at.guest", "doc_id", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "text")
+    placed = rows.join(F.broadcast(guests), ["doc_id", "h"], "left").select(F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(both)).alias("at"), "doc_id", "h", "text")
+    return placed.select("at.bucket", "at.guest", "doc_id", "h", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "h", "text")
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +142,7 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             changed = edited(text, following)
             new = fingerprint(changed)
             digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-            yield None if d == -(2**63) else d, len(text), digest, as_string(own), as_string(new), likeness(own, new), likeness(own, its)
+            yield None if d == NO_ID else d, len(text), digest, as_string(own), as_string(new), likeness(own, new), likeness(own, its)
 
     found = results()
     while part := list(itertools.islice(found, 500)):
@@ -133,7 +153,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, with the likeness to the edited and to the next text.
 
     The next document has the greatest smaller doc_id; after the last comes the first. Null text is empty; a null doc_id
-    sorts last and stays null; rows of one doc_id follow each other by text; a single row follows itself; an empty table
+    sorts last and stays null; rows of one doc_id follow each other by a hash of the text, then by text; a single row follows itself; an empty table
     gives no rows; other columns are ignored.
     """
     return in_order(docs).mapInPandas(_compare, SCHEMA)

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,64 +51,107 @@ def furniture_words(attrs: list[tuple[str, str | None]]) -> set[str]:
     return found
 
 
+@dataclass
+class _Element:
+    """An open or closed element that is no inline one, or that its attributes name as furniture. Numbers ascend in page order."""
+
+    parent: int  # the element around it, itself at the root
+    until: int = 0  # the last element in it
+
+
 @dataclass
 class _Named:
     """An element that its attributes name as furniture."""
 
     discussion: bool
-    around: tuple[int, ...]  # open elements of that kind around it
+    parent: int  # the named element around it, 0 for none
     within: frozenset[str]  # names of the regions around it
     holds: set[str]  # names of the regions in it
 
 
+@dataclass(frozen=True)
+class _Open:
+    """What an open element hands on to what is in it."""
+
+    tag: str
+    serial: int
+    block: int  # the innermost element that is no inline one
+    dropped: bool
+    named: int  # the innermost named element, 0 for none
+    region: int  # the outermost region, 0 for none
+    regions: frozenset[str]  # names of the regions around
+
+
+ROOT = _Open("", 0, 0, False, 0, 0, frozenset())
+
+
 class _Blocks(HTMLParser):
-    """Collects block lines: [pieces of text with the named elements around each, tags, path of open elements]."""
+    """Collects block lines: pieces of text with the named element around each, tags, innermost block and outermost region.
+
+    Every element costs the same, however deep it lies: a line knows only what its element knows.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
-        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []  # name, serial number, dropped, named elements around
-        self.regions: dict[int, str] = {}
+        self.lines: list[tuple[list[tuple[str, int]], int, int, int, frozenset[str]]] = []
+        self.open: list[_Open] = []
+        self.count: Counter[str] = Counter()  # open elements by name
+        self.elements: list[_Element] = [_Element(0)]
         self.named: dict[int, _Named] = {}
-        self.serial, self.tags, self.text = 0, 0, []
+        self.tags, self.text = 0, []
+
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else ROOT
 
     def flush(self) -> None:
         if any(text and not text.isspace() for text, _ in self.text):
-            self.lines.append((self.text, self.tags, tuple(x[1] for x in self.open if x[0] not in INLINE)))
+            at = self.top()
+            self.lines.append((self.text, self.tags, at.block, at.region, at.regions))
             self.tags = 0
         self.text = []
 
+    def close_from(self, k: int) -> None:
+        for x in self.open[k:]:
+            self.count[x.tag] -= 1
+            self.elements[x.serial].until = len(self.elements) - 1
+        del self.open[k:]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
-            self.text.append(("\n", ()))
-        if tag not in INLINE:
+            self.text.append(("\n", self.top().named))
+        inline = tag in INLINE
+        if not inline:
             self.flush()
             # a block start closes an open paragraph with the inline elements left open in it
             self._close_through(tag if tag in ("li", "dt", "dd", "tr", "td", "th") else "p", stop=("ul", "ol", "dl", "table"))
         self.tags += 1
         if tag in VOID:
             return
-        self.serial += 1
+        around, serial = self.top(), len(self.elements)
+        self.elements.append(_Element(around.serial))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        dropped = bool((self.open and self.open[-1][2]) or tag in NEVER or hidden)
-        around = self.open[-1][3] if self.open else ()
+        # a heading group inside an article is part of it
+        dropped = around.dropped or hidden or (tag in NEVER and not (tag == "header" and "article" in around.regions))
+        named, region, regions = around.named, around.region, around.regions
         if tag in REGION and not dropped:
-            self.regions[self.serial] = tag
-            for e in around:
-                self.named[e].holds.add(tag)
+            region, regions = region or serial, regions | {tag}
+            if named:
+                self.named[named].holds.add(tag)
         elif tag not in ("html", "body") and not dropped and (words := furniture_words(attrs)):
-            within = frozenset(self.regions[x[1]] for x in self.open if x[1] in self.regions)
-            self.named[self.serial] = _Named(bool(words & DISCUSSION), around, within, set())
-            around = (*around, self.serial)
-        self.open.append((tag, self.serial, dropped, around))
+            self.named[serial] = _Named(bool(words & DISCUSSION), named, regions, set())
+            named = serial
+        self.open.append(_Open(tag, serial, around.block if inline else serial, dropped, named, region, regions))
+        self.count[tag] += 1
 
     def _close_through(self, tag: str, stop: tuple[str, ...] = ()) -> None:
         """Close the innermost open ``tag`` and what is open inside, if only inline elements lie between."""
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
+            if self.open[k].tag == tag:
+                self.close_from(k)
                 return
-            if self.open[k][0] in stop or self.open[k][0] not in INLINE:
+            if self.open[k].tag in stop or self.open[k].tag not in INLINE:
                 return
 
     def handle_endtag(self, tag: str) -> None:
@@ -115,21 +160,28 @@ class _Blocks(HTMLParser):
         if tag not in INLINE:
             self.flush()
         self.tags += 1
-        names = [x[0] for x in self.open]
-        if tag not in names:
-            return
-        k = len(names) - 1 - names[::-1].index(tag)
-        if tag in INLINE and any(n not in INLINE for n in names[k + 1 :]):
+        if not self.count[tag]:
             return
-        del self.open[k:]
+        k = len(self.open) - 1
+        while self.open[k].tag != tag:
+            if tag in INLINE and self.open[k].tag not in INLINE:
+                return
+            k -= 1
+        self.close_from(k)
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][2]):
-            self.text.append((data, self.open[-1][3] if self.open else ()))
+        at = self.top()
+        if not at.dropped:
+            self.text.append((data, at.named))
 
     def finish(self) -> None:
         self.close()
         self.flush()
+        self.close_from(0)
+        self.elements[0].until = len(self.elements) - 1
+        for e in sorted(self.named, reverse=True):  # what a named element holds, those around it hold too
+            if p := self.named[e].parent:
+                self.named[p].holds |= self.named[e].holds
 
 
 def smoothed(ratios: list[float]) -> list[float]:
@@ -142,24 +194,32 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
-Line = tuple[str, int, tuple[int, ...]]
+@dataclass
+class Line:
+    text: str
+    tags: int
+    block: int
+    region: int
 
 
 def without(parser: _Blocks, left_out: set[int]) -> list[Line]:
-    """(text, tags, path) of the lines outside the named elements ``left_out``; tags met there count for the next line."""
+    """The lines outside the named elements ``left_out``; tags met there count for the next line."""
+    gone: dict[int, bool] = {0: False}
+    for e in sorted(parser.named):
+        gone[e] = e in left_out or gone[parser.named[e].parent]
     out: list[Line] = []
     tags = 0
-    for pieces, n, path in parser.lines:
+    for pieces, n, block, region, _ in parser.lines:
         tags += n
-        if words := "".join(text for text, around in pieces if left_out.isdisjoint(around)).split():
-            out.append((" ".join(words), tags, path))
+        if words := "".join(text for text, named in pieces if not gone[named]).split():
+            out.append(Line(" ".join(words), tags, block, region))
             tags = 0
     return out
 
 
 def clusters(lines: list[Line]) -> tuple[list[float], float, list[int]]:
     """(text-to-tag ratio of each line, threshold, lines whose smoothed ratio reaches it)."""
-    own = [len(text) / max(1, tags) for text, tags, _ in lines]
+    own = [len(x.text) / max(1, x.tags) for x in lines]
     ratio = smoothed(own)
     mean = sum(ratio) / len(ratio)
     threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)), max(ratio))
@@ -173,28 +233,32 @@ def furniture(parser: _Blocks) -> set[int]:
     main), or that holds a main, or an article, unless that is a related one: inside another article, or in a main with an
     article of clustered text beside it.
     """
-    if not parser.named:
-        return set()
-    lines = without(parser, set())
-    if not lines:
+    if not parser.named or not (lines := without(parser, set())):
         return set()
     total = 0
     weight: Counter[int] = Counter()  # clustered characters by named element
-    beside: list[tuple[frozenset[int], set[str]]] = []  # of each clustered line the named elements and regions around it
+    beside: dict[int, set[str]] = defaultdict(set)  # names of the regions around clustered lines, by the named element around them
+
+    def common(a: int, b: int) -> int:
+        while a != b:  # numbers ascend inwards
+            a, b = (parser.named[a].parent, b) if a > b else (a, parser.named[b].parent)
+        return a
+
     for k in clusters(lines)[2]:
-        pieces, _, path = parser.lines[k]
-        for text, around in pieces:
+        pieces, _, _, _, regions = parser.lines[k]
+        for text, named in pieces:
             total += len(text)
-            for e in around:
-                weight[e] += len(text)
-        least = frozenset.intersection(*[frozenset(around) for text, around in pieces if not text.isspace()])
-        beside.append((least, {parser.regions[e] for e in path if e in parser.regions}))
-    seen = Counter((around, name) for around, names in beside for name in names)
+            weight[named] += len(text)
+        beside[reduce(common, {named for text, named in pieces if not text.isspace()})] |= regions
+    for e in sorted(parser.named, reverse=True):
+        weight[parser.named[e].parent] += weight[e]
+    outside: dict[int, frozenset[str]] = {0: frozenset()}
     gone = set()
-    for e, x in parser.named.items():
-        outside = {name for around, name in seen if around <= set(x.around)}
-        related = "article" in x.within or ("main" in x.within and "article" in outside)
-        wins = 2 * weight[e] > total and not (x.discussion and outside)
+    for e in sorted(parser.named):
+        x = parser.named[e]
+        outside[e] = outside[x.parent] | beside.get(x.parent, set())
+        related = "article" in x.within or ("main" in x.within and "article" in outside[e])
+        wins = 2 * weight[e] > total and not (x.discussion and outside[e])
         if not (wins or "main" in x.holds or ("article" in x.holds and not related)):
             gone.add(e)
     return gone
@@ -209,30 +273,34 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     own, threshold, content = clusters(lines)
-    # every cluster votes for its region with the characters it holds
-    votes: Counter[int] = Counter()
-    for k in content:
-        region = next((e for e in lines[k][2] if e in parser.regions), None)
-        if region is not None:
-            votes[region] += len(lines[k][0])
+    # every cluster votes for its region
+    votes = {lines[k].region for k in content} - {0}
     if votes:
-        return "\n\n".join(text for text, _, path in lines if any(e in votes for e in path))
+        return "\n\n".join(x.text for x in lines if x.region in votes)
     # the deepest element that holds more than one line and all clustered lines but those lifted by their neighbours only,
-    # which would draw in what lies next to the text; paths begin at the root
-    strong = [k for k in content if own[k] >= threshold] or content
-    around = lines[strong[0]][2]
-    for k in strong:
-        around = tuple(e for e, other in zip(around, lines[k][2], strict=False) if e == other)
-    held = Counter(e for _, _, path in lines for e in path)
-    region = next((e for e in reversed(around) if held[e] > 1), None)
+    # which would draw in what lies next to the text
+    strong = [lines[k].block for k in content if own[k] >= threshold] or [lines[k].block for k in content]
+    blocks = sorted(x.block for x in lines)
+    region, first, last = strong[0], min(strong), max(strong)
+
+    def holds(e: int) -> bool:
+        until = parser.elements[e].until
+        return e <= first and last <= until and bisect_right(blocks, until) - bisect_left(blocks, e) > 1
+
+    while region and not holds(region):
+        region = parser.elements[region].parent
+    until = parser.elements[region].until
     kept = set(content)
-    return "\n\n".join(text for k, (text, _, path) in enumerate(lines) if region is None or region in path or k in kept)
+    return "\n\n".join(x.text for k, x in enumerate(lines) if region <= x.block <= until or k in kept)
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        found = [main_text(h) for h in f["html"]]
-        yield pd.DataFrame({"page_id": f["page_id"].astype("Int64"), "url": f["url"], "text": found, "n_chars": [len(t) for t in found]})
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = [main_text(h.as_py()) for h in part.column(2)]
+            columns = [part.column(0), part.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -242,4 +310,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     results; an empty table gives no rows; other columns are ignored. One map over the rows: nothing is shuffled.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versemill.llm._common import crc32_of_id, keyed_text
@@ -128,13 +128,16 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on (doc_id, text, lang) rows with a language and a letter, ``sample_rows`` at most, picked by the hash of doc_id.
+    """Fit on (doc_id, text, lang) rows with a language and a letter, ``sample_rows`` at most.
 
-    Which rows may be learned from is the caller's choice. Profiles are made on executors, and the driver receives at most
-    ``sample_rows`` of them. Without usable rows the model predicts ``und`` everywhere.
+    Each language gives its first rows by the hash of doc_id, then its second rows and so on, so that rare languages are
+    learned too. Which rows may be learned from is the caller's choice. Profiles are made on executors, and the driver
+    receives at most ``sample_rows`` of them. Without usable rows the model predicts ``und`` everywhere.
     """
-    known = docs.where("doc_id is not null and lang is not null and text is not null")
-    picked = known.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    known = docs.where("doc_id is not null and lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    ids = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("h", F.xxhash64("doc_id"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = ids.withColumn("place", place).where(F.col("place") <= sample_rows).orderBy("place", "h", "doc_id").limit(sample_rows).select("doc_id")
     # bounded by sample_rows ids; of rows that repeat an id one is used
     rows = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("lang", "text").alias("row")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("row").alias("row")).select("row.lang", "row.text")
 

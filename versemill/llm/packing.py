@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from versemill.llm._common import keyed_text, materialize
 
-CAPACITY, EOS, SALTS = 1024, 2, 256
+CAPACITY, EOS = 1024, 2
+RANKED_ROWS = 50_000  # pieces of one length that one task ranks, on average
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # Fixed value: the pre-tokeniser pattern of byte-level BPE vocabularies.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -107,33 +108,45 @@ class Run:
     count: int
 
 
-def _exact(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to the gap, the fewest and largest first.
+class _Sums:
+    """Indexes of the sums of single, pairs and triples of lengths, under the counts that are left.
 
-    ``left`` is the index of single lengths by their availability; the sums of pairs are read off it against its mirror,
-    those of triples off the pair index of what a first length leaves.
+    Counts only fall, so what is exhausted leaves an index for good.
     """
-    if left[gap] > 0:
-        return (gap,)
-
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        if total < 2:
-            return None
-        a = np.arange((total + 1) // 2, min(total - 1, most) + 1)
-        ok = a[(left[a] > 0) & (left[total - a] > (a == total - a))]
-        return (int(ok[-1]), int(total - ok[-1])) if len(ok) else None
-
-    if found := pair(gap, gap):
-        return found
-    for a in np.flatnonzero(left[: gap - 1])[::-1].tolist():
-        if 3 * a < gap:
-            break
-        left[a] -= 1
-        found = pair(gap - a, a)
-        left[a] += 1
-        if found:
-            return (a, *found)
-    return None
+
+    def __init__(self, left: np.ndarray):
+        self.left, lengths = left, np.flatnonzero(left).tolist()
+        self.lengths = lengths[::-1]
+        self.pairs: dict[int, list[tuple[int, int]]] = {}  # by sum, the largest first member last
+        for i, a in enumerate(lengths):
+            for b in lengths[: i + 1]:
+                if a + b >= len(left):
+                    break
+                self.pairs.setdefault(a + b, []).append((a, b))
+        self.triples: dict[int, list[int]] = {}  # by sum, the first members of triples not exhausted yet, the largest last
+
+    def _there(self, *members: int) -> bool:
+        return all(self.left[x] >= members.count(x) for x in members)
+
+    def pair(self, total: int, most: int, *taken: int) -> tuple[int, int] | None:
+        """A pair of this sum with no member over ``most``, beside the lengths ``taken``."""
+        known = self.pairs.get(total, [])
+        while known and not self._there(*known[-1]):
+            known.pop()
+        return next((p for p in reversed(known) if p[0] <= most and self._there(*p, *taken)), None)
+
+    def fill(self, gap: int, *taken: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that sum to the gap, beside the lengths ``taken``: the fewest first, then the largest."""
+        if self._there(gap, *taken):
+            return (gap,)
+        if found := self.pair(gap, gap, *taken):
+            return found
+        if gap not in self.triples:
+            self.triples[gap] = [a for a in reversed(self.lengths) if a < gap <= 3 * a and gap - a in self.pairs]
+        firsts = self.triples[gap]
+        while firsts and not self.left[firsts[-1]]:
+            firsts.pop()
+        return next(((a, *p) for a in reversed(firsts) if self.left[a] and (p := self.pair(gap - a, a, a, *taken))), None)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
@@ -146,11 +159,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
         runs.append(Run((capacity,), int(left[capacity])))
         left[capacity] = 0
     residue: list[tuple[int, int]] = []
+    sums = _Sums(left)
     for length in range(capacity - 1, 0, -1):
         while left[length]:
-            left[length] -= 1
-            rest = _exact(capacity - length, left)
-            left[length] += 1
+            rest = sums.fill(capacity - length, length)
             if rest is None:
                 residue.append((length, int(left[length])))
                 left[length] = 0
@@ -215,12 +227,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
 
     The pieces are written to the scratch folder first, so that counts and ranks see the same rows. Ranks come from
-    windows over (length, salt): no length, however frequent, meets in one task.
+    windows over (length, salt), with as many salts for a length as its count asks for: no length, however frequent, meets
+    in one task.
     """
-    rows = materialize(pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
-    counts = materialize(rows.groupBy("length", "_salt").agg(F.count("*").alias("_n")))
-    histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    rows = materialize(pieces)
+    histogram = {int(r["length"]): int(r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(plan(histogram, capacity), capacity)
+    salts = F.array(*[F.lit(1 + histogram.get(k, 0) // RANKED_ROWS) for k in range(capacity + 1)])
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(salts, F.col("length").cast("int"))).cast("int"))
+    counts = rows.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
