@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -251,3 +252,106 @@ def test_packing_frame(spark):
         assert at <= 1024
     assert len(got) == len(rows) - 1 + len(by_doc[900]) and len(by_sequence) == -(-sum(r["length"] for r in got) // 1024)
     assert pk.pack_documents(frame(spark, []), tokenizer_path()).count() == 0
+
+
+def slow_chunks(data):
+    """The chunk rule byte by byte."""
+    out, start, h = [], 0, 0
+    for k, b in enumerate(data):
+        h = (2 * h + int(fp.GEAR[b])) % 2**32
+        size = k + 1 - start
+        strict, loose = h & int(fp.STRICT) == 0, h & int(fp.LOOSE) == 0
+        if (size >= fp.LEAST and strict) or (size >= fp.NORMAL and loose) or size == fp.GREATEST:
+            out.append((start, k + 1))
+            start = k + 1
+    return out + ([(start, len(data))] if start < len(data) else [])
+
+
+def test_chunks_and_likeness_by_slow_version():
+    random.seed(30)
+    for n in (0, 1, 12, 33, 129, 4000):
+        for data in (random.randbytes(n), bytes(random.choices(b"ab ", k=n)), b"a" * n):
+            assert fp.chunks(data) == slow_chunks(data)
+    x, y = ("".join(random.choices("abcdefgh ", k=2000)) for _ in range(2))
+    for a, b in ((x, y), (x, x[:1500] + y[:500]), (x, ""), ("", ""), (x, x)):
+        of = [{a_[i:j]: j - i for i, j in slow_chunks(a_)} for a_ in (a.encode(), b.encode())]
+        want = float(of[0] == of[1]) if not of[0] or not of[1] else sum(n for c, n in of[0].items() if c in of[1]) / sum(of[0].values())
+        assert fp.likeness(fp.fingerprint(a), fp.fingerprint(b)) == pytest.approx(want)
+
+
+def test_fingerprints_of_one_id(spark):
+    """Very many rows of one id, or of none, are split over buckets and still follow each other in one order."""
+    from pyspark.sql import functions as F
+
+    random.seed(31)
+    rows = [(k % 3, "".join(random.choices("abcdef ", k=random.randint(0, 90)))) for k in range(30)]
+    rows += [(7, "".join(random.choices("abcdef ", k=60))) for _ in range(80)] + [(None, "".join(random.choices("abcdef ", k=60))) for _ in range(60)]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, bucket int")
+    h = [r[0] for r in df.select(F.xxhash64("text")).collect()]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, -(rows[k][0] or 0), h[k], rows[k][1]))
+    want = Counter()
+    for k, n in zip(order, order[1:] + order[:1], strict=True):
+        text = fp.edited(rows[k][1], rows[n][1])
+        want[rows[k][0], hashlib.sha256(text.encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fp.fingerprint_documents(df).collect()) == want
+    buckets = {r["bucket"] for r in fp.in_order(df).where("guest = 0 and doc_id = 7").collect()}
+    assert len(buckets) > 2
+
+
+def test_ids_beyond_doubles(spark):
+    big = 2**53 + 1
+    chats = spark.createDataFrame([(big, 0, "user", "a"), (None, 0, "user", "b")], "conv_id long, turn long, role string, text string")
+    assert {r["conv_id"] for r in cf.read_back(cf.format_chats(chats)).collect()} == {big, None}
+    pages = spark.createDataFrame([(big, "u", "<p>x</p>"), (None, None, None)], "page_id long, url string, html string")
+    assert {r["page_id"] for r in hx.extract_pages(pages).collect()} == {big, None}
+
+
+def test_html_linear_and_headers():
+    deep = 30_000
+    began = time.time()
+    assert hx.main_text("<div>" * deep + "<p>the text</p>" + "</div>" * deep) == "the text"
+    assert len(hx.main_text("<div>text " * deep)) > deep
+    assert time.time() - began < 10
+    assert hx.main_text("<header>site</header><article><header><h1>Title</h1></header><p>Some text of the article.</p></article>").startswith("Title\n\nSome")
+
+
+def test_toxicity_folding_and_learned_exceptions(spark):
+    assert tx.fold("assho1e 1oser IDl0T l!ar").split() == tx.fold("asshole loser idiot liar").split()
+    assert tx.fold("so bad! yes | no").split() == ["so", "bad", "yes", "no"]
+    lexicon = tx.Lexicon({" ioser ": 5.0, " bad": 2.0}, ("bad luck",))
+    random.seed(32)
+    words = ["1oser", "loser", "losers", "bad", "baddest", "luck", "ok"]
+    for _ in range(300):
+        text = " ".join(random.choices(words, k=random.randint(0, 8)))
+        w = tx.fold(text).split()
+        want = {}
+        for k, x in enumerate(w):
+            shielded = (x, w[k + 1 : k + 2]) == ("bad", [tx.fold("luck").strip()])
+            weight = max([v for e, v in lexicon.weights.items() if f" {x} ".startswith(e)], default=0)
+            if weight and not shielded:
+                want[sum(len(y) + 1 for y in w[:k])] = weight
+        assert tx.find_hits(tx.folded_words(text), lexicon.automaton()) == want
+    fill = lambda: " ".join("".join(random.choices("abcdefgh", k=5)) for _ in range(20))
+    rows = [(d, f"{fill()} " + ("moron" if d % 2 else "moron costume" if d % 8 == 0 else "calm") + f" {fill()}") for d in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = tx.learn(docs, spark.createDataFrame([(d, d % 2) for d, _ in rows], "doc_id long, toxic int"))
+    assert "moron costume" in learned.exceptions and " moro" in learned.weights
+    got = {r["doc_id"]: r["predicted"] for r in tx.score(docs, learned).collect()}
+    assert all(got[d] == d % 2 for d, _ in rows)
+
+
+def test_language_of_few_rows_is_learned(spark):
+    random.seed(33)
+    rows = [(d, " ".join(random.choices("the of and that with from over thing".split(), k=12)), "en") for d in range(600)] + [(1000 + d, " ".join(random.choices("qqz zqq xqzz qxx".split(), k=12)), "xx") for d in range(6)]
+    model = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=20)
+    assert model.predict("zqq qxx qqz xqzz")[0] == "xx" and model.predict("that thing over the")[0] == "en"
+
+
+def test_ids_of_white_space_and_marks():
+    """The fast encodings against the tokenizer itself, over white space, quotes and joiners of many kinds."""
+    encoder = pk._Encoder(tokenizer_path())
+    random.seed(34)
+    parts = [" ", "\n", "\t", " ", "　", " ", " ", "‍", "​", "\u0085", "'", "’s", "'s", "é", "é", "漢", "12", "³", "word", "Ünder", "!!", "<|endoftext|>", "🙂", "\r\n"]
+    for _ in range(4000):
+        text = "".join(random.choices(parts, k=random.randint(0, 12)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)

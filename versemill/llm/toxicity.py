@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm._common import crc32_of_id, keyed_text
+from versemill.llm._common import crc32_of_id, keyed_text, text_slices
+from versemill.llm.jaccard_join import shingle_sets
 
 # Letters of other scripts that look like Latin ones, and digits used for letters.
 HOMOGLYPHS = {
@@ -30,12 +31,14 @@ HOMOGLYPHS = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ß": "ss",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
-# Phrases in which a word that may be an insult is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "pond scum", "disgusting taste of medicine", "pathetic fallacy")
+#: "1" stands for i as well as for l, so these are one letter on both sides, and so are bars and exclamation marks within words.
+SAME = {"l": "i"}
+_BAR = re.compile(r"(?<=[^\W\d_])[!|](?=[^\W_])")
 
 SAMPLE_ROWS = 20_000  # labelled rows that the lexicon and the score are learned from, at most
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 MIN_SUPPORT, MIN_EVIDENCE = 6, 30.0
+HARMLESS = 10.0  # evidence that a phrase with a hit is harmless, and how many texts of label 0 it takes for one of label 1
 THRESHOLD = 0.3
 
 
@@ -45,7 +48,7 @@ class _Fold(dict):
     def __missing__(self, code: int) -> str:
         ch = chr(code).lower()
         base = "".join(c for c in unicodedata.normalize("NFKD", HOMOGLYPHS.get(ch, ch)) if not unicodedata.combining(c))
-        out = "".join(HOMOGLYPHS.get(c, DIGITS.get(c, c)) if c.isalnum() else " " for c in base)
+        out = "".join(SAME.get(x, x) for c in base for x in (HOMOGLYPHS.get(c, DIGITS.get(c, c)) if c.isalnum() else " "))
         self[code] = out
         return out
 
@@ -54,6 +57,8 @@ _FOLD = _Fold()
 
 
 def fold(text: str) -> str:
+    if "!" in text or "|" in text:
+        text = _BAR.sub("i", text)
     return " " + text.translate(_FOLD) + " "
 
 
@@ -96,9 +101,12 @@ class Lexicon:
 _SQUEEZE = re.compile("  +")
 
 
-def features(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float, float, float]:
-    """(log of the weighted hits, log of their density in a thousand words, heaviest hit). A word counts once, by its heaviest entry."""
-    folded = _SQUEEZE.sub(" ", fold(text))
+def folded_words(text: str) -> str:
+    return _SQUEEZE.sub(" ", fold(text))
+
+
+def find_hits(folded: str, automaton: ahocorasick.Automaton | None) -> dict[int, float]:
+    """Place (of the space before the word) and weight of each hit: a word's heaviest entry, unless an exception phrase holds it."""
     hits: dict[int, float] = {}
     shields: list[tuple[int, int]] = []
     if automaton is not None:
@@ -111,24 +119,75 @@ def features(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float,
     for a, b in shields:
         for k in [k for k in hits if a <= k < b]:
             del hits[k]
-    total = sum(hits.values())
-    words = max(1, folded.count(" ") - 1)
+    return hits
+
+
+def features(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float, float, float]:
+    """(log of the weighted hits, log of their density in a thousand words, heaviest hit). A word counts once, by its heaviest entry."""
+    folded = folded_words(text)
+    hits = find_hits(folded, automaton)
+    total, words = sum(hits.values()), max(1, folded.count(" ") - 1)
     return math.log1p(total), math.log1p(1000 * total / words), max(hits.values(), default=0.0)
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def told(counts: dict[str, list[int]]) -> pd.DataFrame:
-        return pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["entry", "pos", "neg"])
+def phrases(text: str, automaton: ahocorasick.Automaton | None) -> set[str]:
+    """The words that are hits, each with the word before and with the word after it."""
+    folded = folded_words(text)
+    out = set()
+    for k in find_hits(folded, automaton):
+        end = folded.index(" ", k + 1)
+        if k > 0:
+            out.add(folded[folded.rindex(" ", 0, k) + 1 : end])
+        if end + 1 < len(folded):
+            out.add(folded[k + 1 : folded.index(" ", end + 1)])
+    return out
+
+
+def _counter(entries_of):
+    """Counts texts of either label that have each of the entries ``entries_of`` finds."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(counts: dict[str, list[int]]) -> pd.DataFrame:
+            return pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["entry", "pos", "neg"])
 
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for f in frames:
-        for text, toxic in zip(f["text"], f["toxic"], strict=True):
-            for c in candidates(text or ""):
-                counts[c][0 if toxic else 1] += 1
-            if len(counts) > 150_000:
-                yield told(counts)
-                counts.clear()
-    yield told(counts)
+        find, counts = entries_of(), defaultdict(lambda: [0, 0])
+        for f in frames:
+            for text, toxic in zip(f["text"], f["toxic"], strict=True):
+                for c in find(text or ""):
+                    counts[c][0 if toxic else 1] += 1
+                if len(counts) > 150_000:
+                    yield told(counts)
+                    counts.clear()
+        yield told(counts)
+
+    return run
+
+
+def _phrase_finder(lexicon: Lexicon):
+    automaton = lexicon.automaton()
+    return lambda text: phrases(text, automaton)
+
+
+def _scorer(lexicon: Lexicon):
+    """Text to score."""
+    automaton, w = lexicon.automaton(), lexicon.coefficients
+
+    def of(text: str | None) -> float:
+        z = w[0] + sum(a * b for a, b in zip(w[1:], features(text or "", automaton), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    return of
+
+
+def _copy_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least shingle hash of each text, which near copies mostly share."""
+    for batch in batches:
+        done = 0
+        for _, texts in text_slices(batch.column(0), batch.column(1)):
+            least = [int(s[0] >> np.uint64(1)) if len(s) else -1 for s in shingle_sets(texts)]
+            part = batch.slice(done, len(texts))
+            done += len(texts)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.int64())], ["toxic", "text", "least"])
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -145,31 +204,38 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, w))
 
 
-def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> Lexicon:
     """Learn a lexicon from labelled rows (doc_id, toxic), ``sample_rows`` of them at most, picked by the hash of doc_id.
 
     Which ids are used is the caller's choice: pass labels of training rows only. Rows of null doc_id or toxic are left
-    out, repeated labels of a doc_id count once (toxic if any is), repeated texts of one label count once. With no usable
-    row the lexicon is empty and all scores are equal. Counting runs on executors; the driver receives entries and at most
+    out, repeated labels of a doc_id count once (toxic if any is), near copies of one label count once, by their least
+    shingle. Phrases of a hit and the word beside it that are found in texts of label 0 only, or nearly so, are learned as
+    exceptions and added to ``exceptions``. With no usable row the lexicon is empty and all scores are equal. Counting runs on executors; the driver receives entries and at most
     ``sample_rows`` rows of three numbers.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # bounded by sample_rows rows of two numbers
-    rows = keyed_text(docs).join(F.broadcast(picked), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates().persist()
+    told = keyed_text(docs).join(F.broadcast(picked), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_copy_class, "toxic int, text string, least long")
+    rows = told.groupBy("toxic", "least").agg(F.min("text").alias("text")).persist()
     try:
         size = Counter({r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()})
         n_pos, n_neg = size[1], sum(size.values()) - size[1]
         lexicon = Lexicon({}, exceptions)
         if not n_pos or not n_neg:
             return lexicon
-        counts = rows.mapInPandas(_count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        counts = rows.mapInPandas(_counter(lambda: candidates), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         found = counts.where(f"pos >= {MIN_SUPPORT} and pos * {n_neg} > 3 * neg * {n_pos}").toPandas()
         odds, g = evidence(found["pos"].to_numpy(float), found["neg"].to_numpy(float), n_pos, n_neg)
         keep = g >= MIN_EVIDENCE
         weights = dict(zip(found["entry"][keep], odds[keep].tolist(), strict=True))
         # a longer beginning that says no more than a shorter one of the same word is redundant
         lexicon.weights = {k: w for k, w in weights.items() if not any(weights.get(k[:n], -1) >= w for n in range(PREFIXES[0] + 1, len(k)))}
+        beside = rows.mapInPandas(_counter(lambda: _phrase_finder(lexicon)), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        beside = beside.where(f"neg >= {MIN_SUPPORT} and neg > {HARMLESS} * pos").toPandas()  # at most sample_rows / MIN_SUPPORT for each hit in a text
+        # against even odds: a hit says label 1, its phrase label 0
+        _, g = evidence(beside["pos"].to_numpy(float), beside["neg"].to_numpy(float), 1.0, 1.0)
+        lexicon.exceptions = (*exceptions, *sorted(beside["entry"][g >= HARMLESS]))
 
         def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton = lexicon.automaton()
@@ -191,14 +257,9 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, w = lexicon.automaton(), lexicon.coefficients
+        of = _scorer(lexicon)
         for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                f = features(batch.column(1)[k].as_py() or "", automaton)
-                z = w[0] + sum(a * b for a, b in zip(w[1:], f, strict=True))
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            s = np.asarray(out, np.float64)
+            s = np.asarray([of(t.as_py()) for t in batch.column(1)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return keyed_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -215,20 +276,18 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, lexicon).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents predicted not toxic, with all their columns. The decision is a column on the row itself: nothing is joined."""
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Documents whose score is below ``threshold``, with all their columns, whatever their names.
+
+    The decision is made on the row itself: nothing is joined. A null text scores as the empty text; a null doc_id stays;
+    repeated rows share their fate; an empty table gives no rows.
+    """
     lexicon = learn(docs, labels.where(~held_out()))
-    names = docs.columns
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, w = lexicon.automaton(), lexicon.coefficients
-        text = names.index("text")
+        of = _scorer(lexicon)
         for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                f = features(batch.column(text)[k].as_py() or "", automaton)
-                z = w[0] + sum(a * b for a, b in zip(w[1:], f, strict=True))
-                keep.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) < THRESHOLD)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([of(t.as_py()) < threshold for t in batch.column(text)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
