@@ -122,8 +122,9 @@ def test_decontamination(spark, corpus, monkeypatch):
                     hit |= set(range(k, k + n))
         want.append((-1 if d is None else d, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, words int")
-    for rows in (decontaminate.BLOCK_ROWS, 40):  # one broadcast, and several blocks
+    for rows, blocks in ((decontaminate.BLOCK_ROWS, 4), (40, 100), (5, 1)):  # one broadcast, several blocks, a shuffle
         monkeypatch.setattr(decontaminate, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(decontaminate, "BLOCKS", blocks)
         got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in decontaminate.decontaminate(frame(spark, corpus), bench).collect())
         assert got == sorted(want)
     assert decontaminate.decontaminate(frame(spark, corpus), bench.limit(0)).where("contaminated").count() == 0

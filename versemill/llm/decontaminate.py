@@ -17,7 +17,7 @@ from versemill.llm._common import keyed_text, materialize, text_key, unused
 WINDOW, SHARE = 13, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK_ROWS = 100_000  # windows, or words of items, that are broadcast at once
+BLOCK_ROWS, BLOCKS = 100_000, 4  # windows, or words of items, that are broadcast at once, and scans that broadcasts may take
 
 
 def words_of(text: Column) -> Column:
@@ -41,16 +41,22 @@ def windows_of(items: DataFrame) -> DataFrame:
     )
 
 
-def _in_blocks(small: DataFrame, key: str) -> list[DataFrame]:
-    """``small`` cut into as many hash blocks as keep each within BLOCK_ROWS on average, for one broadcast join each."""
+def _in_blocks(small: DataFrame, key: str) -> list[DataFrame] | None:
+    """``small`` cut into as many hash blocks as keep each within BLOCK_ROWS on average, for one broadcast join each; None if
+    these would be too many scans of the documents, so that a shuffle is the better way."""
     blocks = -(-max(1, small.count()) // BLOCK_ROWS)
+    if blocks > BLOCKS:
+        return None
     return [small] if blocks == 1 else [small.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k) for k in range(blocks)]
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, count): how often each vocabulary word, in lower case, occurs in all documents."""
     every = docs.select(F.explode(words_of(F.col("text"))).alias("word")).select(F.lower("word").alias("token"))
-    return reduce(DataFrame.unionByName, [every.join(F.broadcast(v), "token") for v in _in_blocks(vocabulary, "token")]).groupBy("token").count()
+    blocks = _in_blocks(vocabulary, "token")
+    if blocks is None:  # counts are made before the shuffle
+        return every.groupBy("token").count().join(vocabulary, "token", "left_semi")
+    return reduce(DataFrame.unionByName, [every.join(F.broadcast(v), "token") for v in blocks]).groupBy("token").count()
 
 
 def rarest_words(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -63,30 +69,51 @@ def rarest_words(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return rare.select(F.col("rare.token").alias("token"), F.col("rare.shift").alias("shift"), "words", "size", "item_ids")
 
 
-def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, doc_id, tkey, n_words, spans, items) of every document row: the word spans of all window occurrences, and their items.
+FOUND = ("row", "doc_id", "tkey", "n", "span", "window")
 
-    ``row`` tells rows of one doc_id apart, ``tkey`` its texts. The texts are read once for the counts and once for the join, and never
-    shuffled; hits are.
-    """
-    rows = keyed_text(docs).withColumn("tkey", text_key("text"))
-    rare = materialize(rarest_words(rows, materialize(windows_of(items))))
-    words = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tkey", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+
+def _occurrences(words: DataFrame, rare: DataFrame) -> DataFrame:
+    """(FOUND): a row of null span for each document, and the occurrences of windows in it."""
     # position 0 holds null: it stands for the document itself, so that one pass gives counts and hits
     at = words.select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("place", "word")).withColumn("token", F.lower("word"))
     first = F.col("place") - F.col("shift")  # place of the window's first word
+    fits = F.col("size").isNotNull() & (first >= 1) & (first + F.col("size") - 1 <= F.col("n"))
     # Every part of this condition takes part in code generation. A lambda would not: the filter would then run after the
     # generator has copied the whole word array for each word.
-    text = lower_ascii(F.array_join(F.slice("words", F.greatest(first, F.lit(1)), F.col("size")), " "))
-    occurs = F.col("size").isNotNull() & (first >= 1) & (first + F.col("size") - 1 <= F.col("n")) & (text == F.col("window"))
-    found = []
-    for k, block in enumerate(_in_blocks(rare, "token")):
-        joined = at.join(F.broadcast(block.select("token", "shift", "size", "item_ids", F.array_join("words", " ").alias("window"))), "token", "left")
-        keep = (occurs | (F.col("place") == 0)) if k == 0 else occurs
-        found.append(joined.where(keep).select("row", "doc_id", "tkey", "n", F.when(F.col("size").isNotNull(), F.struct(first.alias("start"), (first + F.col("size")).alias("end"))).alias("span"), "item_ids"))
-    return reduce(DataFrame.unionByName, found).groupBy("row", "doc_id", "tkey").agg(
-        F.max("n").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items")
-    )
+    same = lower_ascii(F.array_join(F.slice("words", F.greatest(first, F.lit(1)), F.col("size")), " ")) == F.col("text")
+    span = F.when(F.col("size").isNotNull(), F.struct(first.alias("start"), (first + F.col("size")).alias("end"))).alias("span")
+    known = rare.select("token", "shift", "size", "window", F.array_join("words", " ").alias("text"))
+    if (blocks := _in_blocks(known, "token")) is not None:
+        found = []
+        for k, block in enumerate(blocks):
+            joined = at.join(F.broadcast(block), "token", "left")
+            found.append(joined.where((fits & same | (F.col("place") == 0)) if k == 0 else fits & same).select("row", "doc_id", "tkey", "n", span, "window"))
+        return reduce(DataFrame.unionByName, found)
+    # many windows: places of rare words are shuffled, not documents, and what fits meets its document again
+    words = materialize(words)
+    places = words.select("row", "n", F.posexplode("words").alias("place", "word")).select("row", "n", (F.col("place") + 1).alias("place"), F.lower("word").alias("token"))
+    maybe = places.join(known.drop("text"), "token").where(fits).groupBy("row").agg(F.collect_list(F.struct("place", "shift", "size", "window")).alias("maybe"))
+    placed = words.join(maybe, "row").select("*", F.explode("maybe").alias("m")).select("row", "doc_id", "tkey", "n", "words", "m.*")
+    hits = placed.join(known.select("window", "text"), "window").where(same).select("row", "doc_id", "tkey", "n", span, "window")
+    return hits.unionByName(words.select("row", "doc_id", "tkey", "n", F.lit(None).cast(hits.schema["span"].dataType).alias("span"), F.lit(None).cast("long").alias("window")))
+
+
+def find_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, doc_id, tkey, n_words, spans, items) of every document row: the word spans of all window occurrences, and their items.
+
+    ``row`` tells rows of one doc_id apart, ``tkey`` its texts. The texts are read once for the counts and once for the
+    join, and never shuffled unless the windows are very many; hits are. Windows go by a number, and the items that hold
+    them are looked up for what is hit.
+    """
+    rows = keyed_text(docs).withColumn("tkey", text_key("text"))
+    rare = materialize(rarest_words(rows, materialize(windows_of(items))).withColumn("window", F.monotonically_increasing_id()))
+    words = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tkey", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    told = _occurrences(words, rare).groupBy("row", "doc_id", "tkey").agg(F.max("n").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("window").alias("windows"))
+    told = materialize(told)
+    held = told.select("row", F.explode("windows").alias("window")).join(rare.select("window", "item_ids"), "window").select("row", F.explode("item_ids").alias("item"))
+    named = held.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    none = F.array().cast("array<string>")
+    return told.join(named, "row", "left").select("row", "doc_id", "tkey", "n_words", "spans", F.coalesce("items", none).alias("items"))
 
 
 def hit_words(spans: str = "spans") -> Column:
