@@ -13,8 +13,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACK_BYTES = 8 << 20  # text in one pack
-BUCKET_PACKS = 8  # packs whose values one hash bucket takes, on average, at most
+PACK_BYTES = 4 << 20  # text in one pack
+SLICE_BYTES = 1 << 18  # text whose words are hashed at once: what a task needs beside its rows is a small multiple of it
+BUCKET_PACKS = 16  # packs whose values one hash bucket takes, on average, at most
 NO_ID = 2**63 - 1  # stands for a null id, after all others
 
 
@@ -155,7 +156,7 @@ class Words:
         return keep, mix64(total[keep])
 
 
-def text_slices(ids, texts, limit: int = 1 << 20):
+def text_slices(ids, texts, limit: int = SLICE_BYTES):
     """Cut the rows of a batch into (ids, UTF-8 texts) of about ``limit`` bytes, so that word arrays stay small."""
     some_ids, some, size = [], [], 0
     for d, t in zip(ids.to_pylist(), texts, strict=True):

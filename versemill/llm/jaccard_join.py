@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from versemill.llm._common import NO_ID, Words, bucket_of, buckets_for, deflate, inflate, keyed_text, materialize, mix64, packs_of, text_key, text_slices, unpack, unused
+from versemill.llm._common import NO_ID, SLICE_BYTES, Words, bucket_of, buckets_for, deflate, inflate, keyed_text, materialize, mix64, packs_of, text_key, text_slices, unpack, unused
 from versemill.llm.components import connected_components
 
 SHINGLE, PIVOTS = 5, 64
@@ -75,7 +75,7 @@ class _Pack:
         at = 0
         while at < len(self.rows):
             end, size = at, 0
-            while end < len(self.rows) and (end == at or size < 1 << 20):
+            while end < len(self.rows) and (end == at or size < SLICE_BYTES):
                 size += len(self.rows[end][-1])
                 end += 1
             for s in shingle_sets([r[-1] for r in self.rows[at:end]]):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm._common import NO_ID, Words, bucket_of, buckets_for, deflate, inflate, keyed_text, materialize, packs_of, unpack
+from versemill.llm._common import NO_ID, SLICE_BYTES, Words, bucket_of, buckets_for, deflate, inflate, keyed_text, materialize, packs_of, unpack
 
 WINDOW, BLOCK = 13, 7
 ANSWERS = "pack long, kind int, bucket int, bits binary"
@@ -35,7 +35,7 @@ class _Pack:
         first, blocks, windows, at, k = [np.zeros(1, np.int64)], [], [], 0, 0
         while k < len(held):
             end, size = k, 0
-            while end < len(held) and (end == k or size < 1 << 20):
+            while end < len(held) and (end == k or size < SLICE_BYTES):
                 size += len(self.texts[end])
                 end += 1
             words = Words(self.texts[k:end])

@@ -155,7 +155,7 @@ def _counter(entries_of):
             for text, toxic in zip(f["text"], f["toxic"], strict=True):
                 for c in find(text or ""):
                     counts[c][0 if toxic else 1] += 1
-                if len(counts) > 150_000:
+                if len(counts) > 60_000:
                     yield told(counts)
                     counts.clear()
         yield told(counts)
