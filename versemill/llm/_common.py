@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -171,6 +172,15 @@ def text_slices(ids, texts, limit: int = SLICE_BYTES):
         yield some_ids, some
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A worker is kept for later tasks, beside others that need the memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library that has no such call
+        pass
+
+
 def packs_of(rows: DataFrame) -> DataFrame:
     """(pack, blob): the rows, whose last column is text, in compressed packs, written to the scratch folder."""
     limit = PACK_BYTES
@@ -193,6 +203,8 @@ def packs_of(rows: DataFrame) -> DataFrame:
                     held, size = [], 0
         if held:
             yield pack()
+            held = []
+        give_back()
 
     return materialize(rows.mapInArrow(run, "pack long, blob binary"))
 

@@ -19,12 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from versemill.llm._common import NO_ID, SLICE_BYTES, Words, bucket_of, buckets_for, deflate, inflate, keyed_text, materialize, mix64, packs_of, text_key, text_slices, unpack, unused
+from versemill.llm._common import NO_ID, SLICE_BYTES, Words, bucket_of, buckets_for, deflate, give_back, inflate, keyed_text, materialize, mix64, packs_of, text_key, text_slices, unpack, unused
 from versemill.llm.components import connected_components
 
 SHINGLE, PIVOTS = 5, 64
@@ -102,7 +101,7 @@ class _Pack:
         low, times = self.key.astype(np.uint32), np.minimum(self.times, 65535).astype(np.uint16)
         return [(b, deflate(np.diff(low[p], prepend=np.uint32(0)), times[p])) for b, p in self.parts]
 
-    def postings(self, ranks: dict[int, bytes]) -> pd.DataFrame:
+    def postings(self, ranks: dict[int, bytes]) -> pa.Table:
         """The shingles of each set's prefix that occur in other sets."""
         rank = np.zeros(len(self.key), np.uint8)
         for b, p in self.parts:
@@ -119,9 +118,9 @@ class _Pack:
             size = np.full(len(place), len(s), np.int32)
             found.append((s[order[place]].view(np.int64), np.full(len(place), digest, np.int64), size, place.astype(np.int32), np.full(len(place), 1000 * int(r.sum()) // len(s), np.int32)))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32)]
-        out = pd.DataFrame(dict(zip(("token", "node", "n", "place", "weight"), columns, strict=True)))
         # sizes within 4 : 5 are in one band or in neighbours
-        return out.assign(band=np.floor(np.log(np.maximum(out["n"], 1)) / np.log(1.25)).astype(np.int32))
+        band = np.floor(np.log(np.maximum(columns[2], 1)) / np.log(1.25)).astype(np.int32)
+        return pa.table(dict(zip(("token", "node", "n", "place", "weight", "band"), (*columns, band), strict=True)))
 
 
 def _read(buckets: int):
@@ -139,13 +138,15 @@ def _read(buckets: int):
                 read = _Pack(blob.as_py(), buckets)
                 yield table([(1, None, None, None, *c) for c in read.classes()])
                 yield table([(0, pack, *v, None, None, None, None, None) for v in read.values()])
+                del read
+        give_back()
 
     return run
 
 
-def _rank(f: pd.DataFrame) -> pd.DataFrame:
+def _rank(sent: pa.Table) -> pa.Table:
     """Answers each pack of a bucket with the ranks of its shingles: 0 for what one set alone has."""
-    parts = [inflate(blob) for blob in f["blob"]]
+    parts = [inflate(blob.as_py()) for blob in sent["blob"]]
     value = np.concatenate([np.cumsum(step, dtype=np.uint32) for step, _ in parts])
     times = np.concatenate([t for _, t in parts])
     order = np.argsort(value, kind="stable")
@@ -154,7 +155,10 @@ def _rank(f: pd.DataFrame) -> pd.DataFrame:
     rank = np.zeros(len(value), np.uint8)
     rank[order] = np.repeat(np.minimum(np.floor(np.log2(total)), TOP_RANK).astype(np.uint8), np.diff(np.append(start, len(value))))
     cuts = np.cumsum([len(step) for step, _ in parts])[:-1]
-    return pd.DataFrame({"pack": f["pack"], "bucket": f["bucket"], "ranks": [deflate(r) for r in np.split(rank, cuts)]})
+    answers = pa.array([deflate(r) for r in np.split(rank, cuts)], pa.binary())
+    del parts, value, times, order, rank
+    give_back()
+    return pa.table({"pack": sent["pack"], "bucket": sent["bucket"], "ranks": answers})
 
 
 def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,13 +276,15 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 
 def _postings(packs: DataFrame, read: DataFrame, buckets: int) -> DataFrame:
     """Distinct postings of the prefix shingles that more than one class has in its prefix."""
-    ranks = materialize(read.where("kind = 0").select("pack", "bucket", "blob").groupBy("bucket").applyInPandas(_rank, "pack long, bucket int, ranks binary"))
+    ranks = materialize(read.where("kind = 0").select("pack", "bucket", "blob").groupBy("bucket").applyInArrow(_rank, "pack long, bucket int, ranks binary"))
 
-    def prefixes(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        told = dict(zip(answers["bucket"].tolist(), answers["ranks"], strict=True))
-        return pd.concat([_Pack(blob, buckets).postings(told) for blob in own["blob"]])
+    def prefixes(own: pa.Table, answers: pa.Table) -> pa.Table:
+        told = dict(zip(answers["bucket"].to_pylist(), answers["ranks"].to_pylist(), strict=True))
+        out = pa.concat_tables([_Pack(blob.as_py(), buckets).postings(told) for blob in own["blob"]])
+        give_back()
+        return out
 
-    every = materialize(packs.groupBy("pack").cogroup(ranks.groupBy("pack")).applyInPandas(prefixes, POSTING))
+    every = materialize(packs.groupBy("pack").cogroup(ranks.groupBy("pack")).applyInArrow(prefixes, POSTING))
     # minima are aggregated before the shuffle, so a frequent shingle costs a row of each task
     shared = every.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     return materialize(every.join(shared, "token", "left_semi").distinct())

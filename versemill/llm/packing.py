@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from versemill.llm._common import keyed_text, materialize
+from versemill.llm._common import give_back, keyed_text, materialize
 
 CAPACITY, EOS = 1024, 2
 RANKED_ROWS = 50_000  # pieces of one length that one task ranks, on average
@@ -98,6 +98,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                 ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
                 rows = [(d, *p) for d, x in zip(part.column(0).to_pylist(), ids, strict=True) for p in pieces_of(x + end, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        give_back()
 
     return keyed_text(docs).mapInArrow(run, PIECES)
 

@@ -16,12 +16,11 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm._common import crc32_of_id, keyed_text, text_slices
+from versemill.llm._common import crc32_of_id, give_back, keyed_text, text_slices
 from versemill.llm.jaccard_join import shingle_sets
 
 # Letters of other scripts that look like Latin ones, and digits used for letters.
@@ -146,19 +145,22 @@ def phrases(text: str, automaton: ahocorasick.Automaton | None) -> set[str]:
 def _counter(entries_of):
     """Counts texts of either label that have each of the entries ``entries_of`` finds."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def told(counts: dict[str, list[int]]) -> pd.DataFrame:
-            return pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["entry", "pos", "neg"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(counts: dict[str, list[int]]) -> pa.RecordBatch:
+            pos, neg = ([v[k] for v in counts.values()] for k in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(pos, pa.int64()), pa.array(neg, pa.int64())], ["entry", "pos", "neg"])
 
         find, counts = entries_of(), defaultdict(lambda: [0, 0])
-        for f in frames:
-            for text, toxic in zip(f["text"], f["toxic"], strict=True):
-                for c in find(text or ""):
+        for batch in batches:
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                for c in find(text.as_py() or ""):
                     counts[c][0 if toxic else 1] += 1
                 if len(counts) > 60_000:
                     yield told(counts)
                     counts.clear()
         yield told(counts)
+        counts.clear()
+        give_back()
 
     return run
 
@@ -224,25 +226,26 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
         lexicon = Lexicon({}, exceptions)
         if not n_pos or not n_neg:
             return lexicon
-        counts = rows.mapInPandas(_counter(lambda: candidates), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        counts = rows.mapInArrow(_counter(lambda: candidates), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         found = counts.where(f"pos >= {MIN_SUPPORT} and pos * {n_neg} > 3 * neg * {n_pos}").toPandas()
         odds, g = evidence(found["pos"].to_numpy(float), found["neg"].to_numpy(float), n_pos, n_neg)
         keep = g >= MIN_EVIDENCE
         weights = dict(zip(found["entry"][keep], odds[keep].tolist(), strict=True))
         # a longer beginning that says no more than a shorter one of the same word is redundant
         lexicon.weights = {k: w for k, w in weights.items() if not any(weights.get(k[:n], -1) >= w for n in range(PREFIXES[0] + 1, len(k)))}
-        beside = rows.mapInPandas(_counter(lambda: _phrase_finder(lexicon)), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        beside = rows.mapInArrow(_counter(lambda: _phrase_finder(lexicon)), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         beside = beside.where(f"neg >= {MIN_SUPPORT} and neg > {HARMLESS} * pos").toPandas()  # at most sample_rows / MIN_SUPPORT for each hit in a text
         # against even odds: a hit says label 1, its phrase label 0
         _, g = evidence(beside["pos"].to_numpy(float), beside["neg"].to_numpy(float), 1.0, 1.0)
         lexicon.exceptions = (*exceptions, *sorted(beside["entry"][g >= HARMLESS]))
 
-        def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = lexicon.automaton()
-            for f in frames:
-                yield pd.DataFrame([(*features(t, automaton), int(y)) for t, y in zip(f["text"], f["toxic"], strict=True)], columns=["a", "b", "c", "y"])
+            for batch in batches:
+                found = [features(t.as_py(), automaton) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([*[pa.array([f[k] for f in found], pa.float64()) for k in range(3)], batch.column("toxic")], ["a", "b", "c", "y"])
 
-        table = rows.mapInPandas(measure, "a double, b double, c double, y int").toPandas().sort_values(["a", "b", "c", "y"])
+        table = rows.mapInArrow(measure, "a double, b double, c double, y int").toPandas().sort_values(["a", "b", "c", "y"])
         lexicon.coefficients = _fit(table[["a", "b", "c"]].to_numpy(), table["y"].to_numpy(float))
         return lexicon
     finally:
