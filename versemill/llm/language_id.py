@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from versemill.llm._common import crc32_of_id, keyed_text
+from versemill.llm._common import crc32_of_id, keyed_text, materialize
 
 # Families of languages by ISO 639-1 code; any other label is a family of its own.
 FAMILIES = {
@@ -136,8 +136,12 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     ids = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("h", F.xxhash64("doc_id"))
+    ids = materialize(ids)
+    # a frequent language sends its least hashes only, some four times as many as can be picked, to the task that ranks them
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(sample_rows)
+    few = ids.join(F.broadcast(sizes), "lang").where((F.col("h") / 2.0**64 + 0.5) * F.col("rows") <= 4 * sample_rows)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = ids.withColumn("place", place).where(F.col("place") <= sample_rows).orderBy("place", "h", "doc_id").limit(sample_rows).select("doc_id")
+    picked = few.withColumn("place", place).where(F.col("place") <= sample_rows).orderBy("place", "h", "doc_id").limit(sample_rows).select("doc_id")
     # bounded by sample_rows ids; of rows that repeat an id one is used
     rows = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("lang", "text").alias("row")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("row").alias("row")).select("row.lang", "row.text")
 
