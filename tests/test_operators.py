@@ -117,6 +117,11 @@ def test_render(spark):
     shown = render.render_rows(render.split_chunks(aligned, ["uid", "sample_idx"], times=times), ["uid", "sample_idx"])
     assert [(r["ref_text"], r["hyp_text"], r["timestamp"]) for r in shown.orderBy("piece_idx").collect()] == [("a", "a", 0.1), ("b", "x", 1.0), ("c", "c", 2.0), ("d", "-", 2.0)]
     assert "<p>" in render.html_pages(shown).first()["html"]
+    # a deletion in the middle has the time of the word that follows
+    middle = ev.aligned(spark.createDataFrame([("u", 0, "en", "a b c", "a c")], "uid string, sample_idx int, language string, ref string, hyp string"))
+    times = render.hyp_timestamps(F.array(F.struct(F.lit(0.0).alias("start"), F.lit(8.0).alias("end"), F.lit(4).alias("n_words"))))
+    shown = render.render_rows(render.split_chunks(middle, ["uid"], times=times), ["uid"]).orderBy("piece_idx").collect()
+    assert [(r["chunk_type"], r["timestamp"]) for r in shown] == [("equal", 0.1), ("delete", 2.0), ("equal", 2.0)]
 
 
 def test_catalogue(spark, tmp_path):

@@ -39,8 +39,8 @@ def split_chunks(alignments: DataFrame, keys: list[str], tokens: str = "ref_all"
     reference line breaks, with the texts of their words.
 
     Matched chunks move both sides in step, a deletion keeps its place in the hypothesis, an insertion stays on the current
-    line. ``time`` is that of the piece's first hypothesis word in ``times`` (one a word), or of the last word beyond it, and
-    null without any. Each chunk takes its own words, breaks and times along, so nothing is joined; one window for each
+    line. ``time`` is that of the piece's first hypothesis word in ``times`` (one a word), for a deletion of the word that
+    follows, of the last word beyond the end, and null without any. Each chunk takes its own words, breaks and times along, so nothing is joined; one window for each
     sample's pieces.
     """
     part = lambda array, start, end: F.slice(array, start + 1, end - start)
@@ -52,7 +52,7 @@ def split_chunks(alignments: DataFrame, keys: list[str], tokens: str = "ref_all"
         return F.struct(
             c["type"].alias("type"), c["ref_start"].alias("ref_start"), c["ref_end"].alias("ref_end"), c["hyp_start"].alias("hyp_start"), c["hyp_end"].alias("hyp_end"),
             F.transform(part("ref_words", c["ref_start"], c["ref_end"]), text).alias("ref"), F.transform(part("hyp_words", c["hyp_start"], c["hyp_end"]), text).alias("hyp"),
-            part("times", c["hyp_start"], c["hyp_end"]).alias("times"), F.filter("breaks", lambda b: (b >= c["ref_start"]) & (b < c["ref_end"])).alias("breaks"),
+            part("times", c["hyp_start"], F.greatest(c["hyp_end"], c["hyp_start"] + 1)).alias("times"), F.filter("breaks", lambda b: (b >= c["ref_start"]) & (b < c["ref_end"])).alias("breaks"),
         )
 
     last = F.try_element_at("times", F.lit(-1))

@@ -24,14 +24,26 @@ LINES = """lines as (
 )"""
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment chunks: an order's items."""
+def tagged_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs with tagged lines, one for each user; each third is English."""
+    line = F.struct("line_idx", "start", "end", "text", F.upper("text").alias("text_tagged"))
+    rows = lines(spark, sf_dir).groupBy("song_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max(F.when(F.col("end") - F.col("start") <= 30, F.col("end"))).alias("last"))
+    return rows.select(
+        F.concat(F.lit("user "), F.col("song_id").cast("string")).alias("name"), F.when(F.col("song_id") % 3 == 0, "en").otherwise("de").alias("language"),
+        F.concat(F.lit("text "), F.col("song_id").cast("string")).alias("text_tagged"), F.concat(F.lit("audio/"), F.col("song_id").cast("string")).alias("audio_path"), (F.col("last") + 1).alias("duration_secs"),
+        F.transform("lines", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["text_tagged"].alias("text_tagged"))).alias("lines"),
+    )
+
+
+def chunks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Alignment chunks: an order's items, with further columns by expression."""
     kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 4
     return table(spark, sf_dir, "lineitem").select(
         F.when(kind == 0, "hit").when(kind == 1, "sub").when(kind == 2, "del").otherwise("ins").alias("typ"), F.col("l_quantity").cast("long").alias("len"), F.col("l_linestatus").alias("dataset"),
         F.col("l_returnflag").alias("audio"), F.when(F.col("l_linenumber") <= 3, "merged_line").otherwise("grouped_line").alias("level"), (F.col("l_suppkey") % 5).alias("iter_idx"),
         F.floor(F.col("l_quantity") * F.col("l_tax")).cast("long").alias("nl"), F.floor(F.col("l_quantity") * F.col("l_discount")).cast("long").alias("bv"),
         F.concat(F.lit("song"), (F.col("l_orderkey") % 97).cast("string")).alias("uid"),
+        *map(F.expr, more),
     )
 
 

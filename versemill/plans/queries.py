@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from versemill.functions import alignment as al
 from versemill.functions import text as tx
-from versemill.functions.tokenizer import LINE, NONLEXICAL, WORD, tokens_of
 from versemill.operators import analytics as an
 from versemill.operators import catalog as cat
 from versemill.operators import evaluation as ev
 from versemill.operators import intervals as iv
 from versemill.operators import pools, render, tasks, vad
 from versemill.plans import adapters as ad
+from versemill.plans import source_queries, text_queries  # noqa: F401  they register their queries
+from versemill.plans.registry import QUERIES, SQL, query, rounded  # noqa: F401
+from versemill.sources import io
 from versemill.streaming import live
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that sums taken in another order compare equal."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 SUMS = ", ".join(f"sum({c}) as {c}" for c in ("hit", "sub", "ins", "del", "hal", "del_nl", "del_bv"))
 RATE = lambda top: f"round(({top}) * 100.0 / nullif(sub + hit + del, 0), 6)"
 RATE_COLUMNS = ", ".join(f"{RATE(t)} as {n}" for n, t in zip(an.RATES, ("sub + del + ins", "sub", "del", "ins", "hal", "del_nl", "del_bv"), strict=True))
@@ -246,9 +225,7 @@ def overlap_islands(spark, sf):
     return iv.overlap_islands(cat.short_lines(ad.lines(spark, sf))).select("song_id", "line_idx", "island")
 
 
-@query(
-    ISLANDS
-    + """, marked as (select * from kept join islands using (song_id, line_idx)), durations as (select song_id, max(e) + 1 as duration from kept group by song_id), groups as (
+MERGED = ISLANDS + """, marked as (select * from kept join islands using (song_id, line_idx)), durations as (select song_id, max(e) + 1 as duration from kept group by song_id), groups as (
   select song_id, island, count(*) as n_lines, string_agg(text, '' order by line_idx) as text, min(s) as gs, max(e) as ge from marked group by song_id, island
 ), limits as (
   select g.song_id, g.island, greatest(0, coalesce(max(case when m.e < g.ge then m.e + 0.1::double end), 0)) as l, min(case when m.s > g.gs then m.s - 0.1::double end) as r
@@ -258,14 +235,24 @@ def overlap_islands(spark, sf):
   from groups join limits using (song_id, island) join durations using (song_id)
 ), even as (select *, least(lp, rp, room / 2) as m from pads), final as (
   select song_id, island, n_lines, text, gs - case when lp + rp > room then m + (greatest(0, room - 2 * m) - 0.001::double) / 2 else lp end as start, ge + case when lp + rp > room then m + (greatest(0, room - 2 * m) - 0.001::double) / 2 else rp end as "end" from even
-) select song_id, island, n_lines, text, round(start, 6) as start, round("end", 6) as "end" from final where not ("end" - start > 30)"""
-)
+)"""
+
+
+@query(MERGED + ' select song_id, island, n_lines, text, round(start, 6) as start, round("end", 6) as "end" from final where not ("end" - start > 30)')
 def merge_lines(spark, sf):
     lines = cat.short_lines(ad.lines(spark, sf))
     durations = lines.groupBy("song_id").agg((F.max("end") + 1).alias("duration"))
     return rounded(iv.merge_lines(lines, durations))
 
 
+@query(
+    MERGED.replace("string_agg(text, '' order", "string_agg(upper(text) || chr(10), '' order")
+    + ' select \'user_\' || song_id as song_id, n_lines, text, round(start, 6) as start, round("end", 6) as "end" from final where not ("end" - start > 30) and song_id % 3 = 0'
+)
+def tagged_lines(spark, sf):
+    return rounded(io.tagged_songs(ad.tagged_catalogue(spark, sf), "d", ("en",), underscore=True, newline=True)[1].drop("island"))
+
+
 @query(
     f"with {ad.LINES}, g as (select *, s - lag(e) over (partition by song_id order by s, line_idx) as lag_gap from lines where e - s < 30) "
     "select song_id, line_idx, round(lag_gap, 6) as lag_gap, sum(case when lag_gap > 7 then 1 else 0 end) over (partition by song_id order by s, line_idx rows unbounded preceding) as session from g"
@@ -336,20 +323,6 @@ def normalize_lines(spark, sf):
     return ad.catalog(spark, sf).select("song_id", tx.normalize_lyrics(F.col("text")).alias("text"))
 
 
-@query()
-def word_tokens(spark, sf):
-    rows = ad.catalog(spark, sf).select("song_id", tokens_of("text", "language").alias("t"))
-    tagged = lambda tag: F.size(F.filter("t", lambda x: F.array_contains(x["tags"], tag)))
-    return rows.select("song_id", F.size("t").alias("tokens"), tagged(WORD).alias("words"), tagged(LINE).alias("breaks"))
-
-
-@query()
-def rich_tags(spark, sf):
-    rows = ad.turns(spark, sf).withColumn("language", F.lit("en")).withColumn("text", F.concat(F.lit("<nl>("), F.col("text"), F.lit(") </nl> ok")))
-    tags = rows.select(F.explode(tokens_of("text", "language")).alias("t")).select(F.explode("t.tags").alias("tag"))
-    return tags.groupBy("tag").agg(F.count("*").alias("tokens"), (F.col("tag") == NONLEXICAL).alias("inherited"))
-
-
 NAMES = "with n as (select s_suppkey as k, s_name as a, lead(s_name) over (order by s_suppkey) as b from supplier)"
 
 
@@ -489,12 +462,6 @@ def group_names(spark, sf):
     return tasks.group_names(cat.short_lines(ad.lines(spark, sf)))
 
 
-@query()
-def tag_prf(spark, sf):
-    rows = ad.turns(spark, sf).select(F.col("role").alias("uid"), F.col("turn").alias("sample_idx"), F.lit("en").alias("language"), F.col("text").alias("ref"), F.regexp_replace("text", "[.,]", "").alias("hyp"))
-    return rounded(ev.tag_scores(ev.align_all_tokens(ev.tokenised(rows)), ["uid"]))
-
-
 @query()
 def split_lines_render(spark, sf):
     rows = ad.turns(spark, sf).select(F.col("conv_id").alias("uid"), F.col("turn").alias("sample_idx"), F.lit("en").alias("language"), F.col("text").alias("ref"), F.regexp_replace("text", r"\bof\b", "off").alias("hyp"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 from collections.abc import Callable, Mapping
 from pathlib import Path
 
@@ -40,6 +41,18 @@ def write_document(value: Mapping, path: str) -> None:
     Path(path).write_text(json.dumps(value, indent=4, ensure_ascii=False))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. A local master may leave it unset and gets one of its own; executors of
+    a cluster share no temporary folder, so there it must be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="versemill-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/versemill"
+
+
 def write_run(tables: Mapping[str, DataFrame], root: str, keys: tuple[str, ...]) -> None:
     """samples, chunks and edits of a run, partitioned by its system keys."""
     for name, df in tables.items():
