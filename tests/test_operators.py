@@ -107,6 +107,16 @@ def test_evaluation_conserves(spark):
     assert full["P_pare"] is None and full["R_pare"] == 0
 
 
+def test_runs_of_systems(spark):
+    pairs = spark.createDataFrame([("u", "d", "en", 0, "a b", "a c")], "uid string, dataset string, language string, sample_idx int, ref string, hyp string")
+    made = ev.fact_tables_of([({"audio": "N"}, pairs), ({"audio": "A"}, pairs.withColumn("hyp", F.col("ref")))])
+    assert {r["audio"]: (r["hit"], r["sub"]) for r in made["samples"].collect()} == {"N": (1, 1), "A": (2, 0)}
+    assert made["chunks"].count() == 3 and made["edits"].count() == 4
+    for runs in ([], [({"audio": "N"}, pairs), ({"algo": "A"}, pairs)]):
+        with pytest.raises(ValueError):
+            ev.fact_tables_of(runs)
+
+
 def test_render(spark):
     rows = [("u", 0, "en", "a b\nc d", "a x c")]
     aligned = ev.aligned(spark.createDataFrame(rows, "uid string, sample_idx int, language string, ref string, hyp string"))
@@ -157,6 +167,13 @@ def test_sources_round_trip(spark, tmp_path):
     io.write_document({"a": 1}, f"{tmp_path}/d.json")
     assert io.read_document(spark, f"{tmp_path}/d.json").first()["a"] == 1
     assert r"\begin{tabular}" in io.latex_table(df) and "<table>" in io.summary_page(df, df, "t")
+    flagged = spark.createDataFrame([("a_b", 0.5, True), ("c", 1.0, False), (None, None, None)], "name string, wer double, best boolean")
+    assert io.latex_table(flagged, bold={"wer": "best"}).split("\n")[2:6:3] == [r"\textbf{name} & \textbf{wer} \\", r"c & 1.00 \\"]
+    assert r"a\_b & \textbf{0.50} \\" in io.latex_table(flagged, bold={"wer": "best"}) and r"- & - \\" in io.latex_table(flagged)
+    pieces = spark.createDataFrame([("u", 0, 0, "equal", "a", "a", 0.1), ("u", 0, 1, "delete", "b", "-", 0.1)], "uid string, line_no long, piece_idx int, chunk_type string, ref_text string, hyp_text string, timestamp double")
+    io.write_side_files(spark.createDataFrame([("u", "a\nb"), ("v", None)], "uid string, text string"), pieces, f"{tmp_path}/side")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/side/lyrics/uid=u").collect()] == ["a", "b"]
+    assert [r["ref_text"] for r in spark.read.json(f"{tmp_path}/side/alignments/uid=u").orderBy("piece_idx").collect()] == ["a", "b"]
     with pytest.raises(RuntimeError):
         io.Roots("NOT_SET_AT_ALL").data  # noqa: B018
 

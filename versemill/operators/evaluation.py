@@ -160,6 +160,14 @@ def fact_tables(pairs: DataFrame, systems: Mapping[str, object] | None = None, n
     return {k: attach_system(v, **(systems or {})) for k, v in made.items()}
 
 
+def fact_tables_of(runs: Sequence[tuple[Mapping[str, object], DataFrame]], normalise=None) -> dict[str, DataFrame]:
+    """samples, chunks and edits of several runs (system keys, pairs) as one table each. All runs name the same keys."""
+    if not runs or any(set(keys) != set(runs[0][0]) for keys, _ in runs):
+        raise ValueError("runs need the same system keys, and there must be one at least")
+    made = [fact_tables(pairs, keys, normalise) for keys, pairs in runs]
+    return {name: reduce(DataFrame.unionByName, [m[name] for m in made]) for name in made[0]}
+
+
 def song_pairs(songs: DataFrame, segments: DataFrame) -> DataFrame:
     """Whole songs against their joined segments: (uid, sample_idx 0, ref, hyp, start 0, end duration)."""
     hyp = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n")

@@ -261,7 +261,25 @@ def gap_sessions(spark, sf):
     return rounded(iv.gap_sessions(cat.short_lines(ad.lines(spark, sf), inclusive=False)).select("song_id", "line_idx", "lag_gap", F.col("session").cast("long").alias("session")))
 
 
-@query()
+@query(
+    f"""with recursive {ad.LINES}, g as (select *, s - lag(e) over (partition by song_id order by s, line_idx) as lag_gap from lines where e - s < 30), marked as (
+  select *, sum(case when lag_gap > 7 then 1 else 0 end) over (partition by song_id order by s, line_idx rows unbounded preceding) as session from g
+), sessions as (
+  select song_id, session, list(s order by s, line_idx) as ss, list(e order by s, line_idx) as es, list(text order by s, line_idx) as ts from marked group by song_id, session
+), best as (
+  select song_id, session, len(ss) as i, ['infinity'::double] as worth, cast([] as bigint[]) as size from sessions
+  union all
+  select song_id, session, i - 1, list_prepend(list_max(choices), worth), list_prepend(list_position(choices, list_max(choices)), size) from (
+    select b.*, list_transform(range(1, len(worth) + 1), lambda k: case when list_max(es[i : i + k - 1]) - ss[i] < 30 then least(es[i + k - 1] - ss[i], worth[k]) else '-infinity'::double end) as choices
+    from best b join sessions using (song_id, session) where i > 0
+  )
+), cuts as (
+  select song_id, session, 0 as group_idx, 1::bigint as pos, size from best where i = 0
+  union all
+  select song_id, session, group_idx + 1, pos + size[pos], size from cuts where pos + size[pos] <= len(size)
+) select song_id, session::bigint as session, group_idx, size[pos]::int as n_lines, array_to_string(ts[pos : pos + size[pos] - 1], '') as text, round(list_min(ss[pos : pos + size[pos] - 1]), 6) as start, round(list_max(es[pos : pos + size[pos] - 1]), 6) as "end"
+from cuts join sessions using (song_id, session)"""
+)
 def group_lines(spark, sf):
     return rounded(iv.group_lines(cat.short_lines(ad.lines(spark, sf), inclusive=False)))
 
@@ -292,6 +310,28 @@ def vad_segments(spark, sf):
     return found.select("uid", F.posexplode("segments").alias("segment_idx", "s")).select("uid", "segment_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
+UNCUT = vad.VadOptions(onset=0.3, offset=0.3, min_speech_ms=1000, max_speech_s=1e6, min_silence_ms=1000, pad_ms=1500, window=16000)
+
+
+@query(
+    """with x as (select vec_id as uid, len(embedding) as n, list_transform(embedding, lambda v: abs(cast(v as double))) as a from embeddings), y as (
+  select uid, n, unnest(a) / list_max(a) as score, unnest(range(0, n)) as frame from x
+), runs as (
+  select uid, n, frame, case when frame - lag(frame) over (partition by uid order by frame) <= 2 then 0 else 1 end as opens from y where score >= 0.3::double
+), numbered as (
+  select *, sum(opens) over (partition by uid order by frame rows unbounded preceding) as run from runs
+), raw as (
+  select uid, n * 16000 as total, min(frame) * 16000 as s, case when n - max(frame) > 2 then max(frame) + 1 else n end * 16000 as e from numbered group by uid, n, run
+), kept as (
+  select *, s - lag(e) over w as before, lead(s) over w - e as after, row_number() over w - 1 as segment_idx from raw where e - s > 16000 window w as (partition by uid order by s)
+) select uid, segment_idx::int as segment_idx, greatest(0, s - case when before < 48000 then before // 2 else 24000 end)::bigint as start, least(total, e + case when after < 48000 then after // 2 else 24000 end)::bigint as "end" from kept"""
+)
+def vad_islands(spark, sf):
+    """Segments that never grow too long: padded runs of activity, silences of one frame included."""
+    found = ad.scores(spark, sf).withColumn("segments", vad.vad_segments(vad.normalised("scores"), UNCUT))
+    return found.select("uid", F.posexplode("segments").alias("segment_idx", "s")).select("uid", "segment_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+
+
 @query(
     "with x as (select vec_id as uid, list_transform(embedding, lambda v: abs(cast(v as double))) as a from embeddings), y as (select uid, unnest(a) as v, list_max(a) as top, unnest(range(0, len(a))) as frame from x) "
     "select uid, frame, round(v / top, 6) as score, cast(frame * 16000 between (uid % 7) * 16000 and (uid % 7 + 10) * 16000 - 1 or frame * 16000 between (30 + uid % 5) * 16000 + 1 and 50 * 16000 + 799 as int) as active from y"
@@ -390,6 +430,17 @@ def align_edits(spark, sf):
     return ev.edits(ev.aligned(ad.pairs(spark, sf))).groupBy("typ", "dataset", "nl", "bv").agg(F.count("*").alias("edits"), F.sum(F.nanvl("dist", F.lit(0.0))).alias("dist"))
 
 
+@query(
+    f"with recursive {ad.ALIGNED}, heard as (select 'N' as audio, dataset, {COUNTS} from ops group by dataset), exact as (select 'A' as audio, role as dataset, cast(sum(len(r)) as bigint) as hit, 0::bigint as sub, 0::bigint as ins, 0::bigint as del "
+    "from pairs join (select conv_id as uid, turn as sample_idx, role from conversations) using (uid, sample_idx) group by role) select * from heard union all select * from exact"
+)
+def system_samples(spark, sf):
+    """The samples of two systems in one table."""
+    rows = ad.pairs(spark, sf)
+    made = ev.fact_tables_of([({"audio": "N"}, rows), ({"audio": "A"}, rows.withColumn("hyp", F.col("ref")))])["samples"]
+    return made.groupBy("audio", "dataset").agg(*[F.sum(c).alias(c) for c in ("hit", "sub", "ins", "del")])
+
+
 @query(
     f"""with recursive {ad.ALIGNED}, counts as (
   select dataset, count(*) filter (where typ = 'hit') as hits, count(*) filter (where typ = 'sub') as substitutions, count(*) filter (where typ = 'del') as deletions, count(*) filter (where typ = 'ins') as insertions,

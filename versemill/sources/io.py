@@ -126,6 +126,12 @@ def write_pages(pages: DataFrame, folder: str, key: str = "uid") -> None:
     pages.select(key, F.col("html").alias("value")).write.mode("overwrite").partitionBy(key).text(folder)
 
 
+def write_side_files(songs: DataFrame, rows: DataFrame, folder: str, key: str = "uid") -> None:
+    """What lies beside the pages: song texts as text files, and render rows as JSON lines, each under key folders."""
+    songs.select(key, F.coalesce("text", F.lit("")).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(f"{folder}/lyrics")
+    rows.repartition(key).sortWithinPartitions(key, "line_no", "piece_idx").write.mode("overwrite").partitionBy(key).json(f"{folder}/alignments")
+
+
 def summary_page(totals: DataFrame, songs: DataFrame, title: str, description: str = "") -> str:
     """The summary page: a small aggregate and one row for each song, collected."""
     import html
@@ -138,12 +144,22 @@ def summary_page(totals: DataFrame, songs: DataFrame, title: str, description: s
     return f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><p>{html.escape(description)}</p>{table(totals)}{table(songs)}"
 
 
-def latex_table(df: DataFrame, digits: int = 2, missing: str = "-") -> str:
-    """A LaTeX tabular of a small result."""
-    show = lambda v: missing if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("_", r"\_").replace("&", r"\&").replace("%", r"\%")
-    rows = [" & ".join(map(show, r)) + r" \\" for r in df.collect()]
-    head = " & ".join(rf"\textbf{{{show(c)}}}" for c in df.columns) + r" \\"
-    return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule", head, r"\midrule", *rows, r"\bottomrule", r"\end{tabular}"])
+def latex_table(df: DataFrame, digits: int = 2, missing: str = "-", bold: Mapping[str, str] | None = None) -> str:
+    """A LaTeX tabular of a small result. ``bold`` names, for columns, the column of flags that sets their values in bold;
+    columns of flags are not shown."""
+    bold = bold or {}
+    shown = [c for c in df.columns if c not in bold.values()]
+
+    def plain(v: object) -> str:
+        if v is None:
+            return missing
+        return f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("_", r"\_").replace("&", r"\&").replace("%", r"\%")
+
+    strong = lambda text: rf"\textbf{{{text}}}"
+    cell = lambda row, c: strong(plain(row[c])) if c in bold and row[bold[c]] else plain(row[c])
+    line = lambda cells: " & ".join(cells) + r" \\"
+    rows = [line(cell(row, c) for c in shown) for row in df.toLocalIterator()]
+    return "\n".join([rf"\begin{{tabular}}{{{'l' * len(shown)}}}", r"\toprule", line(strong(plain(c)) for c in shown), r"\midrule", *rows, r"\bottomrule", r"\end{tabular}"])
 
 
 class Roots:
