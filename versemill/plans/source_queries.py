@@ -118,11 +118,11 @@ def materialised_table(spark, sf):
     return pools.materialised(spark, path, lambda: rows.withColumn("version", F.lit(2)))
 
 
-@query("select distinct doc_id as song_id from labels where toxic = 1 or quality <= 1")
+@query("select distinct doc_id as song_id from labels where toxic = 1 or quality = 0")
 def exclusion_union(spark, sf):
     none = F.array().cast("array<bigint>")
     own = lambda c: F.when(c, F.array("doc_id")).otherwise(none)
-    reasons = ad.table(spark, sf, "labels").select(F.create_map(F.lit("toxic"), own(F.col("toxic") == 1), F.lit("poor"), own(F.col("quality") <= 1)).alias("reasons"))
+    reasons = ad.table(spark, sf, "labels").select(F.create_map(F.lit("toxic"), own(F.col("toxic") == 1), F.lit("poor"), own(F.col("quality") == 0)).alias("reasons"))
     return cat.exclusion_ids(reasons)
 
 
