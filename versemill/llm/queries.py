@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import chat_format, decontaminate, fingerprints, html_extract, jaccard_join, language_id, line_dedup, packing, substring_dedup, toxicity
+from versemill.llm import chat_format, decontaminate, fingerprints, html_extract, jaccard_join, language_id, line_dedup, packing, source_divergence, spelling_variants, substring_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -150,6 +150,83 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_spellings(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with recursive poly as (
+  select list_transform(range(256), lambda k: list_reduce(range(8), lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(k as bigint))) as t
+), told as (
+  select doc_id, w, count(*) as n from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as w from documents) where length(w) >= 6 group by all
+), coded as (
+  select doc_id, w, n, list_transform(flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || w, ''), lambda c: case when unicode(c) < 128 then [unicode(c)] else [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] end)), lambda b: cast(b as bigint)) as bytes from told
+), hashed as (
+  select doc_id, w, n, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), cast(4294967295 as bigint)), 4294967295) as h from coded, poly
+), edited as (
+  select case when h % 199 = 0 then left(w, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, n from hashed
+), words as (
+  select word, cast(sum(n) as bigint) as n from edited where length(word) >= 6 group by word having sum(n) >= 5
+), spots as (
+  select word, n, unnest(range(1, length(word) + 1)) as k from words
+), marked as (
+  select word, n, k, left(word, k - 1) || '*' || substr(word, k + 1) as hole, left(word, k - 1) || substr(word, k + 1) as less from spots
+), pairs as (
+  select a.word, b.word as other, b.n as other_n from marked a join marked b on a.hole = b.hole and a.word <> b.word
+  union select a.word, b.word, b.n from words a join marked b on a.word = b.less
+  union select b.word, a.word, a.n from words a join marked b on a.word = b.less
+), best as (
+  select word, count(*) as n_near, max(other_n) as top from pairs group by word
+), forms as (
+  select w.word, case when top >= 5 * w.n then f.other end as form, w.n, coalesce(n_near, 0) as n_near, case when top >= 5 * w.n then top end as form_n
+  from words w left join best using (word) left join (select p.word, min(p.other) as other from pairs p join best b on p.word = b.word and p.other_n = b.top group by p.word) f on f.word = w.word
+), chain as (
+  select word, word as leads, 0 as steps from forms union all select c.word, f.form, steps + 1 from chain c join forms f on f.word = c.leads where f.form is not null
+)
+select f.word, f.form, c.root, f.n, cast(n_near as bigint) as n_near, form_n from forms f join (select word, arg_max(leads, steps) as root from chain group by word) c on c.word = f.word
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with docs as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), counted as (
+  select lang, source, term, count(*) as docs, sum(n) as n from (select lang, source, d, term, count(*) as n from (select lang, source, d, unnest(w) as term from docs) group by all) group by all
+), terms as (
+  select lang, term, cast(sum(n) as hugeint) as n from counted group by all having sum(docs) >= 10
+), sizes as (
+  select lang, cast(count(*) as hugeint) as v, sum(n) as n from terms group by lang
+), groups as (
+  select distinct lang, source from docs
+), filled as (
+  select g.lang, g.source, t.term, cast(coalesce(c.n, 0) as hugeint) as n from groups g join terms t using (lang) left join counted c on c.lang = g.lang and c.source = g.source and c.term = t.term
+), shares as (
+  select f.lang, f.source, f.term, f.n, 1 + (1000000000 * (f.n + 2)) // (sum(f.n) over (partition by f.lang, f.source) + 2 * s.v) as p from filled f join sizes s using (lang)
+), general as (
+  select t.lang, t.term, 1 + (1000000000 * (t.n + 2)) // (s.n + 2 * s.v) as q from terms t join sizes s using (lang)
+), pair as (
+  select a.lang, a.source, b.source as item, cast(coalesce(sum(((p.p - q.p) * (p.p - q.p)) // (p.p + q.p)), 0) as bigint) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join shares p on p.lang = a.lang and p.source = a.source left join shares q on q.lang = b.lang and q.source = b.source and q.term = p.term
+  group by all
+), term as (
+  select lang, source, term as item, cast(((p - q) * (p - q)) // (p + q) as bigint) as value from shares join general using (lang, term) where n > 0 and p > q
+), ranked as (
+  select lang, source, 'pair' as part, item, value, cast(row_number() over (partition by lang, source order by value desc, item) as integer) as rank from pair
+  union all
+  select lang, source, 'term', item, value, cast(row_number() over (partition by lang, source order by value desc, item) as integer) from term
+)
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -162,8 +239,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_document_fingerprints": op9_document_fingerprints,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_token_counts": op12_token_counts,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op8_ngram_jaccard_join": OP8_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op13_source_divergence": OP13_SQL}
