@@ -43,7 +43,22 @@ def test_tags():
 
 
 @pytest.mark.parametrize(("text", "language", "tokens"), [
-    ("don't stop, now...", "en", ["don't", "stop", ",", "now", "..."]),
+    ("don't stop, now...", "en", ["don", "'t", "stop", ",", "now", "..."]),
+    ("it's y'all's a'b'c 80's 5'6 5'a", "en", ["it", "'s", "y", "'all", "'s", "a", "'b'c", "80", "'s", "5", "'", "6", "5'a"]),
+    ("rock 'n' roll, goin' 'cause", "en", ["rock", "'n'", "roll", ",", "goin'", "'cause"]),
+    ("l'amour d’une fille, aujourd'hui 'n' 5'a", "fr", ["l'", "amour", "d'", "une", "fille", ",", "aujourd'", "hui", "'n'", "5", "'", "a"]),
+    ("dell'alba c'è", "it", ["dell'", "alba", "c'", "è"]),
+    ("geht's für'n don't", "de", ["geht", "'s", "für", "'n", "don't"]),
+    ("pa'lante", "es", ["pa'lante"]),
+    ("The U.S.A. and www.x.org, e.g. Dr. No. Stop.", "en", ["The", "U.S.A.", "and", "www.x.org", ",", "e.g.", "Dr.", "No", ".", "Stop", "."]),
+    ("No. 5 is No. Go on. and J. Doe...yes. Nr. 3", "en", ["No.", "5", "is", "No", ".", "Go", "on.", "and", "J.", "Doe", "...", "yes", ".", "Nr", ".", "3"]),
+    ("usw. Und Mme. Str. 5", "de", ["usw.", "Und", "Mme.", "Str.", "5"]),
+    ("5,000 a,b 5,a ,5 3.14 .5", "en", ["5,000", "a", ",", "b", "5", ",", "a", ",", "5", "3.14", ".5"]),
+    ("f*** -- a-b-c -x y- @-@ a_b", "en", ["f***", "--", "a", "@-@", "b", "@-@", "c", "-x", "y-", "@", "-", "@", "a", "_", "b"]),
+    ('"yes", he said "no."', "en", ['"', "yes", ",", '"', "he", "said", '"', "no", ".", '"']),
+    ("„ja,“ – nein — 1\u00a0000", "de", ['"', "ja", '"', ",", "-", "nein", "-", "1,000"]),
+    ("<NL>la-la</nl>(oh)", "en", ["<NL>", "la", "@-@", "la", "</nl>", "(", "oh", ")"]),
+    ("ｱｲabcΑβγ ＡＢЖ ﬁ가 カー5 ア1", "ja", ["ｱ", "ｲ", "abc", "Αβγ", "ＡＢ", "Ж", "ﬁ", "가", "カ", "ー5", "ア", "1"]),
     ("well-known", "en", ["well", "@-@", "known"]),
     ("geht's gut", "de", ["geht", "'s", "gut"]),
     ("漢字abc", "ja", ["漢", "字", "abc"]),

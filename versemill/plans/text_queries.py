@@ -5,27 +5,65 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from versemill.functions import text as tx
-from versemill.functions.tokenizer import LINE, NONLEXICAL, WORD, tokens_of
+from versemill.functions.tokenizer import _ABBREVIATIONS, _BEFORE_NUMBERS, LINE, NONLEXICAL, WORD, texts_of, tokens_of
 from versemill.operators import evaluation as ev
 from versemill.operators import render
 from versemill.plans import adapters as ad
 from versemill.plans.registry import query, rounded
 
-# Tokens of texts of letters, digits, marks and parentheses, without dashes or scripts other than Latin: what the tables hold.
-TOKEN = r"(?i:</?nl>)|\*+|\.{2,}|[\pL\pM\pN_'']+(?:[.,]\pN+)*|\n+|[^\s]"
-
-
-def tokens(source: str, key: str, text: str) -> str:
-    """SQL of found(key, t): a text's tokens, one row each, a run of newlines in one; symbols and newlines at the end go."""
-    shown = rf"regexp_replace({text}, '[^\pL\pN\pM_\s\pP<>]', ' ', 'g')"
-    return rf"found as (select {key}, unnest(regexp_extract_all(regexp_replace(regexp_replace({shown}, '\n[^\S\n]+\n', chr(10) || chr(10), 'g'), '\n+$', ''), '{TOKEN}')) as t from {source})"
+OWN, INNER, NUMBER_COMMA = chr(0xE000), chr(0xE001), chr(0xE002)  # an apostrophe of its word, one inside a word, a comma in a number
+W = rf"\pL\pM\pN*{OWN}{INNER}"
+LETTER, Q = r"[\pL\pM\pN_]", "''"
+
+
+def _by_language(table: dict[str, frozenset[str]]) -> str:
+    listed = {g: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]" for g, words in table.items()}
+    return "case lang " + " ".join(f"when '{g}' then {v}" for g, v in listed.items() if g != "en") + f" else {listed['en']} end::varchar[]"
+
+
+def _replaced(x: str, *rules: tuple[str, str]) -> str:
+    for pattern, to in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+def tokens(source: str, key: str, text: str, lang: str = "'en'") -> str:
+    """SQL of found(key, n, k, t): a text's tokens by line and place, and a row for each run of newlines (k is null). The same
+    cascade of rules, for texts without typographic marks and scripts other than Latin, which the tables lack."""
+    shown = _replaced(f"coalesce({text}, '')", (r"[^\pL\pN\pM_\s\pP<>]", " "), (r"\n[^\S\n]+\n", "\n\n"))
+    other = "replace(x, ',\"', '\",')"
+    quoted = "case when lang = 'en' then " + _replaced("x", ('"([,.]+)', r'\1"')) + " else " + _replaced(other, (r'(\.+)"(\s*[^<])', r'"\1\2')) + " end"
+    inner = _replaced("x", *[(f"({LETTER}){Q}({LETTER})", rf"\1{INNER}\2")] * 2)
+    edges = _replaced(inner, (f"({LETTER}){Q}", rf"\1{OWN}"), (f"{Q}({LETTER})", rf"{OWN}\1"))
+    masked = f"case when lang in ('en', 'fr', 'it') then {edges} else replace(x, chr(39), '{OWN}') end"
+    padded = _replaced("x", (rf"([^{W}\s.,-])", r" \1 "), *[(f"([{W}])-([{W}])", r"\1 @-@ \2")] * 2, (r"(\.{2,})", r" \1 "), *[(r"(\pN),(\pN)", rf"\1{NUMBER_COMMA}\2")] * 2, (",", " , "), (NUMBER_COMMA, ","))
+    english = _replaced("x", (rf"{INNER}([\pN_])", rf" {Q} \1"), (rf"(\pL){INNER}(\pL)", rf"\1 {Q}\2"), (rf"(\pN){INNER}s", rf"\1 {Q}s"))
+    romance = _replaced("x", (rf"{INNER}([\pN_])", rf" {Q} \1"), (rf"(\pL){INNER}(\pL)", rf"\1{Q} \2"), (rf"(\pN){INNER}(\pL)", rf"\1 {Q} \2"))
+    german = _replaced("x", (rf"(?i)({LETTER}){OWN}s($|[^\pL\pM\pN_])", rf"\1 {Q}s\2"), (rf"(?i)(^|[^\pL\pM\pN_])(wie|für){OWN}n($|[^\pL\pM\pN_])", rf"\1\2 {Q}n\3"))
+    clitics = f"translate(case when lang = 'en' then {english} when lang in ('fr', 'it') then {romance} when lang = 'de' then {german} else x end, '{OWN}{INNER}', repeat(chr(39), 2))"
+    chain = (("_lines", "_quoted", quoted), ("_quoted", "_masked", masked), ("_masked", "_padded", padded), ("_padded", "_parted", clitics))
+    steps = "".join(f"), {name} as (select {key}, n, lang, {rule} as x from {before}" for before, name, rule in chain)
+    after = "left(coalesce(ts[i + 1], ''), 1)"
+    stays = (
+        f"list_contains({_by_language(_ABBREVIATIONS)}, w) or (lower({after}) = {after} and upper({after}) <> {after}) or (contains(w, '.') and regexp_matches(w, '\\pL')) "
+        f"or (list_contains({_by_language(_BEFORE_NUMBERS)}, w) and regexp_matches({after}, '[0-9]'))"
+    )
+    return f"""_texts as (select {key}, {lang} as lang, regexp_replace({shown}, '\\n+$', '') as x from {source}
+), _lines as (select {key}, lang, unnest(string_split(x, chr(10))) as x, unnest(range(len(string_split(x, chr(10))))) as n from _texts{steps}
+), _listed as (select {key}, n, list_filter(regexp_split_to_array(x, '\\s+'), lambda t: t <> '') as ts, lang from _parted
+), _words as (select {key}, n, lang, ts, unnest(ts) as t, unnest(range(1, len(ts) + 1)) as i from _listed
+), _judged as (select *, t like '%_.' and not regexp_matches(t, '^\\.+$') and not ({stays}) as _ends from (select *, left(t, length(t) - 1) as w from _words)
+), found as (
+  select {key}, n, 2 * i as k, case when _ends then w else t end as t from _judged
+  union all select {key}, n, 2 * i + 1, '.' from _judged where _ends
+  union all select {key}, null, null, unnest(regexp_extract_all(x, '\\n+')) from _texts)"""
 
 
 IS_WORD, IS_BREAK = r"regexp_matches(t, '[\pL\pN\pM_]')", "t[1] = chr(10)"
 
 
 @query(
-    rf"with {tokens('documents', 'doc_id', 'text')}, counted as (select doc_id, count(*) + count(*) filter (where {IS_BREAK} and length(t) > 1) as tokens, count(*) filter (where {IS_WORD}) as words, count(*) filter (where {IS_BREAK}) as breaks "
+    rf"with {tokens('documents', 'doc_id', 'text', 'lang')}, counted as (select doc_id, count(*) + count(*) filter (where {IS_BREAK} and length(t) > 1) as tokens, count(*) filter (where {IS_WORD}) as words, count(*) filter (where {IS_BREAK}) as breaks "
     "from found group by doc_id) select doc_id as song_id, cast(coalesce(tokens, 0) as int) as tokens, cast(coalesce(words, 0) as int) as words, cast(coalesce(breaks, 0) as int) as breaks from documents left join counted using (doc_id)"
 )
 def word_tokens(spark, sf):
@@ -46,6 +84,23 @@ def rich_tags(spark, sf):
     return tags.groupBy("tag").agg(F.count("*").alias("tokens"), (F.col("tag") == NONLEXICAL).alias("inherited"))
 
 
+CONTRACTED = r"regexp_replace(text, '(\pL{2})(\pL{2}) ', '\1''\2 ', 'g') || ' rock ''n'' roll, Mr. No. 5 and the U.S.A. at www.x.org. 80''s end, geht''s'"
+IN_TURN = "case turn % 4 when 0 then 'en' when 1 then 'fr' when 2 then 'de' else 'es' end"
+
+
+@query(
+    rf"with {tokens('conversations', 'conv_id, turn', CONTRACTED, IN_TURN)} select conv_id, turn, string_agg(t, ' ' order by n, k) as tokens, count(*) as n_tokens, count(*) filter (where contains(t, '''')) as apostrophes "
+    "from found where k is not null group by conv_id, turn"
+)
+def clitic_tokens(spark, sf):
+    """Tokens of turns, in four languages in turn, with an apostrophe in most words and abbreviations at the end."""
+    text = F.concat(F.regexp_replace("text", r"(\p{L}{2})(\p{L}{2}) ", "$1'$2 "), F.lit(" rock 'n' roll, Mr. No. 5 and the U.S.A. at www.x.org. 80's end, geht's"))
+    language = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("turn") % 4 + 1).cast("int"))
+    rows = ad.turns(spark, sf).select("conv_id", "turn", text.alias("text"), language.alias("language"))
+    found = rows.select("conv_id", "turn", F.filter(texts_of(tokens_of("text", "language")), lambda t: ~t.isin("<L>", "<S>")).alias("t"))
+    return found.select("conv_id", "turn", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n_tokens"), F.size(F.filter("t", lambda t: F.contains(t, F.lit("'")))).cast("long").alias("apostrophes"))
+
+
 # Full stops and commas are the only tokens that the hypothesis lacks, so every least alignment deletes these and hits the rest.
 LOST = r"regexp_matches(t, '^[.,]+$')"
 
