@@ -258,3 +258,30 @@ def test_components(spark):
                 label[a] = label[b] = min(label[a], label[b])
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(n, n) == c for n, c in label.items())
+
+
+def test_long_words_that_are_complements(spark):
+    """Words whose polynomials are equal modulo a power of two are different words."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    words = _common.Words([f"{a} {b} {a[:1024]} {b[:1024]} {a}".encode()])
+    assert len(set(words.hash.tolist())) == 4
+    say = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{a} {say}"), (2, f"{b} {say}"), (3, f"{a} {say}"), (4, " ".join([a, "b", a, "c", a])), (5, " ".join([b, "b", b, "c", b]))]
+    got = {r[0]: r[2] for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13, 4: 0, 5: 0}
+    linked = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicate_components(frame(spark, rows)).collect()}
+    assert linked[5] == 5 and linked[3] == 1
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Several blocks of windows read the same numbered rows, behind a shuffle too."""
+    random.seed(19)
+    items = [(k, passage(20)) for k in range(9)]
+    rows = [(d, passage(30) + " " + items[d % 9][1] + " " + passage(5)) for d in range(40)]
+    whole = sorted(map(tuple, decontaminate.decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 40)
+    assert 1 < len(decontaminate._in_blocks(decontaminate.windows_of(spark.createDataFrame(items, "item_id long, text string")).select("words"), "words")) <= decontaminate.BLOCKS
+    shuffled = frame(spark, rows).repartition(5)
+    assert sorted(map(tuple, decontaminate.decontaminate(shuffled, spark.createDataFrame(items, "item_id long, text string")).collect())) == whole and all(r[2] for r in whole)

@@ -1,7 +1,9 @@
 """Operators on single texts: toxicity, chat format, HTML, languages, fingerprints, packing."""
 
+import bisect
 import hashlib
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -355,3 +357,90 @@ def test_ids_of_white_space_and_marks():
     for _ in range(4000):
         text = "".join(random.choices(parts, k=random.randint(0, 12)))
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+PARAGRAPH = "<p>" + "This is a long paragraph of the article with many words and nothing else in it. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("name", "comment-list comments-area post-comments user-comments share-buttons social-links related-posts ad-slot ad-container promo-box newsletter-box site-header sidebar-left advert-inline".split())
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_html_names_in_part(name, around):
+    text = hx.main_text(f"<body><{around}><h1>T</h1>{PARAGRAPH * 3}<div class={name}><p>junk line</p></div></{around}></body>")
+    assert "junk" not in text and text.startswith("T\n\nThis is")
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "post no-comments", "section-header", "long-form", "page-header", "main-content"])
+def test_html_names_of_other_things(name):
+    assert hx.main_text(f"<body><div class='{name}'><article><h1>T</h1>{PARAGRAPH * 3}</article></div></body>").count("long") == 12
+    assert "Heading" in hx.main_text(f"<body><article>{PARAGRAPH * 3}<h2 class='{name}'>Heading</h2>{PARAGRAPH}</article></body>")
+
+
+@pytest.mark.parametrize("page", [
+    "<form>{}</form>", "<form><main>{}</main></form>", "<form id=aspnetForm><div><article>{}</article></div><input value=x><button>Send</button></form>", "<dialog open><main>{}</main></dialog>", "<div hidden><article>{}</article></div>",
+    "<template><article>{}</article></template>", "<div aria-hidden=true><main>{}</main></div><form>Your mail <input></form>",
+])
+def test_html_article_inside_what_is_left_out(page):
+    assert hx.main_text(page.format(PARAGRAPH)) == " ".join(PARAGRAPH[3:-4].split())
+
+
+def test_html_titles_and_comments():
+    assert hx.main_text(f"<main><header><h1>Title</h1></header>{PARAGRAPH}</main>").startswith("Title\n\nThis")
+    comments = "<div class=reader-comments>" + ("<p>" + "I think this is a comment by somebody who reads much. " * 3 + "</p>") * 8 + "</div>"
+    text = hx.main_text(f"<body><div><h1>T</h1>{PARAGRAPH * 3}</div>{comments}</body>")
+    assert "comment" not in text and text.count("\n\n") == 3
+    assert hx.main_text(f"<body>{comments}</body>").count("comment") == 24  # a page of nothing else
+
+
+def test_html_deep_inline_elements_in_linear_time():
+    began = time.time()
+    hx.main_text("<li><ul>" + "<i>" * 40_000 + "<li>x</li>" * 40_000)
+    hx.main_text("<i><div>" + "<b>" * 40_000 + "</i>" * 40_000)
+    assert time.time() - began < 15
+
+
+def test_packing_is_never_worse_than_best_fit():
+    random.seed(41)
+    for n, mean in ((800, 6), (5000, 6.3), (2500, 5.5), (300, 6.6), (40, 5)):
+        histogram = Counter(min(1024, max(1, int(random.lognormvariate(mean, 0.5)))) for _ in range(n))
+        used = Counter()
+        runs = pk.plan(histogram)
+        for r in runs:
+            assert sum(r.pattern) <= 1024
+            for x in r.pattern:
+                used[x] += r.count
+        gaps = []  # best fit decreasing, piece by piece
+        for length in sorted(histogram.elements(), reverse=True):
+            k = bisect.bisect_left(gaps, length)
+            gap = gaps.pop(k) if k < len(gaps) else 1024
+            bisect.insort(gaps, gap - length)
+        assert used == histogram and sum(r.count for r in runs) <= len(gaps)
+
+
+@pytest.mark.parametrize("text", [" " * 1_100_000 + "x", "a" + "\n" * 2_000_000, "a" + " \n" * 600_000 + "b  c", "x" + "　" * 150_000 + " y" + " " * 120_000, "\x1c" * 200_000 + " a"])
+def test_long_white_space(text):
+    encoder = pk._Encoder(tokenizer_path())
+    assert encoder.encode(text) == np.asarray(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_short_runs_as_long_ones(monkeypatch):
+    """The way around the pattern, for runs of three on, against the tokenizer."""
+    monkeypatch.setattr(pk, "LONG_RUN", 3)
+    monkeypatch.setattr(pk, "_LONG_SPACE", re.compile(f"[{pk.WHITE_SPACE}]{{3,}}"))
+    random.seed(42)
+    encoder = pk._Encoder(tokenizer_path())
+    for _ in range(3000):
+        text = "".join(random.choices([" ", "  ", "\n", " ", "\t", "a", "B1", "!", "'s", "é", "　", "\x1c", "\x85", "\x0b"], k=random.randint(0, 40)))
+        assert encoder.encode(text) == np.asarray(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_language_needs_a_letter():
+    model = li.fit([(g, li.profile(t)) for g, t in (("de", "und der die das"), ("en", "the and of to"))])
+    assert all(model.predict(t) == ("und", 0.0) for t in ("½", "²", "Ⅳ", "①", "12 _ !", "", None)) and model.predict("ª")[0] != "und"
+
+
+def test_many_exception_phrases_in_one_sweep():
+    lexicon = tx.Lexicon({" idiot ": 3.0}, ("idiot proof", "village idiot"))
+    text = "idiot proof idiot village idiot proof idiot " * 3000
+    began = time.time()
+    hits = tx.find_hits(tx.folded_words(text), lexicon.automaton())
+    assert len(hits) == 6000 and time.time() - began < 2

@@ -9,6 +9,7 @@ goes to best-fit. Executors then give each piece a rank within its length and re
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,7 +26,10 @@ CAPACITY, EOS = 1024, 2
 RANKED_ROWS = 50_000  # pieces of one length that one task ranks, on average
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # Fixed value: the pre-tokeniser pattern of byte-level BPE vocabularies.
+WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # what \s is in that pattern
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_RUN = 100_000  # white space of so many characters is taken apart before the pattern, whose look-ahead tries each of its ends
+_LONG_SPACE = re.compile(f"[{WHITE_SPACE}]{{{LONG_RUN},}}")
 
 
 class _Encoder:
@@ -68,9 +72,21 @@ class _Encoder:
         if self.ranked is None or any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # as many words as spaces and newlines part, and no other white space anywhere, at either end neither
+        if len(text) > LONG_RUN and (run := _LONG_SPACE.search(text)):
+            return self._around(text, run)
         single = len(text.split()) == text.count(" ") + text.count("\n") + 1 and (rest := text.replace(" ", "").replace("\n", "")).split() == [rest]
         return (self.single_spaced if single else self.ranked).encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
+    def _around(self, text: str, run: re.Match) -> bytes:
+        """A text with long white space. The pattern makes one part of all of it but the last character, which may belong to
+        what follows; at the end of the text of all of it."""
+        out, at = [], 0
+        while run:
+            end = run.end() - (run.end() < len(text))
+            out += [self.encode(text[at : run.start()]), np.asarray(self.ranked._encode_single_piece(text[run.start() : end]), "<u4").tobytes()]
+            at, run = end, _LONG_SPACE.search(text, end)
+        return b"".join([*out, self.encode(text[at:])])
+
 
 _ENCODERS: dict[str, _Encoder] = {}
 
@@ -136,12 +152,15 @@ class _Sums:
             known.pop()
         return next((p for p in reversed(known) if p[0] <= most and self._there(*p, *taken)), None)
 
-    def fill(self, gap: int, *taken: int) -> tuple[int, ...] | None:
-        """One, two or three lengths that sum to the gap, beside the lengths ``taken``: the fewest first, then the largest."""
-        if self._there(gap, *taken):
+    def fill(self, gap: int, parts: int, *taken: int) -> tuple[int, ...] | None:
+        """Up to ``parts`` (three at most) lengths that sum to the gap, beside the lengths ``taken``: the fewest first, then
+        the largest."""
+        if parts and self._there(gap, *taken):
             return (gap,)
-        if found := self.pair(gap, gap, *taken):
+        if parts > 1 and (found := self.pair(gap, gap, *taken)):
             return found
+        if parts < 3:
+            return None
         if gap not in self.triples:
             self.triples[gap] = [a for a in reversed(self.lengths) if a < gap <= 3 * a and gap - a in self.pairs]
         firsts = self.triples[gap]
@@ -151,7 +170,14 @@ class _Sums:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
-    """Runs that use every piece of the histogram once. Its size depends on the number of lengths, not of pieces."""
+    """Runs that use every piece of the histogram once, in the fewest sequences that complements of up to three, two, one or
+    no pieces give: where short pieces are few, those that fill a gap exactly in twos and threes may be missed by others. Its size depends on
+    the number of lengths, not of pieces."""
+    return min((_planned(histogram, capacity, parts) for parts in (3, 2, 1, 0)), key=lambda runs: sum(r.count for r in runs))
+
+
+def _planned(histogram: dict[int, int], capacity: int, parts: int) -> list[Run]:
+    """A plan with exact complements of up to ``parts`` pieces, and best fit for what has none."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -163,7 +189,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
     sums = _Sums(left)
     for length in range(capacity - 1, 0, -1):
         while left[length]:
-            rest = sums.fill(capacity - length, length)
+            rest = sums.fill(capacity - length, parts, length)
             if rest is None:
                 residue.append((length, int(left[length])))
                 left[length] = 0
