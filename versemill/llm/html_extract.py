@@ -4,8 +4,9 @@ The standard library's streaming parser turns a page into block lines, each with
 in it and the path of open elements. The text-to-tag ratio per line is smoothed with a Gaussian and thresholded by its
 standard deviation; lines above form content clusters. A cluster selects its region (the outermost article or main
 around it, else the deepest element around all clusters, beside which clustered lines stay too), and all lines of the selected regions are
-kept, short ones too, except those inside elements that are never article text. An element that only its attributes name
-as furniture is left out, unless the article is in it.
+kept, short ones too, except those inside elements that are never article text. An element that its attributes name as
+furniture, a form, a dialog and a hidden element are left out, unless the article is in them; one that is named so only
+in part goes if its links or its small share of the clustered text say the same.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-NEVER = frozenset("nav header footer aside form script style noscript template menu dialog button select option textarea input iframe object embed canvas svg math audio video head title dir".split())
+NEVER = frozenset("nav header footer aside script style noscript menu button select option textarea input iframe object embed canvas svg math audio video head title dir".split())
+UNLESS_ARTICLE = frozenset("form dialog template".split())  # left out too, but for those that the article is in
 REGION = frozenset(["article", "main"])
 # Words of class, id and role attributes that name page furniture: a name is one if all its words are.
 FURNITURE = frozenset(
@@ -36,19 +38,33 @@ FURNITURE = frozenset(
 )
 # Those of them that name readers' contributions, which may well be longer than the article.
 DISCUSSION = frozenset("comment comments commentlist disqus reply replies respond".split())
+# Words that leave a name of furniture what it is, as in ad-slot or reader-comments.
+COMPANIONS = frozenset(
+    "list area box container wrap wrapper slot inline left right top bottom button buttons link links bar post posts user users reader readers item items section block group panel inner outer unit sticky icon icons "
+    "thread count site global holder zone row".split()
+)
+# Furniture words that name a part of an article as well; of these only the site's own go.
+AMBIGUOUS = frozenset("header footer banner form search menu widget widgets notice alert dialog modal promotion masthead".split())
+OWNERS = frozenset("site global".split())
 _WORDS = re.compile(r"[^\W\d_]+")
 SIGMA, RADIUS = 1.0, 3
 
 
-def furniture_words(attrs: list[tuple[str, str | None]]) -> set[str]:
-    """The words of the class, id and role names that consist of furniture words only."""
+def furniture_words(attrs: list[tuple[str, str | None]]) -> tuple[set[str], bool]:
+    """Furniture words of the class, id and role names that consist of nothing else, or of nothing but companions beside
+    them, and whether all such names are of the second kind."""
     found: set[str] = set()
+    partly = True
     for k, v in attrs:
         for name in (v or "").lower().split() if k in ("class", "id", "role") else ():
             words = set(_WORDS.findall(name))
+            own = words & FURNITURE
             if words <= FURNITURE:
                 found |= words
-    return found
+                partly = partly and not words
+            elif own and words - own <= (COMPANIONS if own - AMBIGUOUS else OWNERS):
+                found |= own
+    return found, partly
 
 
 @dataclass
@@ -61,9 +77,10 @@ class _Element:
 
 @dataclass
 class _Named:
-    """An element that its attributes name as furniture."""
+    """An element that its attributes name as furniture, or that is left out like one."""
 
     discussion: bool
+    partly: bool  # a name of furniture and companions: the text decides too
     parent: int  # the named element around it, 0 for none
     within: frozenset[str]  # names of the regions around it
     holds: set[str]  # names of the regions in it
@@ -95,7 +112,9 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[list[tuple[str, int]], int, int, int, frozenset[str]]] = []
         self.open: list[_Open] = []
-        self.count: Counter[str] = Counter()  # open elements by name
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of open elements, by name
+        self.blocks: list[int] = []  # places of open elements that are no inline ones
+        self.linked: Counter[int] = Counter()  # characters inside links, by named element
         self.elements: list[_Element] = [_Element(0)]
         self.named: dict[int, _Named] = {}
         self.tags, self.text = 0, []
@@ -112,9 +131,11 @@ class _Blocks(HTMLParser):
 
     def close_from(self, k: int) -> None:
         for x in self.open[k:]:
-            self.count[x.tag] -= 1
+            self.at[x.tag].pop()
             self.elements[x.serial].until = len(self.elements) - 1
         del self.open[k:]
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -123,36 +144,30 @@ class _Blocks(HTMLParser):
         if not inline:
             self.flush()
             # a block start closes an open paragraph with the inline elements left open in it
-            self._close_through(tag if tag in ("li", "dt", "dd", "tr", "td", "th") else "p", stop=("ul", "ol", "dl", "table"))
+            if self.blocks and self.open[self.blocks[-1]].tag == (tag if tag in ("li", "dt", "dd", "tr", "td", "th") else "p"):
+                self.close_from(self.blocks[-1])
         self.tags += 1
         if tag in VOID:
             return
         around, serial = self.top(), len(self.elements)
         self.elements.append(_Element(around.serial))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        # a heading group inside an article is part of it
-        dropped = around.dropped or hidden or (tag in NEVER and not (tag == "header" and "article" in around.regions))
+        # a heading group inside an article or main is part of it
+        dropped = around.dropped or (tag in NEVER and not (tag == "header" and around.regions))
         named, region, regions = around.named, around.region, around.regions
         if tag in REGION and not dropped:
             region, regions = region or serial, regions | {tag}
             if named:
                 self.named[named].holds.add(tag)
-        elif tag not in ("html", "body") and not dropped and (words := furniture_words(attrs)):
-            self.named[serial] = _Named(bool(words & DISCUSSION), named, regions, set())
-            named = serial
+        elif tag not in ("html", "body") and not dropped:
+            words, partly = furniture_words(attrs)
+            if words or hidden or tag in UNLESS_ARTICLE:
+                self.named[serial] = _Named(bool(words & DISCUSSION), partly and not hidden and tag not in UNLESS_ARTICLE, named, regions, set())
+                named = serial
         self.open.append(_Open(tag, serial, around.block if inline else serial, dropped, named, region, regions))
-        self.count[tag] += 1
-
-    def _close_through(self, tag: str, stop: tuple[str, ...] = ()) -> None:
-        """Close the innermost open ``tag`` and what is open inside, if only inline elements lie between."""
-        if not self.count[tag]:
-            return
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
-                self.close_from(k)
-                return
-            if self.open[k].tag in stop or self.open[k].tag not in INLINE:
-                return
+        self.at[tag].append(len(self.open) - 1)
+        if not inline:
+            self.blocks.append(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
@@ -160,19 +175,15 @@ class _Blocks(HTMLParser):
         if tag not in INLINE:
             self.flush()
         self.tags += 1
-        if not self.count[tag]:
-            return
-        k = len(self.open) - 1
-        while self.open[k].tag != tag:
-            if tag in INLINE and self.open[k].tag not in INLINE:
-                return
-            k -= 1
-        self.close_from(k)
+        if self.at[tag] and not (tag in INLINE and self.blocks and self.blocks[-1] > self.at[tag][-1]):
+            self.close_from(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
         at = self.top()
         if not at.dropped:
             self.text.append((data, at.named))
+            if self.at["a"]:
+                self.linked[at.named] += len(data.strip())
 
     def finish(self) -> None:
         self.close()
@@ -229,13 +240,16 @@ def clusters(lines: list[Line]) -> tuple[list[float], float, list[int]]:
 def furniture(parser: _Blocks) -> set[int]:
     """The named elements to leave out: all but those that the article is in.
 
-    One stays that holds most of the clustered text (a discussion only if none of the text outside it lies in an article or
-    main), or that holds a main, or an article, unless that is a related one: inside another article, or in a main with an
+    One stays that holds most of the clustered text (a discussion only if hardly any is outside it), or that holds a main, or an article, unless that is a related one: inside another article, or in a main with an
     article of clustered text beside it.
     """
     if not parser.named or not (lines := without(parser, set())):
         return set()
-    total = 0
+    total, whole = 0, Counter()  # characters by named element
+    for pieces, *_ in parser.lines:
+        for text, named in pieces:
+            whole[named] += len(text.strip())
+    linked = parser.linked.copy()
     weight: Counter[int] = Counter()  # clustered characters by named element
     beside: dict[int, set[str]] = defaultdict(set)  # names of the regions around clustered lines, by the named element around them
 
@@ -251,14 +265,17 @@ def furniture(parser: _Blocks) -> set[int]:
             weight[named] += len(text)
         beside[reduce(common, {named for text, named in pieces if not text.isspace()})] |= regions
     for e in sorted(parser.named, reverse=True):
-        weight[parser.named[e].parent] += weight[e]
+        for sums in (weight, whole, linked):
+            sums[parser.named[e].parent] += sums[e]
     outside: dict[int, frozenset[str]] = {0: frozenset()}
     gone = set()
     for e in sorted(parser.named):
         x = parser.named[e]
         outside[e] = outside[x.parent] | beside.get(x.parent, set())
         related = "article" in x.within or ("main" in x.within and "article" in outside[e])
-        wins = 2 * weight[e] > total and not (x.discussion and outside[e])
+        wins = 2 * weight[e] > total and not (x.discussion and (outside[e] or 10 * (total - weight[e]) > weight[e]))
+        # a name in part is no reason by itself: few of the clustered lines, or many links, are
+        wins = wins or (x.partly and not x.discussion and 4 * weight[e] > total and 3 * linked[e] < whole[e])
         if not (wins or "main" in x.holds or ("article" in x.holds and not related)):
             gone.add(e)
     return gone
