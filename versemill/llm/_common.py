@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +105,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+LONG_WORD = 64  # bytes
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -122,7 +124,9 @@ class Words:
     """White-space separated words of a batch of UTF-8 texts, hashed to 64 bits without a Python loop over words.
 
     ``start``/``end`` are byte bounds of each word in ``data``; ``first[d] : first[d + 1]`` are the words of text d.
-    A word's hash is a polynomial of its bytes modulo 2**64, read off prefix sums, and finalised with :func:`mix64`.
+    A word's hash is a polynomial of its bytes modulo 2**64, read off prefix sums, and finalised with :func:`mix64`. Modulo
+    a power of two, some long words that are each other's complement share any polynomial, so longer words are hashed
+    by another function.
     """
 
     def __init__(self, texts: list[bytes], lower_ascii: bool = False):
@@ -141,6 +145,8 @@ class Words:
         shift = _powers(_INVERSE, len(raw) + 1)[self.start] if len(self.start) else np.zeros(0, np.uint64)
         length = (self.end - self.start).astype(np.uint64)
         self.hash = mix64((sums[self.end] - sums[self.start]) * shift + length)
+        for k in np.flatnonzero(length > LONG_WORD).tolist():
+            self.hash[k] = xxhash.xxh3_64_intdigest(raw[self.start[k] : self.end[k]])
 
     def windows(self, n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of n words that lies in one text, in order."""
