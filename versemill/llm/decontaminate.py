@@ -74,6 +74,10 @@ FOUND = ("row", "doc_id", "tkey", "n", "span", "window")
 
 def _occurrences(words: DataFrame, rare: DataFrame) -> DataFrame:
     """(FOUND): a row of null span for each document, and the occurrences of windows in it."""
+    known = rare.select("token", "shift", "size", "window", F.array_join("words", " ").alias("text"))
+    blocks = _in_blocks(known, "token")
+    if blocks is not None and len(blocks) > 1:  # each block scans the rows again, which must have the same numbers each time
+        words = materialize(words)
     # position 0 holds null: it stands for the document itself, so that one pass gives counts and hits
     at = words.select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("place", "word")).withColumn("token", F.lower("word"))
     first = F.col("place") - F.col("shift")  # place of the window's first word
@@ -82,8 +86,7 @@ def _occurrences(words: DataFrame, rare: DataFrame) -> DataFrame:
     # generator has copied the whole word array for each word.
     same = lower_ascii(F.array_join(F.slice("words", F.greatest(first, F.lit(1)), F.col("size")), " ")) == F.col("text")
     span = F.when(F.col("size").isNotNull(), F.struct(first.alias("start"), (first + F.col("size")).alias("end"))).alias("span")
-    known = rare.select("token", "shift", "size", "window", F.array_join("words", " ").alias("text"))
-    if (blocks := _in_blocks(known, "token")) is not None:
+    if blocks is not None:
         found = []
         for k, block in enumerate(blocks):
             joined = at.join(F.broadcast(block), "token", "left")
