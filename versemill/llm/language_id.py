@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 DIMENSIONS = 2048
 SAMPLE_ROWS = 4_000  # labelled rows that the machines are fitted on, at most
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # what the JVM takes for a letter too
 _BLANK_PAIR = (((32 * 257 + 32) * 2654435761 & 0xFFFFFFFF) >> 15) & (DIMENSIONS - 1)
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
