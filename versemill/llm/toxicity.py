@@ -115,9 +115,13 @@ def find_hits(folded: str, automaton: ahocorasick.Automaton | None) -> dict[int,
                 shields.append((start, end))
             elif weight > hits.get(start, 0.0):
                 hits[start] = weight
-    for a, b in shields:
-        for k in [k for k in hits if a <= k < b]:
-            del hits[k]
+    shields.sort()
+    at = reach = 0
+    for place in sorted(hits) if shields else ():  # one sweep over both
+        while at < len(shields) and shields[at][0] <= place:
+            reach, at = max(reach, shields[at][1]), at + 1
+        if place < reach:
+            del hits[place]
     return hits
 
 
