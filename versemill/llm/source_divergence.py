@@ -34,6 +34,8 @@ BROADCAST_GROUPS = 100_000
 HELD_PAIRS = 1 << 20  # sums of pairs that a scan holds before it passes them on
 #: A-Z in lower case, a-z and all bytes of other scripts as they are, anything else a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+SALTS = 32
+REPORT = ["lang", "source", "part", "item", "value", "rank"]
 RUN = ["lang", "term", "source", "document", "docs", "n"]
 
 
@@ -280,7 +282,10 @@ def audit_sources(docs: DataFrame, least: int = MIN_DOCS, top: int = TOP) -> Dat
     turned = lambda rows: rows.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
     both = found.where("part = 'pair'").select("lang", "source", "item", "value")
     pairs = reduce(DataFrame.unionByName, [base, alone, turned(alone), both, turned(both)]).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    rows = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").unionByName(found.where("part = 'term'"))
-    by = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    return rows.withColumn("rank", F.row_number().over(by)).where((F.col("part") == "pair") | (F.col("rank") <= top))
+    # each task of the scan has its own first terms: those of a group are cut down in parts before they meet
+    salted = found.where("part = 'term'").withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
+    ordered = lambda *by: F.row_number().over(Window.partitionBy("lang", "source", *by).orderBy(F.desc("value"), "item"))
+    terms = salted.withColumn("rank", ordered("salt")).where(F.col("rank") <= top).withColumn("rank", ordered()).where(F.col("rank") <= top)
+    told = [pairs.withColumn("part", F.lit("pair")).withColumn("rank", ordered()), terms]
+    return told[0].select(*REPORT).unionByName(told[1].select(*REPORT))
 
