@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from versemill.llm._common import give_back, materialize
 
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
-HELD = 300_000  # partial runs that a task holds before it passes them on
+HELD = 500_000  # partial runs that a task holds before it passes them on
 PIECE = 1 << 20  # bytes of a text whose terms are listed at once
 BROADCAST_GROUPS = 100_000
 HELD_PAIRS = 1 << 20  # sums of pairs that a scan holds before it passes them on
@@ -142,7 +142,9 @@ def _added_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 def kept_terms(docs: DataFrame, least: int = MIN_DOCS) -> DataFrame:
     """(lang, term, source, n): occurrences of each term that ``least`` documents of its language hold."""
     rows = materialize(partial_runs(docs))
-    ordered = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "term", "source", "document").sortWithinPartitions("lang", "term", "source", "document")
+    # a hash before the names: it sorts as a number, and ranges of it are even
+    order = [F.xxhash64("lang", "term"), "lang", "term", "source", "document"]
+    ordered = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     added = materialize(ordered.mapInArrow(lambda batches: _added_up(batches, least), "lang string, term string, source string, docs long, n long, edge boolean"))
     at_edges = added.where("edge").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     enough = at_edges.groupBy("lang", "term").agg(F.sum("docs").alias("_docs")).where(F.col("_docs") >= least).select("lang", "term")
