@@ -4,8 +4,8 @@ Words are counted once, then joined on the three rarest of their positional bigr
 bigrams at most, so of two words that near, the rarest bigram that both keep is among the three rarest of either. Bigrams
 are ordered by how many words hold them, then by text and position; ties of one text are in order of position, which an
 edit keeps. Of a kept bigram the edit lies wholly to one side: what lies to the other, the bigram included, is the same
-in both words, at the same distance from that end of the word. That part, with the word's length, is the join key, which
-is how the limit on positions is put; each pair that meets is verified.
+in both words, at the same distance from that end of the word, and of what lies on the edit's own side one half is. Both, with
+the words' lengths, are the join key, which is how the limit on positions is put; each pair that meets is verified.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from versemill.llm._common import give_back, keyed_text, materialize
 
 MIN_CHARS, MIN_COUNT, FACTOR, EVERY = 6, 5, 5, 199
 RAREST = 3  # one more than the bigrams that an edit can destroy
+SHORTEST_HALF = 2  # characters of what the edit lies in: of a longer rest one half is part of the key
 HELD = 200_000  # distinct words that a task holds before it passes their counts on
 PIECE = 1 << 20  # characters of a text whose words are listed at once
 _RUN = re.compile(f"[a-zÀ-ÿ]{{{MIN_CHARS},}}")  # of a text whose A-Z are lower-case; shorter runs give no word
@@ -104,18 +105,30 @@ def with_rarest(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "word string, n long, at array<int>")
 
 
+def _keys(rarest: DataFrame) -> DataFrame:
+    """(role, key, word, n) of words with the positions of their rarest bigrams: role 0 meets words as long, 1 words longer by
+    one character, 2 words shorter by one."""
+    at = rarest.select("word", "n", F.char_length("word").alias("size"), F.explode("at").alias("k"))
+    # the edit lies right of the bigram and all up to its end is kept, or left of it and all from its start on is
+    right, left = ("substring(word, 1, k + 2)", "substring(word, k + 3)"), ("substring(word, k + 1)", "substring(word, 1, k)")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.expr(kept).alias("kept"), F.expr(rest).alias("rest")) for s, (kept, rest) in enumerate((right, left))])
+    rows = at.select("word", "n", "size", F.explode(sides).alias("s")).select("word", "n", "size", "s.*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("role"))
+    # of the rest, as long as the shorter word's, the edit leaves one half: that next to the bigram, or the far one
+    rows = rows.withColumn("m", F.char_length("rest") - F.when(F.col("role") == 2, 1).otherwise(0)).where("m >= 0")
+    halves = F.expr(f"""case when m < {2 * SHORTEST_HALF} then array(struct(0 as half, '' as text))
+        when side = 0 then array(struct(1 as half, substring(rest, 1, m div 2) as text), struct(2 as half, right(rest, cast(m - m div 2 as int)) as text))
+        else array(struct(1 as half, right(rest, cast(m div 2 as int)) as text), struct(2 as half, substring(rest, 1, m - m div 2) as text)) end""")
+    rows = rows.select("word", "n", "size", "side", "kept", "role", "m", F.explode(halves).alias("h"))
+    longer = F.col("size") + F.when(F.col("role") == 1, 1).otherwise(0)
+    return rows.select("role", F.xxhash64("side", "kept", "m", F.col("role") == 0, longer, "h.half", "h.text").alias("key"), "word", "n")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n): each two words of (word, n) that are one edit apart, once, the shorter or smaller first."""
-    at = with_rarest(words).select("word", "n", F.char_length("word").alias("size"), F.explode("at").alias("k"))
-    # the edit lies right of the bigram and all up to its end is kept, or left of it and all from its start on is
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.expr("substring(word, 1, k + 2)").alias("part")), F.struct(F.lit(1).alias("side"), F.expr("substring(word, k + 1)").alias("part")))
-    parts = materialize(at.select("word", "n", "size", F.explode(sides).alias("s")).select("word", "n", "size", "s.side", "s.part").distinct())
-    key = lambda size: F.xxhash64("part", "side", size)
-    index = parts.select(key(F.col("size")).alias("key"), F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("size").alias("other_size"))
-    probes = parts.select(F.explode(F.array(key(F.col("size")), key(F.col("size") + 1))).alias("key"), "word", "n", "size")
-    met = (F.col("size") < F.col("other_size")) | (F.col("word") < F.col("other"))
-    apart = F.levenshtein("word", "other", 1) == 1
-    return probes.join(index, (probes["key"] == index["key"]) & met & apart).select("word", "n", "other", "other_n").distinct()
+    keys = _keys(materialize(with_rarest(words)))
+    probes, index = keys.where("role < 2"), keys.where("role <> 1").select(F.col("key").alias("key2"), F.col("role").alias("role2"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    met = ((F.col("role") == 1) & (F.col("role2") == 2)) | ((F.col("role") == 0) & (F.col("role2") == 0) & (F.col("word") < F.col("other")))
+    return probes.join(index, (F.col("key") == F.col("key2")) & met & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
