@@ -23,7 +23,9 @@ EDITS, MIN_CHARS = 2, 1  # an empty line parts paragraphs and is never a repeat
 SEGMENT_CHARS = 4  # k edits need k + 1 segments of so many characters at least: shorter lines have fewer edits, the shortest none
 HOT_SHARE = 10_000  # a line or a key is hot if it is more than one in so many; no more than so many can be
 KEY_SAMPLE = 64  # hot keys are found among those of one line in so many; they are salted, which changes no result
-SALTS = 64
+KEY_ROWS = 1_000_000  # a key of so many rows is hot whatever its share
+SALT_ROWS = 20_000  # rows of a hot key that one task sorts, about
+LEAST_SALTS = 64
 BROADCAST_ROWS = 1_000_000
 
 
@@ -144,10 +146,12 @@ def within(x: Column, y: Column, most: Column, edits: int = EDITS) -> Column:
 
 
 def hot_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """Keys that more than one in HOT_SHARE rows have, by the keys of one line in KEY_SAMPLE. (key)"""
+    """(key, salts) of the keys that more than one in HOT_SHARE rows have, or more than KEY_ROWS rows, by the keys of one line
+    in KEY_SAMPLE; ``salts`` grows with a key's rows."""
     some = materialize(keys_of(lines.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(KEY_SAMPLE)) == 0), edits).groupBy("key").count())
     total = some.agg(F.sum("count")).first()[0] or 0
-    return some.where(F.col("count") > max(100, total // HOT_SHARE)).select("key")
+    salts = F.greatest(F.lit(LEAST_SALTS), F.ceil(F.col("count") * KEY_SAMPLE / SALT_ROWS)).cast("int")
+    return materialize(some.where(F.col("count") > min(max(100, total // HOT_SHARE), KEY_ROWS // KEY_SAMPLE)).select("key", salts.alias("salts")))
 
 
 def near_lines(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDITS) -> DataFrame:
@@ -157,12 +161,13 @@ def near_lines(docs: DataFrame, counts: DataFrame, total: int, edits: int = EDIT
     hot = counts.where(F.col("n") > max(1000, total // HOT_SHARE)).select("h1", "h2", "first")
     once = lines.join(F.broadcast(hot), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == _place()))  # hot has HOT_SHARE rows at most
     once = once.select("line", F.char_length("line").alias("size"), F.shiftleft("h1", 1).alias("id"))
-    often = hot_keys(once, edits)  # HOT_SHARE rows at most
+    often = hot_keys(once, edits)
     rows = keys_of(once, edits)
     if often.isEmpty():
         rows = rows.select("*", F.lit(None).cast("boolean").alias("often"), F.lit(0).alias("salt"))
     else:
-        rows = rows.join(F.broadcast(often.withColumn("often", F.lit(True))), "key", "left").withColumn("salt", F.when(F.col("often"), F.pmod("id", F.lit(SALTS))).otherwise(0))
+        few = often.count() <= BROADCAST_ROWS  # a million keys of a million rows each are a trillion rows
+        rows = rows.join(F.broadcast(often) if few else often, "key", "left").select("key", "id", F.col("salts").isNotNull().alias("often"), F.coalesce(F.pmod("id", "salts"), F.lit(0)).alias("salt"))
 
     by = Window.partitionBy("key", "salt")
     own = F.col("id").bitwiseAND(F.lit(1).cast("long")) == 0
