@@ -1,6 +1,8 @@
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,31 @@ def test_vad_golden():
         assert 0 <= a < b <= 1_600_000 and b - a <= 31 * 16000
 
 
+def test_padded_spans():
+    spans = lambda pairs, pad, total: vad.padded_spans(np.asarray(pairs, float).reshape(-1, 2), pad, total)
+    assert spans([], 5, 100) == [] and spans([(3, 98)], 5, 100) == [(0, 100)]
+    assert spans([(10, 20), (27, 40), (60, 70)], 5, 72) == [(5, 23), (24, 45), (55, 72)]  # a gap of 7 gives 3 to each side, one of 20 gives 5
+    assert spans([(10, 20), (20, 40)], 5, 100) == [(5, 20), (20, 45)]
+
+
+def slow_energies(x, frame, hop):
+    padded = [0.0] * (frame // 2) + list(x) + [0.0] * frame
+    return [math.sqrt(sum(v * v for v in padded[k * hop : k * hop + frame]) / frame) for k in range(1 + len(x) // hop)]
+
+
+@pytest.mark.parametrize(("n", "frame", "hop"), [(0, 8, 4), (1, 8, 4), (64, 16, 4), (63, 16, 6), (100, 10, 4), (5000, 2048, 512), (17, 4, 8)])
+def test_energies(n, frame, hop):
+    random.seed(n)
+    x = [random.uniform(-1, 1) for _ in range(n)]
+    assert vad.energies(np.asarray(x), frame, hop) == pytest.approx(slow_energies(x, frame, hop))
+
+
+def test_frame_energy(spark):
+    rows = [(1, [0.0, 3.0, 4.0, 0.0]), (2, None), (3, []), (4, [1.0] * 8)]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "k int, x array<double>").coalesce(1).select("k", vad.frame_energy("x", 4, 2)).collect()}
+    assert got[1] == pytest.approx([1.5, 2.5, 2.0]) and got[2] is None and got[3] == [0.0] and got[4] == pytest.approx([math.sqrt(0.5), 1, 1, 1, math.sqrt(0.5)])
+
+
 def test_evaluation_conserves(spark):
     rows = [("u1", "d", "en", 0, "a b c d", "a x c", 0.0, 2.0), ("u1", "d", "en", 1, "<nl>la la</nl> (ooh) yes", "la ooh Yes", 0.0, 1.0), ("u2", "d", "en", 0, "", "x", 0.0, 1.0)]
     pairs = spark.createDataFrame(rows, "uid string, dataset string, language string, sample_idx int, ref string, hyp string, start double, end double")

@@ -1,4 +1,5 @@
-"""Activity segments from frame scores: runs of activity and silence in one recording's series, cut and padded by an Arrow function."""
+"""Frame energy of samples, and activity segments from frame scores: runs of activity and silence in one recording's series,
+cut and padded by Arrow functions."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,33 @@ def normalised(scores: str | Column) -> Column:
     return F.transform(c, lambda x: F.when(top == 0, F.lit(float("nan"))).otherwise(x / top))
 
 
+def energies(samples: np.ndarray, frame: int = 2048, hop: int = 512) -> np.ndarray:
+    """Root mean squares of the ``frame`` samples around every ``hop``-th one, zeros beyond both ends.
+
+    Squares are added up once by blocks that frames and hops are whole numbers of; a frame is a few neighbouring blocks.
+    """
+    block, n = math.gcd(frame, hop), 1 + len(samples) // hop
+    padded = np.zeros(-(-((n - 1) * hop + frame) // block) * block)
+    padded[frame // 2 : frame // 2 + len(samples)] = samples[: len(padded) - frame // 2]
+    sums = np.square(padded).reshape(-1, block).sum(axis=1)
+    return np.sqrt(np.lib.stride_tricks.sliding_window_view(sums, frame // block)[:: hop // block].sum(axis=1)[:n] / frame)
+
+
+def frame_energy(samples: str | Column, frame: int = 2048, hop: int = 512) -> Column:
+    """Array of the energy of each frame from an array of samples; null gives null, no samples give one silent frame."""
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for series in batches:
+            flat, ends = series.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(series.value_lengths().fill_null(0)))
+            none = series.is_null().to_numpy(zero_copy_only=False)
+            made = [flat[:0] if null else energies(flat[a:b], frame, hop) for a, b, null in zip(ends[:-1], ends[1:], none, strict=True)]
+            offsets = pa.array(np.append(0, np.cumsum([len(m) for m in made])), pa.int32(), mask=np.append(none, False))
+            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(made) if made else np.zeros(0)))
+
+    return run((F.col(samples) if isinstance(samples, str) else samples).cast("array<double>"))
+
+
 class _Series:
     """Runs of a score series: where activity is, and the silences between."""
 
@@ -105,25 +134,17 @@ def segments_of(scores: Sequence[float], o: VadOptions = VadOptions(), length: i
             cut = half + int(np.flatnonzero(later == later.min())[-1])
             found.append([start * o.window, cut * o.window])
             start, watched = cut, full + 1
-    return pad_segments(found, int(pad), total)
-
-
-def pad_segments(found: list[list[int]], pad: int, total: int) -> list[tuple[int, int]]:
-    """Padding from left to right; a gap under two paddings is split in half, and what a step moves the next one sees."""
-    for k, seg in enumerate(found):
-        if k == 0:
-            seg[0] = max(0, seg[0] - pad)
-        if k + 1 < len(found):
-            gap = found[k + 1][0] - seg[1]
-            if gap < 2 * pad:
-                seg[1] += gap // 2
-                found[k + 1][0] = max(0, found[k + 1][0] - gap // 2)
-            else:
-                seg[1] = min(total, seg[1] + pad)
-                found[k + 1][0] = max(0, found[k + 1][0] - pad)
-        else:
-            seg[1] = min(total, seg[1] + pad)
-    return [(a, b) for a, b in found]
+    return padded_spans(np.asarray(found, float).reshape(-1, 2), pad, total)
+
+
+def padded_spans(spans: np.ndarray, pad: float, total: int) -> list[tuple[int, int]]:
+    """Spans in order, widened into what is around them: a gap gives either side ``pad``, or half of itself, a whole number, where it is
+    under two paddings; the first start and the last end get all of it, inside the recording."""
+    gap = spans[1:, 0] - spans[:-1, 1]
+    share = np.where(gap < 2 * pad, gap // 2, pad)
+    starts = np.maximum(0, spans[:, 0] - np.append(pad, share)[: len(spans)])
+    ends = np.minimum(total, spans[:, 1] + np.append(share, pad)[: len(spans)])
+    return list(zip(starts.astype(np.int64).tolist(), ends.astype(np.int64).tolist(), strict=True))
 
 
 def vad_segments(scores: str | Column, options: VadOptions = VadOptions(), length: str | Column | None = None) -> Column:

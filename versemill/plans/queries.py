@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -302,34 +304,107 @@ def pack_segments(spark, sf):
 
 
 OPTIONS = vad.VadOptions(onset=0.3, offset=0.3, max_speech_s=12, pad_ms=200, window=16000)
+PAUSES = vad.VadOptions(onset=0.3, offset=0.3, min_speech_ms=1000, max_speech_s=12, min_silence_ms=3000, pad_ms=900, window=16000)
+
+
+def activity_sql(o: vad.VadOptions) -> str:
+    """SQL of segments(uid, n, segment_idx, s, e): a walk over the silences of each series, kept as a text of ones and zeros, for
+    equal thresholds. A row is the state at a silence: where the segment began, from where silences are looked for, and
+    the last pause with the frame at which activity resumed; what a step closes is (s, e)."""
+    pad = o.rate * o.pad_ms / 1000
+    longest, shortest = o.rate * o.max_speech_s - o.window - 2 * pad, o.rate * o.min_speech_ms / 1000
+    ends, pauses, full = math.ceil(o.rate * o.min_silence_ms / 1000 / o.window), math.floor(o.rate * 98 / 1000 / o.window) + 1, math.floor(longest / o.window) + 1
+    found = lambda mark, at: f"(nullif(instr(substr(act, ({at}) + 1), '{mark}'), 0) + ({at}) - 1)"
+    return f"""series as (
+  select vec_id as uid, len(embedding) as n, list_transform(embedding, lambda v: abs(cast(v as double)) / list_max(list_transform(embedding, lambda x: abs(cast(x as double))))) as y,
+         array_to_string(list_transform(embedding, lambda v: case when abs(cast(v as double)) / list_max(list_transform(embedding, lambda x: abs(cast(x as double)))) >= {o.onset}::double then '1' else '0' end), '') as act from embeddings
+), walk as (
+  select uid, 0 as step, {found(1, "0")} as start, {found(1, "0")} + 1 as watched, {found(1, "0")} + 1 as pos, cast(null as bigint) as paused, cast(null as bigint) as resumed, cast(null as bigint) as s, cast(null as bigint) as e from series
+  union all
+  select uid, step + 1, next_start,
+         case kind when 'next' then watched when 'paused' then case when resumed <= too_long then too_long else next_start + 1 end when 'cut' then too_long + 1 else next_start + 1 end,
+         case kind when 'next' then until when 'paused' then case when resumed <= too_long then too_long else next_start + 1 end when 'cut' then too_long + 1 else next_start + 1 end,
+         case when kind = 'next' then case when notes then first else paused end end, case when kind = 'next' then case when notes then until else resumed end end,
+         case when kind <> 'next' and ending > start and (kind in ('paused', 'cut') or (ending - start) * {o.window} > {shortest}) then start end * {o.window}, case when kind <> 'next' then ending end * {o.window}
+  from (
+    select *, case kind when 'next' then start when 'closed' then {found(1, f"first + {ends} + 1")} when 'paused' then case when resumed <= too_long then resumed else {found(1, "too_long + 1")} end when 'cut' then ending end as next_start from (
+      select *, case kind when 'closed' then first when 'last' then n when 'paused' then paused when 'cut' then half + len(later) - list_position(list_reverse(later), list_min(later)) end as ending from (
+        select *, case when first < too_long and first + {ends} < least(until, too_long) then 'closed' when first < too_long then 'next' when too_long >= n then 'last' when paused is not null then 'paused' else 'cut' end as kind,
+               first < too_long and first + {pauses} < least(until, too_long) as notes, list_slice(y, half + 1, too_long + 1) as later from (
+          select *, coalesce({found(1, "first + 1")}, n) as until, start + (too_long + 1 - start) // 2 as half from (
+            select w.*, x.n, x.y, x.act, greatest(watched, start + {full}) as too_long, {found(0, "pos")} as first from walk w join series x using (uid) where start is not null)))))
+), closed as (
+  select uid, n, step, s, e, s - lag(e) over w as before, lead(s) over w - e as after, row_number() over w - 1 as segment_idx from walk join series using (uid) where s is not null window w as (partition by uid order by step)
+), segments as (
+  select uid, n, cast(segment_idx as int) as segment_idx, cast(greatest(0, s - case when before < {2 * pad} then before // 2 else {pad} end) as bigint) as s, cast(least(n * {o.window}, e + case when after < {2 * pad} then after // 2 else {pad} end) as bigint) as e from closed
+)"""
 
 
-@query()
-def vad_segments(spark, sf):
-    found = ad.scores(spark, sf).withColumn("segments", vad.vad_segments(vad.normalised("scores"), OPTIONS))
+def _segments(spark, sf, options: vad.VadOptions):
+    found = ad.scores(spark, sf).withColumn("segments", vad.vad_segments(vad.normalised("scores"), options))
     return found.select("uid", F.posexplode("segments").alias("segment_idx", "s")).select("uid", "segment_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
+@query(f'with recursive {activity_sql(OPTIONS)} select uid, segment_idx, s as start, e as "end" from segments')
+def vad_segments(spark, sf):
+    """Segments cut at their least score where they grow too long."""
+    return _segments(spark, sf, OPTIONS)
+
+
+@query(f'with recursive {activity_sql(PAUSES)} select uid, segment_idx, s as start, e as "end" from segments')
+def vad_pauses(spark, sf):
+    """Segments that longer silences end, cut at a pause where they grow too long and have one."""
+    return _segments(spark, sf, PAUSES)
+
+
+ENERGY = """x as (select vec_id as uid, list_transform(embedding, lambda v: cast(v as double)) as a from embeddings), framed as (select uid, a, unnest(range(0, len(a) // 4 + 1)) as frame from x), energy as (
+  select uid, len(a) // 4 + 1 as n, frame, sqrt(coalesce(list_sum(list_transform(list_slice(a, greatest(1, frame * 4 - 7), least(len(a), frame * 4 + 8)), lambda v: v * v)), 0) / 16) as energy from framed
+)"""
+
+
+@query(f"with {ENERGY} select uid, frame, round(energy, 6) as energy from energy")
+def frame_energy(spark, sf):
+    """Energy of frames of 16 samples, one every fourth: embeddings as samples."""
+    rows = ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("uid"), F.posexplode(vad.frame_energy("embedding", 16, 4)).alias("frame", "energy"))
+    return rounded(rows.select("uid", F.col("frame").cast("long").alias("frame"), "energy"))
+
+
 UNCUT = vad.VadOptions(onset=0.3, offset=0.3, min_speech_ms=1000, max_speech_s=1e6, min_silence_ms=1000, pad_ms=1500, window=16000)
 
 
-@query(
-    """with x as (select vec_id as uid, len(embedding) as n, list_transform(embedding, lambda v: abs(cast(v as double))) as a from embeddings), y as (
-  select uid, n, unnest(a) / list_max(a) as score, unnest(range(0, n)) as frame from x
-), runs as (
-  select uid, n, frame, case when frame - lag(frame) over (partition by uid order by frame) <= 2 then 0 else 1 end as opens from y where score >= 0.3::double
+def islands_sql(scores: str, onset: float, shortest: int, pad: int) -> str:
+    """SQL of padded runs of activity over (uid, n, score, frame); silences of one frame are part of a run."""
+    return f"""{scores}, runs as (
+  select uid, n, frame, case when frame - lag(frame) over (partition by uid order by frame) <= 2 then 0 else 1 end as opens from y where score >= {onset}::double
 ), numbered as (
   select *, sum(opens) over (partition by uid order by frame rows unbounded preceding) as run from runs
 ), raw as (
   select uid, n * 16000 as total, min(frame) * 16000 as s, case when n - max(frame) > 2 then max(frame) + 1 else n end * 16000 as e from numbered group by uid, n, run
 ), kept as (
-  select *, s - lag(e) over w as before, lead(s) over w - e as after, row_number() over w - 1 as segment_idx from raw where e - s > 16000 window w as (partition by uid order by s)
-) select uid, segment_idx::int as segment_idx, greatest(0, s - case when before < 48000 then before // 2 else 24000 end)::bigint as start, least(total, e + case when after < 48000 then after // 2 else 24000 end)::bigint as "end" from kept"""
-)
+  select *, s - lag(e) over w as before, lead(s) over w - e as after, row_number() over w - 1 as segment_idx from raw where e - s > {shortest} window w as (partition by uid order by s)
+) select uid, segment_idx::int as segment_idx, greatest(0, s - case when before < {2 * pad} then before // 2 else {pad} end)::bigint as start, least(total, e + case when after < {2 * pad} then after // 2 else {pad} end)::bigint as "end" from kept"""
+
+
+@query(
+    islands_sql(
+        "with x as (select vec_id as uid, len(embedding) as n, list_transform(embedding, lambda v: abs(cast(v as double))) as a from embeddings), y as (select uid, n, unnest(a) / list_max(a) as score, unnest(range(0, n)) as frame from x)",
+        0.3, 16000, 24000,
+    )
+)
 def vad_islands(spark, sf):
     """Segments that never grow too long: padded runs of activity, silences of one frame included."""
-    found = ad.scores(spark, sf).withColumn("segments", vad.vad_segments(vad.normalised("scores"), UNCUT))
-    return found.select("uid", F.posexplode("segments").alias("segment_idx", "s")).select("uid", "segment_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    return _segments(spark, sf, UNCUT)
+
+
+LOUD = vad.VadOptions(onset=0.8, offset=0.8, max_speech_s=1e6, min_silence_ms=1000, pad_ms=1500, window=16000)
+
+
+@query(islands_sql(f"with {ENERGY}, y as (select uid, n, energy / max(energy) over (partition by uid) as score, frame from energy)", 0.8, 0, 24000))
+def energy_segments(spark, sf):
+    """Segments of the loud frames of a series of samples."""
+    rows = ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("uid"), vad.frame_energy("embedding", 16, 4).alias("energy"))
+    found = rows.select("uid", F.posexplode(vad.vad_segments(vad.normalised("energy"), LOUD)).alias("segment_idx", "s"))
+    return found.select("uid", "segment_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
 @query(
@@ -344,7 +419,10 @@ def vad_mask(spark, sf):
     return rounded(vad.activity_mask(rows, window=w).select("uid", F.col("frame").cast("long").alias("frame"), "score", "active"))
 
 
-@query()
+@query(
+    f"with recursive {activity_sql(OPTIONS)}, frames as (select uid, n, unnest(range(0, n)) * {OPTIONS.window} as at from series), lit as (select distinct f.uid, f.at from frames f join segments g on g.uid = f.uid and g.s <= f.at and f.at < g.e) "
+    "select x.uid, count(l.at) as active_frames, cast(any_value(n) as bigint) as frames from series x left join lit l using (uid) group by x.uid"
+)
 def vad_activity(spark, sf):
     found = ad.scores(spark, sf).withColumn("scores", vad.normalised("scores"))
     found = found.withColumn("segments", vad.vad_segments("scores", OPTIONS))
@@ -477,7 +555,16 @@ def line_tasks(spark, sf):
     return made.select(F.col("uid").cast("long").alias("uid"), "audio_path", "language", F.posexplode("clips").alias("clip_idx", "c")).select("uid", "audio_path", "language", F.col("clip_idx").cast("long").alias("clip_idx"), "c.start", "c.end")
 
 
-@query()
+@query(
+    f"""with recursive {activity_sql(OPTIONS)}, steps as (
+  select uid, segment_idx as k, s as ps, e as last, 0 as pack from segments where segment_idx = 0
+  union all
+  select x.uid, x.segment_idx, case when x.e - p.ps > 480000 and p.last - p.ps > 0 then x.s else p.ps end, x.e, case when x.e - p.ps > 480000 and p.last - p.ps > 0 then p.pack + 1 else p.pack end
+  from steps p join segments x on x.uid = p.uid and x.segment_idx = p.k + 1
+), packs as (
+  select uid, pack, min(ps) / 16000.0::double as s, max(last) / 16000.0::double as e from steps group by uid, pack
+) select uid, 'stems/' || uid || '/vocals.wav' as audio_path, cast(count(pack) as int) as clips, coalesce(string_agg(s || ',' || e, ',' order by pack), '') as clip_timestamps from series left join packs using (uid) group by uid"""
+)
 def activity_tasks(spark, sf):
     """Song-level tasks whose clips are packed activity, as the flat list of sequential recognition."""
     found = ad.scores(spark, sf).withColumn("segments", vad.vad_segments(vad.normalised("scores"), OPTIONS)).select("uid", tasks.activity_clips("segments").alias("clips"))
