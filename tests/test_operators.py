@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from versemill.functions import text as tx
 from versemill.operators import analytics as an
 from versemill.operators import catalog as cat
 from versemill.operators import evaluation as ev
@@ -134,6 +135,25 @@ def test_evaluation_conserves(spark):
     assert full["P_pare"] is None and full["R_pare"] == 0
 
 
+def test_texts_are_compared_once(spark, tmp_path):
+    pairs = spark.createDataFrame([("u", "d", "en", 0, "a (b)\nc's", "a x c"), ("v", "d", "en", 0, None, "")], "uid string, dataset string, language string, sample_idx int, ref string, hyp string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = ev.aligned(pairs).where(F.size("chunks") > 0)
+    assert plan(ev.samples(rows)).count("ArrowEvalPython") == 1
+    first = rows.first()
+    assert [w["text"] for w in first["ref_words"]] == ["a", "b", "c", "'s"] and first["ref_words"][1]["tags"] == ["backing", "word"] and first["breaks"] == [1]
+    stored, direct = ev.fact_tables(pairs, {"audio": "x"}, store=str(tmp_path / "run")), ev.fact_tables(pairs, {"audio": "x"})
+    for name, df in stored.items():
+        assert "Python" not in plan(df) and sorted(map(repr, df.collect())) == sorted(map(repr, direct[name].collect()))
+    assert stored["samples"].count() == 2
+
+
+def test_clean_text_composes_once(spark):
+    rows = spark.createDataFrame([("ﬁne ½",), ("plain",), (None,), ("(all)",)], "text string").select(tx.clean_text(F.col("text")).alias("t")).where("t <> ''")
+    assert sorted(r[0] for r in rows.collect()) == ["fine 1⁄2", "plain"]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_runs_of_systems(spark):
     pairs = spark.createDataFrame([("u", "d", "en", 0, "a b", "a c")], "uid string, dataset string, language string, sample_idx int, ref string, hyp string")
     made = ev.fact_tables_of([({"audio": "N"}, pairs), ({"audio": "A"}, pairs.withColumn("hyp", F.col("ref")))])

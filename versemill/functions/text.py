@@ -47,10 +47,11 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def clean_text(text: Column, compose: bool = True) -> Column:
     """Training form: NFKC, then tags and parentheses with their content go, no space before a comma, single spaces, trimmed.
 
-    White space is that of any script. NFKC goes through Arrow; ``compose=False`` leaves it out, for texts known to be
-    composed, and keeps the rest in the JVM.
+    White space is that of any script. NFKC goes through Arrow, once and for texts beyond ASCII only; ``compose=False``
+    leaves it out, for texts known to be composed, and keeps the rest in the JVM.
     """
-    out = nfkc(text) if compose else text
+    # declared as not deterministic, which is not so: else a filter on the result would compose all texts a second time
+    out = F.coalesce(nfkc.asNondeterministic()(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text) if compose else text
     for pattern, to in ((r"</?nl>", ""), (r"\([^)]*\)", ""), (r"(?U)\s+,", ","), (r"(?U)\s+", " ")):
         out = F.regexp_replace(out, F.lit(pattern), F.lit(to))
     return F.trim(out)

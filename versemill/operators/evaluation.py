@@ -1,6 +1,6 @@
 """Transcription evaluation: from (ref, hyp) pairs to samples, chunks and edits, and the metrics on them.
 
-Pairs are tokenised and aligned once (two Arrow functions), then everything is exploded and aggregated in the JVM.
+Pairs are tokenised and aligned in one Arrow function, then everything is exploded and aggregated in the JVM.
 """
 
 from __future__ import annotations
@@ -12,34 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versemill.functions import alignment as al
+from versemill.functions.comparison import compared
 from versemill.functions.text import case_error, near_miss, word_dist
-from versemill.functions.tokenizer import BACKING, LINE, NONLEXICAL, PAREN, PUNCT, SECT, WORD, texts_of, tokens_of, word_tokens
+from versemill.functions.tokenizer import BACKING, LINE, NONLEXICAL, PAREN, PUNCT, SECT, texts_of
 from versemill.operators.catalog import attach_system
 
 TYPES = {al.EQUAL: "hit", al.SUBSTITUTE: "sub", al.DELETE: "del", al.INSERT: "ins"}
 REPORTED_TAGS = (PUNCT, PAREN, LINE, SECT)
 
 
-def _lower(tokens: str) -> Column:
-    return F.transform(texts_of(tokens), F.lower)
-
-
-def tokenised(pairs: DataFrame, normalise=None) -> DataFrame:
-    """Adds ref_all, hyp_all (rich tokens) and ref_words, hyp_words to pairs (ref, hyp, language)."""
+def aligned(pairs: DataFrame, normalise=None, words_only: bool = True) -> DataFrame:
+    """Pairs (ref, hyp, language) with ref_words, hyp_words, the breaks of the reference and ``chunks``, the alignment of the
+    lower-cased words; with ``words_only`` false, of all tokens, marks and breaks included."""
     if normalise is not None:
         pairs = pairs.withColumns({"ref": normalise(F.col("ref")), "hyp": normalise(F.col("hyp"))})
-    pairs = pairs.withColumns({"ref_all": tokens_of("ref", "language"), "hyp_all": tokens_of("hyp", "language")})
-    return pairs.withColumns({"ref_words": word_tokens("ref_all"), "hyp_words": word_tokens("hyp_all")})
-
-
-def aligned(pairs: DataFrame, normalise=None) -> DataFrame:
-    """Tokenised pairs with ``chunks``, the alignment of the lower-cased words."""
-    return tokenised(pairs, normalise).withColumn("chunks", al.align_words(_lower("ref_words"), _lower("hyp_words")))
-
-
-def align_all_tokens(tokens: DataFrame) -> DataFrame:
-    """Tokenised pairs with ``chunks`` over all tokens, marks and breaks included."""
-    return tokens.withColumns({"ref_words": F.col("ref_all"), "hyp_words": F.col("hyp_all")}).withColumn("chunks", al.align_words(_lower("ref_words"), _lower("hyp_words")))
+    return pairs.withColumn("_compared", compared("ref", "hyp", "language", words_only)).select("*", "_compared.*").drop("_compared")
 
 
 def _slice(array: str, start: Column, end: Column) -> Column:
@@ -148,23 +135,30 @@ def tag_scores(alignments: DataFrame, by: Sequence[str] = ("uid",)) -> DataFrame
 
 def all_metrics(pairs: DataFrame, by: Sequence[str] = ("uid",), normalise=None) -> DataFrame:
     """Word metrics and tag scores of each group of pairs (ref, hyp, language)."""
-    tokens = tokenised(pairs, normalise)
-    words = word_metrics(tokens.withColumn("chunks", al.align_words(_lower("ref_words"), _lower("hyp_words"))), by)
-    return words.join(tag_scores(align_all_tokens(tokens), by), list(by), "left")
+    words = word_metrics(aligned(pairs, normalise), by)
+    return words.join(tag_scores(aligned(pairs, normalise, words_only=False), by), list(by), "left")
 
 
-def fact_tables(pairs: DataFrame, systems: Mapping[str, object] | None = None, normalise=None) -> dict[str, DataFrame]:
-    """samples, chunks and edits of one run, with its system key columns. Persist what is passed on if several are used."""
+def fact_tables(pairs: DataFrame, systems: Mapping[str, object] | None = None, normalise=None, store: str | None = None) -> dict[str, DataFrame]:
+    """samples, chunks and edits of one run, with its system key columns.
+
+    With ``store``, a new folder that all executors share, the compared pairs are written there once, as nested rows, and
+    the three tables are read off them in the JVM; else each table compares the texts itself.
+    """
     rows = aligned(pairs, normalise)
+    if store is not None:
+        rows.write.parquet(store)
+        rows = pairs.sparkSession.read.schema(rows.schema).parquet(store)
     made = {"samples": samples(rows), "chunks": chunks(rows), "edits": edits(rows)}
     return {k: attach_system(v, **(systems or {})) for k, v in made.items()}
 
 
-def fact_tables_of(runs: Sequence[tuple[Mapping[str, object], DataFrame]], normalise=None) -> dict[str, DataFrame]:
-    """samples, chunks and edits of several runs (system keys, pairs) as one table each. All runs name the same keys."""
+def fact_tables_of(runs: Sequence[tuple[Mapping[str, object], DataFrame]], normalise=None, store: str | None = None) -> dict[str, DataFrame]:
+    """samples, chunks and edits of several runs (system keys, pairs) as one table each. All runs name the same keys. With
+    ``store`` each run's compared pairs are written once, to a folder of its own below it."""
     if not runs or any(set(keys) != set(runs[0][0]) for keys, _ in runs):
         raise ValueError("runs need the same system keys, and there must be one at least")
-    made = [fact_tables(pairs, keys, normalise) for keys, pairs in runs]
+    made = [fact_tables(pairs, keys, normalise, f"{store}/run{k}" if store else None) for k, (keys, pairs) in enumerate(runs)]
     return {name: reduce(DataFrame.unionByName, [m[name] for m in made]) for name in made[0]}
 
 

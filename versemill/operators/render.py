@@ -10,21 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versemill.functions.alignment import DELETE, EQUAL, INSERT, SUBSTITUTE
-from versemill.functions.tokenizer import LINE, WORD
-
-
-def newline_word_indices(tokens: str | Column) -> Column:
-    """Indices of the last word before each line break (-1 if none is before it), of breaks that follow no other break."""
-    state = F.struct(F.lit(-1).alias("word"), F.lit(False).alias("broke"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        line = F.array_contains(t["tags"], LINE)
-        return F.struct(
-            F.when(F.array_contains(t["tags"], WORD), s["word"] + 1).otherwise(s["word"]).alias("word"), line.alias("broke"),
-            F.when(line & ~s["broke"], F.concat(s["out"], F.array(s["word"]))).otherwise(s["out"]).alias("out"),
-        )
-
-    return F.aggregate(tokens, state, step, lambda s: s["out"])
 
 
 def split_range(start: Column, end: Column, splits: Column) -> Column:
@@ -34,7 +19,7 @@ def split_range(start: Column, end: Column, splits: Column) -> Column:
     return F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda e, k: F.struct(e.alias("start"), F.element_at(edges, k + 2).alias("end")))
 
 
-def split_chunks(alignments: DataFrame, keys: list[str], tokens: str = "ref_all", times: Column | None = None) -> DataFrame:
+def split_chunks(alignments: DataFrame, keys: list[str], times: Column | None = None) -> DataFrame:
     """(keys, line_no, piece_idx, type, ref_start, ref_end, hyp_start, hyp_end, ref_texts, hyp_texts, time): chunks cut at
     reference line breaks, with the texts of their words.
 
@@ -46,7 +31,7 @@ def split_chunks(alignments: DataFrame, keys: list[str], tokens: str = "ref_all"
     part = lambda array, start, end: F.slice(array, start + 1, end - start)
     text = lambda t: t["text"]
     known = F.array().cast("array<double>") if times is None else times
-    rows = alignments.select(*keys, "chunks", "ref_words", "hyp_words", known.alias("times"), F.array_distinct(newline_word_indices(tokens)).alias("breaks"))
+    rows = alignments.select(*keys, "chunks", "ref_words", "hyp_words", known.alias("times"), "breaks")
 
     def own(c: Column) -> Column:
         return F.struct(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versemill.functions import alignment as al
@@ -501,6 +503,17 @@ def align_chunks(spark, sf):
     return ev.chunks(ev.aligned(ad.pairs(spark, sf)))
 
 
+@query(
+    f"with recursive {ad.ALIGNED}, marked as (select *, case when typ = lag(typ) over (partition by uid, sample_idx order by k) then 0 else 1 end as opens from ops) "
+    "select 'samples' as name, count(*) as n, cast(sum(len(r)) as bigint) as words from pairs union all select 'chunks', cast(sum(opens) as bigint), count(*) from marked union all select 'edits', count(*), count(distinct typ) from ops"
+)
+def fact_tables(spark, sf):
+    """Sizes of the three tables of a run whose texts are compared once; edits are told with how many kinds there are."""
+    made = ev.fact_tables(ad.pairs(spark, sf), store=f"{io.shared_folder(spark)}/{uuid.uuid4().hex}")
+    words = {"samples": F.sum("len"), "chunks": F.sum("len"), "edits": F.count_distinct("typ")}
+    return reduce(DataFrame.unionByName, [made[k].agg(F.count("*").alias("n"), w.alias("words")).select(F.lit(k).alias("name"), "n", "words") for k, w in words.items()])
+
+
 @query(
     f"with recursive {ad.ALIGNED} select typ, dataset, false as nl, false as bv, count(*) as edits, sum(case when ref is null or hyp is null then 0 else {DISTANCE} end)::double as dist from ops group by typ, dataset"
 )

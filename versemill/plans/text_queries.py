@@ -118,7 +118,7 @@ def _scores(tag: str, kind: str) -> str:
 )
 def tag_prf(spark, sf):
     rows = ad.turns(spark, sf).select(F.col("role").alias("uid"), F.col("turn").alias("sample_idx"), F.lit("en").alias("language"), F.col("text").alias("ref"), F.regexp_replace("text", "[.,]", "").alias("hyp"))
-    return rounded(ev.tag_scores(ev.align_all_tokens(ev.tokenised(rows)), ["uid"]))
+    return rounded(ev.tag_scores(ev.aligned(rows, words_only=False), ["uid"]))
 
 
 WORDS = r"\pL\pN\pM_"
