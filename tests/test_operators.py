@@ -1,9 +1,15 @@
+import gzip
 import itertools
+import json
 import math
+import os
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from versemill.functions import text as tx
@@ -240,6 +246,66 @@ def test_pools(spark, tmp_path):
     assert spark.createDataFrame([(tries,)], kind).select(pools.first_acceptable("c")).first()[0] == "b"
 
 
+def test_unique_keys_by_partial_aggregation(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "text") for k in range(20)], "uid long, text string")
+    df = cat.assert_unique(rows)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and df.count() == 20 and cat.assert_unique(rows.limit(0)).count() == 0
+    with pytest.raises(Exception, match="duplicate key 7"):
+        cat.assert_unique(rows.union(rows.where("uid = 7"))).write.parquet(f"{tmp_path}/out")
+    with pytest.raises(Exception, match="duplicate key null"):
+        cat.assert_unique(rows.selectExpr("nullif(uid > 3, true) as uid").where("uid is null")).collect()
+
+
+def test_lost_run_resumes(spark, tmp_path):
+    """A run that fails after most of its tasks have finished keeps their results; the next one makes the rest only."""
+    store, flag = f"{tmp_path}/store", f"{tmp_path}/mended"
+    tasks_ = spark.createDataFrame([(k, k * 2) for k in range(64)], "uid long, x long")
+
+    def model(run):
+        def work(f):
+            if 7 in set(f["uid"]) and not os.path.exists(flag):
+                time.sleep(8)
+                raise RuntimeError("lost")
+            return pd.DataFrame([(u, p, run) for u, x in zip(f["uid"], f["x"], strict=True) for p in range(u % 3)], columns=["uid", "pos", "run"])
+
+        return work
+
+    schema = "uid long, pos long, run long"
+    with pytest.raises(Exception, match="lost"):
+        pools.resumable_map(tasks_, model(1), schema, store, partitions=8)
+    kept = {r["uid"] for r in spark.read.parquet(store).collect()}
+    assert 30 < len(kept) < 64 and 7 not in kept
+    open(flag, "w").close()
+    got = pools.resumable_map(tasks_, model(2), schema, store, partitions=8).collect()
+    assert sorted((r["uid"], r["pos"]) for r in got) == [(u, p) for u in range(64) for p in range(u % 3)]
+    assert all((r["run"] == 1) == (r["uid"] in kept) for r in got)
+    assert spark.read.parquet(store).count() == 64 and pools.resumable_map(tasks_.where("uid < 5"), model(3), schema, store).count() == 4
+    with pytest.raises(Exception, match="no key"):
+        pools.resumable_map(tasks_.union(spark.createDataFrame([(None, 1)], "uid long, x long")), model(4), schema, store)
+
+
+def test_folder_scan(spark, tmp_path):
+    (tmp_path / "annot").mkdir()
+    (tmp_path / "audio").mkdir()
+    for k in ("a.b", "c", "d"):
+        with gzip.open(tmp_path / "annot" / f"{k}.gz", "wt") as f:
+            json.dump({"id": k, "language": "english", "lines": [{"index": 0, "text": f"line of {k}", "time": [0.5, 1.5]}]}, f)
+    for k in ("a.b", "c"):
+        (tmp_path / "audio" / f"{k}.mp3").write_bytes(b"x")
+    (tmp_path / "annot" / "other.txt").write_text("no annotation")
+    seen = Observation("scan")
+    rows = io.scan_annotations(spark, f"{tmp_path}/annot", f"{tmp_path}/audio", spark.createDataFrame([("c",)], "song_id string"), file_id=r"([^/]+)\.[a-z0-9]+$", observation=seen)
+    rows.write.parquet(f"{tmp_path}/out")
+    got = {r["song_id"]: (r["status"], r["lines"] and r["lines"][0]["text"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {"a.b": ("found", "line of a.b"), "c": ("excluded", None), "d": ("missing_audio", None)}
+    assert seen.get == {"excluded": 1, "missing_audio": 1, "found": 1}
+    names = io.listed_files(spark, f"{tmp_path}/audio", "*.mp3").select("song_id")
+    assert "content" not in names._jdf.queryExecution().executedPlan().toString()
+    io.write_summary(spark.createDataFrame([("b",), ("a",)], "uid string"), f"{tmp_path}/extract")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/extract/summary").collect()] == ["a", "b"]
+
+
 def test_box_and_rates(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4, 100)], "k string, wer double")
     r = an.boxplot_statistics(df, ["k"]).first()

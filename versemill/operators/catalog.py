@@ -79,10 +79,14 @@ def scan_counters(songs: DataFrame, excluded: DataFrame, has_audio: Column, key:
 
 
 def assert_unique(df: DataFrame, key: str = "uid") -> DataFrame:
-    """The rows, failing the query where a key repeats."""
-    n = F.count("*").over(Window.partitionBy(key))
-    checked = F.when(n > 1, F.raise_error(F.concat(F.lit("duplicate key "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)
-    return df.withColumn("_unique", checked).where("_unique").drop("_unique")
+    """The rows as they are, failing the query where a key repeats.
+
+    Keys alone are counted, with partial aggregation, in a scalar subquery that runs before the rows are read: no row is
+    shuffled or held for it, and nothing is written before it is known.
+    """
+    n = df.groupBy(key).agg(F.count("*").alias("n"))
+    worst = n.agg(F.max(F.struct("n", F.col(key).cast("string").alias("key"))).alias("worst")).scalar()
+    return df.where(F.when(worst["n"] > 1, F.raise_error(F.concat(F.lit("duplicate key "), F.coalesce(worst["key"], F.lit("null")))).cast("boolean")).otherwise(True))
 
 
 def paragraphs(lines: DataFrame, song: str = "song_id", verse: str = "verse_index", position: str = "position", text: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """The contract of opaque per-item models (separation, transcription, decoding): a keyed map with cache and checks.
 
 The model is an injected function over batches; this module gives it what a cluster needs: duplicate keys fail, finished
-keys are skipped, results carry the key.
+keys are skipped, results carry the key, and a run that is lost goes on where it was.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from versemill.operators.catalog import assert_unique
 
@@ -30,10 +31,45 @@ def cached_map(tasks: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame],
     return fresh.unionByName(done.join(tasks.select(key), key, "left_semi"))
 
 
+def resumable_map(tasks: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str, store: str, key: str = "uid", partitions: int | None = None) -> DataFrame:
+    """Results (``schema``, which has the key) of ``model`` for all tasks, kept in the folder ``store``.
+
+    Each Spark task publishes its results by itself as soon as it is done, so what a run that fails or is killed had
+    finished stays, and the next run computes the rest: the keys that an anti join with the store leaves. A task that is
+    repeated writes the same file again. ``partitions`` deals the rest out, and so says how much a lost run loses at
+    most. A task without results is kept too, as an empty list. Keys are unique, checked before anything runs; a null key
+    fails; results of other keys in the store are left alone.
+    """
+    spark = tasks.sparkSession
+    kinds = T.StructType.fromDDL(schema)
+    fields = T.StructType([f for f in kinds if f.name != key])
+    kept = T.StructType([kinds[key], T.StructField("results", T.ArrayType(fields))])
+    done = spark.read.schema(kept).parquet(store) if _exists(spark, store) else spark.createDataFrame([], kept)
+    named = tasks.where(F.when(F.col(key).isNull(), F.raise_error(F.lit("a task has no key")).cast("boolean")).otherwise(True))
+    rest = assert_unique(named, key).join(done.select(key), key, "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                made = model(f)
+                by_key = {k: rows.drop(columns=key).to_dict("records") for k, rows in made.groupby(key, sort=False)}
+                yield pd.DataFrame({key: f[key], "results": [by_key.get(k, []) for k in f[key]]})
+
+    rest = rest.repartition(partitions, key) if partitions else rest
+    # the second algorithm of Hadoop's committer moves a task's file into place when the task commits, not when the job does
+    rest.mapInPandas(run, kept).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+    found = spark.read.schema(kept).parquet(store).join(tasks.select(key), key, "left_semi")
+    return found.select(key, F.explode("results").alias("r")).select(*[F.col(key) if f.name == key else F.col("r")[f.name].alias(f.name) for f in kinds])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store)
+
+
 def materialised(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table at ``path``; made and written first if it isn't there, or if forced."""
-    store = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if force or not store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+    if force or not _exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

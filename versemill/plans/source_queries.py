@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +87,40 @@ def extracted_songs(spark, sf):
     return rounded(io.extract({"a": ("stems", rows), "b": ("tagged", rows)}, readers))
 
 
+@query(
+    "with songs as (select conv_id, count(*) as n from conversations group by conv_id), s as (select *, case when conv_id % 11 = 5 then 'excluded' when conv_id % 7 = 2 then 'missing_audio' else 'found' end as status from songs) "
+    "select status, count(*) as songs, cast(sum(case when status = 'found' then n end) as bigint) as lines from s group by status"
+)
+def folder_scan(spark, sf):
+    """Annotations written as one compressed document a song, scanned beside a folder in which some songs lack their audio."""
+    root, rows = _shared(spark), _annotations(spark, sf).withColumn("file", F.col("conv_id").cast("string"))
+    rows.select("file", F.to_json(F.struct("id", "language", "lines")).alias("value")).repartition("file").write.partitionBy("file").option("compression", "gzip").text(f"{root}/annotations")
+    rows.where("conv_id % 7 <> 2").select("file", F.lit("sound").alias("value")).repartition("file").write.partitionBy("file").text(f"{root}/audio")
+    excluded = rows.where("conv_id % 11 = 5").select(F.col("file").alias("song_id"))
+    found = io.scan_annotations(spark, f"{root}/annotations", f"{root}/audio", excluded, "*.txt.gz", "*.txt", r"file=([^/]+)/")
+    return found.groupBy("status").agg(F.count("*").alias("songs"), F.sum(F.size("lines")).alias("lines"))
+
+
+@query(
+    "select conv_id as uid, turn, role as speaker, cast(length(coalesce(text, '')) as bigint) as chars, 1 + (conv_id % 2) as attempt from conversations"
+)
+def resumed_map(spark, sf):
+    """A keyed map of which a first run has made the even keys: the second makes the others, and both are read."""
+    store, rows = _shared(spark), ad.turns(spark, sf)
+    tasks = rows.groupBy(F.col("conv_id").alias("uid")).agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+
+    def model(attempt: int):
+        def measure(f: pd.DataFrame) -> pd.DataFrame:
+            told = [(u, t["turn"], t["role"], len(t["text"]), attempt) for u, turns in zip(f["uid"], f["turns"], strict=True) for t in turns]
+            return pd.DataFrame(told, columns=["uid", "turn", "speaker", "chars", "attempt"])
+
+        return measure
+
+    schema = "uid long, turn long, speaker string, chars long, attempt long"
+    pools.resumable_map(tasks.where("uid % 2 = 0"), model(1), schema, store)
+    return pools.resumable_map(tasks, model(2), schema, store)
+
+
 def _shared(spark) -> str:
     return f"{io.shared_folder(spark)}/{uuid.uuid4().hex}"
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 import tempfile
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from versemill.functions.text import has_words
 from versemill.operators import catalog, intervals
@@ -108,6 +111,48 @@ def annotated_songs(annotations: DataFrame, durations: DataFrame, dataset_id: st
     return songs, timed, intervals.group_lines(timed)
 
 
+@F.arrow_udf(T.StringType())
+def _unzipped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for contents in batches:
+        yield pa.array([None if c is None else gzip.decompress(c) for c in contents.to_pylist()], pa.binary()).cast(pa.string())
+
+
+#: What the name of a file is an id by: all but its endings.
+FILE_ID = r"([^/]+?)(?:\.[a-z0-9]+)*$"
+
+
+def listed_files(spark: SparkSession, folder: str, glob: str, file_id: str = FILE_ID) -> DataFrame:
+    """(song_id, path, content) of the files below a folder. A query that does not use ``content`` reads names only."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
+    return files.select(F.regexp_extract("path", file_id, 1).alias("song_id"), "path", "content")
+
+
+def scan_annotations(
+    spark: SparkSession, folder: str, audio_folder: str, excluded: DataFrame | None = None, glob: str = "*.gz", audio_glob: str = "*.mp3", file_id: str = FILE_ID, observation: Observation | None = None
+) -> DataFrame:
+    """(song_id, status, id, language, lines) of a folder of compressed annotation documents (ANNOTATIONS), one a file.
+
+    ``status`` is "excluded", else "missing_audio" where no file of the id lies in ``audio_folder``, else "found"; only found ones
+    are opened up and parsed, by the executors; a document that does not fit the schema fails. The counters of an
+    ``observation`` (excluded, missing_audio, found) are filled in as the rows are used, in the same pass.
+    """
+    audio = listed_files(spark, audio_folder, audio_glob, file_id).select("song_id").distinct().withColumn("_audio", F.lit(True))
+    rows = listed_files(spark, folder, glob, file_id).join(audio, "song_id", "left")
+    if excluded is not None:
+        rows = rows.join(excluded.select("song_id").distinct().withColumn("_excluded", F.lit(True)), "song_id", "left")
+    out = F.col("_excluded").isNotNull() if excluded is not None else F.lit(False)
+    status = F.when(out, "excluded").when(F.col("_audio").isNull(), "missing_audio").otherwise("found")
+    rows = rows.withColumn("status", status).withColumn("text", _unzipped(F.when(F.col("status") == "found", F.col("content"))))
+    parsed = F.from_json("text", ANNOTATIONS, {"mode": "FAILFAST"})
+    rows = rows.select("song_id", "status", parsed.alias("a")).select("song_id", "status", "a.*")
+    return rows.observe(observation, *[F.count_if(F.col("status") == s).alias(s) for s in ("excluded", "missing_audio", "found")]) if observation is not None else rows
+
+
+def write_summary(songs: DataFrame, folder: str) -> None:
+    """The uids of an extract beside it, sorted, as lines of text in parts whose order is theirs."""
+    songs.select("uid").sort("uid").write.mode("overwrite").text(f"{folder}/summary")
+
+
 def extract(sources: Mapping[str, tuple[str, DataFrame]], readers: Mapping[str, Callable[[DataFrame, str], DataFrame]]) -> DataFrame:
     """Songs of several datasets: {dataset_id: (dataset type, rows)} through one reader for each type, united by name."""
     out: DataFrame | None = None
