@@ -1,3 +1,4 @@
+import datetime
 import gzip
 import itertools
 import json
@@ -328,6 +329,57 @@ def test_streaming(spark, tmp_path):
         q.stop()
 
 
+def test_activity_of_a_growing_series():
+    """What a series decides frame by frame is what it decides as a whole."""
+    from versemill.streaming.activity import _Recording
+
+    random.seed(51)
+    for k in range(400):
+        o = vad.VadOptions(window=16000, onset=0.5, offset=random.choice([0.5, 0.3]), max_speech_s=random.choice([6, 12]), min_silence_ms=random.choice([1000, 3000]), min_speech_ms=random.choice([0, 2000]), pad_ms=random.choice([0, 200, 900]))
+        scores, level = [], 0.9
+        while len(scores) < 60:
+            level = random.choice([0.9, 0.1, 0.4])
+            scores += [min(1.0, max(0.0, level + random.uniform(-0.1, 0.1))) for _ in range(random.randint(1, 9))]
+        recording, got = _Recording(o, None), []
+        frames = list(enumerate(scores))
+        while frames:
+            n = random.randint(1, 8)
+            part, frames = frames[:n], frames[n:]
+            recording.add(iter(random.sample(part, len(part)) + part[:1]))
+            got += recording.decided(last=False)
+            recording = _Recording(o, recording.state())
+            assert len(recording.scores) <= 40
+        got += recording.decided(last=True)
+        assert got == vad.segments_of(scores, o), k
+
+
+def test_live_activity_equals_batch(spark, tmp_path):
+    from versemill.streaming.activity import live_activity
+
+    random.seed(52)
+    o = vad.VadOptions(window=16000, onset=0.5, offset=0.5, max_speech_s=8, min_silence_ms=2000, pad_ms=200)
+    series = {u: [random.choice([0.9, 0.1]) for _ in range(40) for _ in range(random.randint(1, 3))][:60] for u in ("a", "b", "c")}
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    for part in range(4):
+        rows = [(u, k, x, at(k)) for u, scores in series.items() for k, x in enumerate(scores) if k // 16 == part]
+        spark.createDataFrame([*rows, *rows[:2]], "uid string, frame long, score double, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are read in order of their times
+    for k in range(2):
+        spark.createDataFrame([("end", k, 0.0, at(10_000 + k))], "uid string, frame long, score double, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema("uid string, frame long, score double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = live_activity(stream, o, idle="30 seconds").writeStream.outputMode("append").format("memory").queryName("activity").start()
+    try:
+        q.processAllAvailable()
+        got = sorted(map(tuple, spark.table("activity").collect()))
+    finally:
+        q.stop()
+        spark.conf.unset(provider)
+    assert got == sorted((u, a, b) for u, scores in series.items() for a, b in vad.segments_of(scores, o))
+
+
 def test_tasks_and_results(spark):
     songs = spark.createDataFrame([("u1", "d", "en", "a.wav", "stems/u1", "one\ntwo", 9.0), ("u2", "d", "de", "b.wav", None, "drei", 3.0)], "uid string, dataset_id string, language string, audio_path string, stem_dir string, text string, duration_secs double")
     lines = spark.createDataFrame([("u1", 0, "one", 0.5, 1.0), ("u1", 1, "two", 2.0, 3.25), ("u1", 2, "lost", 4.0, 5.0)], "uid string, pos int, text string, start double, end double")

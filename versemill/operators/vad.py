@@ -89,19 +89,24 @@ class _Series:
         return found if found is not None and found < until else None
 
 
-def segments_of(scores: Sequence[float], o: VadOptions = VadOptions(), length: int | None = None) -> list[tuple[int, int]]:
-    """[start, end) samples of the active segments of a series of frame scores; ``length`` is the recording's, in samples.
+def closed_spans(scores: Sequence[float], o: VadOptions, start: int | None, watched: int, total: int | None) -> tuple[list[tuple[int, int]], int | None, int]:
+    """[start, end) samples that a series of scores decides, not padded, and the state behind them: the frame at which a
+    segment is open, if one is, and the frame from which silences, or else an opening, are looked for.
 
-    A segment opens at an active frame and ends where a silence of ``min_silence_ms`` begins. One that grows beyond the
-    longest ends at its last pause of more than 98 ms and goes on where activity has resumed, if it has; without a pause it
-    is cut at the least score of its later half, the current frame included, the last of equals.
+    ``total`` is the recording's length in samples; while it is not known, which is null, more frames may come and only what they cannot
+    change is decided. A state goes on with the same series grown longer.
     """
     x = _Series(np.asarray(scores, float), o)
-    total, pad = x.n * o.window if length is None else length, o.rate * o.pad_ms / 1000
+    pad = o.rate * o.pad_ms / 1000
     longest, shortest, silence, pause = o.rate * o.max_speech_s - o.window - 2 * pad, o.rate * o.min_speech_ms / 1000, o.rate * o.min_silence_ms / 1000, o.rate * 98 / 1000
-    found: list[list[int]] = []
-    start = x.opens(0)
-    watched = None if start is None else start + 1  # silences are judged from here on
+    found: list[tuple[int, int]] = []
+
+    def opened(frame: int) -> tuple[int | None, int]:
+        at = x.opens(frame)
+        return at, max(frame, x.n) if at is None else at + 1  # none of the frames at hand opens one
+
+    if start is None:
+        start, watched = opened(watched)
     while start is not None:
         full = max(watched, start + math.floor(longest / o.window) + 1)  # the frame at which the segment is too long
         paused = resumed = closed = None
@@ -117,24 +122,36 @@ def segments_of(scores: Sequence[float], o: VadOptions = VadOptions(), length: i
                 break
         if closed is not None:
             if (closed - start) * o.window > shortest:
-                found.append([start * o.window, closed * o.window])
-            start = x.opens(end + 1)
-            watched = None if start is None else start + 1
+                found.append((start * o.window, closed * o.window))
+            start, watched = opened(end + 1)
         elif full >= x.n:
-            if total - start * o.window > shortest:
-                found.append([start * o.window, total])
+            if total is not None:
+                if total - start * o.window > shortest:
+                    found.append((start * o.window, total))
+                start = None
             break
         elif paused is not None:
-            found.append([start * o.window, paused * o.window])
-            start, watched = (resumed, full) if resumed <= full else (x.opens(full + 1), None)
-            watched = watched if watched is not None or start is None else start + 1
+            found.append((start * o.window, paused * o.window))
+            start, watched = (resumed, full) if resumed <= full else opened(full + 1)
         else:
             half = start + (full + 1 - start) // 2
             later = x.p[half : full + 1]
             cut = half + int(np.flatnonzero(later == later.min())[-1])
-            found.append([start * o.window, cut * o.window])
+            found.append((start * o.window, cut * o.window))
             start, watched = cut, full + 1
-    return padded_spans(np.asarray(found, float).reshape(-1, 2), pad, total)
+    return found, start, watched
+
+
+def segments_of(scores: Sequence[float], o: VadOptions = VadOptions(), length: int | None = None) -> list[tuple[int, int]]:
+    """[start, end) samples of the active segments of a series of frame scores; ``length`` is the recording's, in samples.
+
+    A segment opens at an active frame and ends where a silence of ``min_silence_ms`` begins. One that grows beyond the
+    longest ends at its last pause of more than 98 ms and goes on where activity has resumed, if it has; without a pause it
+    is cut at the least score of its later half, the current frame included, the last of equals.
+    """
+    total = len(scores) * o.window if length is None else length
+    found, _, _ = closed_spans(scores, o, None, 0, total)
+    return padded_spans(np.asarray(found, float).reshape(-1, 2), o.rate * o.pad_ms / 1000, total)
 
 
 def padded_spans(spans: np.ndarray, pad: float, total: int) -> list[tuple[int, int]]:
