@@ -315,6 +315,44 @@ def test_box_and_rates(spark):
     assert an.error_table(empty, ["dataset"]).first()["wer"] is None
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_exact_quantiles(spark, monkeypatch, few):
+    """Rank selection by histograms gives what sorting gives, with ties, groups of one value, negative and huge values."""
+    monkeypatch.setattr(an, "BINS", 4)
+    if not few:
+        monkeypatch.setattr(an, "BROADCAST_ROWS", 0)
+    random.seed(61)
+    rows = [("many", random.gauss(0, 1)) for _ in range(700)] + [("ties", float(random.randint(0, 3))) for _ in range(300)] + [("one", 5.0), ("two", -1.0), ("two", 1e300)]
+    rows += [("spread", random.choice([-1, 1]) * 10.0 ** random.randint(-30, 30)) for _ in range(101)] + [("none", None), ("ties", None), (None, 2.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "k string, wer double")
+    got = {r["k"]: (r["n"], r["q"]) for r in an.exact_quantiles(df.where("k is not null"), ["k"], "wer", (0, 0.25, 0.5, 0.75, 1)).collect()}
+    for k in ("many", "ties", "one", "two", "spread"):
+        values = [v for g, v in rows if g == k and v is not None]
+        assert got[k][0] == len(values) and got[k][1] == pytest.approx(list(np.quantile(values, (0, 0.25, 0.5, 0.75, 1))), rel=1e-12)
+    assert set(got) == {"many", "ties", "one", "two", "spread"} and an.exact_quantiles(df.limit(0), ["k"], "wer", (0.5,)).count() == 0
+    both = [{r["k"]: tuple(r)[1:] for r in an.boxplot_statistics(df.where("k is not null"), ["k"], exact_rows=n).collect()} for n in (10**6, 0)]
+    assert set(both[0]) == set(both[1]) and all(a == pytest.approx(b) for k in both[0] if k != "none" for a, b in zip(both[0][k], both[1][k], strict=True))
+
+
+def test_length_batches(spark):
+    random.seed(62)
+    rows = [(k, random.randint(0, 30)) for k in range(203)]
+    got = {r["uid"]: (r["batch"], r["width"]) for r in pools.length_batches(spark.createDataFrame(rows, "uid long, x int"), F.col("x"), 16).collect()}
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    assert got == {u: (i // 16, max(x for _, x in ordered[i // 16 * 16 : i // 16 * 16 + 16])) for i, (u, _) in enumerate(ordered)}
+    assert pools.length_batches(spark.createDataFrame([], "uid long, x int"), F.col("x"), 16).count() == 0
+
+
+def test_pictures(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [0.0, 1.0, 0.5, 0.25, 0.75]), (2, [0.5]), (3, [])], "uid long, s array<double>")
+    got = {r["uid"]: [tuple(p) for p in r["p"]] for r in rows.select("uid", render.pixel_ranges("s", 3).alias("p")).collect()}
+    assert got == {1: [(0, 0.0, 1.0), (1, 0.25, 0.5), (2, 0.75, 0.75)], 2: [(0, 0.5, 0.5)], 3: []}
+    made = rows.where("uid = 1").withColumn("g", F.array(F.struct(F.lit(1).alias("start"), F.lit(3).alias("end")))).select("uid", render.activity_svg("s", "g", F.lit(5), 10, 4).alias("svg"))
+    io.write_pictures(made, f"{tmp_path}/svg")
+    text = spark.read.text(f"{tmp_path}/svg/uid=1").first()[0]
+    assert text.startswith("<svg") and '<rect class="active" x="2.0" width="4.0" height="4"/>' in text and "M0,4.0V4.0M2,0.0V0.0" in text
+
+
 def test_streaming(spark, tmp_path):
     from versemill.streaming import live
 

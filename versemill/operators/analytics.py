@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from versemill.scratch import written
+
 RATES = ("wer", "sub_rate", "del_rate", "ins_rate", "hal_rate", "del_nl_rate", "del_bv_rate")
 
 
@@ -116,14 +118,60 @@ def dataset_summary(samples: DataFrame, by: str = "dataset") -> DataFrame:
     return samples.groupBy(by).agg(F.countDistinct("uid").alias("num_unique_uid"), (F.sum("duration") / 60).alias("total_duration_mins"), share("nl").alias("nl_len_percent"), share("bv").alias("bv_len_percent"))
 
 
-def boxplot_statistics(samples: DataFrame, keys: Sequence[str], value: str = "wer", reach: float = 1.5) -> DataFrame:
-    """Quartiles (exact, interpolated), mean, and whiskers: the farthest values within ``reach`` interquartile ranges."""
-    q = samples.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+EXACT_ROWS, BINS, BROADCAST_ROWS = 1_000_000, 4096, 100_000
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(keys, n, q): the number of values and the interpolated quantiles, as an array, of each group's finite values; nulls are left out.
+
+    Ranks are sought by histograms: each round counts the values between two bounds in BINS bins with their least and
+    greatest value, and goes on in the bin of the rank, until that holds one value only, however often. Counts are
+    partially aggregated, so no task holds a group; a task holds a few bins of each group at most, whatever its size. The
+    column is read once a round, some three times for usual values.
+    """
+    keys = list(keys)
+    told = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    at = F.array(*[F.lit(float(s)) for s in shares])
+    ranks = F.array_distinct(F.flatten(F.transform(at, lambda s: F.array(F.floor(s * (F.col("n") - 1)), F.ceil(s * (F.col("n") - 1))))))
+    now = written(told.select(*keys, "n", F.explode(ranks).alias("rank"), "lo", "hi").withColumn("left", F.col("rank")))
+    while not (sought := now.where("lo < hi")).isEmpty():
+        few = sought.count() <= BROADCAST_ROWS
+        joined = rows.select(*keys, F.col(value).cast("double").alias("_v")).join(F.broadcast(sought) if few else sought, keys).where("_v between lo and hi")
+        place = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).alias("bin")
+        bins = joined.groupBy(*keys, "n", "rank", "left", place).agg(F.count("*").alias("here"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        order = Window.partitionBy(*keys, "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumn("until", F.sum("here").over(order)).withColumn("before", F.col("until") - F.col("here"))
+        found = bins.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("until")))
+        now = written(now.where("lo = hi").unionByName(found.select(*keys, "n", "rank", "lo", "hi", (F.col("left") - F.col("before")).alias("left"))))
+    by_rank = F.map_from_entries(F.collect_list(F.struct("rank", "lo")))
+    values = now.groupBy(*keys, "n").agg(by_rank.alias("v"))
+
+    def quantile(s: Column) -> Column:
+        h = s * (F.col("n") - 1)
+        low, high = F.element_at("v", F.floor(h)), F.element_at("v", F.ceil(h))
+        return low + (h - F.floor(h)) * (high - low)
+
+    return values.select(*keys, "n", F.transform(at, quantile).alias("q"))
+
+
+def boxplot_statistics(samples: DataFrame, keys: Sequence[str], value: str = "wer", reach: float = 1.5, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """Quartiles (exact, interpolated), mean, and whiskers: the farthest values within ``reach`` interquartile ranges.
+
+    Groups of up to ``exact_rows`` values have their quartiles from one aggregate, which holds a group's distinct values;
+    if any is larger, all come from :func:`exact_quantiles`, with the same result.
+    """
+    keys = list(keys)
+    shares = (0.25, 0.5, 0.75)
+    counted = samples.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    if counted.where(F.col("n") > exact_rows).isEmpty():
+        q = samples.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_q"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    else:
+        q = counted.join(exact_quantiles(samples, keys, value, shares).select(*keys, F.col("q").alias("_q")), keys, "left")
     q = q.select(*keys, *[F.col("_q")[k].alias(f"q{k + 1}") for k in range(3)], "mean", "n")
     low, high = F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1"))
-    inside = samples.select(*keys, value).join(q, list(keys)).where(F.col(value).between(low, high))
+    inside = samples.select(*keys, value).join(q, keys).where(F.col(value).between(low, high))
     whiskers = inside.groupBy(*keys).agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
-    return q.join(whiskers, list(keys), "left")
+    return q.join(whiskers, keys, "left")
 
 
 def best_flags(table: DataFrame, within: Sequence[str], value: str, contenders: Column) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from versemill.operators.catalog import assert_unique
+from versemill.scratch import written
 
 
 def cached_map(tasks: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str, done: DataFrame | None = None, key: str = "uid") -> DataFrame:
@@ -97,3 +98,19 @@ def decoder_io(ids: str | Column, start: int, language: int, transcribe: int, no
 def padded(ids: str, length: Column, fill: int) -> Column:
     """An id array filled up to a length."""
     return F.concat(F.col(ids), F.array_repeat(F.lit(fill), F.greatest(F.lit(0), length - F.size(ids)).cast("int")))
+
+
+def length_batches(rows: DataFrame, length: Column, size: int, key: str = "uid") -> DataFrame:
+    """Adds batch, a number, and width, the greatest length in the batch: ``size`` rows that follow each other by (length, key).
+
+    The order is that of a distributed sort, and a row's rank is its place in its range after the counts of the ranges
+    before: no task sees more than a range or a batch. Filled up to ``width``, a batch holds little padding.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with_length = rows.withColumn("_length", length.cast("long"))
+    ordered = with_length.repartitionByRange(parts, "_length", key).sortWithinPartitions("_length", key).withColumn("_id", F.monotonically_increasing_id())
+    ordered = written(ordered.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = ordered.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select("_part", "_base")
+    numbered = ordered.join(F.broadcast(base), "_part").withColumn("batch", F.floor((F.col("_base") + F.col("_place")) / size).cast("long"))
+    return numbered.withColumn("width", F.max("_length").over(Window.partitionBy("batch"))).drop("_length", "_id", "_part", "_place", "_base")

@@ -82,6 +82,25 @@ def render_rows(pieces: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def pixel_ranges(series: str | Column, width: int) -> Column:
+    """Array of (pixel, low, high) of a series drawn ``width`` pixels wide: the least and greatest of the values that a pixel
+    stands for. Pixels without a value, which are many where the series is short, are left out. Stays in the JVM."""
+    values = F.col(series) if isinstance(series, str) else series
+    n = F.size(values)
+    edge = lambda p: F.ceil(p * n / F.lit(float(width))).cast("int")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda p: F.struct(p.alias("pixel"), F.slice(values, edge(p) + 1, edge(p + 1) - edge(p)).alias("v")))
+    return F.transform(F.filter(pixels, lambda p: F.size(p["v"]) > 0), lambda p: F.struct(p["pixel"].alias("pixel"), F.array_min(p["v"]).alias("low"), F.array_max(p["v"]).alias("high")))
+
+
+def activity_svg(series: str | Column, segments: str | Column, frames: Column, width: int = 1000, height: int = 100) -> Column:
+    """An SVG picture of a series between 0 and 1, a stroke a pixel, over its segments (start, end) in frames of ``frames``."""
+    x = lambda at: F.round(at / frames * width, 2).cast("string")
+    y = lambda v: F.round((1 - v) * height, 2).cast("string")
+    strokes = F.array_join(F.transform(pixel_ranges(series, width), lambda p: F.concat(F.lit("M"), p["pixel"].cast("string"), F.lit(","), y(p["low"]), F.lit("V"), y(p["high"]))), "")
+    boxes = F.array_join(F.transform(segments, lambda s: F.concat(F.lit('<rect class="active" x="'), x(s["start"]), F.lit('" width="'), x(s["end"] - s["start"]), F.lit(f'" height="{height}"/>'))), "")
+    return F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}">'), boxes, F.lit('<path d="'), strokes, F.lit('"/></svg>'))
+
+
 def html_pages(rows: DataFrame, key: str = "uid") -> DataFrame:
     """(key, html): one page a song from render rows. A song's rows are sorted within its group; pages are made on executors."""
     lines = rows.groupBy(key, "line_no").agg(F.array_sort(F.collect_list(F.struct("piece_idx", "chunk_type", "ref_text", "hyp_text", "timestamp"))).alias("pieces"))

@@ -359,6 +359,16 @@ def vad_pauses(spark, sf):
     return _segments(spark, sf, PAUSES)
 
 
+@query(
+    "with x as (select vec_id as uid, len(embedding) as n, list_transform(embedding, lambda v: abs(cast(v as double))) as a from embeddings), y as (select uid, n, unnest(a) / list_max(a) as v, unnest(range(0, n)) as frame from x) "
+    "select uid, cast(frame * 24 // n as int) as pixel, round(min(v), 6) as low, round(max(v), 6) as high from y group by uid, frame * 24 // n"
+)
+def activity_plot(spark, sf):
+    """What a picture 24 pixels wide shows of each series."""
+    rows = ad.scores(spark, sf).select("uid", F.explode(render.pixel_ranges(vad.normalised("scores"), 24)).alias("p"))
+    return rounded(rows.select("uid", "p.pixel", "p.low", "p.high"))
+
+
 ENERGY = """x as (select vec_id as uid, list_transform(embedding, lambda v: cast(v as double)) as a from embeddings), framed as (select uid, a, unnest(range(0, len(a) // 4 + 1)) as frame from x), energy as (
   select uid, len(a) // 4 + 1 as n, frame, sqrt(coalesce(list_sum(list_transform(list_slice(a, greatest(1, frame * 4 - 7), least(len(a), frame * 4 + 8)), lambda v: v * v)), 0) / 16) as energy from framed
 )"""

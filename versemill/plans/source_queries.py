@@ -202,6 +202,16 @@ def decoder_batches(spark, sf):
     return rows.select("uid", joined("x", 50257).alias("inputs"), joined("y", -100).alias("outputs"))
 
 
+@query(
+    "with r as (select doc_id as uid, length(coalesce(text, '')) as length, row_number() over (order by length(coalesce(text, '')), doc_id) - 1 as k from documents) "
+    "select uid, k // 32 as batch, max(length) over (partition by k // 32) as width, max(length) over (partition by k // 32) - length as padding from r"
+)
+def length_batches(spark, sf):
+    """Documents in batches of 32 by length, filled up to the longest of each."""
+    rows = ad.table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"))
+    return pools.length_batches(rows, F.col("length"), 32).select("uid", "batch", "width", (F.col("width") - F.col("length")).alias("padding"))
+
+
 @query(
     f"with {ad.CHUNKS.replace(' from lineitem', ', l_shipdate as ts from lineitem')} select dataset, time_bucket(interval 28 days, ts, timestamp '1970-01-01') as start, count(*) as chunks, {WER} from chunks group by all"
 )

@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import json
 import os
-import tempfile
 from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 
 from versemill.functions.text import has_words
 from versemill.operators import catalog, intervals
+from versemill.scratch import shared_folder  # noqa: F401
 
 LINE = "struct<start:double,end:double,text:string,text_tagged:string>"
 SONG = "uid string, dataset_id string, song_id string, text string, split string, duration_secs double, language string, audio_path string, stem_dir string"
@@ -44,18 +44,6 @@ def write_document(value: Mapping, path: str) -> None:
     Path(path).write_text(json.dumps(value, indent=4, ensure_ascii=False))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. A local master may leave it unset and gets one of its own; executors of
-    a cluster share no temporary folder, so there it must be set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="versemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/versemill"
-
-
 def write_run(tables: Mapping[str, DataFrame], root: str, keys: tuple[str, ...]) -> None:
     """samples, chunks and edits of a run, partitioned by its system keys."""
     for name, df in tables.items():
@@ -171,6 +159,11 @@ def write_pages(pages: DataFrame, folder: str, key: str = "uid") -> None:
     pages.select(key, F.col("html").alias("value")).write.mode("overwrite").partitionBy(key).text(folder)
 
 
+def write_pictures(pictures: DataFrame, folder: str, key: str = "uid") -> None:
+    """Pictures (key, svg) as text under key folders, beside the pages."""
+    pictures.select(key, F.col("svg").alias("value")).write.mode("overwrite").partitionBy(key).text(folder)
+
+
 def write_side_files(songs: DataFrame, rows: DataFrame, folder: str, key: str = "uid") -> None:
     """What lies beside the pages: song texts as text files, and render rows as JSON lines, each under key folders."""
     songs.select(key, F.coalesce("text", F.lit("")).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(f"{folder}/lyrics")
