@@ -623,15 +623,6 @@ def group_names(spark, sf):
     return tasks.group_names(cat.short_lines(ad.lines(spark, sf)))
 
 
-@query()
-def split_lines_render(spark, sf):
-    rows = ad.turns(spark, sf).select(F.col("conv_id").alias("uid"), F.col("turn").alias("sample_idx"), F.lit("en").alias("language"), F.col("text").alias("ref"), F.regexp_replace("text", r"\bof\b", "off").alias("hyp"))
-    keys = ["uid", "sample_idx"]
-    rows = ev.aligned(rows)
-    times = render.hyp_timestamps(F.array(F.struct(F.lit(0.0).alias("start"), F.lit(10.0).alias("end"), F.size("hyp_words").alias("n_words"))))
-    return rounded(render.render_rows(render.split_chunks(rows, keys, times=times), keys))
-
-
 @query(
     r"""with w as (select conv_id, turn, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from conversations), x as (select conv_id, turn, len(ws) as n, unnest(range(0, len(ws))) as word_idx, unnest(ws) as word from w)
 select conv_id, turn, word_idx, word, round(turn * 10 + word_idx::double / n * 8, 6) as time from x"""

@@ -165,3 +165,23 @@ def render_pairs(spark, sf):
     rows = ev.aligned(ad.pairs(spark, sf).withColumn("ref", broken))
     times = render.hyp_timestamps(F.array(F.struct(F.lit(0.0).alias("start"), F.lit(10.0).alias("end"), F.size("hyp_words").alias("n_words"))))
     return rounded(render.render_rows(render.split_chunks(rows, keys, times=times), keys))
+
+
+@query(
+    rf"""with {tokens("conversations", "conv_id, turn", "text")}, spoken as (
+  select conv_id, turn, row_number() over (partition by conv_id, turn order by n, k) - 1 as i, dense_rank() over (partition by conv_id, turn order by n) - 1 as line, regexp_replace(t, '[^\pL\pN\pM_'']', '', 'g') as w from found where k is not null and {IS_WORD}
+), typed as (
+  select *, w = 'of' as changed, count(*) over (partition by conv_id, turn) as heard, case when (w = 'of') = lag(w = 'of') over (partition by conv_id, turn order by i) then 0 else 1 end as opens from spoken
+), cut as (
+  select *, sum(opens) over (partition by conv_id, turn order by i rows unbounded preceding) as chunk from typed
+), pieces as (
+  select conv_id, turn, chunk, line, changed, min(i) as j, any_value(heard) as heard, string_agg(w, ' ' order by i) as r, string_agg(case when changed then 'off' else w end, ' ' order by i) as h from cut group by conv_id, turn, chunk, line, changed
+) select conv_id as uid, turn as sample_idx, line::bigint as line_no, row_number() over (partition by conv_id, turn order by chunk, line) - 1 as piece_idx, case when changed then 'substitute' else 'equal' end as chunk_type, r as ref_text, h as hyp_text,
+  round(greatest(0.1::double, j::double / heard * 10), 6) as timestamp from pieces"""
+)
+def split_lines_render(spark, sf):
+    rows = ad.turns(spark, sf).select(F.col("conv_id").alias("uid"), F.col("turn").alias("sample_idx"), F.lit("en").alias("language"), F.col("text").alias("ref"), F.regexp_replace("text", r"\bof\b", "off").alias("hyp"))
+    keys = ["uid", "sample_idx"]
+    rows = ev.aligned(rows)
+    times = render.hyp_timestamps(F.array(F.struct(F.lit(0.0).alias("start"), F.lit(10.0).alias("end"), F.size("hyp_words").alias("n_words"))))
+    return rounded(render.render_rows(render.split_chunks(rows, keys, times=times), keys))
