@@ -285,3 +285,19 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert 1 < len(decontaminate._in_blocks(decontaminate.windows_of(spark.createDataFrame(items, "item_id long, text string")).select("words"), "words")) <= decontaminate.BLOCKS
     shuffled = frame(spark, rows).repartition(5)
     assert sorted(map(tuple, decontaminate.decontaminate(shuffled, spark.createDataFrame(items, "item_id long, text string")).collect())) == whole and all(r[2] for r in whole)
+
+
+def test_greatest_and_least_ids_stay(spark):
+    """An id that stands for null inside is an id like others when a document has it."""
+    from versemill.llm import fingerprints
+
+    most, least = 2**63 - 1, -(2**63)
+    text = passage(30)
+    rows = [(most, text), (None, text), (1, passage(30)), (least, passage(20)), (None, None)]
+    ids = lambda df, c="doc_id": sorted((r[c] for r in df.collect()), key=repr)
+    want = sorted((d for d, _ in rows), key=repr)
+    assert ids(substring_dedup.dedup_substrings(frame(spark, rows))) == want and ids(fingerprints.fingerprint_documents(frame(spark, rows))) == want
+    linked = jaccard_join.near_duplicate_components(frame(spark, rows))
+    assert ids(linked) == want and ids(linked, "component_id") == sorted([most, most, 1, least, None], key=repr)
+    kept = jaccard_join.one_of_each_group(frame(spark, rows))
+    assert ids(kept) == sorted([most, 1, least, None], key=repr)

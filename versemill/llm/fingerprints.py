@@ -108,15 +108,15 @@ def buckets_of(cuts: list[int]):
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """(bucket, guest, doc_id, h, text): range buckets of descending doc_id, each with the document that follows its last as a guest.
+    """(bucket, guest, doc_id, nameless, h, text): range buckets of descending doc_id, each with the document that follows its last as a guest.
 
     Buckets come from quantiles of the ids, and the driver holds one row for each bucket. Texts are shuffled once.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = PARTS * parts
-    rows = keyed_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = [int(x) for x in rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)]
+    rows = keyed_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), F.coalesce("text", F.lit("")).alias("text"))
+    cuts = [min(int(x), 2**63 - 1) for x in rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)]
     ids = rows.select("doc_id", F.xxhash64("text").alias("h"))
     head = F.min(F.struct((-F.col("doc_id").cast("decimal(20)")).alias("back"), F.col("h"), F.col("doc_id")))  # the first of a bucket in order
     heads = {r["bucket"]: (r["doc_id"], r["h"]) for r in ids.withColumn("bucket", buckets_of(cuts)("doc_id", "h")).groupBy("bucket").agg(head.alias("x")).select("bucket", "x.doc_id", "x.h").collect()}
@@ -127,12 +127,12 @@ def in_order(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("bucket"), F.lit(0).alias("guest"))
     both = F.array(own, F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest")))
     # guests has a row for each bucket at most
-    placed = rows.join(F.broadcast(guests), ["doc_id", "h"], "left").select(F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(both)).alias("at"), "doc_id", "h", "text")
-    return placed.select("at.bucket", "at.guest", "doc_id", "h", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "h", "text")
+    placed = rows.join(F.broadcast(guests), ["doc_id", "h"], "left").select(F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(both)).alias("at"), "doc_id", "nameless", "h", "text")
+    return placed.select("at.bucket", "at.guest", "doc_id", "nameless", "h", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "h", "text")
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = ((b, g, d, t, fingerprint(t)) for f in frames for b, g, d, t in zip(f["bucket"], f["guest"], f["doc_id"], f["text"], strict=True))
+    rows = ((b, g, None if none else d, t, fingerprint(t)) for f in frames for b, g, d, none, t in zip(f["bucket"], f["guest"], f["doc_id"], f["nameless"], f["text"], strict=True))
     names = SCHEMA.replace(" long", "").replace(" string", "").replace(" double", "").split(", ")
 
     def results() -> Iterator[tuple]:
@@ -142,11 +142,12 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             changed = edited(text, following)
             new = fingerprint(changed)
             digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-            yield None if d == NO_ID else d, len(text), digest, as_string(own), as_string(new), likeness(own, new), likeness(own, its)
+            yield d, len(text), digest, as_string(own), as_string(new), likeness(own, new), likeness(own, its)
 
     found = results()
     while part := list(itertools.islice(found, 500)):
-        yield pd.DataFrame(part, columns=names).astype({"doc_id": "Int64"})
+        ids, *others = zip(*part, strict=True)  # beside nulls, pandas would take large ids for doubles
+        yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), **dict(zip(names[1:], others, strict=True))})
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

@@ -270,8 +270,7 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """
     known = _components_of_rows(docs)
     smallest = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    return known.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _postings(packs: DataFrame, read: DataFrame, buckets: int) -> DataFrame:
@@ -291,8 +290,8 @@ def _postings(packs: DataFrame, read: DataFrame, buckets: int) -> DataFrame:
 
 
 def _components_of_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, n_shingles, component) of every row: NO_ID for a null doc_id, no component for a wordless text."""
-    rows = keyed_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    """(doc_id, tkey, n_shingles, component) of every row: no component for a wordless text."""
+    rows = keyed_text(docs)
     packs = packs_of(rows.select("doc_id", text_key().alias("tkey"), "text"))
     buckets = buckets_for(packs)
     read = materialize(packs.mapInArrow(_read(buckets), f"kind int, pack long, bucket int, blob binary, {CLASS}"))
@@ -302,8 +301,9 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
     # what links are sought for: one text of each class that shares a prefix shingle with another
     sought = postings.select(F.col("node").alias("digest")).distinct()
     classes = materialize(members.join(sought, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("pivots").alias("pivots")))
-    wanted = classes.select("doc_id").distinct()
-    texts = rows.join(F.broadcast(wanted) if classes.count() <= BROADCAST_ROWS else wanted, "doc_id", "left_semi")
+    known_id = F.coalesce("doc_id", F.lit(NO_ID))  # a class of null ids is looked up in all rows without an id
+    wanted = classes.select(known_id.alias("wanted")).distinct()
+    texts = rows.join(F.broadcast(wanted) if classes.count() <= BROADCAST_ROWS else wanted, known_id == F.col("wanted"), "left_semi")
     # rows that repeat a doc_id may give a set more than once
     sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
@@ -337,13 +337,13 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     their names, are carried along."""
     known = _components_of_rows(docs)
     same = known.where("component is not null").groupBy("component", "doc_id", "tkey").agg(F.count("*").alias("rows"))
-    least = same.groupBy("component").agg(F.min(F.struct("doc_id", "tkey", "rows")).alias("first")).select("first.doc_id", "first.tkey", (F.col("first.rows") > 1).alias("many"))
+    least = same.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey", "rows")).alias("first")).select("first.doc_id", "first.tkey", (F.col("first.rows") > 1).alias("many"))
     alone = known.where("component is null").select("doc_id", "tkey", F.lit(False).alias("many")).distinct()
     id_, key, many, row = (unused(docs.columns, c) for c in ("kept_id", "kept_key", "kept_many", "kept_row"))
     keep = materialize(least.unionByName(alone).toDF(id_, key, many))
 
     def rows(keys: DataFrame, how: str) -> DataFrame:
-        return docs.join(keys, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == keys[id_]) & (text_key() == keys[key]), how)
+        return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys[id_]) & (text_key() == keys[key]), how)
 
     kept = rows(keep.where(~F.col(many)), "left_semi")
     if keep.where(F.col(many)).isEmpty():

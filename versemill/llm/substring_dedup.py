@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from versemill.llm._common import NO_ID, SLICE_BYTES, Words, bucket_of, buckets_for, deflate, inflate, keyed_text, materialize, packs_of, unpack
 
@@ -30,7 +29,8 @@ class _Pack:
 
     def __init__(self, blob: bytes, buckets: int):
         held = unpack(blob)
-        self.ids = np.asarray([d for d, _ in held], np.int64)
+        self.doc_ids = [d for d, _ in held]
+        self.ids = np.asarray([NO_ID if d is None else d for d in self.doc_ids], np.int64)
         self.texts = [t for _, t in held]
         first, blocks, windows, at, k = [np.zeros(1, np.int64)], [], [], 0, 0
         while k < len(held):
@@ -167,11 +167,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, text): text is the kept words, joined by one space.
 
     A word goes if it lies in a window of 13 words that also starts in a document of smaller doc_id. Words are runs of
-    characters other than ASCII white space. Null text has no words; a null doc_id stays null and comes after all others;
+    characters other than ASCII white space. Null text has no words; a null doc_id stays null and comes after all others, beside
+    the greatest id there can be;
     rows of one doc_id are one document to each other (none is smaller) and give a row each; an empty table gives no rows;
     other columns are ignored.
     """
-    packs = packs_of(keyed_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text"))
+    packs = packs_of(keyed_text(docs))
     buckets = buckets_for(packs)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,11 +194,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         for blob in own["blob"]:
             pack = _Pack(blob, buckets)
             pack.propose(_bits(answers, 0))
-            for d, text, stays in zip(pack.ids.tolist(), pack.texts, pack.keep(_bits(answers, 1)), strict=True):
+            for d, text, stays in zip(pack.doc_ids, pack.texts, pack.keep(_bits(answers, 1)), strict=True):
                 words = text.split()
                 kept = words if stays.all() else [w for w, s in zip(words, stays.tolist(), strict=True) if s]
-                out.append((None if d == NO_ID else d, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "text"]).astype({"doc_id": "Int64"})
+                out.append((d, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
+        ids, *others = zip(*out, strict=True) if out else [()] * 4  # beside nulls, pandas would take large ids for doubles
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), **dict(zip(("n_words", "n_removed", "text"), others, strict=True))})
 
     sent = "pack long, bucket int, blob binary"
     answers = materialize(packs.mapInArrow(blocks, sent).groupBy("bucket").applyInPandas(_match_blocks, ANSWERS))
