@@ -221,6 +221,7 @@ def test_sources_round_trip(spark, tmp_path):
     io.write_document({"a": 1}, f"{tmp_path}/d.json")
     assert io.read_document(spark, f"{tmp_path}/d.json").first()["a"] == 1
     assert r"\begin{tabular}" in io.latex_table(df) and "<table>" in io.summary_page(df, df, "t")
+    assert '<td><a href="pages/uid%3Da%20b/">a b</a></td><td>0.5000</td>' in io.summary_page(df, spark.createDataFrame([("a b", 0.5)], "uid string, wer double"), "t", pages="pages")
     flagged = spark.createDataFrame([("a_b", 0.5, True), ("c", 1.0, False), (None, None, None)], "name string, wer double, best boolean")
     assert io.latex_table(flagged, bold={"wer": "best"}).split("\n")[2:6:3] == [r"\textbf{name} & \textbf{wer} \\", r"c & 1.00 \\"]
     assert r"a\_b & \textbf{0.50} \\" in io.latex_table(flagged, bold={"wer": "best"}) and r"- & - \\" in io.latex_table(flagged)

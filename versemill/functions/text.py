@@ -83,9 +83,76 @@ def has_words(text: Column) -> Column:
     return F.regexp_replace(text, "(?i)</?nl>", "").rlike(r"(?U)\w")
 
 
+# ISO 639 codes of two letters and of three (a second one where bibliographies differ), and English names.
+ISO_639 = """
+af afr Afrikaans
+ar ara Arabic
+az aze Azerbaijani
+be bel Belarusian
+bg bul Bulgarian
+bn ben Bengali
+bs bos Bosnian
+ca cat Catalan
+cs ces/cze Czech
+cy cym/wel Welsh
+da dan Danish
+de deu/ger German
+el ell/gre Greek
+en eng English
+eo epo Esperanto
+es spa Spanish
+et est Estonian
+eu eus/baq Basque
+fa fas/per Persian
+fi fin Finnish
+fr fra/fre French
+ga gle Irish
+gl glg Galician
+he heb Hebrew
+hi hin Hindi
+hr hrv Croatian
+hu hun Hungarian
+hy hye/arm Armenian
+id ind Indonesian
+is isl/ice Icelandic
+it ita Italian
+ja jpn Japanese
+ka kat/geo Georgian
+ko kor Korean
+la lat Latin
+lt lit Lithuanian
+lv lav Latvian
+mk mkd/mac Macedonian
+ms msa/may Malay
+nl nld/dut Dutch
+no nor Norwegian
+pl pol Polish
+pt por Portuguese
+ro ron/rum Romanian
+ru rus Russian
+sk slk/slo Slovak
+sl slv Slovenian
+sq sqi/alb Albanian
+sr srp Serbian
+sv swe Swedish
+sw swa Swahili
+ta tam Tamil
+te tel Telugu
+th tha Thai
+tr tur Turkish
+uk ukr Ukrainian
+ur urd Urdu
+vi vie Vietnamese
+yi yid Yiddish
+zh zho/chi Chinese
+"""
+
+
 def iso_part1(code: Column) -> Column:
-    """Two-letter codes of the languages at hand, from names or three-letter codes; two-letter codes pass."""
-    # ISO 639 codes.
-    known = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "english": "en", "german": "de", "french": "fr", "spanish": "es", "italian": "it"}
+    """Two-letter codes from names or three-letter codes of the languages listed; any two-letter code passes, other values are null."""
+    known = {}
+    for line in ISO_639.strip().split("\n"):
+        two, threes, name = line.split(" ")
+        known |= dict.fromkeys([*threes.split("/"), name.lower()], two)
     pairs = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.coalesce(F.element_at(pairs, F.lower(code)), F.when(F.char_length(code) == 2, F.lower(code)))

@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table of few splits dealt out over the cores, for work that is Python's own: a small file's only task would do
+    all of it. A table of many splits stays as it is, so nothing large is shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 4 * cores else rows
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timed lines of songs: a user's events."""
     start = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 1e6 / 3600.0
@@ -104,7 +111,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         i = k + 1
         return F.when(i % 11 == 0, F.array().cast("array<string>")).when(i % 7 == 0, F.array(F.reverse(w))).when(i % 13 == 0, F.array(w, w)).otherwise(F.array(w))
 
-    rows = turns(spark, sf_dir).withColumn("r", words).withColumn("h", F.flatten(F.transform("r", heard)))
+    rows = spread(turns(spark, sf_dir)).withColumn("r", words).withColumn("h", F.flatten(F.transform("r", heard)))
     return rows.select(
         F.col("conv_id").alias("uid"), F.col("role").alias("dataset"), F.lit("en").alias("language"), F.col("turn").alias("sample_idx"), F.array_join("r", " ").alias("ref"), F.array_join("h", " ").alias("hyp"),
         F.lit(0.0).alias("start"), F.size("r").cast("double").alias("end"),

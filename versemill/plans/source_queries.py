@@ -167,9 +167,9 @@ def debug_rows(spark, sf):
     return cat.first_rows(rows, 5, "song_id")
 
 
-@query(f"with {ad.CATALOG} select song_id, case song_id % 5 when 0 then 'en' when 1 then 'de' when 2 then 'fr' when 3 then 'es' end as code from songs")
+@query(f"with {ad.CATALOG} select song_id, case song_id % 8 when 0 then 'en' when 1 then 'de' when 2 then 'fr' when 3 then 'es' when 5 then 'cs' when 6 then 'pt' when 7 then 'zh' end as code from songs")
 def language_parts(spark, sf):
-    name = F.element_at(F.array(*map(F.lit, ("eng", "German", "FR", "spa", "klingon"))), (F.col("song_id") % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("eng", "German", "FR", "spa", "klingon", "cze", "Portuguese", "zho"))), (F.col("song_id") % 8 + 1).cast("int"))
     return ad.catalog(spark, sf).select("song_id", tx.iso_part1(name).alias("code"))
 
 

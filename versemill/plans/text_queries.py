@@ -67,7 +67,7 @@ IS_WORD, IS_BREAK = r"regexp_matches(t, '[\pL\pN\pM_]')", "t[1] = chr(10)"
     "from found group by doc_id) select doc_id as song_id, cast(coalesce(tokens, 0) as int) as tokens, cast(coalesce(words, 0) as int) as words, cast(coalesce(breaks, 0) as int) as breaks from documents left join counted using (doc_id)"
 )
 def word_tokens(spark, sf):
-    rows = ad.catalog(spark, sf).select("song_id", tokens_of("text", "language").alias("t"))
+    rows = ad.spread(ad.catalog(spark, sf).select("song_id", "text", "language")).select("song_id", tokens_of("text", "language").alias("t"))
     tagged = lambda tag: F.size(F.filter("t", lambda x: F.array_contains(x["tags"], tag)))
     return rows.select("song_id", F.size("t").alias("tokens"), tagged(WORD).alias("words"), tagged(LINE).alias("breaks"))
 
@@ -121,6 +121,20 @@ def tag_prf(spark, sf):
     return rounded(ev.tag_scores(ev.aligned(rows, words_only=False), ["uid"]))
 
 
+@query(
+    f"with {tokens('conversations', 'role', 'coalesce(text, chr(32))')}, "
+    + "tags as (select role as uid, "
+    + ", ".join(_scores(t, k) for t, k in (("punc", f"not {IS_WORD} and not ({IS_BREAK}) and t not in ('(', ')')"), ("pare", "t in ('(', ')')"), ("line", IS_BREAK), ("sect", f"{IS_BREAK} and length(t) > 1")))
+    + f" from found group by role), said as (select role as uid, count(*) filter (where {IS_WORD}) as n from found group by role) "
+    + 'select uid, 0.0::double as "WER", 0.0::double as "WER_near", 0.0::double as "MER", 0.0::double as "WIL", n as hits, 0.0::double as near, 0::bigint as substitutions, 0::bigint as deletions, 0::bigint as insertions, 0::bigint as nears, '
+    + '0.0::double as sub_rate, 0.0::double as del_rate, 0.0::double as ins_rate, 0.0::double as "ER_case", 0.0::double as "WER_case", n as total_len, 0::bigint as deletions_backing, 0::bigint as deletions_nonlexical, tags.* exclude (uid) from said join tags using (uid)'
+)
+def all_metrics(spark, sf):
+    """Word metrics and tag scores of turns of which full stops and commas were lost."""
+    rows = ad.turns(spark, sf).select(F.col("role").alias("uid"), F.col("turn").alias("sample_idx"), F.lit("en").alias("language"), F.col("text").alias("ref"), F.regexp_replace("text", "[.,]", "").alias("hyp"))
+    return rounded(ev.all_metrics(ad.spread(rows), ["uid"]))
+
+
 WORDS = r"\pL\pN\pM_"
 HEAD = rf"regexp_extract(x, '^[^{WORDS}]*[{WORDS}]')"
 

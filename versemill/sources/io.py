@@ -170,13 +170,19 @@ def write_side_files(songs: DataFrame, rows: DataFrame, folder: str, key: str =
     rows.repartition(key).sortWithinPartitions(key, "line_no", "piece_idx").write.mode("overwrite").partitionBy(key).json(f"{folder}/alignments")
 
 
-def summary_page(totals: DataFrame, songs: DataFrame, title: str, description: str = "") -> str:
-    """The summary page: a small aggregate and one row for each song, collected."""
+def summary_page(totals: DataFrame, songs: DataFrame, title: str, description: str = "", pages: str | None = None, key: str = "uid") -> str:
+    """The summary page: a small aggregate and one row for each song, collected. With ``pages``, the folder of
+    :func:`write_pages`, the keys of songs are links to theirs."""
     import html
+    from urllib.parse import quote
+
+    def cell(name: str, v: object) -> str:
+        text = html.escape(f"{v:.4f}" if isinstance(v, float) else str(v))
+        return f'<a href="{html.escape(pages)}/{quote(f"{key}={v}")}/">{text}</a>' if pages and name == key else text
 
     def table(df: DataFrame) -> str:
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape(f'{v:.4f}' if isinstance(v, float) else str(v))}</td>" for v in r) + "</tr>" for r in df.toLocalIterator())
+        body = "".join("<tr>" + "".join(f"<td>{cell(c, r[c])}</td>" for c in df.columns) + "</tr>" for r in df.toLocalIterator())
         return f"<table><tr>{head}</tr>{body}</table>"
 
     return f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><p>{html.escape(description)}</p>{table(totals)}{table(songs)}"
