@@ -634,6 +634,18 @@ def hyp_timestamps(spark, sf):
     return rounded(timed.select("conv_id", "turn", F.col("word_idx").cast("long").alias("word_idx"), "word", "time"))
 
 
+@query(
+    r"""with w as (select conv_id as uid, turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n from conversations), x as (select uid, turn, n, unnest(range(0, n)) as i from w)
+select uid, row_number() over (partition by uid order by turn, i) - 1 as word_idx, round(turn * 10 + i::double / n * 8, 6) as time from x"""
+)
+def segment_times(spark, sf):
+    """Times of all words of a song's segments, which are its turns."""
+    n = F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("n_words")
+    rows = ad.turns(spark, sf).groupBy(F.col("conv_id").alias("uid")).agg(F.array_sort(F.collect_list(F.struct("turn", (F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 8).alias("end"), n))).alias("segments"))
+    times = rows.select("uid", F.posexplode(render.hyp_timestamps("segments")).alias("word_idx", "time"))
+    return rounded(times.select("uid", F.col("word_idx").cast("long").alias("word_idx"), "time"))
+
+
 @query(
     "with n as (select conv_id, role, coalesce(text, '') as text, row_number() over (partition by conv_id, role order by turn) - 1 as pos from conversations where role in ('user', 'assistant')) "
     "select a.conv_id as uid, a.pos as sample_idx, a.text as ref, b.text as hyp from n a join n b on a.conv_id = b.conv_id and a.pos = b.pos and a.role = 'user' and b.role = 'assistant'"
