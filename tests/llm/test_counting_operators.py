@@ -99,6 +99,12 @@ def test_spelling_variants_empty(spark):
         assert spelling_variants.group_spellings(frame(spark, rows)).count() == 0
 
 
+def test_spelling_variants_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(f"aabbcc{x}{y}", 5 + x) for x in range(5) for y in "abc"], "word string, n long").write.parquet(str(tmp_path / "words"))
+    pairs = spelling_variants.near_pairs(spark.read.parquet(str(tmp_path / "words")))
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 # token counts
 
 PARTS = ["a", "aa", " ", "  ", "\n", "é", "中", "文", "①", "😀", "the ", "ing", "<s>", "</s>", "\x00", "▁", "b", "ab", "--", "=", "0", " "]

@@ -124,11 +124,15 @@ def _keys(rarest: DataFrame) -> DataFrame:
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, n, other, other_n): each two words of (word, n) that are one edit apart, once, the shorter or smaller first."""
+    """(word, n, other, other_n): each two words of (word, n) that are one edit apart, once, the shorter or smaller first.
+
+    The planner takes the keys to be as large as the compressed table that they are exploded from, and would broadcast some
+    dozen rows for each word: so all joins of the vocabulary are told to shuffle.
+    """
     keys = _keys(materialize(with_rarest(words)))
     probes, index = keys.where("role < 2"), keys.where("role <> 1").select(F.col("key").alias("key2"), F.col("role").alias("role2"), F.col("word").alias("other"), F.col("n").alias("other_n"))
     met = ((F.col("role") == 1) & (F.col("role2") == 2)) | ((F.col("role") == 0) & (F.col("role2") == 0) & (F.col("word") < F.col("other")))
-    return probes.join(index, (F.col("key") == F.col("key2")) & met & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n").distinct()
+    return probes.join(index.hint("merge"), (F.col("key") == F.col("key2")) & met & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -137,7 +141,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = materialize(forms.select("word", F.col("form").alias("root")))
     while True:
         up = now.select(F.col("word").alias("root"), F.col("root").alias("_up"))
-        after = materialize(now.join(up, "root", "left").select("word", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")))
+        after = materialize(now.join(up.hint("merge"), "root", "left").select("word", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")))
         now = after.select("word", "root")
         if after.where("moved").isEmpty():
             return now
@@ -156,8 +160,8 @@ def group_spellings(docs: DataFrame, min_count: int = MIN_COUNT, factor: int = F
     both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     far = -F.col("best.less") >= factor * F.col("n")
-    told = words.join(best, "word", "left").select(
+    told = words.join(best.hint("merge"), "word", "left").select(
         "word", F.when(far, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(far, -F.col("best.less")).alias("form_n")
     )
     told = materialize(told)
-    return told.join(roots(told.where("form is not null")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(roots(told.where("form is not null")).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
