@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from versemill.functions.alignment import DELETE, EQUAL, INSERT, OPERATIONS, SUBSTITUTE, align
+from versemill.functions.slices import LONGEST_KEPT, in_slices
 from versemill.functions.tokenizer import LINE, RICH, TAG_SETS, WORD, numbered_tags, tokenize
 
 COMPARED = T.StructType([T.StructField("ref_words", RICH), T.StructField("hyp_words", RICH), T.StructField("breaks", T.ArrayType(T.IntegerType())), T.StructField("chunks", OPERATIONS)])
@@ -41,7 +42,7 @@ def breaks_of(numbers: list[int]) -> list[int]:
 def words_of(texts: list[str], numbers: list[int]) -> tuple[list[str], list[int]]:
     """The words of tagged tokens, without characters other than word characters and apostrophes."""
     kept = [k for k, n in enumerate(numbers) if _IS_WORD[n]]
-    return [texts[k] if texts[k].isalpha() else _bare(texts[k]) for k in kept], [numbers[k] for k in kept]
+    return [t if (t := texts[k]).isalpha() else _bare(t) if len(t) <= LONGEST_KEPT else _OTHER.sub("", t) for k in kept], [numbers[k] for k in kept]
 
 
 class _Lists:
@@ -62,24 +63,25 @@ class _Lists:
 def _compared(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]], words_only: bool) -> Iterator[pa.Array]:
     sets = pa.array(TAG_SETS, pa.list_(pa.string()))
     for refs, hyps, languages in batches:
-        texts, tags, breaks, chunks = [_Lists(), _Lists()], [_Lists(), _Lists()], _Lists(), _Lists()
-        for ref, hyp, language in zip(refs.to_pylist(), hyps.to_pylist(), languages.to_pylist(), strict=True):
-            sides = []
-            for k, text in enumerate((ref, hyp)):
-                own, numbers = numbered_tags(tokenize(text, language))
-                if k == 0:
-                    breaks.add(breaks_of(numbers))
-                if words_only:
-                    own, numbers = words_of(own, numbers)
-                texts[k].add(own)
-                tags[k].add(numbers)
-                sides.append([w.lower() for w in own])
-            chunks.add(align(*sides))
-        rich = [t.array(pa.StructArray.from_arrays([pa.array(t.values, pa.string()), sets.take(pa.array(n.values, pa.int32()))], ["text", "tags"])) for t, n in zip(texts, tags, strict=True)]
-        kinds = pa.array(_KINDS, pa.string()).take(pa.array([_KINDS.index(c[0]) for c in chunks.values], pa.int32()))
-        spans = [pa.array([c[k] for c in chunks.values], pa.int32()) for k in range(1, 5)]
-        steps = chunks.array(pa.StructArray.from_arrays([kinds, *spans], OPERATIONS.elementType.names))
-        yield pa.StructArray.from_arrays([*rich, breaks.array(pa.array(breaks.values, pa.int32())), steps], COMPARED.names)
+        for rows in in_slices(refs, hyps, languages):
+            texts, tags, breaks, chunks = [_Lists(), _Lists()], [_Lists(), _Lists()], _Lists(), _Lists()
+            for ref, hyp, language in zip(*rows, strict=True):
+                sides = []
+                for k, text in enumerate((ref, hyp)):
+                    own, numbers = numbered_tags(tokenize(text, language))
+                    if k == 0:
+                        breaks.add(breaks_of(numbers))
+                    if words_only:
+                        own, numbers = words_of(own, numbers)
+                    texts[k].add(own)
+                    tags[k].add(numbers)
+                    sides.append([w.lower() for w in own])
+                chunks.add(align(*sides))
+            rich = [t.array(pa.StructArray.from_arrays([pa.array(t.values, pa.string()), sets.take(pa.array(n.values, pa.int32()))], ["text", "tags"])) for t, n in zip(texts, tags, strict=True)]
+            kinds = pa.array(_KINDS, pa.string()).take(pa.array([_KINDS.index(c[0]) for c in chunks.values], pa.int32()))
+            spans = [pa.array([c[k] for c in chunks.values], pa.int32()) for k in range(1, 5)]
+            steps = chunks.array(pa.StructArray.from_arrays([kinds, *spans], OPERATIONS.elementType.names))
+            yield pa.StructArray.from_arrays([*rich, breaks.array(pa.array(breaks.values, pa.int32())), steps], COMPARED.names)
 
 
 @F.arrow_udf(COMPARED)
