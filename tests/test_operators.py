@@ -335,6 +335,27 @@ def test_exact_quantiles(spark, monkeypatch, few):
     assert set(both[0]) == set(both[1]) and all(a == pytest.approx(b) for k in both[0] if k != "none" for a, b in zip(both[0][k], both[1][k], strict=True))
 
 
+def test_boxplot_values_are_not_sorted_by_group(spark, monkeypatch):
+    random.seed(63)
+    rows = [(k, random.gauss(0, 1)) for k, n in (("large", 400), ("small", 20), ("one", 1)) for _ in range(n)] + [("none", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, wer double")
+    told = lambda d: {r["k"]: tuple(r)[1:] for r in d.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = an.boxplot_statistics(df, ["k"])
+        assert made._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1  # of the groups with their whiskers
+        few = told(made)
+        monkeypatch.setattr(an, "BROADCAST_ROWS", 0)
+        many = told(an.boxplot_statistics(df.where("k is not null"), ["k"], exact_rows=100))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for k in ("large", "small", "one"):
+        values = sorted(v for g, v in rows if g == k)
+        a, b = np.quantile(values, (0.25, 0.75))
+        inside = [v for v in values if a - 1.5 * (b - a) <= v <= b + 1.5 * (b - a)]
+        assert few[k][-2:] == (inside[0], inside[-1]) and few[k][3:] == pytest.approx(many[k][3:]) and few[k][:3] == pytest.approx(many[k][:3])
+
+
 def test_length_batches(spark):
     random.seed(62)
     rows = [(k, random.randint(0, 30)) for k in range(203)]

@@ -154,11 +154,21 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Se
     return values.select(*keys, "n", F.transform(at, quantile).alias("q"))
 
 
+def _meet_groups(rows: DataFrame, groups: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the one row of their group. Rows are not shuffled where groups are few, and never those of ``large`` groups,
+    which would meet in one task each."""
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), keys)
+    large = F.broadcast(large)
+    return rows.join(F.broadcast(groups.join(large, keys, "left_semi")), keys).unionByName(rows.join(large, keys, "left_anti").join(groups, keys))
+
+
 def boxplot_statistics(samples: DataFrame, keys: Sequence[str], value: str = "wer", reach: float = 1.5, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Quartiles (exact, interpolated), mean, and whiskers: the farthest values within ``reach`` interquartile ranges.
 
     Groups of up to ``exact_rows`` values have their quartiles from one aggregate, which holds a group's distinct values;
     if any is larger, all come from :func:`exact_quantiles`, with the same result.
+    Values meet the bounds of their group where they are; no task sorts a group.
     """
     keys = list(keys)
     shares = (0.25, 0.5, 0.75)
@@ -167,9 +177,10 @@ def boxplot_statistics(samples: DataFrame, keys: Sequence[str], value: str = "we
         q = samples.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_q"), F.avg(value).alias("mean"), F.count(value).alias("n"))
     else:
         q = counted.join(exact_quantiles(samples, keys, value, shares).select(*keys, F.col("q").alias("_q")), keys, "left")
-    q = q.select(*keys, *[F.col("_q")[k].alias(f"q{k + 1}") for k in range(3)], "mean", "n")
+    q = written(q.select(*keys, *[F.col("_q")[k].alias(f"q{k + 1}") for k in range(3)], "mean", "n"))
     low, high = F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1"))
-    inside = samples.select(*keys, value).join(q, keys).where(F.col(value).between(low, high))
+    bounds = q.select(*keys, low.alias("_low"), high.alias("_high"))
+    inside = _meet_groups(samples.select(*keys, value), bounds, q.where(F.col("n") > exact_rows).select(*keys), keys).where(F.col(value).between(F.col("_low"), F.col("_high")))
     whiskers = inside.groupBy(*keys).agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
     return q.join(whiskers, keys, "left")
 
