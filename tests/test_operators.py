@@ -365,6 +365,15 @@ def test_length_batches(spark):
     assert pools.length_batches(spark.createDataFrame([], "uid long, x int"), F.col("x"), 16).count() == 0
 
 
+def test_side_files_are_written_by_many_tasks(spark, tmp_path):
+    songs = spark.range(40).select(F.col("id").alias("uid"), F.lit("la").alias("text"))
+    rows = songs.select("uid", F.lit(0).alias("line_no"), F.lit(0).alias("piece_idx"))
+    io.write_side_files(songs, rows, str(tmp_path))
+    for folder in ("lyrics", "alignments"):
+        files = [f.name for f in (tmp_path / folder).glob("uid=*/part-*")]
+        assert len(files) == 40 and len({f[:10] for f in files}) > 4
+
+
 def test_pictures(spark, tmp_path):
     rows = spark.createDataFrame([(1, [0.0, 1.0, 0.5, 0.25, 0.75]), (2, [0.5]), (3, [])], "uid long, s array<double>")
     got = {r["uid"]: [tuple(p) for p in r["p"]] for r in rows.select("uid", render.pixel_ranges("s", 3).alias("p")).collect()}

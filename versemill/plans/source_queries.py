@@ -94,8 +94,9 @@ def extracted_songs(spark, sf):
 def folder_scan(spark, sf):
     """Annotations written as one compressed document a song, scanned beside a folder in which some songs lack their audio."""
     root, rows = _shared(spark), _annotations(spark, sf).withColumn("file", F.col("conv_id").cast("string"))
-    rows.select("file", F.to_json(F.struct("id", "language", "lines")).alias("value")).repartition("file").write.partitionBy("file").option("compression", "gzip").text(f"{root}/annotations")
-    rows.where("conv_id % 7 <> 2").select("file", F.lit("sound").alias("value")).repartition("file").write.partitionBy("file").text(f"{root}/audio")
+    once = ("mapreduce.fileoutputcommitter.algorithm.version", "2")  # tasks move their files themselves, not the driver one by one
+    io.by_key(rows.select("file", F.to_json(F.struct("id", "language", "lines")).alias("value")), "file").write.partitionBy("file").option(*once).option("compression", "gzip").text(f"{root}/annotations")
+    io.by_key(rows.where("conv_id % 7 <> 2").select("file", F.lit("sound").alias("value")), "file").write.partitionBy("file").option(*once).text(f"{root}/audio")
     excluded = rows.where("conv_id % 11 = 5").select(F.col("file").alias("song_id"))
     found = io.scan_annotations(spark, f"{root}/annotations", f"{root}/audio", excluded, "*.txt.gz", "*.txt", r"file=([^/]+)/")
     return found.groupBy("status").agg(F.count("*").alias("songs"), F.sum(F.size("lines")).alias("lines"))

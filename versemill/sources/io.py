@@ -55,6 +55,12 @@ def read_runs(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key to tasks for all cores, for sinks that open a file for each key: dealt without a number, a table of
+    few bytes is coalesced, and one task opens all files."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _lines(songs: DataFrame) -> DataFrame:
     rows = songs.select("song_id", F.posexplode("lines").alias("line_idx", "line")).select("song_id", "line_idx", "line.*")
     return catalog.short_lines(catalog.use_tagged_text(rows))
@@ -166,8 +172,8 @@ def write_pictures(pictures: DataFrame, folder: str, key: str = "uid") -> None:
 
 def write_side_files(songs: DataFrame, rows: DataFrame, folder: str, key: str = "uid") -> None:
     """What lies beside the pages: song texts as text files, and render rows as JSON lines, each under key folders."""
-    songs.select(key, F.coalesce("text", F.lit("")).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(f"{folder}/lyrics")
-    rows.repartition(key).sortWithinPartitions(key, "line_no", "piece_idx").write.mode("overwrite").partitionBy(key).json(f"{folder}/alignments")
+    by_key(songs.select(key, F.coalesce("text", F.lit("")).alias("value")), key).write.mode("overwrite").partitionBy(key).text(f"{folder}/lyrics")
+    by_key(rows, key).sortWithinPartitions(key, "line_no", "piece_idx").write.mode("overwrite").partitionBy(key).json(f"{folder}/alignments")
 
 
 def summary_page(totals: DataFrame, songs: DataFrame, title: str, description: str = "", pages: str | None = None, key: str = "uid") -> str:
